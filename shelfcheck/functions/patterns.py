@@ -20,6 +20,8 @@ ACCESSORY_NAME = r"\b(case|cover|cable|controller|headset|stand|mount|bag|sleeve
 PLUG_STATED = r"\b((uk|eu|european|us|3[- ]?pin|2[- ]?pin|type[- ]?[cg])[- ]?(mains )?(plug|adapt[eo]r|charger|power)|plug type|(uk|eu|us|international) (version|model|spec|stock|import))\b"
 # Text that states the box contents.
 BOX_CONTENTS_STATED = r"\b(in the box|box contents?|what'?s (included|in the box)|package contents?|included accessories|accessories included|comes with|supplied with|includes?:)"
+# Each match of the above holds one of these.
+BOX_CONTENTS_TEXTS = ["in the box", "box content", "includ", "package content", "comes with", "supplied with"]
 # Names that stop mid-phrase, or are damaged.
 NAME_DANGLING_END = r"([,&–—-]|\b(that|with|and|for|of|the|to|in|from|or|by))$"
 NAME_MALFORMED = r"\s,|\([^)]*$"

@@ -13,8 +13,13 @@ def clean(c: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(c, P.WS + "+", " ")), F.lit(""))
 
 
+def clean_edges(c: Column) -> Column:
+    """Whitespace removed at both ends."""
+    return F.regexp_replace(c, f"^{P.WS}+|{P.WS}+\\z", "")
+
+
 def non_blank(c: Column) -> Column:
-    return F.nullif(F.regexp_replace(c, f"^{P.WS}+|{P.WS}+\\z", ""), F.lit(""))
+    return F.nullif(clean_edges(c), F.lit(""))
 
 
 def price_from_text(c: Column) -> Column:
@@ -25,7 +30,7 @@ def price_from_text(c: Column) -> Column:
 
 def number(c: Column) -> Column:
     """A numeric text as a finite double; anything else, blanks included, is NULL."""
-    t = F.regexp_replace(c, f"^{P.WS}+|{P.WS}+\\z", "")
+    t = clean_edges(c)
     return F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"), t.try_cast("double"))
 
 
@@ -41,8 +46,11 @@ def same_price(a: Column, b: Column) -> Column:
     return F.abs(a - b) < 0.01
 
 
-def has(c: Column, pattern: str, ignore_case: bool = True) -> Column:
-    return c.rlike(P.jvm(pattern, ignore_case))
+def has(c: Column, pattern: str, ignore_case: bool = True, any_of: list[str] | None = None) -> Column:
+    """Whether the pattern occurs. `any_of` lists lower-case texts of which every match holds one:
+    plain searches for them are far cheaper than the pattern on long texts and rule most out."""
+    found = c.rlike(P.jvm(pattern, ignore_case))
+    return found if any_of is None else _has_any(F.lower(c), *any_of) & found
 
 
 # --- URLs --------------------------------------------------------------------

@@ -24,36 +24,40 @@ def _hit(rule: Rule, texts: bool) -> Column:
     return F.when(rule.when(), F.struct(*fields))
 
 
-def audit(
+def hits(
     listings: DataFrame,
     now: datetime | str | None = None,
     rules: list[Rule] = RULES,
     texts: bool = True,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """`keep` columns (all by default) plus `findings` (array, registry order), `score` and `segment`.
+    """`keep` columns (all by default) plus `hits` (one entry per rule in registry order, NULL where the
+    rule passes), `score` and `segment`.
 
     `texts=False` leaves out messages and evidence, which the aggregate reports do not need.
     """
     keep = listings.columns if keep is None else keep
     ready = prepare(listings.withColumn("r_now", _as_of(now)))
-    found = ready.select(
-        *keep,
-        F.filter(F.array(*[_hit(r, texts) for r in rules]), lambda h: h.isNotNull()).alias("findings"),
-        segment().alias("segment"),
-    )
-    return found.select(*keep, "findings", score(F.col("findings")).alias("score"), "segment")
+    checked = ready.select(*keep, F.array(*[_hit(r, texts) for r in rules]).alias("hits"), segment().alias("segment"))
+    penalty = sum((F.when(F.get("hits", F.lit(i)).isNotNull(), P.SEVERITY_WEIGHT[r.severity]).otherwise(0) for i, r in enumerate(rules)), F.lit(0))
+    return checked.withColumn("score", F.greatest(F.lit(0), F.lit(100) - penalty))
+
 
+def audit(listings: DataFrame, now: datetime | str | None = None, rules: list[Rule] = RULES, keep: list[str] | None = None) -> DataFrame:
+    """Listings with `findings` (only the failed rules), `score` and `segment`."""
+    checked = hits(listings, now, rules, keep=keep)
+    rest = [c for c in checked.columns if c not in ("hits", "score", "segment")]
+    return checked.select(*rest, F.filter("hits", lambda h: h.isNotNull()).alias("findings"), "score", "segment")
 
-def score(findings: Column) -> Column:
-    weight = lambda f: F.coalesce(*[F.when(f["severity"] == s, F.lit(w)) for s, w in P.SEVERITY_WEIGHT.items()], F.lit(0))
-    return F.greatest(F.lit(0), F.lit(100) - F.aggregate(findings, F.lit(0), lambda acc, f: acc + weight(f)))
 
+def findings_of(checked: DataFrame, key: str = "id", name: str = "product_id") -> DataFrame:
+    """One row per (listing, failed rule) from the result of `hits`; `position` is the rule's place in the registry.
 
-def findings_of(audited: DataFrame, key: str = "id", name: str = "product_id") -> DataFrame:
-    """One row per (listing, failed rule); `position` is the rule's place within the listing's findings."""
-    exploded = audited.select(F.col(key).alias(name), F.posexplode("findings").alias("position", "f"))
-    return exploded.select(name, "position", "f.*")
+    The outer explode keeps Spark from inferring a "non-empty array" filter, which it would push below
+    the rules and so run them twice.
+    """
+    exploded = checked.select(F.col(key).alias(name), F.posexplode_outer("hits").alias("position", "f"))
+    return exploded.where(F.col("f").isNotNull()).select(name, "position", "f.*")
 
 
 def segment_signals() -> dict[str, Column]:
@@ -78,22 +82,23 @@ def segment() -> Column:
     )
 
 
-def tallies(audited: DataFrame) -> DataFrame:
+def tallies(checked: DataFrame) -> DataFrame:
     """Listings audited and rounded mean score, then counts per rule and per segment, largest first within each kind.
 
-    One pass: every listing contributes its own row, its segment and its rules as (kind, name) entries.
+    One pass: every listing contributes its own row, its segment and its failed rules as (kind, name) entries.
     """
     entries = F.concat(
         F.array(
             F.struct(F.lit("listings").alias("kind"), F.lit("all").alias("name")),
             F.struct(F.lit("segment").alias("kind"), F.col("segment").alias("name")),
         ),
-        F.transform("findings", lambda f: F.struct(F.lit("rule").alias("kind"), f["rule_id"].alias("name"))),
+        F.transform("hits", lambda h: F.when(h.isNotNull(), F.struct(F.lit("rule").alias("kind"), h["rule_id"].alias("name")))),
     )
     return (
-        audited.select("score", F.explode(entries).alias("e"))
+        checked.select("score", F.explode_outer(entries).alias("e"))
+        .where(F.col("e").isNotNull())
         .groupBy("e.kind", "e.name")
-        .agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("kind") == "listings", F.col("score")))).cast("int").alias("mean_score"))
+        .agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("e.kind") == "listings", F.col("score")))).cast("int").alias("mean_score"))
         .orderBy("kind", F.desc("n"), "name")
     )
 

@@ -81,10 +81,12 @@ def prepare(listings: DataFrame) -> DataFrame:
             ),
             "r_slug_word": F.when(slug.rlike(P.jvm(P.SLUG_ABOUT_CONDITION, False)), word),
             "r_ranked": ranked,
+            "r_own_path": F.regexp_replace(T.url_path(F.col("url")), r"/\z", ""),
+            "r_canonical_path": F.regexp_replace(T.resolved_path(F.col("canonical"), F.col("url")), r"/\z", ""),
         }
     ).withColumns(
         {
-            "r_box_stated": T.has(F.col("r_text"), P.BOX_CONTENTS_STATED),
+            "r_box_stated": T.has(F.col("r_text"), P.BOX_CONTENTS_STATED, any_of=P.BOX_CONTENTS_TEXTS),
             "r_other_variant": F.try_element_at(
                 F.filter("r_variants", lambda v: T.same_price(v["price"], F.col("r_ld_price"))), F.lit(1)
             ),
@@ -170,9 +172,7 @@ def _number_in_name(number: Column) -> Column:
 
 
 def _path_differs() -> Column:
-    own = F.regexp_replace(T.url_path(_c("url")), r"/\z", "")
-    other = F.regexp_replace(T.resolved_path(_c("canonical"), _c("url")), r"/\z", "")
-    return ~own.eqNullSafe(other)
+    return ~_c("r_own_path").eqNullSafe(_c("r_canonical_path"))
 
 
 def _canonical_given() -> Column:
@@ -402,7 +402,7 @@ RULES: list[Rule] = [
         "Point each page's canonical URL at itself.",
         lambda: ~_canonical_given() | _path_differs(),
         lambda: F.when(~_canonical_given(), F.lit("no canonical URL"))
-        .when(T.resolved_path(_c("canonical"), _c("url")).isNull(), F.lit("canonical URL is malformed"))
+        .when(_c("r_canonical_path").isNull(), F.lit("canonical URL is malformed"))
         .otherwise(F.lit("canonical URL has another path")),
         lambda: F.when(_canonical_given(), _c("canonical")),
     ),

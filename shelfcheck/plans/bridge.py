@@ -305,13 +305,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
-VARIANT_TABS = """
-  ('new', 'Brand New', own_cents + 2000, k % 8 = 2, condition_label = 'Brand New')
-  ('grade-a', 'Refurbished – Excellent', own_cents, FALSE, condition_label = 'Refurbished – Excellent')
-  ('grade-b', 'Refurbished – Good', CASE WHEN k % 3 = 0 THEN own_cents + 700 ELSE own_cents - 500 END, k % 5 = 0, condition_label = 'Refurbished – Good')
-  ('grade-c', 'Refurbished – Fair', CASE WHEN k % 7 = 1 THEN NULL ELSE own_cents - 1000 END, FALSE, FALSE)
-  ('bundle', 'With bag', own_cents + 5, FALSE, FALSE)
-"""
 # Each line: id, label, cents, out of stock, selected.
 TABS = [
     ("new", "Brand New", "own_cents + 2000", "k % 8 = 2", "coalesce(condition_label = 'Brand New', FALSE)"),
