@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .patterns import HOOK_PREFIX_TAB, HOOKS
 
@@ -21,10 +22,18 @@ ENDS_PARAGRAPH = {"address", "article", "aside", "blockquote", "div", "dl", "fie
 CONTAINERS = {"breadcrumb-trail", "pdp-specs", "pdp-price-block", "image-gallery"}
 WITHIN = {"a": "breadcrumb-trail", "span": "breadcrumb-trail", "li": "breadcrumb-trail", "dt": "pdp-specs", "dd": "pdp-specs", "img": "image-gallery"}
 
-SCAN = (
-    "struct<elements:array<struct<tag:string,hook:string,key:string,value:string,text:string,inside:array<string>,"
-    "parent:int,nth:int,leaf:boolean,selected:boolean,struck:boolean>>,nodes:array<string>>"
+ELEMENT = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("tag", "hook", "key", "value", "text")]
+    + [
+        T.StructField("inside", T.ArrayType(T.StringType())),
+        T.StructField("parent", T.IntegerType()),
+        T.StructField("nth", T.IntegerType()),
+        T.StructField("leaf", T.BooleanType()),
+        T.StructField("selected", T.BooleanType()),
+        T.StructField("struck", T.BooleanType()),
+    ]
 )
+SCAN = T.StructType([T.StructField("elements", T.ArrayType(ELEMENT)), T.StructField("nodes", T.ArrayType(T.StringType()))])
 
 
 class _Open:

@@ -203,6 +203,62 @@ SELECT 'https://r' || CAST(s AS STRING) || '.example/i/' || CAST(product_id AS S
 FROM pairs
 """
 
+# Parsed prices: one JSON document per pair.
+SQL["parse_docs"] = """
+SELECT '{@lb}"parser":"hand","rules":"own price only","rows":[{@lb}"i":' || CAST(s AS STRING)
+       || ',"sku":"' || (CASE WHEN s % 7 = 3 THEN 'NONE' ELSE 'SKU' END) || CAST(product_id AS STRING)
+       || '","retailer":"Shop ' || CAST(s AS STRING) || '","url":"https://r' || CAST(s AS STRING) || '.example/i/' || CAST(product_id AS STRING)
+       || '","page_title":"Page ' || CAST(product_id AS STRING) || '","product_title":' || (CASE WHEN s % 4 = 0 THEN 'null' ELSE '"Item ' || CAST(product_id AS STRING) || '"' END)
+       || ',"price":' || (CASE WHEN s % 5 = 0 THEN 'null' ELSE CAST(100 + product_id % 50 AS STRING) || '.25' END)
+       || ',"price_evidence":' || (CASE WHEN n = 1 THEN 'null' ELSE '"seen ' || CAST(n AS STRING) || '"' END)
+       || ',"was_price":' || (CASE WHEN s % 3 = 0 THEN '199.99' ELSE 'null' END)
+       || ',"delivery_cost":' || (CASE s % 3 WHEN 0 THEN 'null' WHEN 1 THEN '0' ELSE '3.5' END)
+       || ',"delivery_note":' || (CASE WHEN s % 3 = 1 THEN '"free"' ELSE 'null' END)
+       || ',"stock":"' || (CASE WHEN s % 13 = 5 THEN 'few' WHEN s % 2 = 0 THEN 'in_stock' ELSE 'unknown' END)
+       || '","stock_note":null,"match":"' || (CASE WHEN s % 17 = 6 THEN 'same' WHEN flag = 'A' THEN 'uncertain' WHEN flag = 'N' THEN 'near' ELSE 'exact' END)
+       || '","match_note":' || (CASE WHEN flag = 'N' THEN '"other colour"' ELSE 'null' END)
+       || ',"confidence":' || (CASE WHEN s % 19 = 1 THEN '1.5' ELSE '0.75' END)
+       || ',"ignored":' || (CASE WHEN s % 6 = 0 THEN '["a","b"]' WHEN s % 6 = 1 THEN 'null' ELSE '[]' END) || '{@rb}]{@rb}' AS value,
+       product_id, s, flag, n, last_at
+FROM pairs
+"""
+SQL["captures"] = """
+SELECT 'https://r' || CAST(s AS STRING) || '.example/i/' || CAST(product_id AS STRING) AS url, last_at AS fetched_at,
+       'Page ' || CAST(product_id AS STRING) AS title
+FROM pairs WHERE s % 9 > 1
+"""
+SQL["parsed_before"] = """
+SELECT 'parsed' AS source, 'https://r' || CAST(s AS STRING) || '.example/i/' || CAST(product_id AS STRING) AS url, last_at AS captured_at
+FROM pairs WHERE s % 9 = 8
+"""
+SQL["crawled"] = """
+SELECT (CASE WHEN l_partkey % 10 = 0 THEN l_partkey + 1000000000 ELSE NULL END) AS id,
+       'https://shop.example/product/' || (CASE WHEN l_partkey % 10 = 0 THEN 'new' ELSE 'p' END) || CAST(l_partkey AS STRING) AS url,
+       CAST(100 + max(l_linenumber) AS DECIMAL(10,2)) AS price, max(l_returnflag) AS name,
+       min(l_shipdate) AS first_seen_at, max(l_shipdate) AS last_crawled_at
+FROM {lineitem} GROUP BY l_partkey
+"""
+SQL["stored_products"] = """
+SELECT p_partkey AS id, 'https://shop.example/product/p' || CAST(p_partkey AS STRING) AS url,
+       CAST(p_retailprice AS DECIMAL(10,2)) AS price, p_name AS name,
+       CAST('1996-06-01 00:00:00' AS TIMESTAMP) AS first_seen_at,
+       CAST((CASE WHEN p_partkey % 3 = 0 THEN '2002-01-01 00:00:00' ELSE '1997-01-01 00:00:00' END) AS TIMESTAMP) AS last_crawled_at
+FROM {part}
+"""
+SQL["sku_list"] = """
+SELECT s_suppkey AS pos, 'SKU' || CAST(s_suppkey * 37 AS STRING) AS sku FROM {supplier}
+"""
+SQL["url_lines"] = """
+SELECT (CASE WHEN event_id % 7 = 0 THEN '# note ' || CAST(event_id AS STRING) WHEN event_id % 7 = 1 THEN '  '
+             ELSE '  https://shop.example/product/p' || CAST(event_id AS STRING) || ' ' END) AS value
+FROM {events}
+"""
+SQL["requests"] = """
+SELECT 'h' || CAST(user_id AS STRING) || '.example' AS host, event_id AS seq,
+       (CASE WHEN user_id % 3 = 0 THEN NULL ELSE CAST(user_id % 5 AS DOUBLE) END) AS delay
+FROM {events}
+"""
+
 # Marketplace items: one per line item, matched on GTIN.
 SQL["items"] = """
 SELECT 'v' || CAST(l_orderkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS item_id,
@@ -246,7 +302,7 @@ FROM {events}
 SQL["sitemaps"] = """
 SELECT 'shop.example' AS host, p_partkey AS pos,
        '<?xml version="1.0"?><urlset>' || chr(10)
-       || '<url><loc> https://shop.example/product/p' || CAST(p_partkey AS STRING) || '?a=1&amp;b=2 </loc><lastmod>'
+       || '<url><loc> https://shop.example/product/p' || CAST(p_partkey AS STRING) || (CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '?a=1&amp;b=2' END) || ' </loc><lastmod>'
        || (CASE p_partkey % 4 WHEN 0 THEN '2026-09-21T16:04:30Z' WHEN 1 THEN '2026-09-20' WHEN 2 THEN 'yesterday' ELSE '2026-01-05T01:02:03+02:00' END) || '</lastmod></url>'
        || '<url><loc>https://shop.example/product/dup' || CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING) || '</loc></url>' || chr(10)
        || '<url><lastmod>2020-01-01</lastmod></url>'
@@ -297,12 +353,12 @@ def duck(text: str) -> str:
     return text.replace("{@lb}", "{").replace("{@rb}", "}")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables above as a Spark DataFrame."""
+def table(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """One of the tables above as a Spark DataFrame; `given` source tables replace the files."""
     text = with_clause([name]) + f"\nSELECT * FROM {name}"
     used = [t for t in SOURCES if "{" + t + "}" in text]
     text = text.replace("{@lb}", "{{").replace("{@rb}", "}}")
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(text, **{t: given[t] if t in given else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
 # Each line: id, label, cents, out of stock, selected.
@@ -327,6 +383,114 @@ SPEC_ROWS = [
 ]
 
 
+def plain_text(c: str) -> str:
+    """Text reduced to letters, digits and simple marks, so that it needs no escaping in markup."""
+    return f"regexp_replace({c}, '[^A-Za-z0-9 .,]+', ' ')"
+
+
+def _page_price(cents: str) -> str:
+    whole = f"CAST(floor(({cents}) / 100) AS BIGINT)"
+    grouped = f"CASE WHEN {whole} >= 1000 THEN CAST(CAST(floor({whole} / 1000) AS BIGINT) AS STRING) || ',' || lpad(CAST({whole} % 1000 AS STRING), 3, '0') ELSE CAST({whole} AS STRING) END"
+    return f"('£' || {grouped} || '.' || lpad(CAST(({cents}) % 100 AS STRING), 2, '0'))"
+
+
+def _page_html() -> str:
+    """Markup of a product page that carries one row of `facts`, in the many shapes such pages take."""
+    amount = "CAST(CAST(ld_cents AS DOUBLE) / 100 AS STRING)"
+    text = lambda key, value: f"coalesce(',\"{key}\":\"' || {value} || '\"', '')"
+    link = "'https://cdn.example/' || CAST(k AS STRING) || '-' || CAST(i AS STRING) || '.jpg'"
+    images = (
+        "CASE ld_images WHEN 0 THEN (CASE WHEN k % 2 = 0 THEN '' ELSE ',\"image\":[]' END)"
+        " WHEN 1 THEN ',\"image\":\"https://cdn.example/' || CAST(k AS STRING) || '-1.jpg\"'"
+        f" ELSE ',\"image\":[' || array_join(transform(slice(sequence(1, 5), 1, CAST(ld_images AS INT)), i -> CASE WHEN i % 2 = 0 THEN '{{\"url\":\"' || {link} || '\"}}' ELSE '\"' || {link} || '\"' END), ',') || ']' END"
+    )
+    price = (
+        f"CASE WHEN ld_cents IS NULL THEN '' WHEN k % 4 = 2 THEN ',\"lowPrice\":' || {amount}"
+        f" WHEN k % 4 = 3 THEN ',\"priceSpecification\":{{\"price\":\"' || {amount} || '\"}}' ELSE ',\"price\":\"' || {amount} || '\"' END"
+    )
+    availability = (
+        "CASE offer_availability WHEN 'in_stock' THEN ',\"availability\":\"https://schema.org/InStock\"'"
+        " WHEN 'out_of_stock' THEN (CASE WHEN k % 2 = 0 THEN ',\"availability\":\"SoldOut\"' ELSE ',\"availability\":\"https://schema.org/Discontinued\"' END)"
+        " WHEN 'preorder' THEN ',\"availability\":\"http://schema.org/BackOrder\"' ELSE '' END"
+    )
+    condition = (
+        "CASE offer_condition WHEN 'refurbished' THEN ',\"itemCondition\":\"https://schema.org/RefurbishedCondition\"'"
+        " WHEN 'used' THEN (CASE WHEN k % 2 = 0 THEN ',\"itemCondition\":\"DamagedCondition\"' ELSE ',\"itemCondition\":\"UsedCondition\"' END)"
+        " WHEN 'new' THEN ',\"itemCondition\":\"https://schema.org/NewCondition\"' ELSE ',\"itemCondition\":null' END"
+    )
+    flags = (
+        "CASE WHEN has_return_policy THEN ',\"hasMerchantReturnPolicy\":{\"days\":30}' ELSE ',\"hasMerchantReturnPolicy\":null' END"
+        " || CASE WHEN has_shipping_details THEN ',\"shippingDetails\":[{\"rate\":0}]' WHEN k % 2 = 0 THEN ',\"shippingDetails\":false' ELSE '' END"
+    )
+    offer = f"'{{\"priceCurrency\":\"GBP\"' || {price} || {availability} || {condition} || {text('priceValidUntil', 'valid_until')} || {flags} || '}}'"
+    offers = f"CASE WHEN NOT has_offer THEN '' WHEN k % 4 = 1 THEN ',\"offers\":[{{\"price\":\"99999\"}},' || {offer} || ',{{\"price\":\"call\"}}]' ELSE ',\"offers\":' || {offer} END"
+    # An unpriced offer sorts after the dear one of the list, so these pages name a price.
+    sku = "CASE WHEN k % 4 = 0 THEN ',\"sku\":' || CAST(k AS STRING) ELSE ',\"sku\":\"SKU' || CAST(k AS STRING) || '\"' END"
+    gtin = (
+        "coalesce(CASE k % 3 WHEN 0 THEN ',\"gtin8\":\"999\",\"gtin13\":\"' WHEN 1 THEN ',\"gtin\":\" ' ELSE ',\"gtin13\":\" \",\"gtin12\":\"' END || gtin || '\"', '')"
+    )
+    brand = "coalesce(CASE WHEN k % 2 = 0 THEN ',\"brand\":\"' || brand || '\"' ELSE ',\"brand\":{\"@type\":\"Brand\",\"name\":\"' || brand || '\"}' END, '')"
+    kind = "CASE WHEN k % 2 = 0 THEN '\"Product\"' ELSE '[\"Thing\",\"Product\"]' END"
+    node = f"'{{\"@type\":' || {kind} || {text('name', 'ld_name')} || {sku} || {gtin} || {brand} || {text('description', plain_text('ld_description'))} || {images} || {offers} || '}}'"
+    block = (
+        f"CASE WHEN NOT has_ld THEN '<script type=\"application/ld+json\">{{\"@type\":\"WebPage\"}}</script>' ELSE '<script type=\"application/ld+json\">' || CASE k % 3 WHEN 0 THEN {node}"
+        f" WHEN 1 THEN '{{\"@context\":\"x\",\"@graph\":[{{\"@type\":\"WebPage\"}},' || {node} || ']}}' ELSE '[[' || {node} || ']]' END || '</script>' END"
+    )
+    broken = "CASE WHEN k % 5 = 0 THEN '<script type=\"application/ld+json\">{\"@type\":\"Product\",}</script>' ELSE '' END"
+    crumbs = (
+        "CASE WHEN k % 2 = 0 THEN coalesce('<p data-testid=\"pdp-category-trail\">Category: ' || replace(category_path, '>', '&gt;') || '</p>', '')"
+        " ELSE '<nav data-testid=\"breadcrumb-trail\"><a>Home</a>' || coalesce(array_join(transform(split(category_path, ' > '), c -> '<span>/</span><li><a> ' || c || ' </a>'), ''), '') || '<span>' || full_name || '</span></nav>' END"
+    )
+    shown = "coalesce(gallery_image_count, 0)"
+    gallery = (
+        "'<div data-testid=\"image-gallery\">' || repeat('<img src=\"/a.jpg\" alt=\" \">', CAST(least(images_missing_alt, " + shown + ") AS INT))"
+        " || repeat('<img src=\"/b.jpg\" alt=\"ok\"/>', CAST(" + shown + " - least(images_missing_alt, " + shown + ") AS INT))"
+        " || repeat('<button data-testid=\"image-gallery-thumb\"></button>', CAST(k % 4 AS INT)) || '</div>'"
+    )
+    block_price = (
+        f"CASE WHEN visible_cents IS NULL THEN '' ELSE '<div data-testid=\"pdp-price-block\">' || CASE WHEN k % 3 = 0 THEN '<b>' ELSE '<b data-testid=\"condition-price\">' END || {_page_price('visible_cents')} || '</b>'"
+        f" || coalesce('<s class=\"old line-through\">' || {_page_price('was_cents')} || '</s>', '') || '</div>' END"
+    )
+    tabs = " || ".join(
+        f"'<button aria-checked=\"' || CASE WHEN {sel} THEN 'true' ELSE 'false' END || '\" data-testid=\"condition-tab-{i}\">{lab}' || coalesce({_page_price(c)}, '') || CASE WHEN {oos} THEN 'Out of stock' ELSE '' END || '</button>'"
+        for i, lab, c, oos, sel in ((i, lab, f"({c})", oos, sel) for i, lab, c, oos, sel in TABS)
+    )
+    spec = lambda lab, val: f"CASE WHEN k % 2 = 0 THEN '<dt>' || {lab} || ':<dd> ' || {val} ELSE '<div><dt> ' || {lab} || '</dt><dd>' || {val} || '</dd></div>' END"
+    specs = f"array_join(slice(array({', '.join(spec(lab, val) for lab, val in SPEC_ROWS)}), 1, CAST(CASE WHEN specs_absent THEN 0 ELSE n_specs END AS INT)), '')"
+    label = "coalesce(CASE WHEN k % 2 = 0 THEN '<span data-testid=\"sticky-atc-condition-chip\">' ELSE '<i data-testid=\"condition-trust-badge-top\">' END || condition_label || CASE WHEN k % 2 = 0 THEN '</span>' ELSE '</i>' END, '')"
+    parts = [
+        "'<!doctype html><html><head><title>' || title_tag || chr(10) || '</title>'",
+        "coalesce('<meta name=\"description\" content=\"' || meta_description || '\">', '')",
+        "coalesce('<link rel=\"canonical\" href=\"' || canonical || '\">', '')",
+        "coalesce('<meta property=\"og:image\" content=\"' || og_image || '\"/>', '')",
+        "coalesce('<meta name=\"robots\" content=\"' || robots_meta || '\">', '')",
+        broken, block, "'</head><body>'", crumbs, gallery,
+        "repeat('<h1>' || full_name || ' </h1>', CAST(h1_count AS INT))",
+        block_price,
+        "CASE WHEN out_of_stock_notice THEN '<form data-testid=\"back-in-stock-form\"><input></form>' ELSE '' END",
+        f"CASE WHEN has_tabs AND NOT variants_absent THEN {tabs} ELSE '' END",
+        label,
+        "coalesce('<div><p data-testid=\"condition-details-notes\">' || condition_notes || '</div>', '')",
+        f"coalesce('<div data-testid=\"pdp-description\"><p>' || CASE WHEN k % 2 = 1 THEN 'Description &nbsp; ' ELSE '' END || {plain_text('description')} || '</div>', '')",
+        f"'<dl data-testid=\"pdp-specs\">' || {specs} || '</dl>'",
+        "'<section data-testid=\"reviews\"><dl><dt>Plug<dd>European plug</dl><img src=\"/r.jpg\"><s class=\"line-through\">£1</s></section></body></html>'",
+    ]
+    return " || ".join(f"({p})" for p in parts)
+
+
+def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, url, html): a product page for each part."""
+    return table(spark, sf_dir, "facts").selectExpr("k AS id", "url", f"{_page_html()} AS html")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marketplace items with their postage options as an array."""
+    option = lambda c: f"CASE WHEN {c} IS NOT NULL THEN named_struct('type', 'FIXED', 'cost', {c}) END"
+    return table(spark, sf_dir, "items").selectExpr(
+        "*", f"filter(array({option('postage1')}, {option('postage2')}), o -> o IS NOT NULL) AS shipping_options"
+    ).drop("postage1", "postage2")
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested listing records (schemas.LISTING) with `id`, `name`, `brand` and the other product columns."""
     f = table(spark, sf_dir, "facts")

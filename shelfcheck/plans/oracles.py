@@ -328,5 +328,372 @@ def audit_queries() -> dict[str, str]:
     return out
 
 
+
+_LATEST = """SELECT o.* FROM (SELECT *, row_number() OVER (PARTITION BY product_id, url ORDER BY captured_at DESC, id DESC) AS rn FROM observations) o WHERE rn = 1"""
+_RANKED = """SELECT l.*, row_number() OVER (PARTITION BY product_id ORDER BY price ASC NULLS LAST, retailer, coalesce(url, ''), id) AS rank FROM latest l"""
+_BEST = """
+SELECT product_id, price, retailer, url, match FROM
+ (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY rank) AS first FROM ranked WHERE status = 'ok' AND price IS NOT NULL AND {}) WHERE first = 1"""
+_LENS = {
+    "latest": _LATEST,
+    "ranked": _RANKED,
+    "cheapest": _BEST.format("(match IS NULL OR match <> 'near')"),
+    "nearest": _BEST.format("TRUE"),
+    "lens": """
+SELECT p.id AS product_id, p.name, p.slug, p.price AS own_price, p.was_price AS own_was_price, p.condition_label AS own_condition_label,
+       x.observations, x.failed, x.last_fetched, c.retailer AS cheapest_retailer, CAST(c.price AS DOUBLE) AS cheapest_price,
+       CAST(p.price - c.price AS DOUBLE) AS gap, CAST(p.price - c.price AS DOUBLE) / CAST(c.price AS DOUBLE) * 100 AS gap_pct
+FROM (SELECT product_id, count(*) AS observations, count(*) FILTER (status <> 'ok') AS failed, max(captured_at) AS last_fetched FROM latest GROUP BY product_id) x
+JOIN products p ON p.id = x.product_id LEFT JOIN cheapest c ON c.product_id = p.id""",
+}
+
+
+def _at(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
+_CHANGES = """
+SELECT product_id, id, price, availability, captured_at FROM (SELECT *, lag(price) OVER w AS p, lag(availability) OVER w AS a, row_number() OVER w AS rn
+ FROM price_feed WHERE price IS NOT NULL WINDOW w AS (PARTITION BY product_id ORDER BY captured_at, id))
+WHERE rn = 1 OR p <> price OR a IS DISTINCT FROM availability"""
+
+
+def lens_queries() -> dict[str, str]:
+    a = lambda s: ask(["observations", "products"], s, _LENS)
+    out = {}
+    out["latest_observations"] = a(f"SELECT product_id, url, id, retailer, CAST(price AS DOUBLE) AS price, match, status, {_at('captured_at')} AS captured_at FROM latest")
+    out["observation_ranks"] = a(
+        "SELECT product_id, r.id AS id, rank, CASE WHEN status = 'ok' THEN CAST(p.price - r.price AS DOUBLE) END AS difference FROM ranked r JOIN products p ON p.id = product_id"
+    )
+    out["retailers_checked"] = a(
+        "SELECT product_id, string_agg(retailer, '|' ORDER BY price ASC NULLS LAST, retailer) AS retailers FROM (SELECT product_id, retailer, min(price) AS price FROM latest GROUP BY 1, 2) GROUP BY product_id"
+    )
+    out["cheapest_comparable"] = a("SELECT product_id, CAST(price AS DOUBLE) AS price, retailer, url, match FROM cheapest")
+    out["nearest_offers"] = a("SELECT product_id, CAST(price AS DOUBLE) AS price, retailer, url, match FROM nearest WHERE product_id NOT IN (SELECT product_id FROM cheapest)")
+    out["price_gaps"] = a("SELECT product_id, CAST(own_price AS DOUBLE) AS own_price, gap, gap_pct FROM lens")
+    out["price_lens"] = a(
+        "SELECT product_id, name, slug, CAST(own_price AS DOUBLE) AS own_price, CAST(own_was_price AS DOUBLE) AS own_was_price, own_condition_label, observations, failed, cheapest_retailer, cheapest_price, gap, gap_pct FROM lens"
+    )
+    out["lens_summary"] = a(
+        "SELECT count(gap_pct) AS compared, count(*) FILTER (gap_pct <= 0) AS own_cheapest, count(*) FILTER (gap_pct > 0) AS own_dearer,"
+        " (SELECT gap_pct FROM lens WHERE gap_pct IS NOT NULL ORDER BY gap_pct OFFSET (SELECT count(gap_pct) // 2 FROM lens) LIMIT 1) AS median_gap_pct,"
+        f" CAST(sum(failed) AS BIGINT) AS failed_checks, {_at('max(last_fetched)')} AS last_fetched,"
+        " CAST(round(100.0 * count(*) FILTER (gap_pct <= 0) / count(gap_pct)) AS INT) AS own_cheapest_share FROM lens"
+    )
+    out["refusing_retailers"] = a("SELECT DISTINCT retailer FROM latest WHERE status IN ('blocked', 'disallowed')")
+    changes = f"SELECT product_id, id, CAST(price AS DOUBLE) AS price, availability, {_at('captured_at')} AS captured_at FROM changes"
+    out["price_changes"] = ask(["price_feed"], changes, {"changes": _CHANGES})
+    out["price_changes_streamed"] = out["price_changes"]
+    last = "SELECT product_id, id, recency FROM (SELECT product_id, id, CAST(row_number() OVER (PARTITION BY product_id ORDER BY captured_at DESC, id DESC) AS INT) AS recency FROM {}) WHERE recency <= {}"
+    out["last_observations_per_product"] = ask(["observations"], last.format("observations", 5))
+    out["last_changes_per_product"] = ask(["price_feed"], last.format("changes", 3), {"changes": _CHANGES})
+    out["listing_detail_observations"] = ask(["observations"], "SELECT id, retailer, status FROM observations WHERE product_id = 7 ORDER BY captured_at DESC, id DESC LIMIT 30")
+    return out
+
+
+def _found(c: str, pattern: str) -> str:
+    return f"list_distinct(list_transform(regexp_extract_all({c}, {q('(?i)' + pattern)}), lambda w: regexp_replace(lower(w), '\\s+', ' ', 'g')))"
+
+
+def _verdict(own: str, theirs: str) -> tuple[str, str]:
+    oc, tc, os_, ts = _found(own, P.COLOUR), _found(theirs, P.COLOUR), _found(own, P.CAPACITY), _found(theirs, P.CAPACITY)
+    apart = lambda x, y: f"(len({x}) > 0 AND len({y}) > 0 AND NOT list_has_any({x}, {y}))"
+    bundle = f"({rx(theirs, P.BUNDLE)} AND NOT {rx(own, P.BUNDLE)})"
+    unsure = f"(len({oc}) > 0 AND len({tc}) = 0)"
+    says = lambda what, x, y: f"'{what}: listing says ' || array_to_string({y}, '/') || ', own name says ' || array_to_string({x}, '/')"
+    return (
+        f"CASE WHEN {apart(oc, tc)} OR {apart(os_, ts)} OR {bundle} THEN 'near' WHEN {unsure} THEN 'uncertain' ELSE 'exact' END",
+        f"CASE WHEN {apart(oc, tc)} THEN {says('colour', oc, tc)} WHEN {apart(os_, ts)} THEN {says('capacity', os_, ts)} WHEN {bundle} THEN 'listing is a bundle' WHEN {unsure} THEN 'listing names no colour' END",
+    )
+
+
+_match, _note = _verdict("own_name", "title")
+_first_accessory = f"list_filter(list_transform(regexp_extract_all(title, {q('(?i)' + P.ACCESSORY_TITLE)}), lambda w: lower(w)), lambda w: NOT contains(lower(own_name), w))[1]"
+_JUDGED = {
+    "priced": """
+SELECT p.id AS product_id, p.name AS own_name, p.price AS own_price, i.*, try_cast(price_value AS DOUBLE) AS item_price,
+       coalesce(least(CASE WHEN postage1 IS NOT NULL THEN coalesce(try_cast(postage1 AS DOUBLE), 0) END, try_cast(postage2 AS DOUBLE)), 0) AS shipping,
+       coalesce(account_type = 'BUSINESS', FALSE) AS business
+FROM items i JOIN products p ON p.gtin = i.gtin
+WHERE condition_id = CASE p.condition WHEN 'refurbished' THEN 'GOOD_REFURBISHED' WHEN 'used' THEN 'USED' ELSE 'NEW' END""",
+    "reasoned": f"""
+SELECT *, item_price + shipping AS landed,
+       CASE WHEN item_price IS NULL THEN 'unpriced' WHEN {rx('title', P.FAULTY_TITLE)} THEN 'faulty/parts'
+            WHEN {_first_accessory} IS NOT NULL THEN 'accessory (' || {_first_accessory} || ')' WHEN country <> 'GB' THEN 'not domestic'
+            WHEN item_price + shipping < CAST(own_price AS DOUBLE) * 0.3 THEN 'too cheap to be the product' END AS reason
+FROM priced""",
+    "judged": f"SELECT *, CASE WHEN reason IS NULL THEN {_match} END AS match, CASE WHEN reason IS NULL THEN {_note} END AS match_note FROM reasoned",
+    "sorted": """
+SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY CASE match WHEN 'exact' THEN 0 WHEN 'uncertain' THEN 1 ELSE 2 END, business DESC, landed, item_id) AS place
+FROM judged WHERE reason IS NULL""",
+    "top": "SELECT * FROM sorted WHERE place = 1",
+    "individuals": """SELECT product_id, landed FROM (SELECT s.product_id, s.landed, row_number() OVER (PARTITION BY s.product_id ORDER BY s.place) AS n
+ FROM sorted s JOIN top t USING (product_id) WHERE t.business AND NOT s.business AND s.match = t.match AND s.landed < t.landed) WHERE n = 1""",
+    "lessers": """SELECT product_id, landed, match, match_note FROM (SELECT s.product_id, s.landed, s.match, s.match_note, row_number() OVER (PARTITION BY s.product_id ORDER BY s.place) AS n
+ FROM sorted s JOIN top t USING (product_id) WHERE t.match = 'exact' AND s.match <> 'exact' AND s.landed < t.landed) WHERE n = 1""",
+    "reasons": """SELECT product_id, reason, n, item_price AS p1, item_id AS i1 FROM (SELECT *, count(*) OVER (PARTITION BY product_id, reason) AS n,
+ row_number() OVER (PARTITION BY product_id, reason ORDER BY item_price, item_id) AS f FROM judged WHERE reason IS NOT NULL AND reason <> 'unpriced') WHERE f = 1""",
+    "counted": "SELECT product_id, count(*) AS items, count(*) FILTER (reason IS NULL) AS comparable FROM judged GROUP BY product_id",
+    "skips": "SELECT product_id, string_agg(CASE WHEN n > 1 THEN reason || ' ×' || n ELSE reason END, ', ' ORDER BY p1, i1) AS skipped FROM reasons GROUP BY product_id",
+}
+
+
+def pricing_queries() -> dict[str, str]:
+    out = {}
+    out["variant_match"] = ask(
+        ["items", "products"], f"SELECT item_id, {_match} AS match, {_note} AS note FROM (SELECT item_id, title, p.name AS own_name FROM items i JOIN products p ON p.gtin = i.gtin)"
+    )
+    out["mapped_page_check"] = ask(
+        ["mappings", "fetched"],
+        """SELECT m.product_id AS product_id, m.url AS url,
+  CASE s % 9 WHEN 6 THEN 'T' || m.product_id WHEN 7 THEN 'Deep ' || s END AS title,
+  CAST(CASE s % 9 WHEN 6 THEN 900 + m.product_id % 89 WHEN 7 THEN 1500 + s END AS DOUBLE) AS price,
+  CASE s % 9 WHEN 6 THEN 'EUR' WHEN 7 THEN 'GBP' END AS currency, CASE s % 9 WHEN 6 THEN 'unknown' WHEN 7 THEN 'refurbished' END AS condition,
+  CASE s % 9 WHEN 6 THEN 'out_of_stock' WHEN 7 THEN 'unknown' END AS availability, CASE WHEN s % 9 IN (6, 7) THEN 'retailer' END AS seller_type,
+  CASE WHEN s % 9 IN (6, 7) THEN 'ok' WHEN s % 9 IN (4, 5, 8) THEN 'no_price' ELSE f.status END AS status,
+  CASE WHEN s % 9 IN (6, 7) THEN NULL WHEN s % 9 IN (4, 5, 8) THEN 'no offer in the page''s markup' ELSE f.note END AS note
+FROM mappings m JOIN fetched f ON f.url = m.url""",
+    )
+    j = lambda s: ask(["items", "products"], s, _JUDGED)
+    out["marketplace_candidates"] = j("SELECT product_id, item_id, shipping, landed, reason, match, business FROM judged")
+    joined = " FROM top t JOIN counted c USING (product_id) LEFT JOIN individuals i USING (product_id) LEFT JOIN lessers l USING (product_id)"
+    out["marketplace_best_offers"] = j(
+        "SELECT product_id, items, comparable, item_id, t.landed AS landed, t.match AS match, business, i.landed AS individual, l.landed AS lesser, l.match AS lesser_match" + joined
+    )
+    out["marketplace_skipped"] = j("SELECT product_id, coalesce(skipped, '') AS skipped FROM counted LEFT JOIN skips USING (product_id)")
+    money = lambda c: f"CAST(CAST({c} AS DECIMAL(10,2)) AS DOUBLE)"
+    amount = lambda c: f"'£' || printf('%.2f', {c})"
+    out["marketplace_check"] = j(
+        f"""SELECT p.id AS product_id, CASE WHEN t.item_id IS NULL THEN 'not_found' ELSE 'ok' END AS status, t.item_id AS item_id, {money('t.landed')} AS price,
+  {money('t.item_price')} AS item_price, {money('t.shipping')} AS shipping_cost, CASE WHEN t.item_id IS NOT NULL THEN 'in_stock' END AS availability, t.seller AS seller,
+  CASE WHEN t.item_id IS NOT NULL THEN coalesce(lower(account_type), 'unknown') END AS seller_type, t.match AS match,
+  CASE WHEN t.item_id IS NOT NULL THEN concat_ws('; ', comparable || ' comparable of ' || items, 'skipped ' || skipped, 'feedback ' || feedback_percentage || '%',
+         'individual seller cheaper at ' || {amount('i.landed')}, 'cheaper ' || l.match || ' match at ' || {amount('l.landed')} || ' (' || coalesce(l.match_note, 'variant differs') || ')')
+       WHEN items IS NULL THEN 'no listing for this GTIN' ELSE items || ' listings, none comparable: ' || coalesce(skipped, '') END AS note
+FROM products p LEFT JOIN counted c ON c.product_id = p.id LEFT JOIN top t ON t.product_id = p.id LEFT JOIN skips k ON k.product_id = p.id
+LEFT JOIN individuals i ON i.product_id = p.id LEFT JOIN lessers l ON l.product_id = p.id WHERE p.gtin IS NOT NULL"""
+    )
+    url = "'https://r' || s || '.example/i/' || product_id"
+    price = "CASE WHEN s % 5 <> 0 THEN 100 + product_id % 50 + 0.25 END"
+    delivery = "CASE s % 3 WHEN 1 THEN 0 WHEN 2 THEN 3.5 END"
+    stock = "CASE WHEN s % 13 = 5 THEN 'few' WHEN s % 2 = 0 THEN 'in_stock' ELSE 'unknown' END"
+    seen = "CASE WHEN s % 17 = 6 THEN 'same' WHEN flag = 'A' THEN 'uncertain' WHEN flag = 'N' THEN 'near' ELSE 'exact' END"
+    confidence = "CASE WHEN s % 19 = 1 THEN '1.50' ELSE '0.75' END"
+    out["parsed_prices"] = ask(
+        ["pairs"],
+        f"SELECT 'hand' AS parser, CAST(s AS INT) AS i, (CASE WHEN s % 7 = 3 THEN 'NONE' ELSE 'SKU' END) || product_id AS sku, {url} AS url, CAST({price} AS DOUBLE) AS price,"
+        f" CAST({delivery} AS DOUBLE) AS delivery_cost, {stock} AS stock, {seen} AS match, CASE s % 6 WHEN 0 THEN 'a;b' WHEN 1 THEN '-' ELSE '' END AS ignored FROM pairs",
+    )
+    d = lambda c: f"CAST({c} AS DOUBLE)"
+    out["import_parses"] = ask(
+        ["pairs"],
+        f"""SELECT product_id, {url} AS url, CASE WHEN s % 4 = 0 THEN 'Page ' ELSE 'Item ' END || product_id AS title, {d(f'({price}) + coalesce({delivery}, 0)')} AS price,
+  {d(price)} AS item_price, {d(delivery)} AS shipping_cost, {d("CASE WHEN s % 3 = 0 THEN 199.99 END")} AS was_price, {stock} AS availability, {seen} AS match,
+  CASE WHEN flag = 'N' THEN 'other colour' END AS match_note, CASE WHEN s % 5 = 0 THEN 'no_price' ELSE 'ok' END AS status,
+  'parsed by hand (confidence ' || {confidence} || ')' || (CASE WHEN n = 1 THEN '' ELSE ' · evidence: seen ' || n END) || (CASE WHEN s % 3 = 1 THEN ' · delivery: free' ELSE '' END)
+    || (CASE WHEN s % 6 = 0 THEN ' · ignored: a; b' ELSE '' END) AS note, {_at('last_at')} AS captured_at
+FROM pairs WHERE s % 7 <> 3 AND s % 9 > 1 AND s % 9 <> 8""",
+    )
+    out["import_outcomes"] = ask(
+        ["pairs"],
+        "SELECT CASE WHEN s % 7 = 3 THEN 'no product' WHEN s % 9 <= 1 THEN 'no capture' WHEN s % 9 = 8 THEN 'already stored' ELSE 'stored' END AS outcome, count(*) AS n FROM pairs GROUP BY 1",
+    )
+    out["landed_prices"] = ask(["pairs"], f"SELECT {url} AS url, {d(f'({price}) + coalesce({delivery}, 0)')} AS landed, CASE WHEN s % 5 = 0 THEN 'no_price' ELSE 'ok' END AS status FROM pairs")
+    order = lambda c: f"CASE {c} WHEN 'exact' THEN 0 WHEN 'uncertain' THEN 1 WHEN 'near' THEN 2 END"
+    out["worst_match"] = ask(
+        ["pairs"],
+        f"SELECT url, CASE WHEN {order('seen')} > {order('mapped')} THEN seen ELSE mapped END AS match FROM (SELECT {url} AS url, {seen} AS seen, CASE flag WHEN 'A' THEN 'exact' WHEN 'N' THEN 'near' ELSE 'uncertain' END AS mapped FROM pairs)",
+    )
+    out["parse_violations"] = ask(
+        ["pairs"],
+        "SELECT url, violations FROM (SELECT " + url + " AS url, concat_ws(',', CASE WHEN s % 4 = 0 THEN 'product_title' END, CASE WHEN s % 13 = 5 THEN 'stock' END, CASE WHEN s % 17 = 6 THEN 'match' END,"
+        " CASE WHEN s % 19 = 1 THEN 'confidence' END, CASE WHEN s % 6 = 1 THEN 'ignored' END) AS violations FROM pairs) WHERE violations <> ''",
+    )
+    key = "CASE s % 4 WHEN 0 THEN 'SKU' || product_id WHEN 1 THEN 'G' || lpad(CAST(product_id AS VARCHAR), 12, '0') WHEN 2 THEN 'https://shop.example/product/p' || product_id ELSE 'UNKNOWN' || product_id END"
+    good = (
+        f"SELECT {key} AS key, 'Shop ' || s AS retailer, {url} AS url, CASE WHEN t IN (5, 6) THEN 'exact' WHEN flag = 'A' THEN 'exact' WHEN flag = 'N' THEN 'near' ELSE 'uncertain' END AS match,"
+        " CASE WHEN t = 5 THEN NULL WHEN t = 6 THEN 'note,with,commas' ELSE 'seen ' || n || ' times' END AS match_note, product_id, s FROM (SELECT *, (product_id + s) % 40 AS t FROM pairs) WHERE t >= 5"
+    )
+    out["mapping_lines"] = ask(["pairs"], f"SELECT key, retailer, url, match, match_note FROM ({good})")
+    out["mapping_rejects"] = ask(
+        ["pairs"],
+        f"SELECT CASE WHEN (product_id + s) % 40 = 4 THEN 'lonely' || product_id || ',shop' ELSE {key} || ',Shop ' || s || ',' || {url} || ',maybe,unknown flag' END AS value FROM pairs WHERE (product_id + s) % 40 IN (3, 4)",
+    )
+    named = "(s % 4 IN (0, 2) OR (s % 4 = 1 AND product_id % 7 <> 1))"
+    out["resolved_keys"] = ask(["pairs"], f"SELECT key, url, product_id FROM ({good}) WHERE {named}")
+    out["unresolved_keys"] = ask(["pairs"], f"SELECT key, url FROM ({good}) WHERE NOT {named}")
+    out["check_targets"] = ask(["products", "pairs"], "SELECT id, sku FROM products WHERE id IN (SELECT product_id FROM pairs)")
+    out["check_targets_with_gtin"] = ask(["products", "pairs"], "SELECT id, sku FROM products WHERE id IN (SELECT product_id FROM pairs) OR gtin IS NOT NULL ORDER BY id LIMIT 50")
+    out["targets_by_sku"] = ask(["products", "sku_list"], "SELECT pos, sku_list.sku AS sku, id FROM sku_list JOIN products ON products.sku = sku_list.sku")
+    out["missing_skus"] = ask(["products", "sku_list"], "SELECT pos, sku FROM sku_list WHERE sku NOT IN (SELECT sku FROM products)")
+    out["urls_to_capture"] = ask(["pairs"], f"SELECT {url} AS url FROM pairs WHERE s % 9 <= 1")
+    out["parse_keys"] = ask(["fetched"], "SELECT url, substr(sha256('v1' || chr(10) || 'reader' || chr(10) || url || chr(10) || 'own' || chr(10) || html), 1, 24) AS parse_key FROM fetched WHERE html IS NOT NULL")
+    out["parses_to_do"] = ask(["fetched"], "SELECT url FROM fetched WHERE html IS NOT NULL AND product_id % 2 = 1")
+    out["capture_keys"] = ask(["captures"], "SELECT url, substr(sha256(url), 1, 24) AS capture_key FROM captures")
+    out["captures_found"] = ask(["captures"], f"SELECT url, title, {_at('fetched_at')} AS fetched_at FROM captures")
+    out["url_list"] = ask(["url_lines"], "SELECT trim(value) AS url FROM url_lines WHERE trim(value) <> '' AND trim(value) NOT LIKE '#%'")
+    return out
+
+
+def crawl_queries() -> dict[str, str]:
+    out = {}
+    first = "'https://shop.example/product/p' || p_partkey || (CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '?a=1&b=2' END)"
+    stamp = "CASE p_partkey % 4 WHEN 0 THEN '2026-09-21 16:04:30' WHEN 1 THEN '2026-09-20 00:00:00' WHEN 3 THEN '2026-01-04 23:02:03' END"
+    entries = (
+        f"SELECT p_partkey AS pos, 0 AS entry, {first} AS url, {stamp} AS lastmod FROM part"
+        " UNION ALL SELECT p_partkey, 1, 'https://shop.example/product/dup' || (p_partkey // 3), NULL FROM part"
+        " UNION ALL SELECT p_partkey, 3, 'https://shop.example/blog/' || p_partkey, NULL FROM part"
+    )
+    out["sitemap_entries"] = entries
+    out["child_sitemaps"] = "SELECT p_partkey AS pos, 'https://shop.example/s' || p_partkey || '.xml' AS url FROM part WHERE p_partkey % 50 = 0"
+    kept = f"SELECT url, pos, entry FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos, entry) AS n FROM ({entries}) WHERE url LIKE '%/product/%') WHERE n = 1"
+    out["sitemap_products"] = kept
+    fetched = "(SELECT url, max(fetched_at) AS last_fetched FROM fetch_log GROUP BY url)"
+    out["crawl_order"] = ask(["fetch_log"], f"SELECT url, pos FROM ({kept}) LEFT JOIN {fetched} USING (url) ORDER BY last_fetched ASC NULLS FIRST, pos, entry LIMIT 400")
+    out["crawl_order_known"] = ask(["fetch_log"], f"SELECT url, {_at('last_fetched')} AS last_fetched FROM ({kept}) JOIN {fetched} USING (url)")
+    kind = "length(host) % 4"
+    out["robots_rules"] = ask(
+        ["robots"],
+        f"""SELECT host, 1 AS grp, CASE {kind} WHEN 1 THEN 'otherbot,shelf' WHEN 3 THEN 'strangebot' ELSE '*' END AS agents,
+  CASE {kind} WHEN 0 THEN '+/ -/en/6 -/*?utm_' WHEN 1 THEN '-/fr +/fr' WHEN 2 THEN '-/*.html$' ELSE '-/' END AS rules,
+  CAST(CASE {kind} WHEN 0 THEN 3 WHEN 2 THEN 0.5 END AS DOUBLE) AS delay FROM robots
+UNION ALL SELECT host, 2, '*', '-/', NULL FROM robots WHERE {kind} = 1""",
+    )
+    out["robots_admission"] = ask(
+        ["robots"],
+        f"""SELECT page_id, CASE WHEN http_status = 404 THEN TRUE WHEN http_status = 503 THEN FALSE
+  WHEN {kind} = 0 THEN NOT (path LIKE '%?utm\\_%' ESCAPE '\\' OR path LIKE '/en/6%') WHEN {kind} = 2 THEN path NOT LIKE '%.html' ELSE TRUE END AS allowed,
+  CAST(CASE WHEN http_status <> 200 THEN NULL WHEN {kind} = 0 THEN 3 WHEN {kind} = 2 THEN 0.5 END AS DOUBLE) AS delay
+FROM (SELECT page_id, lower(regexp_extract(url, '://([^/]+)', 1)) AS host, regexp_replace(regexp_replace(url, '#.*', ''), '^[a-z]+://[^/]*', '') AS path FROM pages) JOIN robots USING (host)""",
+    )
+    status = "CASE WHEN http_status BETWEEN 200 AND 299 THEN 'ok' WHEN http_status IN (404, 410) THEN 'not_found' WHEN http_status IN (401, 403, 429) THEN 'blocked' ELSE 'error' END"
+    log = {"log": f"SELECT *, {status} AS status FROM fetch_log"}
+    for per in ("run_id", "host"):
+        log[f"by_{per}"] = f"SELECT *, coalesce(sum(CASE WHEN status = 'blocked' THEN 1 ELSE 0 END) OVER (PARTITION BY {per} ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS skipped FROM log"
+    log["runs"] = (
+        "SELECT run_id, min(fetched_at) AS started_at, max(fetched_at) FILTER (NOT skipped) AS finished_at, count(*) AS urls_planned, count(*) FILTER (NOT skipped AND status = 'ok') AS pages_fetched,"
+        " count(*) FILTER (NOT skipped AND status <> 'ok') AS pages_failed FROM by_run_id GROUP BY run_id"
+    )
+    a = lambda s: ask(["fetch_log"], s, log)
+    out["fetch_status"] = a("SELECT seq, status FROM log")
+    out["stop_at_refusal_of_run"] = a("SELECT seq, skipped FROM by_run_id")
+    out["stop_at_refusal_of_host"] = a("SELECT seq, skipped FROM by_host")
+    out["run_summary"] = a(f"SELECT run_id, {_at('started_at')} AS started_at, {_at('finished_at')} AS finished_at, urls_planned, pages_fetched, pages_failed FROM runs")
+    out["latest_run"] = a("SELECT run_id, urls_planned, pages_fetched, pages_failed FROM runs ORDER BY started_at DESC LIMIT 1")
+    out["host_probe_summary"] = a(
+        "SELECT host, count(*) AS attempted, count(*) FILTER (status = 'ok' AND has_product) AS with_product, CAST(round(100.0 * count(*) FILTER (status = 'ok' AND has_product) / count(*)) AS INT) AS product_percent,"
+        + ", ".join(f" count(*) FILTER (status = '{s}') AS n_{s}" for s in ("ok", "not_found", "blocked", "error"))
+        + ", count(*) FILTER (status = 'blocked') > 0 AS stopped FROM by_host WHERE NOT skipped GROUP BY host"
+    )
+    out["spacing_plan"] = ask(["requests"], "SELECT host, seq, (row_number() OVER (PARTITION BY host ORDER BY seq) - 1) * greatest(2.0::DOUBLE, coalesce(delay, 0.0::DOUBLE)) AS planned_offset FROM requests")
+    return out
+
+
+def table_queries() -> dict[str, str]:
+    out = {}
+    out["product_scan"] = "SELECT p_partkey, p_name, p_brand FROM part"
+    out["upsert_products"] = ask(
+        ["stored_products", "crawled"],
+        f"""SELECT coalesce(s.id, c.id) AS id, coalesce(s.url, c.url) AS url, CAST(CASE WHEN c.url IS NULL OR s.last_crawled_at > c.last_crawled_at THEN s.price ELSE c.price END AS DOUBLE) AS price,
+  CASE WHEN c.url IS NULL OR s.last_crawled_at > c.last_crawled_at THEN s.name ELSE c.name END AS name, {_at('least(s.first_seen_at, c.first_seen_at)')} AS first_seen_at,
+  {_at('greatest(s.last_crawled_at, c.last_crawled_at)')} AS last_crawled_at FROM stored_products s FULL JOIN crawled c ON c.url = s.url""",
+    )
+    out["replace_findings"] = ask(
+        ["facts"],
+        "SELECT product_id, rule_id, severity FROM findings WHERE product_id NOT IN (SELECT k FROM facts WHERE category_path LIKE 'PROMO%') UNION ALL SELECT k, 'checked-again', 'low' FROM facts WHERE category_path LIKE 'PROMO%'",
+        FINDINGS,
+    )
+    out["upsert_mappings"] = ask(
+        ["mappings", "pairs"],
+        """SELECT coalesce(i.product_id, m.product_id) AS product_id, coalesce(i.url, m.url) AS url, coalesce(i.retailer, m.retailer) AS retailer,
+  CASE WHEN i.url IS NULL THEN m.match ELSE 'near' END AS match, CASE WHEN i.url IS NULL THEN m.match_note END AS match_note, m.url IS NULL AS is_new
+FROM (SELECT * FROM mappings WHERE match <> 'exact') m
+FULL JOIN (SELECT product_id, 'Renamed ' || s AS retailer, 'https://r' || s || '.example/i/' || product_id || (CASE WHEN s % 10 = 1 THEN '?new' ELSE '' END) AS url FROM pairs) i ON i.url = m.url AND i.product_id = m.product_id""",
+    )
+    out["append_observations"] = ask(
+        ["observations", "items", "products"],
+        "SELECT source, status, count(*) AS n FROM (SELECT source, status FROM observations UNION ALL SELECT 'marketplace', CASE WHEN id IN (SELECT product_id FROM top) THEN 'ok' ELSE 'not_found' END FROM products WHERE gtin IS NOT NULL) GROUP BY 1, 2",
+        _JUDGED,
+    )
+    out["propagate_match"] = ask(
+        ["mappings", "observations"],
+        """SELECT m.product_id AS product_id, m.url AS url, CASE WHEN o.url IS NULL THEN m.match ELSE o.match END AS match, CASE WHEN o.url IS NULL THEN m.match_note ELSE 'page' END AS match_note
+FROM mappings m LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY product_id, url ORDER BY captured_at DESC, id DESC) AS n FROM observations WHERE url IS NOT NULL) o ON o.product_id = m.product_id AND o.url = m.url AND n = 1""",
+    )
+    out["invalid_values"] = ask(["pairs"], "SELECT 'availability' AS \"column\", 'few' AS value, count(*) AS n FROM pairs WHERE s % 13 = 5 HAVING count(*) > 0 UNION ALL SELECT 'match', 'same', count(*) FROM pairs WHERE s % 17 = 6 HAVING count(*) > 0")
+    out["duplicate_keys"] = ask(["observations"], "SELECT product_id, url, count(*) AS n FROM observations GROUP BY 1, 2 HAVING count(*) > 1")
+    out["orphans"] = ask(["fetch_log", "products"], "SELECT seq, url FROM fetch_log WHERE url NOT IN (SELECT url FROM products)")
+    return out
+
+
+def _tidy(c: str) -> str:
+    return f"nullif(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '')"
+
+
+def _plain(c: str) -> str:
+    return f"regexp_replace({c}, '[^A-Za-z0-9 .,]+', ' ', 'g')"
+
+
+def extract_queries() -> dict[str, str]:
+    a = lambda s, views=None: ask(["facts"], s, views)
+    out = {}
+    out["page_head_fields"] = a(f"SELECT k AS id, slug, {_tidy('title_tag')} AS title_tag, {_tidy('meta_description')} AS meta_description, canonical, og_image, robots_meta FROM facts")
+    out["page_headings"] = a(f"SELECT k AS id, CASE WHEN h1_count > 0 THEN {_tidy('full_name')} END AS h1, CAST(h1_count AS INT) AS h1_count FROM facts")
+    out["page_category_trail"] = a("SELECT k AS id, replace(coalesce(category_path, ''), ' > ', '|') AS trail FROM facts")
+    out["page_specs"] = a(
+        f"SELECT k AS id, CAST(i - 1 AS INT) AS pos, spec_list[i].label AS label, {_tidy('spec_list[i].value')} AS value FROM (SELECT k, spec_list, unnest(range(1, len(spec_list) + 1)) AS i FROM labelled)", LABELLED
+    )
+    tabs = " UNION ALL ".join(
+        f"SELECT k AS page, {n} AS pos, '{i}' AS id, '{lab}' AS label, ({c}) / 100.0::DOUBLE AS price, ({oos}) AS out_of_stock, {sel} AS selected FROM facts WHERE has_tabs AND NOT variants_absent"
+        for n, (i, lab, c, oos, sel) in enumerate(TABS)
+    )
+    out["page_variants"] = a(tabs)
+    out["page_prices"] = a(
+        "SELECT k AS id, visible_cents / 100.0::DOUBLE AS visible_price, CASE WHEN visible_cents IS NOT NULL THEN was_cents / 100.0::DOUBLE END AS visible_was_price, out_of_stock_notice FROM facts"
+    )
+    out["page_condition_and_description"] = a(f"SELECT k AS id, condition_label, condition_notes, {_tidy(_plain('description'))} AS description FROM facts")
+    shown = "coalesce(gallery_image_count, 0)"
+    out["page_images"] = a(f"SELECT k AS id, CAST(CASE WHEN k % 4 > 0 THEN k % 4 ELSE {shown} END AS INT) AS gallery_image_count, CAST(least(images_missing_alt, {shown}) AS INT) AS images_missing_alt FROM facts")
+    link = "'https://cdn.example/' || k || '-' || i || '.jpg'"
+    sku = "CASE WHEN k % 4 = 0 THEN CAST(k AS VARCHAR) ELSE 'SKU' || k END"
+    gtin = "coalesce(CASE WHEN k % 3 = 0 AND gtin IS NULL THEN NULL ELSE gtin END, NULL)"
+    out["page_product_nodes"] = a(
+        f"""SELECT k AS id, CASE WHEN has_ld THEN 1 ELSE 0 END AS json_ld_product_count, CASE WHEN has_ld THEN {_tidy('ld_name')} END AS name, CASE WHEN has_ld THEN {sku} END AS sku,
+  CASE WHEN has_ld THEN {gtin} END AS gtin, CASE WHEN has_ld THEN brand END AS brand, CASE WHEN has_ld THEN nullif(trim({_plain('ld_description')}), '') END AS description,
+  CASE WHEN has_ld THEN array_to_string(list_transform(range(1, ld_images + 1), lambda i: {link}), ' ') ELSE '-' END AS images FROM facts"""
+    )
+    out["page_node_offers"] = a(
+        "SELECT k AS id, ld_cents / 100.0::DOUBLE AS price, 'GBP' AS currency, offer_availability AS availability, offer_condition AS condition, valid_until AS price_valid_until, has_return_policy, has_shipping_details FROM facts WHERE has_offer"
+    )
+    cond = label_condition("condition_label")
+    out["page_product_columns"] = a(
+        f"""SELECT slug, CASE WHEN has_ld THEN {sku} END AS sku, CASE WHEN has_ld THEN gtin END AS gtin,
+  coalesce(CASE WHEN has_ld THEN {_tidy('ld_name')} END, CASE WHEN h1_count > 0 THEN {_tidy('full_name')} END) AS name, CASE WHEN has_ld THEN brand END AS brand, category_path,
+  CASE WHEN {cond} <> 'unknown' THEN {cond} WHEN has_offer THEN offer_condition ELSE 'unknown' END AS condition, condition_label,
+  coalesce(visible_cents, CASE WHEN has_offer THEN ld_cents END) / 100.0::DOUBLE AS price, CASE WHEN has_offer THEN 'GBP' END AS currency,
+  CASE WHEN has_offer THEN offer_availability WHEN out_of_stock_notice THEN 'out_of_stock' ELSE 'unknown' END AS availability FROM facts"""
+    )
+    path = "regexp_replace(regexp_replace(url, '[?#].*', ''), '^[a-z]+://[^/]*', '')"
+    title = "regexp_extract(html, '<title>(.*?)</title>', 1, 's')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        title = f"replace({title}, '{entity}', '{char}')"
+    out["raw_page_headings"] = (
+        f"SELECT page_id, regexp_replace({path}, '/$', '') AS slug, nullif(trim(regexp_replace({title}, '[\\s ]+', ' ', 'g')), '') AS title_tag,"
+        " CAST(len(regexp_extract_all(html, '<h1[ >]')) AS INT) AS h1_count, 0 AS json_ld_product_count, 0 AS gallery_image_count FROM pages"
+    )
+    out["page_cheapest_offers"] = ask(
+        ["fetched"],
+        """SELECT url, CASE s % 9 WHEN 6 THEN 1 WHEN 7 THEN 2 WHEN 8 THEN 1 ELSE 0 END AS product_count, CASE s % 9 WHEN 6 THEN 'T' || product_id WHEN 7 THEN 'Deep ' || s END AS title,
+  CAST(CASE s % 9 WHEN 6 THEN 900 + product_id % 89 WHEN 7 THEN 1500 + s END AS DOUBLE) AS price, CASE s % 9 WHEN 6 THEN 'EUR' WHEN 7 THEN 'GBP' END AS currency,
+  CASE s % 9 WHEN 6 THEN 'unknown' WHEN 7 THEN 'refurbished' END AS condition, CASE s % 9 WHEN 6 THEN 'out_of_stock' WHEN 7 THEN 'unknown' END AS availability FROM fetched WHERE html IS NOT NULL""",
+    )
+    out["challenge_pages"] = ask(["fetched"], "SELECT url, s % 9 = 4 AS challenge FROM fetched WHERE html IS NOT NULL")
+    out["clean_text"] = "SELECT doc_id, nullif(trim(regexp_replace(text, '[\\s\\x0B\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+', ' ', 'g')), '') AS text FROM documents"
+    out["price_texts"] = a("SELECT k AS id, CAST(k || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') || CASE k % 3 WHEN 0 THEN '.5' WHEN 1 THEN '.25' ELSE '' END AS DOUBLE) AS price FROM facts")
+    out["slugs"] = a("SELECT k AS id, slug FROM facts")
+    out["vocabularies"] = a(f"SELECT k AS id, {cond} AS from_label, offer_condition AS condition, offer_availability AS availability FROM facts")
+    return out
+
+
 def all_sql() -> dict[str, str]:
-    return {**audit_queries()}
+    return {**lens_queries(), **audit_queries(), **pricing_queries(), **extract_queries(), **crawl_queries(), **table_queries()}
