@@ -50,6 +50,7 @@ class PageScan(HTMLParser):
         self.open = [_Open("", 0, None, None)]
         self.count = 0
         self.seen = set()
+        self.buffers = []
         self.elements = []
         self.blocks = []
 
@@ -85,10 +86,9 @@ class PageScan(HTMLParser):
         if first:
             self.seen.add(hook)
         element = _Open(tag, self.count, record, hook if first else None)
-        if record is not None:
-            element.buffer = []
-        elif tag == "script" and a.get("type") == "application/ld+json":
+        if record is not None or (tag == "script" and a.get("type") == "application/ld+json"):
             element.buffer = []
+            self.buffers.append(element.buffer)
         self.open.append(element)
 
     def handle_endtag(self, tag):
@@ -99,9 +99,8 @@ class PageScan(HTMLParser):
                 return
 
     def handle_data(self, data):
-        for element in self.open:
-            if element.buffer is not None:
-                element.buffer.append(data)
+        for buffer in self.buffers:
+            buffer.append(data)
 
     def finish(self):
         self.close()
@@ -121,6 +120,7 @@ class PageScan(HTMLParser):
         element = self.open.pop()
         if element.buffer is None:
             return
+        self.buffers.pop()
         text = "".join(element.buffer)
         if element.record is not None:
             element.record["text"] = text
@@ -164,5 +164,10 @@ def scan(html: str | None) -> dict:
 
 
 @F.pandas_udf(SCAN)
-def scan_pages(html: pd.Series) -> pd.DataFrame:
+def _scan_pages(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([scan(h) for h in html], columns=["elements", "nodes"])
+
+
+# Declared nondeterministic so that filters on what is read from a page are not pushed below the scan,
+# which would run it twice.
+scan_pages = _scan_pages.asNondeterministic()

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from . import patterns as P
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean(c: Column) -> Column:
     """Collapse whitespace, trim; empty becomes NULL."""
     return F.nullif(F.trim(F.regexp_replace(c, P.WS + "+", " ")), F.lit(""))

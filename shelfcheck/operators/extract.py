@@ -24,16 +24,17 @@ def _kind(v: Column) -> Column:
 
 def _text_of(v: Column) -> Column:
     """Trimmed text of a variant that is a string or a number; NULL otherwise and when blank."""
-    return F.when(_kind(v).rlike(_TEXTUAL), T.non_blank(F.try_variant_get(v, "$", "string")))
+    return T.let(v, lambda x: F.when(_kind(x).rlike(_TEXTUAL), T.non_blank(F.try_variant_get(x, "$", "string"))))
 
 
 def _list_of(v: Column) -> Column:
     """A variant as an array: an array's elements, a single value as the only one, none when missing."""
     none = F.array().cast("array<variant>")
-    return (
-        F.when(v.isNull() | (_kind(v) == "VOID"), none)
-        .when(F.startswith(_kind(v), F.lit("ARRAY")), F.coalesce(F.try_variant_get(v, "$", "array<variant>"), none))
-        .otherwise(F.array(v))
+    return T.let(
+        v,
+        lambda x: F.when(F.startswith(_kind(x), F.lit("ARRAY")), F.coalesce(F.try_variant_get(x, "$", "array<variant>"), none))
+        .when(_kind(x) != "VOID", F.array(x))
+        .otherwise(none),
     )
 
 
@@ -43,56 +44,61 @@ def _is_object(v: Column) -> Column:
 
 def _given(v: Column) -> Column:
     """Present and neither null, false, zero nor empty."""
-    kind = _kind(v)
-    text = F.try_variant_get(v, "$", "string")
-    return F.coalesce(
-        ~kind.isin("VOID")
-        & ~((kind == "STRING") & (text == ""))
-        & ~((kind == "BOOLEAN") & (text == "false"))
-        & ~(kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)") & (text.try_cast("double") == 0)),
-        F.lit(False),
-    )
+
+    def filled(x: Column) -> Column:
+        text = F.try_variant_get(x, "$", "string")
+        empty = (
+            F.when(_kind(x) == "VOID", True)
+            .when(_kind(x) == "STRING", text == "")
+            .when(_kind(x) == "BOOLEAN", text == "false")
+            .when(_kind(x).rlike(_TEXTUAL), text.try_cast("double") == 0)
+            .otherwise(False)
+        )
+        return x.isNotNull() & ~empty
+
+    return F.coalesce(T.let(v, filled), F.lit(False))
 
 
 def _present(v: Column) -> Column:
-    return F.when(_kind(v) != "VOID", v)
+    return T.let(v, lambda x: F.when(_kind(x) != "VOID", x))
 
 
 def is_product(node: Column) -> Column:
-    return F.exists(_list_of(_at(node, "$['@type']")), lambda t: F.coalesce((_kind(t) == "STRING") & (F.try_variant_get(t, "$", "string") == "Product"), F.lit(False)))
+    kinds = _list_of(_at(node, "$['@type']"))
+    return F.exists(kinds, lambda t: F.coalesce((_kind(t) == "STRING") & (F.try_variant_get(t, "$", "string") == "Product"), F.lit(False)))
 
 
 def _offer_price(o: Column) -> Column:
     raw = F.coalesce(_present(_at(o, "$.price")), _present(_at(o, "$.lowPrice")), _present(_at(o, "$.priceSpecification.price")))
-    return F.when(_kind(raw).rlike(_TEXTUAL), T.number(F.try_variant_get(raw, "$", "string")))
+    return T.number(_text_of(raw))
+
+
+_OFFER = ("currency", "availability", "condition", "price_valid_until", "has_return_policy", "has_shipping_details")
 
 
 def cheapest_offer(node: Column) -> Column:
     """The node's offer with the lowest price, unpriced ones last, the first of equals; NULL without offers."""
+    unpriced = F.lit(float("inf"))
+    read = lambda o, i: F.struct(
+        F.coalesce(_offer_price(o), unpriced).alias("price"),
+        i.alias("pos"),
+        F.coalesce(_text_of(_at(o, "$.priceCurrency")), _text_of(_at(o, "$.priceSpecification.priceCurrency"))).alias("currency"),
+        T.availability_of(_text_of(_at(o, "$.availability"))).alias("availability"),
+        T.condition_of(_text_of(_at(o, "$.itemCondition"))).alias("condition"),
+        _text_of(_at(o, "$.priceValidUntil")).alias("price_valid_until"),
+        _given(_at(o, "$.hasMerchantReturnPolicy")).alias("has_return_policy"),
+        _given(_at(o, "$.shippingDetails")).alias("has_shipping_details"),
+    )
     offers = F.filter(_list_of(_at(node, "$.offers")), _is_object)
-    priced = F.transform(
-        offers,
-        lambda o, i: F.struct(
-            _offer_price(o).isNull().alias("unpriced"),
-            _offer_price(o).alias("price"),
-            i.alias("pos"),
-            F.coalesce(_text_of(_at(o, "$.priceCurrency")), _text_of(_at(o, "$.priceSpecification.priceCurrency"))).alias("currency"),
-            T.availability_of(_text_of(_at(o, "$.availability"))).alias("availability"),
-            T.condition_of(_text_of(_at(o, "$.itemCondition"))).alias("condition"),
-            _text_of(_at(o, "$.priceValidUntil")).alias("price_valid_until"),
-            _given(_at(o, "$.hasMerchantReturnPolicy")).alias("has_return_policy"),
-            _given(_at(o, "$.shippingDetails")).alias("has_shipping_details"),
+    return T.let(
+        F.array_min(F.transform(offers, read)),
+        lambda best: F.when(
+            best.isNotNull(), F.struct(F.nullif(best["price"], unpriced).alias("price"), *[best[f].alias(f) for f in _OFFER])
         ),
     )
-    best = F.array_min(priced)
-    return F.when(
-        F.size(offers) > 0,
-        F.struct(*[best[f].alias(f) for f in ("price", "currency", "availability", "condition", "price_valid_until", "has_return_policy", "has_shipping_details")]),
-    )
 
 
 def product_node(node: Column) -> Column:
-    brand = _at(node, "$.brand")
     images = F.filter(
         F.transform(
             _list_of(_at(node, "$.image")),
@@ -100,13 +106,14 @@ def product_node(node: Column) -> Column:
         ),
         lambda s: s != "",
     )
+    brand = T.let(_at(node, "$.brand"), lambda b: F.when(_kind(b) == "STRING", _text_of(b)).otherwise(_text_of(_at(b, "$.name"))))
     gtin = F.coalesce(*[_text_of(_at(node, f"$.{k}")) for k in ("gtin13", "gtin", "gtin14", "gtin12", "gtin8")])
     return F.struct(
         _text_of(_at(node, "$.name")).alias("name"),
         _text_of(_at(node, "$.sku")).alias("sku"),
         gtin.alias("gtin"),
         _text_of(_at(node, "$.mpn")).alias("mpn"),
-        F.when(_kind(brand) == "STRING", _text_of(brand)).otherwise(_text_of(_at(brand, "$.name"))).alias("brand"),
+        brand.alias("brand"),
         _text_of(_at(node, "$.description")).alias("description"),
         images.alias("images"),
         cheapest_offer(node).alias("offer"),

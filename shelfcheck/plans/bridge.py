@@ -108,7 +108,7 @@ SELECT l_orderkey * 100000000 + l_suppkey * 10 + l_linenumber AS id,
        CAST((CASE WHEN status = 'ok' THEN item_cents / 100.0 ELSE NULL END) AS DECIMAL(10,2)) AS item_price,
        CAST((CASE WHEN status = 'ok' THEN (landed_cents - item_cents) / 100.0 ELSE NULL END) AS DECIMAL(10,2)) AS shipping_cost,
        (CASE WHEN l_linestatus = 'O' THEN 'in_stock' ELSE 'unknown' END) AS availability,
-       (CASE WHEN l_returnflag = 'A' THEN 'exact' WHEN l_returnflag = 'N' THEN 'near'
+       (CASE WHEN l_partkey % 29 = 3 THEN 'near' WHEN l_returnflag = 'A' THEN 'exact' WHEN l_returnflag = 'N' THEN 'near'
              WHEN l_linenumber = 7 THEN NULL ELSE 'uncertain' END) AS match,
        status,
        (CASE WHEN status = 'ok' THEN NULL ELSE 'check failed: ' || status END) AS note,
