@@ -56,8 +56,8 @@ def findings_of(checked: DataFrame, key: str = "id", name: str = "product_id") -
     The outer explode keeps Spark from inferring a "non-empty array" filter, which it would push below
     the rules and so run them twice.
     """
-    exploded = checked.select(F.col(key).alias(name), F.posexplode_outer("hits").alias("position", "f"))
-    return exploded.where(F.col("f").isNotNull()).select(name, "position", "f.*")
+    exploded = checked.select(F.col(key).alias(name), F.posexplode_outer("hits").alias("position", "_hit"))
+    return exploded.where(F.col("_hit").isNotNull()).select(name, "position", "_hit.*")
 
 
 def segment_signals() -> dict[str, Column]:
@@ -95,10 +95,10 @@ def tallies(checked: DataFrame) -> DataFrame:
         F.transform("hits", lambda h: F.when(h.isNotNull(), F.struct(F.lit("rule").alias("kind"), h["rule_id"].alias("name")))),
     )
     return (
-        checked.select("score", F.explode_outer(entries).alias("e"))
-        .where(F.col("e").isNotNull())
-        .groupBy("e.kind", "e.name")
-        .agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("e.kind") == "listings", F.col("score")))).cast("int").alias("mean_score"))
+        checked.select("score", F.explode_outer(entries).alias("_entry"))
+        .where(F.col("_entry").isNotNull())
+        .groupBy("_entry.kind", "_entry.name")
+        .agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("_entry.kind") == "listings", F.col("score")))).cast("int").alias("mean_score"))
         .orderBy("kind", F.desc("n"), "name")
     )
 

@@ -48,8 +48,8 @@ def product_entries(entries: DataFrame, children: DataFrame | None = None) -> Da
     return (
         entries.where(F.startswith(T.url_path(F.col("url")), F.lit("/product/")))
         .groupBy("url")
-        .agg(F.min_by(F.struct("host", "pos", "entry", "lastmod"), place).alias("first"))
-        .select("url", "first.*")
+        .agg(F.min_by(F.struct("host", "pos", "entry", "lastmod"), place).alias("_first"))
+        .select("url", "_first.*")
     )
 
 
@@ -114,8 +114,8 @@ def rules_for(robots: DataFrame, user_agent: str) -> DataFrame:
     named = F.exists("agents", lambda a: (a != "*") & (a != "") & F.contains(F.lit(token), a))
     anyone = F.array_contains("agents", "*")
     preference = F.when(named, F.struct(F.lit(0), F.col("group"))).when(anyone, F.struct(F.lit(1), F.col("group")))
-    chosen = robots_rules(robots).groupBy("host").agg(F.min_by(F.struct("rules", "delay"), preference).alias("c"))
-    return chosen.select("host", "c.rules", "c.delay")
+    chosen = robots_rules(robots).groupBy("host").agg(F.min_by(F.struct("rules", "delay"), preference).alias("_chosen"))
+    return chosen.select("host", "_chosen.rules", "_chosen.delay")
 
 
 def _like(pattern: Column) -> Column:

@@ -21,8 +21,8 @@ def latest_observations(observations: DataFrame, columns: list[str] | None = Non
     columns = columns or [c for c in VALUES if c in observations.columns]
     return (
         observations.groupBy("product_id", "url")
-        .agg(F.max_by(F.struct(*columns), F.struct("captured_at", "id")).alias("o"))
-        .select("product_id", "url", "o.*")
+        .agg(F.max_by(F.struct(*columns), F.struct("captured_at", "id")).alias("_newest"))
+        .select("product_id", "url", "_newest.*")
     )
 
 

@@ -43,9 +43,9 @@ def upsert_products(stored: DataFrame, crawled: DataFrame) -> DataFrame:
         .agg(
             F.min_by("id", F.when(F.col("id").isNotNull(), F.col("first_seen_at"))).alias("id"),
             F.min("first_seen_at").alias("first_seen_at"),
-            F.max_by(F.struct(*captured), "last_crawled_at").alias("v"),
+            F.max_by(F.struct(*captured), "last_crawled_at").alias("_newest"),
         )
-        .select(F.coalesce("id", F.xxhash64("url")).alias("id"), "url", "first_seen_at", "v.*")
+        .select(F.coalesce("id", F.xxhash64("url")).alias("id"), "url", "first_seen_at", "_newest.*")
     )
 
 
@@ -107,9 +107,9 @@ def invalid_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, n): values outside the documented set of each column; NULL is allowed."""
     entries = F.array(*[F.when(~F.col(c).isin(ENUMS[c]), F.struct(F.lit(c).alias("column"), F.col(c).alias("value"))) for c in columns])
     return (
-        df.select(F.explode_outer(entries).alias("e"))
-        .where(F.col("e").isNotNull())
-        .groupBy("e.column", "e.value")
+        df.select(F.explode_outer(entries).alias("_entry"))
+        .where(F.col("_entry").isNotNull())
+        .groupBy("_entry.column", "_entry.value")
         .agg(F.count("*").alias("n"))
     )
 

@@ -34,7 +34,7 @@ def _state_after(state: DataFrame, batch: DataFrame) -> DataFrame:
     columns = ["price", "availability", "captured_at", "id"]
     last = batch.where(F.col("price").isNotNull()).groupBy("product_id").agg(F.max_by(F.struct(*columns), F.struct("captured_at", "id")).alias("n"))
     old = state.select("product_id", F.struct(*columns).alias("o"))
-    return old.join(last, "product_id", "full").select("product_id", F.coalesce("n", "o").alias("v")).select("product_id", "v.*")
+    return old.join(last, "product_id", "full").select("product_id", F.coalesce("n", "o").alias("_newest")).select("product_id", "_newest.*")
 
 
 def stream_price_changes(feed: DataFrame, folder: str, **trigger) -> StreamingQuery:
