@@ -6,11 +6,14 @@ Everything after it (fields, prices, structured data) is native columns in `oper
 from __future__ import annotations
 
 import json
+import sys
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .patterns import HOOK_PREFIX_TAB, HOOKS
 
@@ -35,6 +38,11 @@ ELEMENT = T.StructType(
 )
 SCAN = T.StructType([T.StructField("elements", T.ArrayType(ELEMENT)), T.StructField("nodes", T.ArrayType(T.StringType()))])
 
+# The scan travels to the workers by value, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_ARROW_SCAN = to_arrow_type(SCAN)
+
 
 class _Open:
     __slots__ = ("tag", "number", "children", "record", "buffer", "hook")
@@ -163,9 +171,9 @@ def scan(html: str | None) -> dict:
     return {"elements": page.elements, "nodes": [n for b in page.blocks for n in object_nodes(b)]}
 
 
-@F.pandas_udf(SCAN)
-def _scan_pages(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([scan(h) for h in html], columns=["elements", "nodes"])
+@F.arrow_udf(SCAN)
+def _scan_pages(html: pa.Array) -> pa.Array:
+    return pa.array([scan(h.as_py()) for h in html], type=_ARROW_SCAN)
 
 
 # Declared nondeterministic so that filters on what is read from a page are not pushed below the scan,
