@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import number_rows
@@ -74,14 +74,32 @@ def ordered(lens_rows: DataFrame) -> DataFrame:
 def summary(lens_rows: DataFrame) -> DataFrame:
     """Counts over the lens rows: compared, own price lowest or dearer, upper median gap, failures, newest fetch."""
     compared = F.col("gap_pct").isNotNull()
-    return lens_rows.agg(
+    counted = lens_rows.agg(
         F.count_if(compared).alias("compared"),
         F.count_if(F.col("gap_pct") <= 0).alias("own_cheapest"),
         F.count_if(F.col("gap_pct") > 0).alias("own_dearer"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY gap_pct DESC)").alias("median_gap_pct"),
         F.sum("failed").alias("failed_checks"),
         F.max("last_fetched").alias("last_fetched"),
-    ).withColumn("own_cheapest_share", F.round(100 * F.try_divide(F.col("own_cheapest"), F.col("compared"))).cast("int"))
+    )
+    share = F.round(100 * F.try_divide(F.col("own_cheapest"), F.col("compared"))).cast("int")
+    return counted.withColumn("median_gap_pct", upper_median(lens_rows, "gap_pct").scalar()).withColumn("own_cheapest_share", share)
+
+
+def upper_median(rows: DataFrame, column: str) -> DataFrame:
+    """One row: the value at place n/2, rounded down, of the n values in ascending order, counted from 0.
+
+    Exact without gathering the values: counts per value, then per hundredth; the hundredth that holds the
+    place is found among those counts, and only its distinct values are put in order.
+    """
+    values = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).withColumn("cell", F.floor(F.col(column) * 100))
+    cells = values.groupBy("cell").agg(F.sum("n").alias("n"))
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.floor(F.sum("n").over(Window.partitionBy(F.lit(0))) / 2)
+    placed = cells.select("cell", "n", ahead(Window.partitionBy(F.lit(0)).orderBy("cell")).alias("ahead"), place.alias("place"))
+    holds = (F.col("ahead") <= F.col("place")) & (F.col("place") < F.col("ahead") + F.col("n"))
+    target = placed.where(holds).select("cell", (F.col("place") - F.col("ahead")).alias("place"))
+    inside = values.join(F.broadcast(target), "cell")  # one row
+    return inside.withColumn("ahead", ahead(Window.partitionBy("cell").orderBy(column))).where(holds).select(column)
 
 
 def refusing_retailers(latest: DataFrame) -> DataFrame:
@@ -90,12 +108,14 @@ def refusing_retailers(latest: DataFrame) -> DataFrame:
 
 
 def ranked_observations(latest: DataFrame, products: DataFrame) -> DataFrame:
-    """Rank within the product: price ascending, missing prices last, then retailer by locale; with the price difference to ours."""
-    # Prices are decimals, so one beyond the largest sorts the missing ones last.
-    price_key = F.coalesce(F.col("price").cast("decimal(20,2)"), F.lit("99999999999").cast("decimal(20,2)"))
-    numbered = number_rows(
-        latest, ["product_id"], [price_key, F.collate("retailer", "UNICODE")], [F.col("retailer"), F.coalesce("url", F.lit("")), F.col("id")], "rank"
-    )
+    """Rank within the product: price ascending, missing prices last, then retailer by locale; with the price difference to ours.
+
+    A product is cut at its distinct prices; what remains together are its pages with one and the same price.
+    """
+    # In whole cents, with a value beyond any price for the missing ones.
+    cents = F.coalesce((F.col("price") * 100).cast("bigint"), F.lit(1 << 62))
+    order = [F.collate("retailer", "UNICODE"), F.col("retailer"), F.coalesce("url", F.lit("")), F.col("id")]
+    numbered = number_rows(latest, ["product_id"], [cents], order, "rank")
     difference = F.when(is_priced(), F.col("own_price") - F.col("price"))
     return with_products(numbered, products).withColumn("difference", difference)
 

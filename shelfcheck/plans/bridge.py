@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from ..sources.tables import scan_spread
 
 SOURCES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"]
 
@@ -358,7 +358,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> Da
     text = with_clause([name]) + f"\nSELECT * FROM {name}"
     used = [t for t in SOURCES if "{" + t + "}" in text]
     text = text.replace("{@lb}", "{{").replace("{@rb}", "}}")
-    return spark.sql(text, **{t: given[t] if t in given else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(text, **{t: given[t] if t in given else scan_spread(spark, f"{sf_dir}/{t}.parquet") for t in used})
 
 
 # Each line: id, label, cents, out of stock, selected.

@@ -112,15 +112,13 @@ def segment_rollup(products: DataFrame) -> DataFrame:
 
 def rule_shares(findings: DataFrame, products: DataFrame) -> DataFrame:
     """Affected listings per known rule with its share of all audited, gravest and most frequent first."""
-    listings = audited(products).agg(F.count("*").alias("listings"))
+    listings = audited(products).agg(F.count("*")).scalar()
     rules = rule_dimension(findings.sparkSession).select("rule_id", "title", "severity", "category")
     return (
         affected_per_rule(findings)
         .join(F.broadcast(rules), "rule_id")
-        .join(F.broadcast(listings))  # one row
-        .withColumn("share", _share(F.col("affected"), F.col("listings")))
+        .withColumn("share", _share(F.col("affected"), listings))
         .orderBy(_severity_rank(), F.desc("affected"), "rule_id")
-        .drop("listings")
     )
 
 
@@ -260,13 +258,11 @@ def rules_by_category(products: DataFrame, findings: DataFrame, parent: str | No
 
 def template_wide_rules(products: DataFrame, findings: DataFrame, share: float = P.TEMPLATE_WIDE_SHARE) -> DataFrame:
     """Rules that hit nearly the whole catalogue."""
-    catalogue = audited(products).agg(F.count("*").alias("catalogue"))
+    catalogue = audited(products).agg(F.count("*")).scalar()
     return (
         affected_per_rule(findings)
-        .join(F.broadcast(catalogue))  # one row
-        .withColumn("share", F.try_divide(F.col("affected").cast("double"), F.col("catalogue").cast("double")))
+        .withColumn("share", F.try_divide(F.col("affected").cast("double"), catalogue.cast("double")))
         .where(F.col("share") >= share)
-        .drop("catalogue")
     )
 
 

@@ -19,6 +19,8 @@ def local_session(cores: int | str = 8, app: str = "shelfcheck") -> SparkSession
         .config("spark.driver.memory", os.environ.get("SHELFCHECK_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Building a plan of many columns is much quicker without a stack trace for each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

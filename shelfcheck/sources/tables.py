@@ -16,6 +16,22 @@ def scan(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+_MB = 1 << 20
+_bytes_of: dict[tuple[str, str], int] = {}
+
+
+def scan_spread(spark: SparkSession, path: str, least: int = 1 * _MB, most: int = 512 * _MB) -> DataFrame:
+    """Read a table whose rows are costly to work on. Parquet is split by row group, so a file of a few MB is
+    read by one task however many cores wait: between `least` and `most` bytes its rows are spread over them.
+    A larger table has row groups enough and is left where it is read."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _bytes_of:
+        sizes = spark.read.format("binaryFile").load(path).agg(F.sum("length")).collect()  # one number
+        _bytes_of[key] = sizes[0][0] or 0
+    df = spark.read.parquet(path)
+    return df.repartition(spark.sparkContext.defaultParallelism) if least <= _bytes_of[key] <= most else df
+
+
 def write_version(df: DataFrame, folder: str, version: int) -> str:
     """Write the next version of a table; fails if that version exists."""
     path = f"{folder.rstrip('/')}/version={version}"
