@@ -22,6 +22,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = {"ul", "ol", "dl", "table", "select", "body"}
 ENDS_PARAGRAPH = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+NAMED = {"description", "robots"}
 CONTAINERS = {"breadcrumb-trail", "pdp-specs", "pdp-price-block", "image-gallery"}
 WITHIN = {"a": "breadcrumb-trail", "span": "breadcrumb-trail", "li": "breadcrumb-trail", "dt": "pdp-specs", "dd": "pdp-specs", "img": "image-gallery"}
 
@@ -82,7 +83,7 @@ class PageScan(HTMLParser):
         )
         if wanted:
             record = {
-                "tag": tag, "hook": hook, "key": a.get("name") or a.get("property") or a.get("rel"),
+                "tag": tag, "hook": hook, "key": a.get("name") if a.get("name") in NAMED else a.get("property") or a.get("rel"),
                 "value": a.get("content") or a.get("href") or a.get("alt"), "text": None, "inside": inside,
                 "parent": parent.number, "nth": parent.children, "leaf": True,
                 "selected": "true" in (a.get("aria-checked"), a.get("aria-selected")), "struck": struck,

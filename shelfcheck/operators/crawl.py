@@ -180,15 +180,17 @@ def run_summary(log: DataFrame) -> DataFrame:
 
 
 def probe_outcome(status: Column, has_product: Column, challenge: Column) -> Column:
+    """A page fetched well that holds a bot challenge and no product counts as a challenge."""
     return F.when((status == "ok") & challenge & ~has_product, "challenge").otherwise(status)
 
 
 def host_probe_summary(log: DataFrame) -> DataFrame:
-    """Per host: attempts until its first refusal, how many carried product markup, and a count per outcome."""
-    tried = with_stop(log, "host").where(~F.col("skipped")).withColumn("outcome", fetch_status(F.col("http_status")))
+    """Per host of a log with `has_product` and `challenge` flags: attempts until its first refusal, how many carried product markup, and a count per outcome."""
+    outcome = probe_outcome(fetch_status(F.col("http_status")), F.col("has_product"), F.col("challenge"))
+    tried = with_stop(log, "host").where(~F.col("skipped")).withColumn("outcome", outcome)
     usable = F.count_if((F.col("outcome") == "ok") & F.col("has_product"))
     attempted = F.count("*")
-    outcomes = {f"n_{s}": F.count_if(F.col("outcome") == s) for s in ("ok", "not_found", "blocked", "error")}
+    outcomes = {f"n_{s}": F.count_if(F.col("outcome") == s) for s in ("ok", "challenge", "not_found", "blocked", "error")}
     return tried.groupBy("host").agg(
         attempted.alias("attempted"),
         usable.alias("with_product"),

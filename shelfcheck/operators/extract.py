@@ -238,8 +238,8 @@ def extract_listings(pages: DataFrame) -> DataFrame:
 
 
 def page_offers(pages: DataFrame) -> DataFrame:
-    """Pages plus `offer`: the cheapest priced offer over all Product nodes, NULL when none has a price."""
-    scanned = with_scan(pages)
+    """Pages plus `offer`: the cheapest priced offer over all Product nodes, NULL when none has a price; and `has_body`."""
+    scanned = with_scan(pages.withColumn("has_body", F.coalesce(F.col("html") != "", F.lit(False))))
     offers = F.transform("products", lambda n, i: F.struct(cheapest_offer(n).alias("o"), i.alias("pos"), _text_of(_at(n, "$.name")).alias("title")))
     priced = F.transform(
         F.filter(offers, lambda x: x["o"]["price"].isNotNull()),

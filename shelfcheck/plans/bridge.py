@@ -189,6 +189,7 @@ SELECT 'https://r' || CAST(s AS STRING) || '.example/i/' || CAST(product_id AS S
        (CASE s % 9 WHEN 0 THEN 'blocked' WHEN 1 THEN 'not_found' WHEN 2 THEN 'error' WHEN 3 THEN 'disallowed' ELSE 'ok' END) AS status,
        (CASE s % 9 WHEN 0 THEN 'refused' WHEN 2 THEN 'timeout' ELSE NULL END) AS note,
        (CASE WHEN s % 9 IN (0, 1, 2, 3) THEN NULL
+             WHEN s % 9 = 5 AND product_id % 4 = 0 THEN ''
              WHEN s % 9 = 4 THEN '<html><body>Just a moment...</body></html>'
              WHEN s % 9 = 5 THEN '<html><script type="application/ld+json">{@lb}"@type":"WebPage"{@rb}</script></html>'
              WHEN s % 9 = 6 THEN '<script type="application/ld+json">{@lb}"@type":"Product","name":"T' || CAST(product_id AS STRING)
@@ -278,7 +279,8 @@ SELECT 'v' || CAST(l_orderkey AS STRING) || '-' || CAST(l_suppkey AS STRING) ||
        'seller' || CAST(l_suppkey AS STRING) AS seller,
        (CASE l_suppkey % 3 WHEN 0 THEN 'BUSINESS' WHEN 1 THEN 'INDIVIDUAL' ELSE NULL END) AS account_type,
        (CASE WHEN l_suppkey % 11 = 0 THEN 'DE' WHEN l_suppkey % 11 = 1 THEN NULL ELSE 'GB' END) AS country,
-       (CASE WHEN l_suppkey % 2 = 0 THEN '99.5' ELSE NULL END) AS feedback_percentage
+       (CASE WHEN l_suppkey % 2 = 0 THEN '99.5' ELSE NULL END) AS feedback_percentage,
+       (CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_suppkey * 3 END) AS feedback_score
 FROM {lineitem} JOIN {part} ON p_partkey = l_partkey
 """
 
@@ -293,7 +295,7 @@ SELECT substring(CAST(ts AS STRING), 1, 10) AS run_id,
               WHEN 'error' THEN (CASE WHEN value < 5 THEN 500 WHEN value < 20 THEN 429 ELSE 403 END)
               WHEN 'signup' THEN (CASE WHEN value < 1 THEN NULL ELSE 204 END)
               ELSE 200 END) AS INT) AS http_status,
-       (event_type = 'view') AS has_product,
+       (event_type = 'view') AS has_product, (event_type = 'click' AND value < 5) AS challenge,
        ts AS fetched_at
 FROM {events}
 """

@@ -450,8 +450,8 @@ def pricing_queries() -> dict[str, str]:
   CAST(CASE s % 9 WHEN 6 THEN 900 + m.product_id % 89 WHEN 7 THEN 1500 + s END AS DOUBLE) AS price,
   CASE s % 9 WHEN 6 THEN 'EUR' WHEN 7 THEN 'GBP' END AS currency, CASE s % 9 WHEN 6 THEN 'unknown' WHEN 7 THEN 'refurbished' END AS condition,
   CASE s % 9 WHEN 6 THEN 'out_of_stock' WHEN 7 THEN 'unknown' END AS availability, CASE WHEN s % 9 IN (6, 7) THEN 'retailer' END AS seller_type,
-  CASE WHEN s % 9 IN (6, 7) THEN 'ok' WHEN s % 9 IN (4, 5, 8) THEN 'no_price' ELSE f.status END AS status,
-  CASE WHEN s % 9 IN (6, 7) THEN NULL WHEN s % 9 IN (4, 5, 8) THEN 'no offer in the page''s markup' ELSE f.note END AS note
+  CASE WHEN s % 9 IN (6, 7) THEN 'ok' WHEN html = '' THEN 'error' WHEN s % 9 IN (4, 5, 8) THEN 'no_price' ELSE f.status END AS status,
+  CASE WHEN s % 9 IN (6, 7) OR html = '' THEN NULL WHEN s % 9 IN (4, 5, 8) THEN 'no offer in the page''s markup' ELSE f.note END AS note
 FROM mappings m JOIN fetched f ON f.url = m.url""",
     )
     j = lambda s: ask(["items", "products"], s, _JUDGED)
@@ -467,7 +467,7 @@ FROM mappings m JOIN fetched f ON f.url = m.url""",
         f"""SELECT p.id AS product_id, CASE WHEN t.item_id IS NULL THEN 'not_found' ELSE 'ok' END AS status, t.item_id AS item_id, {money('t.landed')} AS price,
   {money('t.item_price')} AS item_price, {money('t.shipping')} AS shipping_cost, CASE WHEN t.item_id IS NOT NULL THEN 'in_stock' END AS availability, t.seller AS seller,
   CASE WHEN t.item_id IS NOT NULL THEN coalesce(lower(account_type), 'unknown') END AS seller_type, t.match AS match,
-  CASE WHEN t.item_id IS NOT NULL THEN concat_ws('; ', comparable || ' comparable of ' || items, 'skipped ' || skipped, 'feedback ' || feedback_percentage || '%',
+  CASE WHEN t.item_id IS NOT NULL THEN concat_ws('; ', comparable || ' comparable of ' || items, 'skipped ' || skipped, 'feedback ' || t.feedback_percentage || '% (' || coalesce(CAST(t.feedback_score AS VARCHAR), '?') || ')',
          'individual seller cheaper at ' || {amount('i.landed')}, 'cheaper ' || l.match || ' match at ' || {amount('l.landed')} || ' (' || coalesce(l.match_note, 'variant differs') || ')')
        WHEN items IS NULL THEN 'no listing for this GTIN' ELSE items || ' listings, none comparable: ' || coalesce(skipped, '') END AS note
 FROM products p LEFT JOIN counted c ON c.product_id = p.id LEFT JOIN top t ON t.product_id = p.id LEFT JOIN skips k ON k.product_id = p.id
@@ -567,7 +567,7 @@ UNION ALL SELECT host, 2, '*', '-/', NULL FROM robots WHERE {kind} = 1""",
 FROM (SELECT page_id, lower(regexp_extract(url, '://([^/]+)', 1)) AS host, regexp_replace(regexp_replace(url, '#.*', ''), '^[a-z]+://[^/]*', '') AS path FROM pages) JOIN robots USING (host)""",
     )
     status = "CASE WHEN http_status BETWEEN 200 AND 299 THEN 'ok' WHEN http_status IN (404, 410) THEN 'not_found' WHEN http_status IN (401, 403, 429) THEN 'blocked' ELSE 'error' END"
-    log = {"log": f"SELECT *, {status} AS status FROM fetch_log"}
+    log = {"log": f"SELECT *, {status} AS status, CASE WHEN http_status = 200 AND challenge AND NOT has_product THEN 'challenge' ELSE {status} END AS outcome FROM fetch_log"}
     for per in ("run_id", "host"):
         log[f"by_{per}"] = f"SELECT *, coalesce(sum(CASE WHEN status = 'blocked' THEN 1 ELSE 0 END) OVER (PARTITION BY {per} ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS skipped FROM log"
     log["runs"] = (
@@ -582,7 +582,7 @@ FROM (SELECT page_id, lower(regexp_extract(url, '://([^/]+)', 1)) AS host, regex
     out["latest_run"] = a("SELECT run_id, urls_planned, pages_fetched, pages_failed FROM runs ORDER BY started_at DESC LIMIT 1")
     out["host_probe_summary"] = a(
         "SELECT host, count(*) AS attempted, count(*) FILTER (status = 'ok' AND has_product) AS with_product, CAST(round(100.0 * count(*) FILTER (status = 'ok' AND has_product) / count(*)) AS INT) AS product_percent,"
-        + ", ".join(f" count(*) FILTER (status = '{s}') AS n_{s}" for s in ("ok", "not_found", "blocked", "error"))
+        + ", ".join(f" count(*) FILTER (outcome = '{s}') AS n_{s}" for s in ("ok", "challenge", "not_found", "blocked", "error"))
         + ", count(*) FILTER (status = 'blocked') > 0 AS stopped FROM by_host WHERE NOT skipped GROUP BY host"
     )
     out["spacing_plan"] = ask(["requests"], "SELECT host, seq, (row_number() OVER (PARTITION BY host ORDER BY seq) - 1) * greatest(2.0::DOUBLE, coalesce(delay, 0.0::DOUBLE)) AS planned_offset FROM requests")

@@ -74,13 +74,13 @@ def test_crawl_order(spark):
 
 
 def test_log(spark):
-    log = spark.sql("""SELECT run_id, host, seq, http_status, has_product, TIMESTAMP '2026-01-01 00:00:00' + seq * INTERVAL '1' MINUTE AS fetched_at FROM VALUES
-      ('r', 'h', 1, 200, true), ('r', 'h', 2, 404, false), ('r', 'g', 3, 200, false), ('r', 'h', 4, 403, false), ('r', 'h', 5, 200, true), ('r', 'g', 6, 500, false),
-      ('q', 'h', 7, 429, false), ('q', 'g', 8, CAST(NULL AS INT), false) AS l(run_id, host, seq, http_status, has_product)""")
+    log = spark.sql("""SELECT run_id, host, seq, http_status, has_product, challenge, TIMESTAMP '2026-01-01 00:00:00' + seq * INTERVAL '1' MINUTE AS fetched_at FROM VALUES
+      ('r', 'h', 1, 200, true, true), ('r', 'h', 2, 404, false, false), ('r', 'g', 3, 200, false, true), ('r', 'h', 4, 403, false, false), ('r', 'h', 5, 200, true, false), ('r', 'g', 6, 500, false, false),
+      ('q', 'h', 7, 429, false, false), ('q', 'g', 8, CAST(NULL AS INT), false, false) AS l(run_id, host, seq, http_status, has_product, challenge)""")
     runs = {r["run_id"]: r for r in crawl.run_summary(log).collect()}
     assert (runs["r"]["urls_planned"], runs["r"]["pages_fetched"], runs["r"]["pages_failed"]) == (6, 2, 2)
     assert (runs["q"]["urls_planned"], runs["q"]["pages_fetched"], runs["q"]["pages_failed"]) == (2, 0, 1)
     hosts = {r["host"]: r for r in crawl.host_probe_summary(log).collect()}
     assert (hosts["h"]["attempted"], hosts["h"]["with_product"], hosts["h"]["product_percent"], hosts["h"]["stopped"]) == (3, 1, 33, True)
-    assert (hosts["g"]["attempted"], hosts["g"]["n_error"], hosts["g"]["stopped"]) == (3, 2, False)
+    assert (hosts["g"]["attempted"], hosts["g"]["n_error"], hosts["g"]["n_challenge"], hosts["g"]["stopped"]) == (3, 2, 1, False)
     assert crawl.product_token(AGENT) == "shelfbot"

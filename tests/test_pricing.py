@@ -34,13 +34,13 @@ def test_worst_match(spark):
     assert [r[0] for r in df.select(worst_match(F.col("a"), F.col("b"))).collect()] == ["near", "near", "uncertain", "exact"]
 
 
-ITEM = "gtin string, item_id string, title string, condition_id string, price_value string, shipping_options array<struct<type:string,cost:string>>, seller string, account_type string, country string, feedback_percentage string"
+ITEM = "gtin string, item_id string, title string, condition_id string, price_value string, shipping_options array<struct<type:string,cost:string>>, seller string, account_type string, country string, feedback_percentage string, feedback_score int"
 PRODUCT = "id bigint, gtin string, name string, price decimal(10,2), condition string"
 
 
 def item(gtin, price, title="JBL Flip 7 Speaker - White", postage=None, kind="BUSINESS", condition="NEW", country="GB", key=None):
     options = [] if postage is None else [("FIXED", p) for p in postage]
-    return (gtin, key or f"v{price}", title, condition, price, options, f"seller{price}", kind, country, "99.5")
+    return (gtin, key or f"v{price}", title, condition, price, options, f"seller{price}", kind, country, "99.5", 1200)
 
 
 SCENES = {
@@ -69,7 +69,7 @@ def checked(spark):
 def test_best_offer(checked):
     r = checked[1]
     assert (r["status"], float(r["price"]), float(r["item_price"]), float(r["shipping_cost"]), r["seller_type"]) == ("ok", 74.99, 70, 4.99, "business")
-    assert "individual seller cheaper at £65.00" in r["note"] and "2 comparable of 2" in r["note"] and "feedback 99.5%" in r["note"]
+    assert "individual seller cheaper at £65.00" in r["note"] and "2 comparable of 2" in r["note"] and "feedback 99.5% (1200)" in r["note"]
     assert float(checked[2]["price"]) == 72 and "cheaper near match at £60.00 (colour: listing says black, own name says white)" in checked[2]["note"]
     assert checked[3]["match"] == "near" and checked[4]["seller_type"] == "individual"
     assert float(checked[8]["price"]) == 55 and checked[8]["seller_type"] == "unknown"
