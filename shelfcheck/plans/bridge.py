@@ -162,7 +162,7 @@ FROM {lineitem} GROUP BY l_partkey, l_suppkey
 SQL["mapping_lines"] = """
 SELECT (CASE WHEN (product_id + s) % 40 = 0 THEN '# a comment'
              WHEN (product_id + s) % 40 = 1 THEN '   '
-             WHEN (product_id + s) % 40 = 2 THEN 'A1_Product,retailer,url,match,note'
+             WHEN (product_id + s) % 40 = 2 THEN 'Product_Key,retailer,url,match,note'
              WHEN (product_id + s) % 40 = 3 THEN body || ',maybe,unknown flag'
              WHEN (product_id + s) % 40 = 4 THEN 'lonely' || CAST(product_id AS STRING) || ',shop'
              WHEN (product_id + s) % 40 = 5 THEN body

@@ -20,7 +20,7 @@ def _content(lines: DataFrame) -> DataFrame:
     return lines.withColumn("value", line).where((F.col("value") != "") & ~F.startswith("value", F.lit("#")))
 
 
-def parse_mappings(lines: DataFrame, header: str = "a1_product") -> tuple[DataFrame, DataFrame]:
+def parse_mappings(lines: DataFrame, header: str = "product_key") -> tuple[DataFrame, DataFrame]:
     """Lines `key,retailer,url,match,note` to (mappings, rejected lines). Match defaults to exact; commas in a note stay."""
     rows = _content(lines).where(~F.startswith(F.lower("value"), F.lit(header)))
     parts = F.transform(F.split("value", ","), T.clean_edges)

@@ -8,12 +8,12 @@ from shelfcheck.operators.match import assess_match, worst_match
 from shelfcheck.sources import files
 
 PAIRS = [
-    ("JBL Flip 7 Speaker White", "JBL Flip 7 Portable Speaker - White", "exact", None),
-    ("JBL Flip 7 Speaker White", "JBL Flip 7 Portable Speaker - Black", "near", "colour: listing says black, own name says white"),
-    ("Galaxy S25 256GB Titanium Black", "Galaxy S25 512GB Titanium Black", "near", "capacity: listing says 512gb, own name says 256gb"),
-    ("PS5 Pro 2TB Console", "PS5 Pro 2TB Console + EA FC 26 bundle", "near", "listing is a bundle"),
-    ("AirPods Pro 3 White", "AirPods Pro 3 with MagSafe Charging Case", "uncertain", "listing names no colour"),
-    ("Forerunner 265 46mm Black", "Forerunner 265 46mm Black/Powder Grey", "exact", None),
+    ("Sonora Clip 5 Speaker White", "Sonora Clip 5 Portable Speaker - White", "exact", None),
+    ("Sonora Clip 5 Speaker White", "Sonora Clip 5 Portable Speaker - Black", "near", "colour: listing says black, own name says white"),
+    ("Nova X20 256GB Titanium Black", "Nova X20 512GB Titanium Black", "near", "capacity: listing says 512gb, own name says 256gb"),
+    ("Arcade Pro 2TB Console", "Arcade Pro 2TB Console + Racing bundle", "near", "listing is a bundle"),
+    ("Buds Pro 3 White", "Buds Pro 3 with Charging Dock", "uncertain", "listing names no colour"),
+    ("Strider 12 46mm Black", "Strider 12 46mm Black/Powder Grey", "exact", None),
     ("Watch Space Grey", "Watch SPACE GREY", "exact", None),
     ("Watch Grey", "Watch Space Grey", "near", "colour: listing says space grey, own name says grey"),
     ("Phone 128 GB", "Phone 128GB", "near", "capacity: listing says 128gb, own name says 128 gb"),
@@ -38,19 +38,19 @@ ITEM = "gtin string, item_id string, title string, condition_id string, price_va
 PRODUCT = "id bigint, gtin string, name string, price decimal(10,2), condition string"
 
 
-def item(gtin, price, title="JBL Flip 7 Speaker - White", postage=None, kind="BUSINESS", condition="NEW", country="GB", key=None):
+def item(gtin, price, title="Sonora Clip 5 Speaker - White", postage=None, kind="BUSINESS", condition="NEW", country="GB", key=None):
     options = [] if postage is None else [("FIXED", p) for p in postage]
     return (gtin, key or f"v{price}", title, condition, price, options, f"seller{price}", kind, country, "99.5", 1200)
 
 
 SCENES = {
     1: [item("1", "65", postage=["0"], kind="INDIVIDUAL"), item("1", "70", postage=["4.99", "6"])],
-    2: [item("2", "60", "JBL Flip 7 Speaker - Black"), item("2", "72")],
-    3: [item("3", "60", "JBL Flip 7 Speaker - Black")],
+    2: [item("2", "60", "Sonora Clip 5 Speaker - Black"), item("2", "72")],
+    3: [item("3", "60", "Sonora Clip 5 Speaker - Black")],
     4: [item("4", "65", kind="INDIVIDUAL")],
-    5: [item("5", "5", "Carry Case for JBL Flip 7"), item("5", "30", "JBL Flip 7 FAULTY spares"), item("5", "12"), item("5", "72", postage=["3"]), item("5", "80", "Case JBL", key="w")],
+    5: [item("5", "5", "Carry Case for Sonora Clip 5"), item("5", "30", "Sonora Clip 5 FAULTY spares"), item("5", "12"), item("5", "72", postage=["3"]), item("5", "80", "Case Sonora", key="w")],
     6: [],
-    7: [item("7", "5", "Silicone cover for JBL Flip 7"), item("7", "abc", key="q"), item("7", "90", country="DE")],
+    7: [item("7", "5", "Silicone cover for Sonora Clip 5"), item("7", "abc", key="q"), item("7", "90", country="DE")],
     8: [item("8", "50", condition="USED"), item("8", "55", condition="SELLER_REFURBISHED", postage=["free", "2"], kind=None)],
 }
 
@@ -59,7 +59,7 @@ SCENES = {
 def checked(spark):
     from decimal import Decimal
 
-    products = [(i, str(i), "JBL Flip 7 Speaker White", Decimal("81.99"), "refurbished" if i == 8 else "new") for i in SCENES]
+    products = [(i, str(i), "Sonora Clip 5 Speaker White", Decimal("81.99"), "refurbished" if i == 8 else "new") for i in SCENES]
     products.append((9, None, "No code", Decimal("1.00"), "new"))
     items = [x for s in SCENES.values() for x in s]
     out = pricing.check_marketplace(spark.createDataFrame(products, PRODUCT), spark.createDataFrame(items, ITEM).repartition(4))
@@ -83,7 +83,7 @@ def test_left_out_listings(checked):
 
 
 def test_title_exclusion_and_postage(spark):
-    df = spark.createDataFrame([("UGREEN Ethernet Cable", "UGREEN Ethernet Cable"), ("Cable for Flip", "Flip Speaker"), ("Flip - broken", "Flip"), (None, "Flip")], "t string, o string")
+    df = spark.createDataFrame([("Weave Ethernet Cable", "Weave Ethernet Cable"), ("Cable for Clip", "Clip Speaker"), ("Clip - broken", "Clip"), (None, "Clip")], "t string, o string")
     assert [r[0] for r in df.select(pricing.title_exclusion(F.col("t"), F.col("o"))).collect()] == [None, "accessory (cable)", "faulty/parts", None]
 
 
@@ -97,8 +97,8 @@ def test_keys(spark):
 
 
 def test_mapping_lines(spark):
-    text = ["# note", "", "A1_Product,retailer,url,match,note", "k1,Shop,https://x,near,a note, with commas", " k2 , Shop , https://y ", "k3,Shop,https://z,,", "k4,Shop,https://z,maybe,", "only,two", " ,Shop,https://z"]
-    good, bad = files.parse_mappings(spark.createDataFrame([(t,) for t in text], "value string"), header="a1_product")
+    text = ["# note", "", "Product_Key,retailer,url,match,note", "k1,Shop,https://x,near,a note, with commas", " k2 , Shop , https://y ", "k3,Shop,https://z,,", "k4,Shop,https://z,maybe,", "only,two", " ,Shop,https://z"]
+    good, bad = files.parse_mappings(spark.createDataFrame([(t,) for t in text], "value string"))
     assert {r["key"]: (r["match"], r["match_note"], r["url"]) for r in good.collect()} == {"k1": ("near", "a note,with commas", "https://x"), "k2": ("exact", None, "https://y"), "k3": ("exact", None, "https://z")}
     assert sorted(r["value"] for r in bad.collect()) == [",Shop,https://z", "k4,Shop,https://z,maybe,", "only,two"] or bad.count() == 3
 

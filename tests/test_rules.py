@@ -49,11 +49,11 @@ CASES = {
     "thin specs": (dict(specs=FIVE[:4]), URL, ["specs-thin"], ["specs-missing"]),
     "few images": (dict(thumbs=2, ld=node(image="a")), URL, ["images-few"], []),
     "plug": (named("Acme Soundbar", specs=[("In the box", "Soundbar")] + FIVE[:4]), URL, ["plug-type-unstated"], []),
-    "memory": (named("Acme Laptop Memory Module 16 GB", specs=FIVE[:2]), URL, [], ["plug-type-unstated"]),
-    "keyboard": (named("HP Desktop 320K - keyboard", specs=FIVE[:2]), URL, [], ["plug-type-unstated"]),
+    "memory": (named("Nimbus Laptop Memory 8 GB", specs=FIVE[:2]), URL, [], ["plug-type-unstated"]),
+    "keyboard": (named("Nimbus Desktop keyboard", specs=FIVE[:2]), URL, [], ["plug-type-unstated"]),
     "accented edge": (named("Écran é-monitor ultra", specs=FIVE[:2]), URL, ["plug-type-unstated"], []),
     "contents": (dict(specs=FIVE), URL, ["box-contents-unstated"], ["refurb-accessories-unstated"]),
-    "code": (named("10GBN9901-X Cable"), URL, ["name-leads-with-code"], []),
+    "code": (named("77KLM1200-Z Cord"), URL, ["name-leads-with-code"], []),
     "no code": (named("AIRPODS Pro"), URL, [], ["name-leads-with-code"]),
     "watch": (named("Galaxy Watch8 40mm Silver", specs=WATCH), URL, ["watch-connectivity-unstated"], []),
     "watch lte": (named("Galaxy Watch8 LTE 40mm", specs=WATCH), URL, [], ["watch-connectivity-unstated"]),
@@ -61,8 +61,8 @@ CASES = {
     "watch model": (named("Galaxy Watch8 40mm", specs=WATCH + [("Model", "SM-L305 (LTE)")]), URL, [], ["watch-connectivity-unstated"]),
     "watch band": (named("Galaxy Watch8 Sport Band", specs=WATCH), URL, [], ["watch-connectivity-unstated"]),
     "watch hint": (named("Apple Watch SE 40mm", specs=WATCH + [("Extras", "LTE strap")]), URL, ["watch-connectivity-unstated"], []),
-    **{f"cut {n}": (named(n), URL, ["name-truncated"], []) for n in ["Adapter 65W -", "Printer, E+U,", "QSFP28 transceiver that", "Adapter with", "Plug (DELL-K9", "FPMA ,Dual"]},
-    **{f"whole {n}": (named(n), URL, [], ["name-truncated"]) for n in ["Xbox Series X", "Lamp 300 (Black)", "Cable, 2 m, Black"]},
+    **{f"cut {n}": (named(n), URL, ["name-truncated"], []) for n in ["Lamp stand 40 -", "Shade, linen,", "Optic module that", "Bulb with", "Socket (K9-V", "Bracket ,Twin"]},
+    **{f"whole {n}": (named(n), URL, [], ["name-truncated"]) for n in ["Console Series X", "Lamp 300 (Black)", "Cord, 3 m, Grey"]},
     "no markup": (dict(ld=None), URL, ["jsonld-missing"], ["jsonld-offer-missing", "brand-missing", "gtin-missing"]),
     "no offer": (dict(ld=node(offers=...), sold_out=True), URL, ["jsonld-offer-missing"], ["jsonld-no-return-policy"]),
     "no image": (dict(ld=node(image=[])), URL, ["jsonld-image-missing"], ["images-few"]),
@@ -82,8 +82,8 @@ CASES = {
     "emoji meta": (dict(meta="😀" * 160), URL, [], ["meta-description-long"]),
     "long title": (dict(title="t" * 71), URL, ["title-tag-long"], []),
     "counter": ({}, at("desk-lamp-2"), ["slug-dedupe-suffix"], []),
-    "counter in name": (named("Acme Pods Pro 2"), at("pods-pro-2"), [], ["slug-dedupe-suffix"]),
-    "decimal in name": (named('Galaxy A36 17 cm (6.7")'), at("galaxy-17-cm-67"), [], ["slug-dedupe-suffix"]),
+    "counter in name": (named("Buds Pro 2"), at("pods-pro-2"), [], ["slug-dedupe-suffix"]),
+    "decimal in name": (named('Nova A10 17 cm (6.7")'), at("galaxy-17-cm-67"), [], ["slug-dedupe-suffix"]),
     "long number": ({}, at("lamp-2024"), [], ["slug-dedupe-suffix"]),
     "alt": (dict(blank_alts=2), URL, ["image-alt-missing"], []),
 }
