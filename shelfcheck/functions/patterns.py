@@ -83,6 +83,9 @@ HOOKS = [
 # Whitespace as browsers define it, spelled out so that no-break spaces count.
 WS = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
+# The same characters one by one, for trimming.
+WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 _WORD = "[A-Za-z0-9_]"
 _STARTS = f"(?<!{_WORD})"
 _ENDS = f"(?!{_WORD})"

@@ -20,7 +20,7 @@ def clean(c: Column) -> Column:
 
 def clean_edges(c: Column) -> Column:
     """Whitespace removed at both ends."""
-    return F.regexp_replace(c, f"^{P.WS}+|{P.WS}+\\z", "")
+    return F.btrim(c, F.lit(P.WS_CHARS))
 
 
 def non_blank(c: Column) -> Column:
