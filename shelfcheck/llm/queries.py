@@ -5,16 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sql
+from . import bpe, quality, simhash, sql
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", *columns)
 
 
 def op1_quality_rules(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     of = lambda c: F.col(f"quality.{c}").alias(c)
-    return quality.judge(docs).select("doc_id", *map(of, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]))
+    return quality.judge(_documents(spark, d)).select("doc_id", *map(of, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]))
+
+
+def op6_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.grouped(_documents(spark, d)).select(
+        F.col("own").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
+def op7_bpe(spark: SparkSession, d: str) -> DataFrame:
+    tokens = bpe.tokenized(_documents(spark, d), tokenizer_path("word_bpe_49k.json"))
+    return tokens.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_simhash_near_dedup, op7_bpe)}
 
 ORACLES = {
     "op1_quality_rules": sql.quality(quality.MOST_COVERED, quality.MOST_IN_LINES, quality.LEAST_WORDS, quality.REPEAT_WINDOW, quality.MOST_REPEAT_PERCENT),
