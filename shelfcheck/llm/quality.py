@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import unused
 from .textbytes import IS_SPACE, owner, running, slices, spans
 
 #: The base rule, and the symbols it counts.
@@ -136,15 +137,17 @@ def measured(text: Column, covered: Mapping[int, float] = MOST_COVERED) -> Colum
 def judge(docs: DataFrame, covered: Mapping[int, float] = MOST_COVERED, in_lines: float = MOST_IN_LINES, text: str = "text", name: str = "quality") -> DataFrame:
     """`docs` with a struct column `name`: the counts, `base_failed` and `kept`. Every other column is left as it is
     (a column called `name` is replaced)."""
-    m = lambda c: F.col("_measured")[c]
+    own = unused(docs, "_measured")
+    m = lambda c: F.col(own)[c]
     failed = (m("n_words") < LEAST_WORDS) | (100 * m("n_repeat_words") > MOST_REPEAT_PERCENT * m("n_words"))
     passed = m("dup_line_chars") <= in_lines * m("word_chars")
     for n, share in covered.items():
         passed &= m(f"dup_chars_{n}") <= share * m("word_chars")
-    verdict = F.struct("_measured.*", failed.alias("base_failed"), (~failed & passed).alias("kept"))
-    return docs.withColumn("_measured", measured(F.col(text), covered)).withColumn(name, verdict).drop("_measured")
+    verdict = F.struct(f"{own}.*", failed.alias("base_failed"), (~failed & passed).alias("kept"))
+    return docs.withColumn(own, measured(F.col(text), covered)).withColumn(name, verdict).drop(own)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their columns."""
-    return judge(docs, name="_quality").filter("_quality.kept").select(*docs.columns)
+    own = unused(docs, "_quality")
+    return judge(docs, name=own).filter(F.col(own)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])

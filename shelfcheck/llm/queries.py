@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash, sql
+from . import ann, bpe, bytecnn, licenses, mixing, quality, simhash, sql, token_store, url_rules, warc
+from .tables import new_path, written
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +24,26 @@ def op1_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge(_documents(spark, d)).select("doc_id", *map(of, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]))
 
 
+def op2_warc(spark: SparkSession, d: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.write(spark.read.parquet(f"{d}/pages.parquet"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    judged = bytecnn.judged(_documents(spark, d), spark.read.parquet(f"{d}/labels.parquet"), name="score")
+    return judged.select("doc_id", bytecnn.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_url_filters(spark: SparkSession, d: str) -> DataFrame:
+    return url_rules.judged(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")).select("page_id", *[F.col(f"url_verdict.{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
+
+
+def op5_license_scans(spark: SparkSession, d: str) -> DataFrame:
+    found = _documents(spark, d).select("doc_id", licenses.scanned(F.col("text")).alias("found"))
+    return found.select("doc_id", *[F.col(f"found.{c}").alias(c) for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
+
+
 def op6_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return simhash.grouped(_documents(spark, d)).select(
         F.col("own").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
@@ -39,8 +60,39 @@ def op7_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_simhash_near_dedup, op7_bpe)}
+def op8_mixing(spark: SparkSession, d: str) -> DataFrame:
+    # The sizes are counted once; the texts aren't carried along.
+    sized = written(_documents(spark, d, "source").select("doc_id", "source", mixing.words(F.col("text")).alias("words")), "mix-sizes")
+    of = lambda c: F.col(f"mix.{c}").alias(c)
+    return mixing.mixed(sized, F.col("words")).select("doc_id", of("size"), of("source_size"), of("target"), (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
+
+
+def op9_token_store(spark: SparkSession, d: str) -> DataFrame:
+    folder = new_path(spark, "token-blocks")
+    token_store.write(_documents(spark, d), folder, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return token_store.read(spark, folder, digest=True).withColumnRenamed("crc32", "ids_crc32")
+
+
+def op10_nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
+_ALL = (
+    op1_quality_rules,
+    op2_warc,
+    op3_quality_classifier,
+    op4_url_filters,
+    op5_license_scans,
+    op6_simhash_near_dedup,
+    op7_bpe,
+    op8_mixing,
+    op9_token_store,
+    op10_nearest_neighbours,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES = {
     "op1_quality_rules": sql.quality(quality.MOST_COVERED, quality.MOST_IN_LINES, quality.LEAST_WORDS, quality.REPEAT_WINDOW, quality.MOST_REPEAT_PERCENT),
+    "op2_warc": sql.WARC,
+    "op4_url_filters": sql.url_rules(url_rules.LIST, url_rules.PATTERNS),
 }

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .tables import written
+from .tables import unused, written
 from .textbytes import buffers
 
 SHINGLE_WORDS = 4
@@ -245,11 +245,15 @@ def links(values: DataFrame, value: str = "fp", distance: int = DISTANCE, block:
     return small.unionByName(pairs.mapInArrow(_compare(variants), "a bigint, b bigint"))
 
 
+def _id(id_column: str, text: str) -> Column:
+    stand_in = F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    return F.coalesce(F.col(id_column), stand_in).cast("bigint")
+
+
 def grouped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(id, fp, component) for each row of `docs`: component is the smallest id reachable over links, its own included.
     Other columns are not read, so their names don't matter."""
-    stand_in = F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    marked = docs.select(F.coalesce(F.col(id_column), stand_in).cast("bigint").alias("id"), F.col(id_column).alias("own"), fingerprints(F.col(text)).alias("fp"))
+    marked = docs.select(_id(id_column, text).alias("id"), F.col(id_column).alias("own"), fingerprints(F.col(text)).alias("fp"))
     marked = written(marked, "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("id").alias("first"))
     roots = connected(links(marked, "fp", distance), "a", "b")
@@ -262,7 +266,7 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", dist
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, the one with the smallest id; rows that repeat its id are dropped as well."""
-    first = grouped(docs, id_column, text).filter("id = component").select(F.col("id").alias("_kept")).distinct()
-    stand_in = F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    tagged = docs.withColumn("_kept", F.coalesce(F.col(id_column), stand_in).cast("bigint"))
-    return tagged.join(first, "_kept", "left_semi").dropDuplicates(["_kept"]).select(*docs.columns)
+    own = unused(docs, "_kept")
+    first = grouped(docs, id_column, text).filter("id = component").select(F.col("id").alias(own)).distinct()
+    tagged = docs.withColumn(own, _id(id_column, text))
+    return tagged.join(first, own, "left_semi").dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -34,3 +34,30 @@ def quality(covered: Mapping[int, float], in_lines: float, least_words: int, win
             coalesce(lines.chars, 0) <= {in_lines} * word_chars and {within} as passed
             from base left join lines using (doc_id) {joins})
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and passed as kept from measured"""
+
+
+def url_rules(rules, patterns) -> str:
+    """Every list rule and every pattern rule tried on every URL."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    listed = ", ".join(f"({text(r.rule)}, {text(r.rule.partition('/')[0])}, {text('/' + r.rule.partition('/')[2])}, {text(r.verdict)})" for r in rules)
+    matches = " or ".join(f"regexp_matches(lower(url), {text(p.pattern)})" for p in patterns)
+    return rf"""
+        with urls as (select page_id, url,
+            coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+            coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path from pages)
+        , rules(rule, rule_host, rule_path, verdict) as (values {listed})
+        , fit as (select page_id, arg_max(rule, len(rule)) as rule, arg_max(verdict, len(rule)) as verdict from urls join rules
+            on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by page_id)
+        select page_id, host, path, rule, coalesce(verdict, case when {matches} then 'block' else 'allow' end) as verdict
+        from urls left join fit using (page_id)"""
+
+
+WARC = """
+    with pages_ as (select page_id, encode(coalesce(html, '')) as payload from pages)
+    , copies as (select payload, max(page_id) as response from pages_ group by payload)
+    , hashed as (select p.page_id, octet_length(payload)::bigint as payload_bytes, sha1(payload) as h, c.response from pages_ p join copies c using (payload))
+    select page_id, payload_bytes,
+        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::integer >> (5 * (3 - i % 4)))::integer & 31), 1)), '') as payload_digest,
+        case when page_id = response then 'response' else 'revisit' end as record_type,
+        case when page_id <> response then response end as refers_to
+    from hashed"""
