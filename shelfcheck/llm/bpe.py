@@ -39,28 +39,41 @@ def lower(text: str) -> str:
     return text.lower() if "Σ" not in text else "Σ".join(x.lower() for x in text.split("Σ")).replace("Σ", "σ")
 
 
-def merge(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """`symbols` after all merges; `merges`: (left, right) to (rank, merged)."""
+def merge(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
+    """`symbols` after all merges. `ranks`: left << 32 | right to the rank of that merge; `merged`: the new symbol by rank.
+
+    A queue entry is rank << 32 | place of the left symbol. It is stale unless the pair that begins at its place still has
+    its rank, which `waiting` keeps."""
     n = len(symbols)
     if n < 2:
         return symbols
     symbol, after, before = symbols[:], [*range(1, n), -1], [*range(-1, n - 1)]
-    queue = [(*found, i) for i, pair in enumerate(zip(symbol, symbol[1:])) if (found := merges.get(pair))]
+    get = ranks.get
+    waiting = [get(a << 32 | b, -1) for a, b in zip(symbols, symbols[1:])]
+    queue = [r << 32 | i for i, r in enumerate(waiting) if r >= 0]
+    waiting.append(-1)
     heapify(queue)
     while queue:
-        rank, new, i = heappop(queue)
+        entry = heappop(queue)
+        i, rank = entry & 0xFFFFFFFF, entry >> 32
+        if waiting[i] != rank:
+            continue
         j = after[i]
-        if symbol[i] < 0 or j < 0 or merges.get((symbol[i], symbol[j])) != (rank, new):
-            continue  # stale
-        symbol[i], symbol[j] = new, -1
-        k = after[i] = after[j]
+        symbol[i] = new = merged[rank]
+        symbol[j] = waiting[j] = -1
+        after[i] = k = after[j]
         if k >= 0:
             before[k] = i
-            if found := merges.get((new, symbol[k])):
-                heappush(queue, (*found, i))
+            waiting[i] = r = get(new << 32 | symbol[k], -1)
+            if r >= 0:
+                heappush(queue, r << 32 | i)
+        else:
+            waiting[i] = -1
         h = before[i]
-        if h >= 0 and (found := merges.get((symbol[h], new))):
-            heappush(queue, (*found, h))
+        if h >= 0:
+            waiting[h] = r = get(symbol[h] << 32 | new, -1)
+            if r >= 0:
+                heappush(queue, r << 32 | h)
     return [x for x in symbol if x >= 0]
 
 
@@ -83,47 +96,70 @@ class Bpe:
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         self.letters = byte_letters()
         self.vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(x if isinstance(x, list) else x.split(" ") for x in model["merges"]):
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        pairs = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+        self.ranks = {self.vocab[a] << 32 | self.vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.merged = [self.vocab[a + b] for a, b in pairs]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.plain = [self.vocab.get(x) for x in self.letters]
         self.last = [self.vocab.get(x + self.suffix) for x in self.letters]
         names = {i: x for x, i in [*self.vocab.items(), *self.special.items()]}
-        self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.large_string())
+        self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
+        self.other_space = regex.compile(r"[^\S ]").search
         self.known: dict[str, list[int]] = {}
 
     @staticmethod
     def _nfc():
-        return lambda text: unicodedata.normalize("NFC", text)
+        return lambda text: text if text.isascii() else unicodedata.normalize("NFC", text)
 
     @staticmethod
     def _replace(step: dict):
         pattern = regex.compile(step["pattern"]["Regex"])
-        return lambda text: pattern.sub(lambda _: step["content"], text)
+        content = step["content"]
+        return lambda text: pattern.sub(lambda _: content, text) if pattern.search(text) else text
 
     def word(self, word: str) -> list[int]:
         data = word.encode()
         symbols = [*map(self.plain.__getitem__, data[:-1]), self.last[data[-1]]]
-        return merge([x for x in symbols if x is not None], self.merges)
+        if None in symbols:
+            symbols = [x for x in symbols if x is not None]
+        return merge(symbols, self.ranks, self.merged)
 
-    def segment(self, text: str) -> list[int]:
-        """Ids of a text without special tokens."""
+    def normalized(self, text: str) -> str:
         for step in self.steps:
             text = step(text)
+        return text
+
+    def split(self, text: str) -> list[int]:
+        """Ids of a normalized text."""
         out: list[int] = []
-        for word in self.words(text):
-            if (ids := self.known.get(word)) is None:
+        known = self.known
+        for word in [text] if text.isascii() and text.isalpha() else self.words(text):
+            if (ids := known.get(word)) is None:
                 ids = self.word(word)
                 if len(word) <= 32:
-                    if len(self.known) >= 200_000:
-                        self.known.clear()
-                    self.known[word] = ids
+                    if len(known) >= 200_000:
+                        known.clear()
+                    known[word] = ids
             out += ids
         return out
 
+    def segment(self, text: str) -> list[int]:
+        """Ids of a text without special tokens."""
+        return self.split(self.normalized(text))
+
+    def stretches(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of stretches without ASCII spaces. If they hold neither other spaces nor special tokens, they are
+        normalized together, with blanks between that no step changes."""
+        texts = [x.decode() for x in pieces]
+        joined = " ".join(texts)
+        if self.other_space(joined) or any(x in joined for x in self.special):
+            return [self.encode(x) for x in texts]
+        return [self.split(x) for x in self.normalized(joined).split(" ")]
+
     def encode(self, text: str) -> list[int]:
+        if not any(x in text for x in self.special):
+            return self.segment(text)
         out, begin = [], 0
         for m in self.at_special.finditer(text):
             out += self.segment(text[begin : m.start()])
@@ -133,15 +169,20 @@ class Bpe:
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The vocabulary strings of each list, joined by a blank."""
-        mask = ids.is_null() if ids.null_count else None
-        tokens = self.names.take(ids.values)
-        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, tokens.cast(pa.string()), mask=mask), " ")
+        parts = [pa.array([], pa.string())]
+        for i in range(0, len(ids), 256):  # bounds the lists of strings
+            part = ids[i : i + 256]
+            first, last = part.offsets[0].as_py(), part.offsets[-1].as_py()
+            names = self.names.take(ids.values.slice(first, last - first))
+            tokens = pa.ListArray.from_arrays(pc.subtract(part.offsets, first), names, mask=part.is_null() if part.null_count else None)
+            parts.append(pc.binary_join(tokens, " "))
+        return pa.concat_arrays(parts)
 
 
 def _worker(source: str) -> tuple[Bpe, Pieces]:
     def make():
         bpe = Bpe(source)
-        return bpe, Pieces(lambda pieces: [bpe.encode(x.decode()) for x in pieces])
+        return bpe, Pieces(bpe.stretches)
 
     return kept_by_worker(("bpe", hash(source)), make)
 
