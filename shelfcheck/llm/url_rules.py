@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 ALLOW, BLOCK = "allow", "block"
 
 
+def compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern.replace("$", r"\Z"))
+
+
 class ListRule(NamedTuple):
     verdict: str
     rule: str  # host and path, as `example.com/en/`
@@ -31,7 +35,7 @@ class ListRule(NamedTuple):
 
 class PatternRule(NamedTuple):
     tokens: tuple[str, ...]  # every URL that matches holds all of them as whole tokens
-    pattern: str  # of the syntax that Python's re and RE2 share
+    pattern: str  # of the syntax that Python's re and RE2 share; `$` is the end of the URL
 
 
 # The list.
@@ -129,7 +133,7 @@ def matched(url: Column, rules: Sequence[PatternRule], counts: dict[str, int]) -
     patterns = [r.pattern for r in rules]
 
     def run(urls: pa.Array) -> pa.Array:
-        compiled = [re.compile(p) for p in patterns]
+        tried = [compiled(p) for p in patterns]
         out: list[int | None] = []
         for u in urls.to_pylist():
             if u is None:
@@ -137,7 +141,7 @@ def matched(url: Column, rules: Sequence[PatternRule], counts: dict[str, int]) -
                 continue
             u = u.lower()
             candidates = {*always, *(i for t in {*_TOKEN(u)} & filed.keys() for i in filed[t])}
-            out.append(next((i for i in sorted(candidates) if compiled[i].search(u)), None))
+            out.append(next((i for i in sorted(candidates) if tried[i].search(u)), None))
         return pa.array(out, pa.int32())
 
     return F.arrow_udf(run, "int")(url)
