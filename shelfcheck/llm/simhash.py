@@ -261,6 +261,8 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", dist
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     classes = linked.join(least, "root").select("fp", "least")
     classes = nodes.join(classes, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"))
+    # A table of its own: the join back then shuffles for itself alone, and Spark can split the copies of one text.
+    classes = written(classes, "simhash-components")
     return marked.join(classes, "fp").select("id", "own", "fp", "component")
 
 
