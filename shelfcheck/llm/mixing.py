@@ -106,7 +106,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats
     return df.withColumn("_mix_first", first).select(*_SOURCE, "_mix_total", F.least(capped, F.coalesce(share.cast("double"), capped)).alias("_mix_target"))
 
 
-def _plan(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _plan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("_mix_size")  # so that reruns agree
     copies, once_more = fit(rows["_mix_size"].to_numpy(), rows["_mix_n"].to_numpy(), float(rows["_mix_target"].iloc[0]))
     return rows[_CELL].assign(_mix_copies=copies, _mix_more=once_more)
 
