@@ -126,10 +126,10 @@ OTHERS = (
     ("isc", 3, 0.9, "permission", "permission~to~use~copy~modify~and~(?:or~)?distribute~this~software~for~any~purpose~with~or~without~fee"),
     ("bsd", 3, 0.85, "redistribution", "redistribution~and~use~in~source~and~binary~forms~with~or~without~modification"),
     ("zlib", 3, 0.9, "altered", "altered~source~versions~must~be~plainly~marked~as~such"),
-    ("wtfpl", 3, 0.9, "you just", "you~just~do~what~the~f[a-z*]+~you~want~to"),
+    ("wtfpl", 3, 0.9, "just", "you~just~do~what~the~f[a-z*]+~you~want~to"),
     ("unlicense", 3, 0.9, "unencumbered", "free~and~unencumbered~software~released~into~the~public~domain"),
-    ("public-domain", 3, 0.8, "public domain", "(?:dedicated|released|placed)~(?:to|into|in)~the~public~domain"),
-    ("proprietary", 3, 0.6, "all rights", "all~rights~reserved"),
+    ("public-domain", 3, 0.8, "domain", "(?:dedicated|released|placed)~(?:to|into|in)~the~public~domain"),
+    ("proprietary", 3, 0.6, "reserved", "all~rights~reserved"),
     ("proprietary", 3, 0.8, "proprietary", "proprietary~and~confidential"),
     ("cc", 1, 0.5, "creative", "creative~commons(?:~licen[cs]e)?"),
     ("gpl", 1, 0.5, "gpl", "gnu~gpl"),
