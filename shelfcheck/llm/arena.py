@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable, Hashable, Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -22,13 +23,18 @@ def kept_by_worker(key: Hashable, make: Callable):
     return home.held[key]
 
 
+class _Slots(dict):
+    def __missing__(self, key) -> int:
+        return -1
+
+
 class Pieces:
-    def __init__(self, encode: Callable[[list], Sequence[Sequence[int]]], most: int = 300_000):
+    def __init__(self, encode: Callable[[list], Sequence[Sequence[int]]], most: int = 500_000):
         self.encode, self.most = encode, most
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict = {}
+        self.slot = _Slots()
         self.start = np.zeros(1024, np.int64)
         self.size = np.zeros(1024, np.int64)
         self.ids = np.zeros(4096, np.int32)
@@ -37,7 +43,7 @@ class Pieces:
     def _add(self, pieces: list) -> None:
         found = self.encode(pieces)
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.int32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
         at = len(self.slot)
         for name, need in (("start", at + len(found)), ("size", at + len(found)), ("ids", self.used + len(flat))):
             if need > len(old := getattr(self, name)):
@@ -52,15 +58,14 @@ class Pieces:
 
     def lookup(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces one after the other, number of ids of each piece)."""
-        if len(self.slot) > self.most or self.used > 8 * self.most:
+        if len(self.slot) >= self.most or self.used > 8 * self.most:
             self._clear()
-        get = self.slot.get
-        slots = [get(x, -1) for x in pieces]
-        at = np.array(slots, np.int64)
+        slot = self.slot.__getitem__
+        at = np.fromiter(map(slot, pieces), np.int64, len(pieces))
         if len(missing := np.flatnonzero(at < 0)):
-            self._add(list(dict.fromkeys(pieces[i] for i in missing.tolist())))
-            get = self.slot.__getitem__
-            at[missing] = [get(pieces[i]) for i in missing.tolist()]
+            absent = [pieces[i] for i in missing.tolist()]
+            self._add(list(dict.fromkeys(absent)))
+            at[missing] = list(map(slot, absent))
         size = self.size[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0

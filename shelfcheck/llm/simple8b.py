@@ -15,18 +15,26 @@ ESCAPE = 0
 
 _COUNT = np.array([n for _, n in SELECTORS], np.int64)
 _LOW = np.uint64((1 << 60) - 1)
+_WIDTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)  # bits of small values
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    if not len(values) or values.max() < len(_WIDTHS):
+        return _WIDTHS[values.astype(np.int64)]
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)  # may be one more than needed above 2**53
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, escaped values) of an array of unsigned integers."""
     values = np.asarray(values, np.uint64)
     n = len(values)
-    bits = np.frexp(values.astype(np.float64))[1].astype(np.uint8)  # may be one more than needed above 2**53
+    bits = _bits(values)
     choice = np.where(bits > 60, ESCAPE, len(SELECTORS) - 1).astype(np.uint8)
+    least = int(bits.min(initial=64))
     widest, span = bits, 1  # the largest of `span` values from each place on
     for selector in range(len(SELECTORS) - 2, 0, -1):
         width, count = SELECTORS[selector]
-        if count > n:
+        if count > n or width < least:
             break
         while span * 2 <= count:
             widest = np.maximum(widest[: len(widest) - span], widest[span:])
@@ -48,8 +56,8 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if selector == ESCAPE:
             words[here] |= np.arange(len(start), dtype=np.uint64)
         elif width:
-            packed = np.zeros(len(start), np.uint64)
-            for j in range(count):
+            packed = values[start]
+            for j in range(1, count):
                 packed |= values[start + j] << np.uint64(j * width)
             words[here] |= packed
     return words, values[at[chosen == ESCAPE]]

@@ -11,6 +11,7 @@ between equal ones. Null ids come first. Null texts count as empty: they hold th
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .arena import Pieces, kept_by_worker
+from .bpe import byte_letters
 from .textbytes import slices
 
 BLOCK_IDS = 1 << 16
@@ -30,27 +32,64 @@ BLOCKS = "part int, block int, ids_before bigint, words_before bigint, n_ids big
 
 # First and last code points of the runs with Unicode's White_Space property.
 WHITE_SPACE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
+# Fixed value: the pattern by which byte-level tokenizers of this kind split text.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _BLANK = "".join(f"{chr(a)}-{chr(b)}" for a, b in WHITE_SPACE)
 _PIECES = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+").findall
 
 
-def _encoder(source: str) -> Pieces:
-    """Byte-level BPE splits text where white space follows anything else, so the pieces between can be encoded one by one."""
+class _Encoder:
+    """The library's ids of stretches of text. Each is split by the library's published pattern and its byte-level pieces
+    go through the library's model, known ones from a table; the tokenizer itself takes whole those that hold a special
+    token or a character above `PLAIN`, where its Unicode tables may differ from this pattern's."""
+
+    PLAIN = "\u024f"
 
-    def make() -> Pieces:
+    def __init__(self, source: str):
+        import regex
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(source)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        return Pieces(lambda pieces: [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+        self.tokenizer = Tokenizer.from_str(source)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.special = [x["content"] for x in json.loads(source)["added_tokens"]]
+        self.split = regex.compile(SPLIT).findall
+        self.letters = dict(enumerate(byte_letters()))
+        self.known: dict[str, list[int]] = {}
+
+    def piece(self, piece: str) -> list[int]:
+        if piece.isascii() and piece.isprintable():
+            return [t.id for t in self.model.tokenize(piece.replace(" ", self.letters[0x20]))]
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+
+    def plain(self, text: str) -> list[int]:
+        out: list[int] = []
+        known = self.known
+        for piece in [text] if text.isascii() and text[text[0] == " " :].isalpha() else self.split(text):
+            if (ids := known.get(piece)) is None:
+                if len(known) >= 200_000:
+                    known.clear()
+                ids = known[piece] = self.piece(piece)
+            out += ids
+        return out
+
+    def __call__(self, stretches: list[str]) -> list[list[int]]:
+        joined = "".join(stretches)
+        odd = any(s in joined for s in self.special)
+        whole = [i for i, x in enumerate(stretches) if not x.isascii() and max(x) > self.PLAIN or odd and any(s in x for s in self.special)]
+        out: list = [None] * len(stretches)
+        for i, x in zip(whole, self.tokenizer.encode_batch_fast([stretches[i] for i in whole], add_special_tokens=False)):
+            out[i] = x.ids
+        return [self.plain(x) if ids is None else ids for x, ids in zip(stretches, out)]
 
-    return kept_by_worker(("byte-level", hash(source)), make)
 
+def _encoder(source: str) -> Pieces:
+    """Byte-level BPE splits text where white space follows anything else, so the stretches between are encoded one by one."""
+    return kept_by_worker(("byte-level", hash(source)), lambda: Pieces(_Encoder(source)))
 
-def _check(source: str) -> None:
-    import json
 
+def _check(source: str) -> None:
     spec = json.loads(source)
     pre = spec["pre_tokenizer"] or {}
     if spec["normalizer"] or spec["post_processor"] or (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex")) != ("ByteLevel", False, True):
