@@ -6,7 +6,10 @@ Everything after it (fields, prices, structured data) is native columns in `oper
 from __future__ import annotations
 
 import json
+import re
 import sys
+from bisect import bisect_right
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -45,46 +48,56 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _ARROW_SCAN = to_arrow_type(SCAN)
 
 
+# Elements whose content is text up to their end tag, with character references.
+RAW_TEXT = {"title", "textarea"}
+
+
 class _Open:
-    __slots__ = ("tag", "number", "children", "record", "buffer", "hook")
+    __slots__ = ("tag", "number", "children", "record", "text_from", "hook")
 
     def __init__(self, tag, number, record, hook):
         self.tag, self.number, self.children, self.record, self.hook = tag, number, 0, record, hook
-        self.buffer = None
+        self.text_from = None  # where its text begins among the page's, if it is wanted
 
 
 class PageScan(HTMLParser):
+    """One pass with constant work per tag: the places of open elements are kept per tag name."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open = [_Open("", 0, None, None)]
-        self.count = 0
+        self.places = {}  # tag to the places of its open elements, in order
+        self.inside = []  # hooks of the open containers
+        self.count = self.wanted_open = 0
+        self.headings = 0
         self.seen = set()
-        self.buffers = []
+        self.texts = []
         self.elements = []
         self.blocks = []
 
     def handle_starttag(self, tag, attrs):
         self._imply_ends(tag)
-        a = dict(attrs)
+        a = {}
+        for name, value in attrs:
+            a.setdefault(name, value)  # of a repeated attribute the first counts
         hook = a.get("data-testid")
         parent = self.open[-1]
         parent.children += 1
         if parent.record is not None:
             parent.record["leaf"] = False
         self.count += 1
-        inside = [o.hook for o in self.open if o.hook]
         struck = "line-through" in (a.get("class") or "").split()
         record = None
         wanted = (
             tag in ("title", "h1", "meta", "link")
             or (hook is not None and (hook in HOOKS or hook.startswith(HOOK_PREFIX_TAB)))
-            or WITHIN.get(tag) in inside
-            or (struck and "pdp-price-block" in inside)
+            or WITHIN.get(tag) in self.inside
+            or (struck and "pdp-price-block" in self.inside)
         )
         if wanted:
             record = {
                 "tag": tag, "hook": hook, "key": a.get("name") if a.get("name") in NAMED else a.get("property") or a.get("rel"),
-                "value": a.get("content") or a.get("href") or a.get("alt"), "text": None, "inside": inside,
+                "value": a.get("content") or a.get("href") or a.get("alt"), "text": None, "inside": list(self.inside),
                 "parent": parent.number, "nth": parent.children, "leaf": True,
                 "selected": "true" in (a.get("aria-checked"), a.get("aria-selected")), "struck": struck,
             }
@@ -94,47 +107,56 @@ class PageScan(HTMLParser):
         first = hook in CONTAINERS and hook not in self.seen
         if first:
             self.seen.add(hook)
+            self.inside.append(hook)
         element = _Open(tag, self.count, record, hook if first else None)
-        if record is not None or (tag == "script" and a.get("type") == "application/ld+json"):
-            element.buffer = []
-            self.buffers.append(element.buffer)
+        # Of headings only the first one's text is used; the others are counted.
+        self.headings += tag == "h1"
+        if (record is not None and (tag != "h1" or hook or self.headings == 1)) or (tag == "script" and a.get("type") == "application/ld+json"):
+            element.text_from = len(self.texts)
+            self.wanted_open += 1
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append(element)
+        if tag in RAW_TEXT:
+            self.set_cdata_mode(tag)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                while len(self.open) > i:
-                    self._close()
-                return
+        places = self.places.get(tag)
+        if places:
+            self._close_to(places[-1])
 
     def handle_data(self, data):
-        for buffer in self.buffers:
-            buffer.append(data)
+        if self.wanted_open:
+            self.texts.append(unescape(data) if self.open[-1].tag in RAW_TEXT else data)
 
     def finish(self):
         self.close()
-        while len(self.open) > 1:
-            self._close()
+        self._close_to(1)
 
     def _imply_ends(self, tag):
         ended = IMPLIED_END.get(tag) or ({"p"} if tag in ENDS_PARAGRAPH else ())
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in ended:
-                while len(self.open) > i:
-                    self._close()
-            elif self.open[i].tag in FENCES:
-                return
-
-    def _close(self):
-        element = self.open.pop()
-        if element.buffer is None:
+        if not ended:
             return
-        self.buffers.pop()
-        text = "".join(element.buffer)
-        if element.record is not None:
-            element.record["text"] = text
-        else:
-            self.blocks.append(text)
+        fence = max((p[-1] for t in FENCES if (p := self.places.get(t))), default=0)
+        beyond = [p[bisect_right(p, fence)] for t in ended if (p := self.places.get(t)) and p[-1] > fence]
+        if beyond:
+            self._close_to(min(beyond))
+
+    def _close_to(self, place):
+        while len(self.open) > place:
+            element = self.open.pop()
+            self.places[element.tag].pop()
+            if element.hook:
+                self.inside.remove(element.hook)
+            if element.text_from is None:
+                continue
+            self.wanted_open -= 1
+            text = "".join(self.texts[element.text_from :])
+            if element.record is not None:
+                element.record["text"] = text
+            else:
+                self.blocks.append(text)
+        if not self.wanted_open:
+            self.texts.clear()
 
 
 def _whole(text: str):
@@ -180,3 +202,24 @@ def _scan_pages(html: pa.Array) -> pa.Array:
 # Declared nondeterministic so that filters on what is read from a page are not pushed below the scan,
 # which would run it twice.
 scan_pages = _scan_pages.asNondeterministic()
+
+
+# A block of structured data ends at the first end tag of a script, whatever stands in it; one that never ends isn't read.
+_BLOCKS = re.compile(r"""<!--.*?(?:-->|\Z)|<script\b(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*)>(?P<body>.*?)</script\b""", re.S | re.I)
+_STRUCTURED = re.compile(r"""(?:^|\s)type\s*=\s*(?:"application/ld\+json"|'application/ld\+json'|application/ld\+json(?=\s|$))""", re.I)
+
+
+def nodes(html: str | None) -> list[str]:
+    """The objects of a page's structured data, without reading the rest of its markup."""
+    if not html or "ld+json" not in html:
+        return []
+    found = [m["body"] for m in _BLOCKS.finditer(html) if m["body"] is not None and _STRUCTURED.search(m["attributes"])]
+    return [n for body in found for n in object_nodes(body)]
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _page_nodes(html: pa.Array) -> pa.Array:
+    return pa.array([nodes(h.as_py()) for h in html], type=pa.list_(pa.string()))
+
+
+page_nodes = _page_nodes.asNondeterministic()

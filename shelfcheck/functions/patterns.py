@@ -78,6 +78,13 @@ HOOKS = [
     "condition-details-notes", "pdp-description",
 ]
 
+# Amounts on a page, and what stands between the names of a category trail.
+PAGE_AMOUNT = r"£[\s\xa0]?[\d,]+(?:\.\d{1,2})?"
+TRAIL_SEPARATOR = r"^[>/›·]\z"
+# Sitemap elements.
+SITEMAP_LOCATION = r"<loc>\s*([^<\s]+)\s*</loc>"
+SITEMAP_CHANGED = r"<lastmod>\s*([^<\s]+)\s*</lastmod>"
+
 # --- end of fixed values ----------------------------------------------------
 
 # Whitespace as browsers define it, spelled out so that no-break spaces count.

@@ -64,35 +64,72 @@ _ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 _HOST_OK = r"^(?:[^/?#@]*@)?(?:[^\s#%/:<>?@\[\\\]^|]+|\[[0-9A-Fa-f:.]+\])(?::\d*)?\z"
 
 
+# What a URL parser encodes in a path: controls, blank, quote, angle brackets, back-tick, braces, caret and all beyond ASCII.
+_UNSAFE = r"[^\x21\x23-\x3B\x3D\x3F-\x5D\x5F\x61-\x7A\x7C\x7E]"
+_SAFE_RUN = r"[\x21\x23-\x3B\x3D\x3F-\x5D\x5F\x61-\x7A\x7C\x7E]+"
+
+
+def tidy_url(url: Column) -> Column:
+    """The URL as parsers read it: edges and line breaks dropped, back-slashes before the query are slashes."""
+    bare = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
+    mended = lambda u: F.concat(F.replace(_drop_query(u), F.lit("\\"), F.lit("/")), F.regexp_extract(u, r"([?#][\s\S]*)", 1))
+    return let(bare, lambda u: F.when(F.contains(u, F.lit("\\")), mended(u)).otherwise(u))
+
+
+def encoded_path(path: Column) -> Column:
+    """Percent-encode what a URL's path can't hold; what is encoded already stays as it is."""
+    encoded = lambda x: F.when(x.rlike(_UNSAFE), F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))).otherwise(x)
+    pieces = lambda p: F.regexp_extract_all(p, F.lit(f"({_SAFE_RUN}|{_UNSAFE})"), F.lit(1))
+    return let(path, lambda p: F.when(p.rlike(_UNSAFE), F.array_join(F.transform(pieces(p), encoded), "")).otherwise(p))
+
+
+def instant(text: Column) -> Column:
+    """An ISO date or time as a timestamp; without a zone it is UTC, whatever the session's zone."""
+    day = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"^([+-]?\d{4,6})\z", "$1-01-01"), r"^([+-]?\d{4,6}-\d{1,2})\z", "$1-01"), r"^([+-]?\d{4,6}-\d{1,2}-\d{1,2})\z", "$1T00:00:00")
+    zoned = lambda t: F.when(t.rlike(r"[T ].*([zZ]|UTC|GMT|[+-]\d{1,2}(:?\d{2})?)\z"), t).otherwise(F.concat(t, F.lit("Z")))
+    return F.when(text.rlike(r"^[+-]?\d{4}"), let(day(text), zoned).try_cast("timestamp"))
+
+
 def _drop_query(c: Column) -> Column:
     return F.regexp_replace(c, r"[?#][\s\S]*", "")
 
 
 def _without_dots(path: Column) -> Column:
     """Resolve `.` and `..` segments."""
-    parts = F.split(path, "/")
-    dot_last = path.rlike(r"/\.\.?\z")
-    kept = F.aggregate(
-        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    joined = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(dot_last & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
-    return F.when(path.rlike(r"/\.\.?(/|\z)"), joined).otherwise(path)
+
+    def resolved(p: Column) -> Column:
+        parts = F.split(p, "/")
+        kept = F.aggregate(
+            F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(s == ".", acc)
+            .otherwise(F.concat(acc, F.array(s))),
+        )
+        ends_open = p.rlike(r"/\.\.?\z")
+        return let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(ends_open & (F.size(k) > 0), F.lit("/")).otherwise(F.lit(""))))
+
+    return let(path, lambda p: F.when(p.rlike(r"/\.\.?(/|\z)"), resolved(p)).otherwise(p))
+
+
+def _host_of(tidy: Column) -> Column:
+    authority = F.regexp_extract(tidy, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    return let(authority, lambda a: F.when(a.rlike(_HOST_OK), F.lower(F.regexp_replace(a, r"^[^@]*@", ""))))
+
+
+def _path_of(tidy: Column) -> Column:
+    rest = F.regexp_replace(_drop_query(tidy), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
+    return F.when(_host_of(tidy).isNotNull(), encoded_path(_without_dots(F.coalesce(F.nullif(rest, F.lit("")), F.lit("/")))))
 
 
 def url_host(url: Column) -> Column:
     """Host (with port) of an absolute URL, lower case; NULL when the URL has none or it is malformed."""
-    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    return F.when(authority.rlike(_HOST_OK), F.lower(F.regexp_replace(authority, r"^[^@]*@", "")))
+    return _host_of(tidy_url(url))
 
 
 def url_path(url: Column) -> Column:
-    """Path of an absolute URL; `/` when it has none, NULL when the URL is malformed."""
-    rest = F.regexp_replace(_drop_query(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
-    return F.when(url_host(url).isNotNull(), _without_dots(F.when(rest == "", F.lit("/")).otherwise(rest)))
+    """Percent-encoded path of an absolute URL; `/` when it has none, NULL when the URL is malformed."""
+    return let(tidy_url(url), _path_of)
 
 
 def url_path_and_query(url: Column) -> Column:
@@ -102,17 +139,19 @@ def url_path_and_query(url: Column) -> Column:
 
 def resolved_path(ref: Column, base: Column) -> Column:
     """Path that `ref` has when resolved against the absolute URL `base`; NULL when it is no valid URL."""
-    base_path = url_path(base)
-    bare = _drop_query(ref)
-    folder = F.regexp_replace(base_path, r"[^/]*\z", "")
-    return (
-        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), url_path(ref))
-        .when(ref.rlike(r"^//"), url_path(F.concat(F.lit("https:"), ref)))
-        .when(ref.rlike(_ABSOLUTE), F.regexp_replace(bare, _ABSOLUTE, ""))
-        .when(bare == "", base_path)
-        .when(bare.startswith("/"), _without_dots(bare))
-        .otherwise(_without_dots(F.concat(folder, bare)))
-    )
+
+    def resolved(r: Column) -> Column:
+        bare, folder = _drop_query(r), F.regexp_replace(url_path(base), r"[^/]*\z", "")
+        relative = F.when(F.startswith(bare, F.lit("/")), bare).otherwise(F.concat(folder, bare))
+        absolute = F.when(r.rlike(r"^//"), F.concat(F.lit("https:"), r)).otherwise(r)
+        return (
+            F.when(r.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:)?//"), let(absolute, _path_of))
+            .when(r.rlike(_ABSOLUTE), F.regexp_replace(bare, _ABSOLUTE, ""))
+            .when(bare == "", url_path(base))
+            .otherwise(encoded_path(_without_dots(relative)))
+        )
+
+    return let(tidy_url(ref), resolved)
 
 
 def slug_of(url: Column) -> Column:

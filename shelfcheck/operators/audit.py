@@ -13,7 +13,7 @@ from .rules import RULES, Rule, prepare
 
 
 def _as_of(now: datetime | str | None) -> Column:
-    return F.current_timestamp() if now is None else F.lit(str(now)).cast("timestamp")
+    return F.current_timestamp() if now is None else T.instant(F.lit(str(now)))
 
 
 def _hit(rule: Rule, texts: bool) -> Column:
@@ -104,7 +104,7 @@ def tallies(checked: DataFrame) -> DataFrame:
 
 
 SEGMENTS = [
-    ("thin-feed", "Thin feed import", "Generic specifications only, fewer than 100 characters of copy and a single image: a feed imported as it came."),
+    ("thin-feed", "Bare import", "Generic specifications only, fewer than 100 characters of copy and a single image: a feed imported as it came."),
     ("no-copy", "No copy", "Neither description nor specifications."),
     ("standard", "Standard", "None of the import signatures."),
 ]

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as T
 from .ranking import number_rows
 
 # --- sitemaps -----------------------------------------------------------------------
 
-_LOC = r"<loc>\s*([^<\s]+)\s*</loc>"
 
 
 def _decoded(c: Column) -> Column:
@@ -23,15 +23,14 @@ def _blocks(sitemaps: DataFrame, tag: str) -> DataFrame:
     found = F.regexp_extract_all("body", F.lit(rf"<{tag}>([\s\S]*?)</{tag}>"), F.lit(1))
     rest = [c for c in sitemaps.columns if c != "body"]
     return sitemaps.select(*rest, F.posexplode(found).alias("entry", "block")).withColumn(
-        "url", _decoded(F.nullif(F.regexp_extract("block", _LOC, 1), F.lit("")))
+        "url", _decoded(F.nullif(F.regexp_extract("block", P.SITEMAP_LOCATION, 1), F.lit("")))
     )
 
 
 def sitemap_entries(sitemaps: DataFrame) -> DataFrame:
     """(host, pos, body) to one row per listed url with its place and `lastmod`; blocks without a location are skipped."""
-    stamp = F.nullif(F.regexp_extract("block", r"<lastmod>\s*([^<\s]+)\s*</lastmod>", 1), F.lit(""))
-    lastmod = F.when(stamp.rlike(r"^[+-]?\d{4}"), stamp.try_cast("timestamp"))
-    return _blocks(sitemaps, "url").where(F.col("url").isNotNull()).withColumn("lastmod", lastmod).drop("block")
+    stamp = F.nullif(F.regexp_extract("block", P.SITEMAP_CHANGED, 1), F.lit(""))
+    return _blocks(sitemaps, "url").where(F.col("url").isNotNull()).withColumn("lastmod", T.instant(stamp)).drop("block")
 
 
 def child_sitemaps(sitemaps: DataFrame) -> DataFrame:
@@ -64,8 +63,14 @@ def crawl_order(entries: DataFrame, fetched: DataFrame, limit: int | None = 25,
 # --- robots ---------------------------------------------------------------------------
 
 
+def newest_robots(robots: DataFrame) -> DataFrame:
+    """One fetch per host: the newest by `fetched_at`, at equal times the one that sorts last. Hosts are compared in lower case."""
+    host = F.lower("host").alias("host")
+    return robots.groupBy(host).agg(F.max_by(F.struct("http_status", "body"), F.struct("fetched_at", "http_status", "body")).alias("_last")).select("host", "_last.*")
+
+
 def robots_lines(robots: DataFrame) -> DataFrame:
-    """Directives of each body: host, line, group (0 before any agent line), key, value. Consecutive agent lines share a group."""
+    """Directives of each host's body (one per host, as `newest_robots` gives): host, line, group (0 before any agent line), key, value. Consecutive agent lines share a group."""
     lines = robots.select("host", F.posexplode(F.split("body", "\r?\n")).alias("line", "text"))
     text = T.clean(F.regexp_replace("text", "#.*", ""))
     split = (
@@ -73,7 +78,7 @@ def robots_lines(robots: DataFrame) -> DataFrame:
         .where(F.contains("text", F.lit(":")))
         .select("host", "line", F.trim(F.lower(F.split_part("text", F.lit(":"), F.lit(1)))).alias("key"), F.trim(F.regexp_replace("text", "^[^:]*:", "")).alias("value"))
     )
-    # A window holds the lines of one body, which arrived as one row.
+    # A window holds the lines of one body: `robots` has one row per host.
     w = Window.partitionBy("host").orderBy("line")
     agent = F.col("key") == "user-agent"
     starts = agent & ~F.coalesce(F.lag(agent).over(w), F.lit(False))
@@ -118,23 +123,28 @@ def rules_for(robots: DataFrame, user_agent: str) -> DataFrame:
     return chosen.select("host", "_chosen.rules", "_chosen.delay")
 
 
-def _like(pattern: Column) -> Column:
-    """A robots pattern as a LIKE pattern: `*` is any text, a final `$` ends the path, all else is literal."""
+def _fits(path: Column, pattern: Column) -> Column:
+    """Whether a robots pattern fits: `*` is any text, a final `$` ends the path, all else is a literal prefix. Patterns
+    without either, nearly all, are plain prefix tests."""
     body = F.regexp_replace(F.regexp_replace(pattern, r"\$\z", ""), r"([%_\\])", r"\\$1")
     open_end = F.when(pattern.endswith("$"), F.lit("")).otherwise(F.lit("%"))
-    return F.concat(F.replace(body, F.lit("*"), F.lit("%")), open_end)
+    like = F.like(path, F.concat(F.replace(body, F.lit("*"), F.lit("%")), open_end))
+    plain = ~F.contains(pattern, F.lit("*")) & ~pattern.endswith("$")
+    return F.when(plain, F.startswith(path, pattern)).otherwise(like)
 
 
 def admit(urls: DataFrame, robots: DataFrame, user_agent: str) -> DataFrame:
-    """Urls with `allowed` and `delay`. The longest matching pattern decides, allow wins ties.
+    """Urls with `allowed` and `delay`, each row once. The longest matching pattern decides, allow wins ties.
 
-    A robots fetch answered 4xx allows everything; 5xx, or no answer, allows nothing. One body's rules stay
-    together in the host's row, so each url is judged where the join puts it.
+    `robots`: host, http_status, body, fetched_at; the newest fetch of a host counts. One answered 4xx allows
+    everything; 5xx, or no answer, allows nothing. One body's rules stay together in the host's row, so each url is
+    judged where the join puts it.
     """
-    policy = robots.select("host", "http_status").join(rules_for(robots.where("http_status between 200 and 299"), user_agent), "host", "left")
+    newest = newest_robots(robots)
+    policy = newest.select("host", "http_status").join(rules_for(newest.where("http_status between 200 and 299"), user_agent), "host", "left")
     path = T.url_path_and_query(F.col("url"))
     joined = urls.withColumn("host", T.url_host(F.col("url"))).join(policy, "host", "left").withColumn("path", path)
-    matching = F.filter("rules", lambda r: F.like(F.col("path"), _like(r["pattern"])))
+    matching = F.filter("rules", lambda r: _fits(F.col("path"), r["pattern"]))
     decisive = F.array_max(F.transform(matching, lambda r: F.struct(F.length(r["pattern"]).alias("length"), r["allow"].alias("allow"))))
     allowed = (
         F.when(F.col("http_status").between(400, 499), F.lit(True))

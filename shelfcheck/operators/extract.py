@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..functions.page_scan import scan_pages
+from ..functions.page_scan import page_nodes, scan_pages
 
 _TEXTUAL = "^(STRING|TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 
@@ -128,6 +128,13 @@ def with_scan(pages: DataFrame) -> DataFrame:
     return scanned.select(*rest, F.col("scan.elements").alias("elements"), F.filter(nodes, is_product).alias("products"))
 
 
+def with_products(pages: DataFrame) -> DataFrame:
+    """Pages without html, plus `products` alone: only the structured-data blocks of the markup are read."""
+    rest = [c for c in pages.columns if c != "html"]
+    read = pages.withColumn("nodes", page_nodes("html"))
+    return read.select(*rest, F.filter(F.transform("nodes", lambda n: F.try_parse_json(n)), is_product).alias("products"))
+
+
 # --- the listing record -----------------------------------------------------------------
 
 
@@ -147,15 +154,13 @@ def _in(container: str, *tags: str):
     return lambda e: F.array_contains(e["inside"], container) & e["tag"].isin(*tags)
 
 
-_AMOUNT = r"£[\s ]?[\d,]+(?:\.\d{1,2})?"
-
 
 def _category_trail() -> Column:
     trail = F.regexp_replace(T.clean(_hook("pdp-category-trail")), r"(?i)^Category:\s*", "")
     named = F.filter(F.transform(F.split(trail, ">"), lambda c: T.clean(c)), lambda c: c.isNotNull())
     crumbs = F.filter(
         F.transform(F.filter(_all(_in("breadcrumb-trail", "a", "span", "li")), lambda e: e["leaf"]), lambda e: T.clean(e["text"])),
-        lambda c: c.isNotNull() & ~c.rlike(r"^[>/›·]\z"),
+        lambda c: c.isNotNull() & ~c.rlike(P.TRAIL_SEPARATOR),
     )
     inner = F.slice(crumbs, F.lit(2), F.greatest(F.size(crumbs) - 2, F.lit(0)))
     return F.when(F.coalesce(trail, F.lit("")) != "", named).otherwise(inner)
@@ -183,12 +188,12 @@ def _specs() -> Column:
 def _variants() -> Column:
     def variant(e: Column) -> Column:
         text = F.coalesce(T.clean(e["text"]), F.lit(""))
-        bare = F.regexp_replace(text, f"^(.*?){_AMOUNT}", "$1")
+        bare = F.regexp_replace(text, f"^(.*?){P.PAGE_AMOUNT}", "$1")
         bare = F.regexp_replace(bare, "(?i)^(.*?)out of stock", "$1")
         return F.struct(
             F.regexp_replace(e["hook"], "^" + P.HOOK_PREFIX_TAB, "").alias("id"),
             F.coalesce(T.clean(bare), F.lit("")).alias("label"),
-            T.price_from_text(F.regexp_extract(text, f"({_AMOUNT})", 1)).alias("price"),
+            T.price_from_text(F.regexp_extract(text, f"({P.PAGE_AMOUNT})", 1)).alias("price"),
             text.rlike("(?i)out of stock").alias("out_of_stock"),
             e["selected"].alias("selected"),
         )
@@ -239,7 +244,7 @@ def extract_listings(pages: DataFrame) -> DataFrame:
 
 def page_offers(pages: DataFrame) -> DataFrame:
     """Pages plus `offer`: the cheapest priced offer over all Product nodes, NULL when none has a price; and `has_body`."""
-    scanned = with_scan(pages.withColumn("has_body", F.coalesce(F.col("html") != "", F.lit(False))))
+    scanned = with_products(pages.withColumn("has_body", F.coalesce(F.col("html") != "", F.lit(False))))
     offers = F.transform("products", lambda n, i: F.struct(cheapest_offer(n).alias("o"), i.alias("pos"), _text_of(_at(n, "$.name")).alias("title")))
     priced = F.transform(
         F.filter(offers, lambda x: x["o"]["price"].isNotNull()),
@@ -248,7 +253,7 @@ def page_offers(pages: DataFrame) -> DataFrame:
             x["o"]["currency"].alias("currency"), x["o"]["condition"].alias("condition"), x["o"]["availability"].alias("availability"),
         ),
     )
-    rest = [c for c in scanned.columns if c not in ("elements", "products")]
+    rest = [c for c in scanned.columns if c != "products"]
     return scanned.select(*rest, F.size("products").alias("product_count"), F.array_min(priced).alias("offer"))
 
 

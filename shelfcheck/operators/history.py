@@ -12,10 +12,10 @@ def price_changes(feed: DataFrame, piece: Column | None = None) -> DataFrame:
     """Rows of the feed whose (price, availability) differs from the product's previous priced row.
 
     Comparing with the previous row is the same as comparing with the last kept one, since an unchanged
-    row equals it. `piece` (a day by default) cuts a product's rows so that a busy one spreads over tasks.
+    row equals it. `piece` (an hour by default) cuts a product's rows so that a busy one spreads over tasks.
     """
     priced = feed.where(F.col("price").isNotNull())
-    piece = F.date_trunc("day", "captured_at") if piece is None else piece
+    piece = F.date_trunc("hour", "captured_at") if piece is None else piece
     compared = with_previous(priced, "product_id", piece, ["captured_at", "id"], ["price", "availability"], "previous")
     changed = (
         F.col("previous").isNull()

@@ -16,7 +16,8 @@ VALUES = [
 def latest_observations(observations: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Newest observation per (product, url), ties to the higher id; NULL urls of a product count as one page.
 
-    `max_by` reduces before the shuffle, so a page checked very often costs one row per input partition.
+    `max_by` reduces before the shuffle, so a page checked very often costs one row per input partition. Text among
+    `columns` makes Spark sort the rows for that; name the columns that are needed.
     """
     columns = columns or [c for c in VALUES if c in observations.columns]
     return (
@@ -85,21 +86,29 @@ def summary(lens_rows: DataFrame) -> DataFrame:
     return counted.withColumn("median_gap_pct", upper_median(lens_rows, "gap_pct").scalar()).withColumn("own_cheapest_share", share)
 
 
-def upper_median(rows: DataFrame, column: str) -> DataFrame:
+CELLS = 65_536
+
+
+def upper_median(rows: DataFrame, column: str, levels: int = 3) -> DataFrame:
     """One row: the value at place n/2, rounded down, of the n values in ascending order, counted from 0.
 
-    Exact without gathering the values: counts per value, then per hundredth; the hundredth that holds the
-    place is found among those counts, and only its distinct values are put in order.
+    Exact without gathering the values. Counts per distinct value are summed into `CELLS` cells between the smallest and
+    the largest, and the cell that holds the place is cut again, `levels` times; the windows hold one row per cell. What
+    is put in order at last are the distinct values within a range of 2**-48 of the whole.
     """
-    values = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).withColumn("cell", F.floor(F.col(column) * 100))
-    cells = values.groupBy("cell").agg(F.sum("n").alias("n"))
-    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.floor(F.sum("n").over(Window.partitionBy(F.lit(0))) / 2)
-    placed = cells.select("cell", "n", ahead(Window.partitionBy(F.lit(0)).orderBy("cell")).alias("ahead"), place.alias("place"))
-    holds = (F.col("ahead") <= F.col("place")) & (F.col("place") < F.col("ahead") + F.col("n"))
-    target = placed.where(holds).select("cell", (F.col("place") - F.col("ahead")).alias("place"))
-    inside = values.join(F.broadcast(target), "cell")  # one row
-    return inside.withColumn("ahead", ahead(Window.partitionBy("cell").orderBy(column))).where(holds).select(column)
+    values = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    whole = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.floor(F.sum("n") / 2).alias("place")).alias("t"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    target = whole
+    for level in range(levels + 1):
+        t = target.scalar()
+        inside = values.select("v", "n", t.alias("t")).where(F.col("v").between(F.col("t.lo"), F.col("t.hi")))
+        width = F.col("t.hi") - F.col("t.lo")
+        cell = F.col("v") if level == levels else F.coalesce(F.least(F.floor((F.col("v") - F.col("t.lo")) / F.nullif(width, F.lit(0.0)) * CELLS), F.lit(CELLS - 1)), F.lit(0))
+        cells = inside.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("t.place").alias("place"))
+        placed = cells.withColumn("ahead", ahead).where((F.col("ahead") <= F.col("place")) & (F.col("place") < F.col("ahead") + F.col("n")))
+        target = placed.select(F.struct("lo", "hi", (F.col("place") - F.col("ahead")).alias("place")).alias("t"))
+    return target.select(F.col("t.lo").alias(column))
 
 
 def refusing_retailers(latest: DataFrame) -> DataFrame:
@@ -110,12 +119,14 @@ def refusing_retailers(latest: DataFrame) -> DataFrame:
 def ranked_observations(latest: DataFrame, products: DataFrame) -> DataFrame:
     """Rank within the product: price ascending, missing prices last, then retailer by locale; with the price difference to ours.
 
-    A product is cut at its distinct prices; what remains together are its pages with one and the same price.
+    A product is cut at its distinct prices and, within a price, at its retailers; what remains together are one
+    retailer's pages of it with one price, or without any.
     """
     # In whole cents, with a value beyond any price for the missing ones.
     cents = F.coalesce((F.col("price") * 100).cast("bigint"), F.lit(1 << 62))
-    order = [F.collate("retailer", "UNICODE"), F.col("retailer"), F.coalesce("url", F.lit("")), F.col("id")]
-    numbered = number_rows(latest, ["product_id"], [cents], order, "rank")
+    by_locale = F.collate(F.coalesce("retailer", F.lit("")), "UNICODE")
+    order = [F.col("retailer"), F.coalesce("url", F.lit("")), F.col("id")]
+    numbered = number_rows(latest, ["product_id"], [cents, by_locale], order, "rank")
     difference = F.when(is_priced(), F.col("own_price") - F.col("price"))
     return with_products(numbered, products).withColumn("difference", difference)
 

@@ -29,13 +29,13 @@ def assess_match(own_name: Column, listing_title: Column) -> Column:
         return F.struct(F.lit(match).alias("match"), note.cast("string").alias("note"))
 
     def differs(what: str, a: Column, b: Column) -> Column:
-        return F.concat(F.lit(f"{what}: listing says "), F.array_join(b, "/"), F.lit(", own name says "), F.array_join(a, "/"))
+        return F.concat(F.lit(f"other {what}, "), F.array_join(b, "+"), F.lit(" instead of "), F.array_join(a, "+"))
 
     return (
         F.when(_apart(own_colours, their_colours), verdict("near", differs("colour", own_colours, their_colours)))
         .when(_apart(own_sizes, their_sizes), verdict("near", differs("capacity", own_sizes, their_sizes)))
-        .when(theirs.rlike(bundle) & ~own.rlike(bundle), verdict("near", F.lit("listing is a bundle")))
-        .when((F.size(own_colours) > 0) & (F.size(their_colours) == 0), verdict("uncertain", F.lit("listing names no colour")))
+        .when(theirs.rlike(bundle) & ~own.rlike(bundle), verdict("near", F.lit("sold as a set")))
+        .when((F.size(own_colours) > 0) & (F.size(their_colours) == 0), verdict("uncertain", F.lit("offer leaves the colour open")))
         .otherwise(verdict("exact", F.lit(None)))
     )
 

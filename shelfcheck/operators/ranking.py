@@ -1,4 +1,4 @@
-"""Per-key ordering that never puts a whole key into one task.
+"""Per-key ordering that puts no more of a key into one task than a piece of it.
 
 A key may hold any share of the rows. Both helpers cut each key into pieces by a value that grows
 with the order (a day, a price), work inside the pieces, and carry what is needed from piece to piece
@@ -39,11 +39,13 @@ def number_rows(df: DataFrame, keys: list[str], pieces: list[Column], order: lis
 def with_previous(df: DataFrame, key: str, piece: Column, order: list[str], value: list[str], name: str) -> DataFrame:
     """Add `name`: the struct of `value` columns of the preceding row of the same key, NULL on its first row.
 
-    `piece` must not decrease along `order`.
+    `piece` must not decrease along `order`. All branches read one shuffle by (key, piece): rows find their predecessor
+    inside the piece, a piece's last row is carried to the next piece, and only first rows of pieces are joined.
     """
-    cut = df.withColumn("_piece", piece)
     w = Window.partitionBy(key, "_piece").orderBy(*order)
-    inside = cut.withColumn("_prev", F.lag(F.struct(*value)).over(w))
-    last = cut.groupBy(key, "_piece").agg(F.max_by(F.struct(*value), F.struct(*order)).alias("_last"))
+    inside = df.withColumn("_piece", piece).select("*", F.lag(F.struct(*value)).over(w).alias("_prev"), F.lead(F.lit(1)).over(w).alias("_next"))
+    last = inside.where(F.col("_next").isNull()).select(key, "_piece", F.struct(*value).alias("_last"))
     carried = last.select(key, "_piece", F.lag("_last").over(Window.partitionBy(key).orderBy("_piece")).alias("_carried"))
-    return inside.join(carried, [key, "_piece"]).select(*df.columns, F.coalesce("_prev", "_carried").alias(name))
+    first = F.col("_prev").isNull()
+    rest = inside.where(~first).select(*df.columns, F.col("_prev").alias(name))
+    return rest.unionByName(inside.where(first).join(carried, [key, "_piece"]).select(*df.columns, F.col("_carried").alias(name)))

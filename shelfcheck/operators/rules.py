@@ -126,7 +126,7 @@ def _prices_differ() -> Column:
 
 
 def _another_variant_has_price() -> Column:
-    return F.exists("r_variants", lambda v: ~v["selected"] & T.same_price(v["price"], F.col("r_ld_price")))
+    return F.exists("r_variants", lambda v: ~F.coalesce(v["selected"], F.lit(False)) & T.same_price(v["price"], F.col("r_ld_price")))
 
 
 def _label_lacks_word() -> Column:
@@ -136,8 +136,7 @@ def _label_lacks_word() -> Column:
 
 
 def _valid_until() -> Column:
-    until = _offer()["price_valid_until"]
-    return F.when(until.rlike(r"^[+-]?\d{4}"), until.try_cast("timestamp"))
+    return T.instant(_offer()["price_valid_until"])
 
 
 def _image_count() -> Column:

@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from ..sources.tables import scan_spread
 
 SOURCES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"]
 
@@ -25,9 +24,9 @@ def _gtin_check(body: str) -> str:
 
 SQL: dict[str, str] = {}
 
-# One row per part with a document attached; `k` is the part key.
+# One row per part with a document attached; `k` is the part key. Both sides grow, so the join is never a broadcast.
 SQL["facts0"] = f"""
-SELECT p.k AS k, p.p_brand, p.p_size, p.p_type,
+SELECT /*+ MERGE(d) */ p.k AS k, p.p_brand, p.p_size, p.p_type,
        CAST(round(p.p_retailprice * 100) AS BIGINT) AS own_cents,
        d.text AS doc_text,
        (CASE WHEN p.k % 19 = 0 THEN 'XK-' || lpad(CAST(p.k AS STRING), 5, '0') || ' ' ELSE '' END)
@@ -142,6 +141,26 @@ SELECT p_partkey AS id, 'https://shop.example/product/p' || CAST(p_partkey AS ST
 FROM {part}
 """
 
+# URLs as pages carry them: encoded, raw and broken in the same place. `path` is what a URL parser makes of each.
+SQL["odd_urls"] = """
+SELECT p_partkey AS id, 'https://shop.example' || given AS url, parsed AS path, (CASE p_partkey % 9 WHEN 8 THEN parsed ELSE given END) AS ref
+FROM (SELECT p_partkey,
+        (CASE p_partkey % 9 WHEN 0 THEN '/product/café' WHEN 1 THEN '/product/caf%C3%A9' WHEN 2 THEN '/product/two words' WHEN 3 THEN chr(92) || 'product' || chr(92) || 'x'
+              WHEN 4 THEN '/product/{@lb}a{@rb}' WHEN 5 THEN '/product/./y/../ü"q"' WHEN 6 THEN '/product/p%20' || CAST(p_partkey AS STRING) || '?q= #f'
+              WHEN 7 THEN '/product/€<' || CAST(p_partkey AS STRING) || '>' ELSE '/product/plain-' || CAST(p_partkey AS STRING) END) AS given,
+        (CASE p_partkey % 9 WHEN 0 THEN '/product/caf%C3%A9' WHEN 1 THEN '/product/caf%C3%A9' WHEN 2 THEN '/product/two%20words' WHEN 3 THEN '/product/x'
+              WHEN 4 THEN '/product/%7Ba%7D' WHEN 5 THEN '/product/%C3%BC%22q%22' WHEN 6 THEN '/product/p%20' || CAST(p_partkey AS STRING)
+              WHEN 7 THEN '/product/%E2%82%AC%3C' || CAST(p_partkey AS STRING) || '%3E' ELSE '/product/plain-' || CAST(p_partkey AS STRING) END) AS parsed
+      FROM {part}) u
+"""
+
+# Shared SKUs: some products stand three times, under other ids.
+SQL["products_again"] = """
+SELECT id, sku, name FROM products
+UNION ALL SELECT id + 1000000000, sku, name || ' again' FROM products WHERE id % 3 = 0
+UNION ALL SELECT -id, sku, name || ' before' FROM products WHERE id % 5 = 1
+"""
+
 # Own price over time: few distinct prices, so that repeats occur.
 SQL["price_feed"] = """
 SELECT l_orderkey * 100000000 + l_suppkey * 10 + l_linenumber AS id,
@@ -223,6 +242,30 @@ SELECT '{@lb}"parser":"hand","rules":"own price only","rows":[{@lb}"i":' || CAST
        product_id, s, flag, n, last_at
 FROM pairs
 """
+# The same, with a second entry for some URLs, and bodies or rows that break the contract.
+SQL["parse_docs_again"] = """
+SELECT value, product_id, s FROM parse_docs
+UNION ALL SELECT replace(replace(value, '"i":', '"i":9'), '"price":', '"price":7,"old":'), product_id, s FROM parse_docs WHERE s % 3 = 1
+"""
+SQL["parse_docs_odd"] = """
+SELECT (CASE s % 11 WHEN 0 THEN substring(value, 1, 40) WHEN 1 THEN replace(value, '"price":', '"price":"x","old":')
+             WHEN 2 THEN '{@lb}"parser":"hand","rows":5{@rb}' WHEN 3 THEN replace(value, '"ignored":', '"ignored":["a",1],"old":')
+             WHEN 4 THEN replace(value, '"confidence":', '"certainty":') WHEN 5 THEN replace(value, '"delivery_cost":', '"delivery_cost":true,"old":')
+             ELSE value END) AS value, product_id, s
+FROM parse_docs
+"""
+# What a reader made of each captured page.
+SQL["readings"] = """
+SELECT 'https://r' || CAST(s AS STRING) || '.example/i/' || CAST(product_id AS STRING) AS url, 'reader-1' AS model,
+       (CASE WHEN s % 8 = 0 THEN 'HTTP 500' ELSE NULL END) AS error, s % 8 <> 0 AND s % 8 <> 1 AS has_price, s % 8 <> 0 AS has_row,
+       (CASE WHEN s % 3 = 0 THEN 'near' ELSE 'exact' END) AS seen, product_id, s
+FROM pairs WHERE s % 5 <> 4
+"""
+# Several fetches of one page: the newest counts.
+SQL["captures_again"] = """
+SELECT url, fetched_at, title FROM captures
+UNION ALL SELECT url, CAST('1990-01-01 00:00:00' AS TIMESTAMP), 'Old ' || title FROM captures
+"""
 SQL["captures"] = """
 SELECT 'https://r' || CAST(s AS STRING) || '.example/i/' || CAST(product_id AS STRING) AS url, last_at AS fetched_at,
        'Page ' || CAST(product_id AS STRING) AS title
@@ -234,9 +277,10 @@ FROM pairs WHERE s % 9 = 8
 """
 SQL["crawled"] = """
 SELECT (CASE WHEN l_partkey % 10 = 0 THEN l_partkey + 1000000000 ELSE NULL END) AS id,
-       'https://shop.example/product/' || (CASE WHEN l_partkey % 10 = 0 THEN 'new' ELSE 'p' END) || CAST(l_partkey AS STRING) AS url,
+       'https://shop.example/product/' || (CASE WHEN l_partkey % 10 = 0 THEN 'new' WHEN l_partkey % 10 = 7 THEN 'fresh' ELSE 'p' END) || CAST(l_partkey AS STRING) AS url,
        CAST(100 + max(l_linenumber) AS DECIMAL(10,2)) AS price, max(l_returnflag) AS name,
-       min(l_shipdate) AS first_seen_at, max(l_shipdate) AS last_crawled_at
+       min(l_shipdate) AS first_seen_at,
+       CAST((CASE WHEN l_partkey % 4 = 1 THEN CAST('1997-01-01 00:00:00' AS TIMESTAMP) ELSE max(l_shipdate) END) AS TIMESTAMP) AS last_crawled_at
 FROM {lineitem} GROUP BY l_partkey
 """
 SQL["stored_products"] = """
@@ -314,8 +358,22 @@ SELECT 'shop.example' AS host, p_partkey AS pos,
 FROM {part}
 """
 
-# Robots bodies: one per host of the page table.
+# Bodies of the child sitemaps: pages listed by the parent as well, and others.
+SQL["child_maps"] = """
+SELECT 'shop.example' AS host, p_partkey AS pos,
+       '<urlset><url><loc>https://shop.example/product/p' || CAST(p_partkey + 2 AS STRING) || '</loc><lastmod>2001-01-01</lastmod></url>'
+       || '<url><loc>https://shop.example/product/child' || CAST(p_partkey AS STRING) || '</loc></url>'
+       || '<url><loc>https://shop.example/product/child0</loc></url></urlset>' AS body
+FROM {part} WHERE p_partkey % 50 = 0
+"""
+
+# Robots bodies: two fetches per host of the page table, of which the newer counts.
 SQL["robots"] = """
+SELECT host, http_status, body, CAST('2026-09-20 12:00:00' AS TIMESTAMP) AS fetched_at FROM robots_now
+UNION ALL SELECT host, CAST((CASE WHEN length(host) % 3 = 0 THEN 500 ELSE 200 END) AS INT), 'User-agent: *' || chr(10) || 'Disallow: /' || chr(10) || 'Crawl-delay: 99',
+       CAST('2026-09-19 12:00:00' AS TIMESTAMP) FROM robots_now
+"""
+SQL["robots_now"] = """
 SELECT host, n_pages,
        CAST((CASE WHEN length(host) % 7 = 0 THEN 404 WHEN length(host) % 7 = 1 THEN 503 ELSE 200 END) AS INT) AS http_status,
        (CASE length(host) % 4
@@ -360,7 +418,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> Da
     text = with_clause([name]) + f"\nSELECT * FROM {name}"
     used = [t for t in SOURCES if "{" + t + "}" in text]
     text = text.replace("{@lb}", "{{").replace("{@rb}", "}}")
-    return spark.sql(text, **{t: given[t] if t in given else scan_spread(spark, f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(text, **{t: given[t] if t in given else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
 # Each line: id, label, cents, out of stock, selected.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit, crawl, extract, history, lens, match, pricing
 from ..operators.rules import RULES
+from ..schemas import PRICE_FEED
 from ..session import shared_folder
 from ..sources import files, tables
 from ..sources.tables import write_version
@@ -23,31 +24,19 @@ PRODUCT = ["id", "name", "slug", "brand", "sku", "gtin", "category_path"]
 SNAPSHOT = PRODUCT + ["gallery_image_count", "json_ld", "specs", "description"]
 
 
-_stored: dict[tuple[str, str], str] = {}
-
-
-def checked(spark: SparkSession, d: str, keep: list[str] = PRODUCT) -> DataFrame:
+def checked(spark: SparkSession, d: str, keep: list[str] = PRODUCT, now: str = bridge.NOW) -> DataFrame:
     """Listings with score, segment and light findings, computed afresh."""
-    return audit.hits(bridge.listings(spark, d), bridge.NOW, texts=False, keep=keep)
+    return audit.hits(bridge.listings(spark, d), now, texts=False, keep=keep)
 
 
-def stored_audit(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The audited product table and its findings, as an audit job leaves them for the reports to read.
-
-    Written once per session and source folder. Reports filter on the score; over a live audit Catalyst would
-    push such a filter below the rules and run them again for it.
-    """
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _stored:
-        folder = f"{shared_folder(spark)}/audited-{uuid.uuid4().hex}"
-        _stored[key] = write_version(checked(spark, d, SNAPSHOT), folder, 1)
-    table = spark.read.parquet(_stored[key])
+def audit_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The audited products and their findings as an audit job leaves them: one table in the shared folder, written anew
+    for each report that reads both. Joined within one plan, the rules would run once for either side."""
+    path = write_version(checked(spark, d), f"{shared_folder(spark)}/audited-{uuid.uuid4().hex}", 1)
+    table = spark.read.parquet(path)
     return table.drop("hits"), audit.findings_of(table)
 
 
-_audited = stored_audit
-
-
 def _rule(rule_id: str) -> Query:
     rule = [r for r in RULES if r.id == rule_id]
 
@@ -58,6 +47,13 @@ def _rule(rule_id: str) -> Query:
     return run
 
 
+def _detail(s: SparkSession, d: str, part: str, id: int = 7) -> DataFrame:
+    """One part of a listing's detail page. Only the listing itself is audited for it."""
+    one = audit.hits(bridge.listings(s, d).where(F.col("id") == id), bridge.NOW, keep=PRODUCT)
+    changes = history.price_changes(bridge.table(s, d, "price_feed").where(F.col("product_id") == id))
+    return reports.listing_detail(one.drop("hits"), audit.findings_of(one), changes, bridge.table(s, d, "observations"), id)[part]
+
+
 def audit_queries() -> dict[str, Query]:
     out: dict[str, Query] = {"rule_" + r.id.replace("-", "_"): _rule(r.id) for r in RULES}
     full = lambda s, d: audit.hits(bridge.listings(s, d), bridge.NOW, keep=["id"])
@@ -67,35 +63,42 @@ def audit_queries() -> dict[str, Query]:
     out["segments"] = lambda s, d: checked(s, d).select("id", "segment")
     out["audit_tallies"] = lambda s, d: audit.tallies(checked(s, d))
     out["gtin_check"] = lambda s, d: bridge.table(s, d, "facts").where("gtin IS NOT NULL").select(F.col("k").alias("id"), "gtin", T.valid_gtin(F.col("gtin")).alias("valid"))
-    products = lambda s, d: _audited(s, d)[0]
-    findings = lambda s, d: _audited(s, d)[1]
+    # Reports on one of the two tables compute it in their own plan.
+    products = lambda s, d: checked(s, d).drop("hits")
+    findings = lambda s, d: audit.findings_of(checked(s, d))
     out["overview_totals"] = lambda s, d: reports.totals(products(s, d))
     out["overview_totals_of_segment"] = lambda s, d: reports.totals(products(s, d), "thin-feed")
     out["finding_totals"] = lambda s, d: reports.finding_totals(findings(s, d))
-    out["finding_totals_of_segment"] = lambda s, d: (lambda p, f: reports.finding_totals(f, p, "thin-feed"))(*_audited(s, d))
+    out["finding_totals_of_segment"] = lambda s, d: (lambda p, f: reports.finding_totals(f, p, "thin-feed"))(*audit_tables(s, d))
     out["affected_per_rule"] = lambda s, d: reports.affected_per_rule(findings(s, d))
+    out["affected_per_rule_of_segment"] = lambda s, d: (lambda p, f: reports.affected_per_rule(f, p, "thin-feed"))(*audit_tables(s, d))
+    out["rule_shares_of_segment"] = lambda s, d: (lambda p, f: reports.rule_shares(f, p, "thin-feed"))(*audit_tables(s, d))
     out["score_histogram"] = lambda s, d: reports.score_histogram(products(s, d))
     out["labelled_histogram"] = lambda s, d: reports.labelled_histogram(products(s, d))
     out["worst_listings"] = lambda s, d: reports.worst_listings(products(s, d))
     out["segment_rollup"] = lambda s, d: reports.segment_rollup(products(s, d))
-    out["rule_shares"] = lambda s, d: (lambda p, f: reports.rule_shares(f, p))(*_audited(s, d))
+    out["rule_shares"] = lambda s, d: (lambda p, f: reports.rule_shares(f, p))(*audit_tables(s, d))
     shown = ["id", "name", "brand", "score", "segment"]
     out["listing_search_text"] = lambda s, d: reports.search_listings(products(s, d), text="WATCH").select(*shown)
     out["listing_search_category"] = lambda s, d: reports.search_listings(products(s, d), category="PROMO", segment="standard").select(*shown)
-    out["listing_search_finding"] = lambda s, d: (lambda p, f: reports.search_listings(p, f, rule="name-truncated", severity="medium").select(*shown))(*_audited(s, d))
-    out["listing_severity_counts"] = lambda s, d: (lambda p, f: reports.severity_counts(p.select("id", "score"), f))(*_audited(s, d))
+    out["listing_search_finding"] = lambda s, d: (lambda p, f: reports.search_listings(p, f, rule="name-truncated", severity="medium").select(*shown))(*audit_tables(s, d))
+    out["listing_severity_counts"] = lambda s, d: (lambda p, f: reports.severity_counts(p.select("id", "score"), f))(*audit_tables(s, d))
     out["listing_page"] = lambda s, d: reports.page_of(products(s, d).select("id", "name", "score"), 3)
-    out["listing_page_after"] = lambda s, d: reports.page_after(products(s, d).select("id", "name", "score"), 30, 100)
+    out["listing_page_after"] = lambda s, d: reports.page_after(audit_tables(s, d)[0].select("id", "name", "score"), 30, 100)
     out["listing_page_count"] = lambda s, d: reports.page_count(reports.search_listings(products(s, d), segment="thin-feed"))
     out["category_names"] = lambda s, d: reports.category_names(products(s, d))
     out["findings_with_fix"] = lambda s, d: reports.findings_with_fix(audit.findings_of(full(s, d)).drop("position"))
-    out["category_scorecard"] = lambda s, d: reports.category_scorecard(*_audited(s, d))
-    out["category_scorecard_children"] = lambda s, d: reports.category_scorecard(*_audited(s, d), parent="PROMO")
-    out["rules_by_category"] = lambda s, d: reports.rules_by_category(*_audited(s, d))
-    out["template_wide_rules"] = lambda s, d: reports.template_wide_rules(*_audited(s, d), share=0.6)
-    out["top_issues"] = lambda s, d: reports.top_issues(*_audited(s, d))
+    out["listing_detail_product"] = lambda s, d: _detail(s, d, "product").select("id", "name", "slug", "score", "segment")
+    out["listing_detail_findings"] = lambda s, d: _detail(s, d, "findings").select("rule_id", "severity", "title", "fix", "place")
+    out["listing_detail_history"] = lambda s, d: _detail(s, d, "history").select("id", *_money("price"), "availability", _time("captured_at"))
+    out["listing_detail_observations"] = lambda s, d: _detail(s, d, "observations").select("id", "retailer", "status")
+    out["category_scorecard"] = lambda s, d: reports.category_scorecard(*audit_tables(s, d))
+    out["category_scorecard_children"] = lambda s, d: reports.category_scorecard(*audit_tables(s, d), parent="PROMO")
+    out["rules_by_category"] = lambda s, d: reports.rules_by_category(*audit_tables(s, d))
+    out["template_wide_rules"] = lambda s, d: reports.template_wide_rules(*audit_tables(s, d), share=0.6)
+    out["top_issues"] = lambda s, d: reports.top_issues(*audit_tables(s, d))
     out["segment_quality"] = lambda s, d: reports.segment_quality(products(s, d))
-    out["thin_signals"] = lambda s, d: reports.thin_signals(_audited(s, d)[0])
+    out["thin_signals"] = lambda s, d: reports.thin_signals(checked(s, d, SNAPSHOT))
     out["thin_by_category"] = lambda s, d: reports.thin_by_category(products(s, d))
     out["thin_by_brand"] = lambda s, d: reports.thin_by_brand(products(s, d))
     out["thin_samples"] = lambda s, d: reports.thin_samples(products(s, d))
@@ -112,7 +115,8 @@ def _time(c: str, name: str | None = None):
 
 def lens_queries() -> dict[str, Query]:
     t = bridge.table
-    latest = lambda s, d: lens.latest_observations(t(s, d, "observations"))
+    needed = ["id", "retailer", "price", "match", "status", "captured_at"]
+    latest = lambda s, d: lens.latest_observations(t(s, d, "observations"), needed)
     rows = lambda s, d: lens.lens(latest(s, d), t(s, d, "products"))
     offer = lambda c: [F.col(f"{c}.price").cast("double").alias("price"), f"{c}.retailer", f"{c}.url", f"{c}.match"]
     out: dict[str, Query] = {}
@@ -132,18 +136,17 @@ def lens_queries() -> dict[str, Query]:
     out["price_changes_streamed"] = _streamed_changes
     out["last_observations_per_product"] = lambda s, d: reports.last_per_product(t(s, d, "observations"), 5).select("product_id", "id", F.col("recency").cast("int").alias("recency"))
     out["last_changes_per_product"] = lambda s, d: reports.last_per_product(history.price_changes(t(s, d, "price_feed")), 3).select("product_id", "id", F.col("recency").cast("int").alias("recency"))
-    out["listing_detail_observations"] = lambda s, d: reports.listing_detail(
-        t(s, d, "products"), s.createDataFrame([], "product_id bigint, rule_id string, severity string"), t(s, d, "price_feed"), t(s, d, "observations"), 7
-    )["observations"].select("id", "retailer", "status")
     return out
 
 
 def _streamed_changes(spark: SparkSession, d: str) -> DataFrame:
-    """The price feed read as a stream and run to its end."""
-    source = spark.readStream.schema(spark.read.parquet(f"{d}/lineitem.parquet").schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
-    feed = bridge.table(spark, d, "price_feed", lineitem=source)
+    """The price feed arriving as four files, one a micro-batch, run to its end."""
+    feed = bridge.table(spark, d, "price_feed").select("product_id", "price", "availability", "captured_at", "id")
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    stream_price_changes(feed, folder).awaitTermination()
+    for part in (F.year("captured_at") < 1994, F.year("captured_at").between(1994, 1995), F.year("captured_at").between(1996, 1997), F.year("captured_at") > 1997):
+        feed.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/feed")
+    source = spark.readStream.schema(PRICE_FEED).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
+    stream_price_changes(source, folder).awaitTermination()
     return kept_changes(spark, folder).select("product_id", "id", *_money("price"), "availability", _time("captured_at"))
 
 
@@ -152,7 +155,7 @@ def pricing_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     own_names = lambda s, d: bridge.items(s, d).join(t(s, d, "products").where("gtin IS NOT NULL").select("gtin", F.col("name").alias("own_name")), "gtin")
     out["variant_match"] = lambda s, d: own_names(s, d).select("item_id", match.assess_match(F.col("own_name"), F.col("title")).alias("m")).select("item_id", "m.*")
-    checks = lambda s, d: pricing.check_mapped_pages(t(s, d, "mappings"), extract.page_offers(t(s, d, "fetched").select("url", "status", "note", "html")))
+    checks = lambda s, d: pricing.check_mapped_pages(t(s, d, "mappings"), extract.page_offers(t(s, d, "fetched").join(t(s, d, "mappings").select("url"), "url", "left_semi").select("url", "status", "note", "html")))
     out["mapped_page_check"] = lambda s, d: checks(s, d).select("product_id", "url", "title", *_money("price"), "currency", "condition", "availability", "seller_type", "status", "note")
     judged = lambda s, d: pricing.judge_items(t(s, d, "products"), bridge.items(s, d))
     out["marketplace_candidates"] = lambda s, d: judged(s, d).select("product_id", "item_id", "shipping", "landed", "reason", "match", "business")
@@ -167,10 +170,26 @@ def pricing_queries() -> dict[str, Query]:
     )
     parses = lambda s, d: files.parse_price_documents(t(s, d, "parse_docs"))
     out["parsed_prices"] = lambda s, d: parses(s, d).select("parser", "row.i", "row.sku", "row.url", "row.price", "row.delivery_cost", "row.stock", "row.match", F.coalesce(F.array_join("row.ignored", ";"), F.lit("-")).alias("ignored"))
-    imported = lambda s, d: pricing.import_parses(parses(s, d), t(s, d, "products"), t(s, d, "captures"), t(s, d, "parsed_before"), "parsed")
+    odd = lambda s, d: files.accepted_and_rejected(t(s, d, "parse_docs_odd").select("value", "product_id", "s"))
+    out["accepted_parses"] = lambda s, d: odd(s, d)[0].select("parser", "row.i", "row.url", "row.price", "row.confidence", F.array_join("row.ignored", ";").alias("ignored"))
+    out["rejected_parses"] = lambda s, d: odd(s, d)[1].select("product_id", "s", F.coalesce("row_number", F.lit(-1)).alias("row_number"), F.array_join("violations", ",").alias("violations"))
+    again = lambda s, d: files.parse_price_documents(t(s, d, "parse_docs_again"))
+    imported = lambda s, d: pricing.import_parses(again(s, d), t(s, d, "products"), t(s, d, "captures_again"), t(s, d, "parsed_before"), "parsed")
     out["import_parses"] = lambda s, d: imported(s, d).where("outcome = 'stored'").select(
-        "product_id", "url", "title", *_money("price", "item_price", "shipping_cost", "was_price"), "availability", "match", "match_note", "status", "note", _time("captured_at")
+        "product_id", "url", "title", *_money("price", "item_price", "shipping_cost", "was_price"), "currency", "availability", "match", "match_note", "status", "note", _time("captured_at")
     )
+    out["import_captures"] = lambda s, d: pricing.import_captures(imported(s, d)).select("capture_id", "url", _time("fetched_at"), "title", F.variant_get("meta", "$.parser", "string").alias("parser"), F.variant_get("meta", "$.match", "string").alias("match"))
+    out["import_matches"] = lambda s, d: tables.propagate_match(
+        t(s, d, "mappings"), imported(s, d).where("outcome = 'stored'").select("product_id", "url", "match", "match_note", "captured_at", F.col("capture_id").alias("id")), ["product_id", "url"]
+    ).select("product_id", "url", "match", "match_note")
+    reading = lambda s, d: t(s, d, "readings").selectExpr(
+        "url", "model", "error",
+        """CASE WHEN has_row THEN named_struct('product_title', CASE WHEN s % 4 = 0 THEN NULL ELSE 'Read ' || CAST(product_id AS STRING) END, 'price', CASE WHEN has_price THEN CAST(50 + s AS DOUBLE) END,
+           'delivery_cost', CASE WHEN s % 2 = 0 THEN 2.5D END, 'stock', 'in_stock', 'match', seen, 'match_note', CASE WHEN s % 3 = 0 THEN 'other size' END, 'confidence', 0.5D, 'price_evidence', CASE WHEN s % 7 = 0 THEN '' ELSE 'tag' END) END AS row""",
+    )
+    run = lambda s, d: pricing.extract_run(t(s, d, "mappings"), t(s, d, "captures_again"), reading(s, d), "reader")
+    out["extract_run"] = lambda s, d: run(s, d).select("product_id", "url", "title", *_money("price", "item_price", "shipping_cost"), "currency", "availability", "match", "match_note", "status", "note", _time("captured_at"))
+    out["extract_run_matches"] = lambda s, d: pricing.extract_run_matches(t(s, d, "mappings"), run(s, d)).select("product_id", "url", "match", "match_note")
     out["import_outcomes"] = lambda s, d: imported(s, d).groupBy("outcome").agg(F.count("*").alias("n"))
     out["landed_prices"] = lambda s, d: parses(s, d).select("row.url", pricing.landed_price(F.col("row.price"), F.col("row.delivery_cost")).alias("landed"), pricing.parse_status(F.col("row.price"), F.lit(None).cast("string")).alias("status"))
     out["worst_match"] = lambda s, d: parses(s, d).select(F.col("row.url").alias("url"), F.col("row.match").alias("seen")).join(t(s, d, "mappings"), "url").select("url", match.worst_match(F.col("match"), F.col("seen")).alias("match"))
@@ -182,8 +201,8 @@ def pricing_queries() -> dict[str, Query]:
     out["unresolved_keys"] = lambda s, d: pricing.resolve_keys(lines(s, d)[0], t(s, d, "products"))[1].select("key", "url")
     out["check_targets"] = lambda s, d: pricing.check_targets(t(s, d, "products"), t(s, d, "mappings")).select("id", "sku")
     out["check_targets_with_gtin"] = lambda s, d: pricing.check_targets(t(s, d, "products"), t(s, d, "mappings"), with_gtin=True, limit=50).select("id", "sku")
-    out["targets_by_sku"] = lambda s, d: pricing.targets_by_sku(t(s, d, "products"), t(s, d, "sku_list"))[0].select("pos", "sku", "id")
-    out["missing_skus"] = lambda s, d: pricing.targets_by_sku(t(s, d, "products"), t(s, d, "sku_list"))[1].select("pos", "sku")
+    out["targets_by_sku"] = lambda s, d: pricing.targets_by_sku(t(s, d, "products_again"), t(s, d, "sku_list"))[0].select("pos", "sku", "id")
+    out["missing_skus"] = lambda s, d: pricing.targets_by_sku(t(s, d, "products_again"), t(s, d, "sku_list"))[1].select("pos", "sku")
     out["urls_to_capture"] = lambda s, d: pricing.urls_to_capture(t(s, d, "mappings"), t(s, d, "captures"))
     keyed = lambda s, d: t(s, d, "fetched").where("html IS NOT NULL").select("url", "product_id", pricing.parse_key("v1", "reader", F.col("url"), F.lit("own"), F.col("html")).alias("parse_key"))
     out["parse_keys"] = lambda s, d: keyed(s, d).select("url", "parse_key")
@@ -201,11 +220,12 @@ def crawl_queries() -> dict[str, Query]:
     out["sitemap_entries"] = lambda s, d: entries(s, d).select("pos", "entry", "url", _time("lastmod"))
     out["child_sitemaps"] = lambda s, d: crawl.child_sitemaps(t(s, d, "sitemaps")).select("pos", "url")
     out["sitemap_products"] = lambda s, d: crawl.product_entries(entries(s, d)).select("url", "pos", "entry")
+    out["sitemap_products_with_children"] = lambda s, d: crawl.product_entries(entries(s, d), crawl.sitemap_entries(t(s, d, "child_maps"))).select("url", "pos", "entry", _time("lastmod"))
     frontier = lambda s, d: crawl.product_entries(entries(s, d))
     out["crawl_order"] = lambda s, d: crawl.crawl_order(frontier(s, d), t(s, d, "fetch_log"), 400).select("url", "pos")
     out["crawl_order_known"] = lambda s, d: crawl.crawl_order(frontier(s, d), t(s, d, "fetch_log"), known_only=True).select("url", _time("last_fetched"))
     described = lambda c: F.array_join(F.transform(c, lambda r: F.concat(F.when(r["allow"], "+").otherwise("-"), r["pattern"])), " ")
-    out["robots_rules"] = lambda s, d: crawl.robots_rules(t(s, d, "robots")).select("host", F.col("group").cast("int").alias("grp"), F.array_join("agents", ",").alias("agents"), described("rules").alias("rules"), "delay")
+    out["robots_rules"] = lambda s, d: crawl.robots_rules(crawl.newest_robots(t(s, d, "robots"))).select("host", F.col("group").cast("int").alias("grp"), F.array_join("agents", ",").alias("agents"), described("rules").alias("rules"), "delay")
     out["robots_admission"] = lambda s, d: crawl.admit(s.read.parquet(f"{d}/pages.parquet").select("page_id", "url"), t(s, d, "robots"), "shelfbot/1.0 (test)").select("page_id", "allowed", "delay")
     log = lambda s, d: t(s, d, "fetch_log")
     out["fetch_status"] = lambda s, d: log(s, d).select("seq", crawl.fetch_status(F.col("http_status")).alias("status"))
@@ -225,14 +245,25 @@ def table_queries() -> dict[str, Query]:
     out["product_scan"] = lambda s, d: tables.scan(s, f"{d}/part.parquet", "p_partkey", "p_name", "p_brand")
     out["upsert_products"] = lambda s, d: tables.upsert_products(t(s, d, "stored_products"), t(s, d, "crawled")).select("id", "url", *_money("price"), "name", _time("first_seen_at"), _time("last_crawled_at"))
 
+    def audited_twice(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+        """Everything audited long ago, and one category audited again now."""
+        before = checked(s, d, PRODUCT, "2019-06-01 00:00:00")
+        return before, checked(s, d, PRODUCT).where(reports.in_category("PROMO"))
+
     def replaced(s: SparkSession, d: str) -> DataFrame:
-        products, findings = stored_audit(s, d)
-        stored = findings.select("product_id", "rule_id", "severity")
-        again = products.where("category_path LIKE 'PROMO%'").select(F.col("id").alias("product_id"))
-        fresh = again.select("product_id", F.lit("checked-again").alias("rule_id"), F.lit("low").alias("severity"))
-        return tables.replace_findings(stored, fresh, again)
+        before, now = audited_twice(s, d)
+        shown = lambda c: audit.findings_of(c).select("product_id", "rule_id", "severity")
+        again = bridge.table(s, d, "facts").where(reports.in_category("PROMO")).select(F.col("k").alias("product_id"))
+        return tables.replace_findings(shown(before), shown(now), again)
 
     out["replace_findings"] = replaced
+
+    def applied(s: SparkSession, d: str) -> DataFrame:
+        before, now = audited_twice(s, d)
+        products = before.select("id", "score", "segment", F.lit("2019-06-01 00:00:00").cast("timestamp").alias("audited_at"))
+        return tables.apply_audit(products, now, F.lit(bridge.NOW).cast("timestamp")).select("id", "score", "segment", _time("audited_at"))
+
+    out["apply_audit"] = applied
     incoming = lambda s, d: t(s, d, "pairs").selectExpr(
         "product_id", "'https://r' || CAST(s AS STRING) || '.example/i/' || CAST(product_id AS STRING) || CASE WHEN s % 10 = 1 THEN '?new' ELSE '' END AS url",
         "'Renamed ' || CAST(s AS STRING) AS retailer", "'near' AS match", "CAST(NULL AS STRING) AS match_note", "s AS line",
@@ -270,7 +301,9 @@ def extract_queries() -> dict[str, Query]:
     out["page_product_nodes"] = lambda s, d: found(s, d).select("id", "json_ld_product_count", "json_ld.name", "json_ld.sku", "json_ld.gtin", "json_ld.brand", "json_ld.description", F.coalesce(F.array_join("json_ld.images", " "), F.lit("-")).alias("images"))
     out["page_node_offers"] = lambda s, d: found(s, d).where("json_ld.offer IS NOT NULL").select("id", "json_ld.offer.*")
     out["page_product_columns"] = lambda s, d: extract.product_columns(found(s, d)).drop("url", "was_price").withColumn("price", F.col("price").cast("double"))
-    out["page_audit"] = lambda s, d: audit.hits(found(s, d), bridge.NOW, texts=False, keep=["id"]).select("id", "segment")
+    out["page_audit"] = lambda s, d: audit.hits(found(s, d), bridge.NOW, texts=False, keep=["id"]).select(
+        "id", "segment", "score", F.array_join(F.transform(F.filter("hits", lambda h: h.isNotNull()), lambda h: h["rule_id"]), ",").alias("rules")
+    )
     raw = lambda s, d: s.read.parquet(f"{d}/pages.parquet")
     out["raw_page_headings"] = lambda s, d: extract.extract_listings(raw(s, d)).select("page_id", "slug", "title_tag", "h1_count", "json_ld_product_count", "gallery_image_count")
     out["page_cheapest_offers"] = lambda s, d: extract.page_offers(bridge.table(s, d, "fetched").where("html IS NOT NULL").select("url", "html")).select("url", "product_count", "offer.title", "offer.price", "offer.currency", "offer.condition", "offer.availability")
@@ -284,6 +317,8 @@ def extract_queries() -> dict[str, Query]:
     out["clean_text"] = lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", T.clean(F.col("text")).alias("text"))
     out["price_texts"] = lambda s, d: facts(s, d).selectExpr("k AS id", "'From £' || CAST(k AS STRING) || ',' || lpad(CAST(k % 1000 AS STRING), 3, '0') || CASE k % 3 WHEN 0 THEN '.5 each' WHEN 1 THEN '.257' ELSE '' END AS t").select("id", T.price_from_text(F.col("t")).alias("price"))
     out["slugs"] = lambda s, d: facts(s, d).select(F.col("k").alias("id"), T.slug_of(F.concat("url", F.when(F.col("k") % 2 == 0, "/?x=1#y").otherwise(""))).alias("slug"))
+    odd = lambda s, d: bridge.table(s, d, "odd_urls")
+    out["url_paths"] = lambda s, d: odd(s, d).select("id", T.url_path(F.col("url")).alias("path"), T.slug_of(F.col("url")).alias("slug"), (T.resolved_path(F.col("ref"), F.col("url")) == T.url_path(F.col("url"))).alias("same"))
     out["vocabularies"] = lambda s, d: facts(s, d).select(
         F.col("k").alias("id"), T.condition_from_label(F.col("condition_label")).alias("from_label"),
         T.condition_of(F.concat("offer_condition", F.lit("Condition"))).alias("condition"), T.availability_of(F.replace("offer_availability", F.lit("_"), F.lit(""))).alias("availability"),

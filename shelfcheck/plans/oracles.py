@@ -259,6 +259,8 @@ def audit_queries() -> dict[str, str]:
     out["finding_totals_of_segment"] = a(totals + " WHERE product_id IN (SELECT id FROM audited WHERE segment = 'thin-feed')")
     out["affected_per_rule"] = a("SELECT rule_id, count(DISTINCT product_id) AS affected FROM findings GROUP BY rule_id")
     bucket = "CAST(least(floor(score / 10), 9) AS INT)"
+    thin_ids = "product_id IN (SELECT id FROM audited WHERE segment = 'thin-feed')"
+    out["affected_per_rule_of_segment"] = a(f"SELECT rule_id, count(DISTINCT product_id) AS affected FROM findings WHERE {thin_ids} GROUP BY rule_id")
     out["score_histogram"] = a(f"SELECT {bucket} AS bucket, count(*) AS n FROM audited GROUP BY 1")
     out["labelled_histogram"] = a(
         "SELECT CAST(b AS INT) AS bucket, (b * 10) || '–' || (CASE WHEN b = 9 THEN 100 ELSE b * 10 + 9 END) AS label,"
@@ -270,10 +272,13 @@ def audit_queries() -> dict[str, str]:
         f"SELECT d.segment AS segment, d.label AS label, count(id) AS n, {_mean()} AS mean_score, CAST(count(id) AS DOUBLE) / (SELECT count(*) FROM audited) AS share"
         f" FROM {seg} LEFT JOIN audited a ON a.segment = d.segment GROUP BY d.segment, d.label"
     )
-    out["rule_shares"] = a(
-        "SELECT rule_id, title, dim.severity AS severity, category, affected, CAST(affected AS DOUBLE) / (SELECT count(*) FROM audited) AS share"
-        f" FROM {_dim} JOIN (SELECT rule_id, count(DISTINCT product_id) AS affected FROM findings GROUP BY rule_id) USING (rule_id)"
+    shares = (
+        "SELECT *, row_number() OVER (ORDER BY {order}, affected DESC, rule_id) AS place FROM (SELECT rule_id, title, dim.severity AS severity, category, affected,"
+        " CAST(affected AS DOUBLE) / (SELECT count(*) FROM audited WHERE {listings}) AS share"
+        " FROM {dim} JOIN (SELECT rule_id, count(DISTINCT product_id) AS affected FROM findings WHERE {findings} GROUP BY rule_id) USING (rule_id))"
     )
+    out["rule_shares"] = a(shares.format(order=_sev, listings="TRUE", dim=_dim, findings="TRUE"))
+    out["rule_shares_of_segment"] = a(shares.format(order=_sev, listings="segment = 'thin-feed'", dim=_dim, findings=thin_ids))
     found = "SELECT id, name, brand, score, segment FROM audited WHERE "
     out["listing_search_text"] = a(found + "name ILIKE '%WATCH%' OR brand ILIKE '%WATCH%' OR sku ILIKE '%WATCH%'")
     out["listing_search_category"] = a(found + "(category_path = 'PROMO' OR category_path LIKE 'PROMO > %') AND segment = 'standard'")
@@ -284,7 +289,10 @@ def audit_queries() -> dict[str, str]:
     out["listing_page_after"] = a("SELECT id, name, score FROM audited WHERE score > 30 OR (score = 30 AND id > 100) ORDER BY score, id LIMIT 25")
     out["listing_page_count"] = a("SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 25.0)) AS INT) AS pages FROM audited WHERE segment = 'thin-feed'")
     out["category_names"] = a("SELECT split_part(category_path, ' > ', 1) AS name, count(*) AS n FROM audited WHERE category_path IS NOT NULL GROUP BY 1 HAVING split_part(category_path, ' > ', 1) <> ''")
-    out["findings_with_fix"] = a(f"SELECT product_id, rule_id, f.severity AS severity, message, evidence, title, fix FROM findings f LEFT JOIN {_dim} USING (rule_id)")
+    fixes = f"SELECT product_id, rule_id, f.severity AS severity, message, evidence, title, fix, row_number() OVER (PARTITION BY product_id ORDER BY {_sev.replace('severity', 'f.severity')}, pos) AS place FROM findings f LEFT JOIN {_dim} USING (rule_id)"
+    out["findings_with_fix"] = a(fixes)
+    out["listing_detail_product"] = a("SELECT id, name, slug, score, segment FROM audited WHERE id = 7")
+    out["listing_detail_findings"] = a(f"SELECT rule_id, severity, title, fix, place FROM ({fixes}) WHERE product_id = 7")
 
     def card(level: int, scope: str) -> str:
         return (
@@ -387,6 +395,7 @@ def lens_queries() -> dict[str, str]:
     last = "SELECT product_id, id, recency FROM (SELECT product_id, id, CAST(row_number() OVER (PARTITION BY product_id ORDER BY captured_at DESC, id DESC) AS INT) AS recency FROM {}) WHERE recency <= {}"
     out["last_observations_per_product"] = ask(["observations"], last.format("observations", 5))
     out["last_changes_per_product"] = ask(["price_feed"], last.format("changes", 3), {"changes": _CHANGES})
+    out["listing_detail_history"] = ask(["price_feed"], f"SELECT id, CAST(price AS DOUBLE) AS price, availability, {_at('captured_at')} AS captured_at FROM changes WHERE product_id = 7 ORDER BY changes.captured_at DESC, id DESC LIMIT 20", {"changes": _CHANGES})
     out["listing_detail_observations"] = ask(["observations"], "SELECT id, retailer, status FROM observations WHERE product_id = 7 ORDER BY captured_at DESC, id DESC LIMIT 30")
     return out
 
@@ -400,10 +409,10 @@ def _verdict(own: str, theirs: str) -> tuple[str, str]:
     apart = lambda x, y: f"(len({x}) > 0 AND len({y}) > 0 AND NOT list_has_any({x}, {y}))"
     bundle = f"({rx(theirs, P.BUNDLE)} AND NOT {rx(own, P.BUNDLE)})"
     unsure = f"(len({oc}) > 0 AND len({tc}) = 0)"
-    says = lambda what, x, y: f"'{what}: listing says ' || array_to_string({y}, '/') || ', own name says ' || array_to_string({x}, '/')"
+    says = lambda what, x, y: f"'other {what}, ' || array_to_string({y}, '+') || ' instead of ' || array_to_string({x}, '+')"
     return (
         f"CASE WHEN {apart(oc, tc)} OR {apart(os_, ts)} OR {bundle} THEN 'near' WHEN {unsure} THEN 'uncertain' ELSE 'exact' END",
-        f"CASE WHEN {apart(oc, tc)} THEN {says('colour', oc, tc)} WHEN {apart(os_, ts)} THEN {says('capacity', os_, ts)} WHEN {bundle} THEN 'listing is a bundle' WHEN {unsure} THEN 'listing names no colour' END",
+        f"CASE WHEN {apart(oc, tc)} THEN {says('colour', oc, tc)} WHEN {apart(os_, ts)} THEN {says('capacity', os_, ts)} WHEN {bundle} THEN 'sold as a set' WHEN {unsure} THEN 'offer leaves the colour open' END",
     )
 
 
@@ -418,9 +427,9 @@ FROM items i JOIN products p ON p.gtin = i.gtin
 WHERE condition_id = CASE p.condition WHEN 'refurbished' THEN 'GOOD_REFURBISHED' WHEN 'used' THEN 'USED' ELSE 'NEW' END""",
     "reasoned": f"""
 SELECT *, item_price + shipping AS landed,
-       CASE WHEN item_price IS NULL THEN 'unpriced' WHEN {rx('title', P.FAULTY_TITLE)} THEN 'faulty/parts'
-            WHEN {_first_accessory} IS NOT NULL THEN 'accessory (' || {_first_accessory} || ')' WHEN country <> 'GB' THEN 'not domestic'
-            WHEN item_price + shipping < CAST(own_price AS DOUBLE) * 0.3 THEN 'too cheap to be the product' END AS reason
+       CASE WHEN item_price IS NULL THEN 'unpriced' WHEN {rx('title', P.FAULTY_TITLE)} THEN 'defect in the title'
+            WHEN {_first_accessory} IS NOT NULL THEN 'add-on: ' || {_first_accessory} WHEN country <> 'GB' THEN 'sent from abroad'
+            WHEN item_price + shipping < CAST(own_price AS DOUBLE) * 0.3 THEN 'implausible price' END AS reason
 FROM priced""",
     "judged": f"SELECT *, CASE WHEN reason IS NULL THEN {_match} END AS match, CASE WHEN reason IS NULL THEN {_note} END AS match_note FROM reasoned",
     "sorted": """
@@ -451,7 +460,7 @@ def pricing_queries() -> dict[str, str]:
   CASE s % 9 WHEN 6 THEN 'EUR' WHEN 7 THEN 'GBP' END AS currency, CASE s % 9 WHEN 6 THEN 'unknown' WHEN 7 THEN 'refurbished' END AS condition,
   CASE s % 9 WHEN 6 THEN 'out_of_stock' WHEN 7 THEN 'unknown' END AS availability, CASE WHEN s % 9 IN (6, 7) THEN 'retailer' END AS seller_type,
   CASE WHEN s % 9 IN (6, 7) THEN 'ok' WHEN html = '' THEN 'error' WHEN s % 9 IN (4, 5, 8) THEN 'no_price' ELSE f.status END AS status,
-  CASE WHEN s % 9 IN (6, 7) OR html = '' THEN NULL WHEN s % 9 IN (4, 5, 8) THEN 'no offer in the page''s markup' ELSE f.note END AS note
+  CASE WHEN s % 9 IN (6, 7) OR html = '' THEN NULL WHEN s % 9 IN (4, 5, 8) THEN 'markup holds no offer' ELSE f.note END AS note
 FROM mappings m JOIN fetched f ON f.url = m.url""",
     )
     j = lambda s: ask(["items", "products"], s, _JUDGED)
@@ -467,9 +476,9 @@ FROM mappings m JOIN fetched f ON f.url = m.url""",
         f"""SELECT p.id AS product_id, CASE WHEN t.item_id IS NULL THEN 'not_found' ELSE 'ok' END AS status, t.item_id AS item_id, {money('t.landed')} AS price,
   {money('t.item_price')} AS item_price, {money('t.shipping')} AS shipping_cost, CASE WHEN t.item_id IS NOT NULL THEN 'in_stock' END AS availability, t.seller AS seller,
   CASE WHEN t.item_id IS NOT NULL THEN coalesce(lower(account_type), 'unknown') END AS seller_type, t.match AS match,
-  CASE WHEN t.item_id IS NOT NULL THEN concat_ws('; ', comparable || ' comparable of ' || items, 'skipped ' || skipped, 'feedback ' || t.feedback_percentage || '% (' || coalesce(CAST(t.feedback_score AS VARCHAR), '?') || ')',
-         'individual seller cheaper at ' || {amount('i.landed')}, 'cheaper ' || l.match || ' match at ' || {amount('l.landed')} || ' (' || coalesce(l.match_note, 'variant differs') || ')')
-       WHEN items IS NULL THEN 'no listing for this GTIN' ELSE items || ' listings, none comparable: ' || coalesce(skipped, '') END AS note
+  CASE WHEN t.item_id IS NOT NULL THEN concat_ws(' | ', 'chosen from ' || comparable || '/' || items, 'left out: ' || skipped, 'rated ' || t.feedback_percentage || '% by ' || coalesce(CAST(t.feedback_score AS VARCHAR), 'unknown number'),
+         'private offer for ' || {amount('i.landed')}, l.match || ' variant for ' || {amount('l.landed')} || ': ' || coalesce(l.match_note, 'no details'))
+       WHEN items IS NULL THEN 'nothing offered under this GTIN' ELSE '0 of ' || items || ' offers fit; ' || coalesce(skipped, '') END AS note
 FROM products p LEFT JOIN counted c ON c.product_id = p.id LEFT JOIN top t ON t.product_id = p.id LEFT JOIN skips k ON k.product_id = p.id
 LEFT JOIN individuals i ON i.product_id = p.id LEFT JOIN lessers l ON l.product_id = p.id WHERE p.gtin IS NOT NULL"""
     )
@@ -485,18 +494,59 @@ LEFT JOIN individuals i ON i.product_id = p.id LEFT JOIN lessers l ON l.product_
         f" CAST({delivery} AS DOUBLE) AS delivery_cost, {stock} AS stock, {seen} AS match, CASE s % 6 WHEN 0 THEN 'a;b' WHEN 1 THEN '-' ELSE '' END AS ignored FROM pairs",
     )
     d = lambda c: f"CAST({c} AS DOUBLE)"
+    stored = "s % 7 <> 3 AND s % 9 > 1 AND s % 9 <> 8"
+    title = "CASE WHEN s % 4 = 0 THEN 'Page ' ELSE 'Item ' END || product_id"
+    told = (
+        f"'read by hand, certainty ' || {confidence} || (CASE WHEN n = 1 THEN '' ELSE '; price from seen ' || n END) || (CASE WHEN s % 3 = 1 THEN '; postage: free' ELSE '' END)"
+        " || (CASE WHEN s % 6 = 0 THEN '; not used: a / b' ELSE '' END)"
+    )
+    # A second entry of a URL comes later in its file, so the first is stored.
     out["import_parses"] = ask(
         ["pairs"],
-        f"""SELECT product_id, {url} AS url, CASE WHEN s % 4 = 0 THEN 'Page ' ELSE 'Item ' END || product_id AS title, {d(f'({price}) + coalesce({delivery}, 0)')} AS price,
-  {d(price)} AS item_price, {d(delivery)} AS shipping_cost, {d("CASE WHEN s % 3 = 0 THEN 199.99 END")} AS was_price, {stock} AS availability, {seen} AS match,
-  CASE WHEN flag = 'N' THEN 'other colour' END AS match_note, CASE WHEN s % 5 = 0 THEN 'no_price' ELSE 'ok' END AS status,
-  'parsed by hand (confidence ' || {confidence} || ')' || (CASE WHEN n = 1 THEN '' ELSE ' · evidence: seen ' || n END) || (CASE WHEN s % 3 = 1 THEN ' · delivery: free' ELSE '' END)
-    || (CASE WHEN s % 6 = 0 THEN ' · ignored: a; b' ELSE '' END) AS note, {_at('last_at')} AS captured_at
-FROM pairs WHERE s % 7 <> 3 AND s % 9 > 1 AND s % 9 <> 8""",
+        f"""SELECT product_id, {url} AS url, {title} AS title, {d(f'({price}) + coalesce({delivery}, 0)')} AS price,
+  {d(price)} AS item_price, {d(delivery)} AS shipping_cost, {d("CASE WHEN s % 3 = 0 THEN 199.99 END")} AS was_price, 'GBP' AS currency, {stock} AS availability, {seen} AS match,
+  CASE WHEN flag = 'N' THEN 'other colour' END AS match_note, CASE WHEN s % 5 = 0 THEN 'no_price' ELSE 'ok' END AS status, {told} AS note, {_at('last_at')} AS captured_at
+FROM pairs WHERE {stored}""",
+    )
+    micros = "CAST(epoch_us(CAST(last_at AS TIMESTAMP)) AS VARCHAR)"
+    key_of = f"substr(sha256({url} || chr(10) || {micros}), 1, 24)"
+    out["import_captures"] = ask(["pairs"], f"SELECT {key_of} AS capture_id, {url} AS url, {_at('last_at')} AS fetched_at, 'Page ' || product_id AS title, 'hand' AS parser, {seen} AS match FROM pairs WHERE {stored}")
+    out["import_matches"] = ask(
+        ["pairs"],
+        f"""SELECT product_id, {url} AS url, CASE WHEN {stored} THEN {seen} WHEN flag = 'A' THEN 'exact' WHEN flag = 'N' THEN 'near' ELSE 'uncertain' END AS match,
+  CASE WHEN {stored} THEN CASE WHEN flag = 'N' THEN 'other colour' END WHEN n > 1 THEN 'seen ' || n || ' times' END AS match_note FROM pairs""",
     )
     out["import_outcomes"] = ask(
         ["pairs"],
-        "SELECT CASE WHEN s % 7 = 3 THEN 'no product' WHEN s % 9 <= 1 THEN 'no capture' WHEN s % 9 = 8 THEN 'already stored' ELSE 'stored' END AS outcome, count(*) AS n FROM pairs GROUP BY 1",
+        "SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN s % 7 = 3 THEN 'no product' WHEN s % 9 <= 1 THEN 'no capture' WHEN s % 9 = 8 OR again THEN 'already stored' ELSE 'stored' END AS outcome"
+        " FROM (SELECT s, FALSE AS again FROM pairs UNION ALL SELECT s, TRUE FROM pairs WHERE s % 3 = 1)) GROUP BY 1",
+    )
+    mapped = "CASE flag WHEN 'A' THEN 'exact' WHEN 'N' THEN 'near' ELSE 'uncertain' END"
+    page = "CASE WHEN s % 3 = 0 THEN 'near' ELSE 'exact' END"
+    has_row = "(s % 5 <> 4 AND s % 8 <> 0)"
+    worst = f"CASE WHEN {has_row} AND {page} = 'near' THEN 'near' ELSE {mapped} END"
+    cost = "CASE WHEN s % 2 = 0 THEN 2.5 END"
+    asked = f"CASE WHEN {has_row} AND s % 8 <> 1 THEN 50 + s END"
+    out["extract_run"] = ask(
+        ["pairs"],
+        f"""SELECT product_id, {url} AS url, CASE WHEN {has_row} AND s % 4 <> 0 THEN 'Read ' || product_id ELSE 'Page ' || product_id END AS title, {d(f'({asked}) + coalesce({cost}, 0)')} AS price, {d(asked)} AS item_price,
+  {d(f'CASE WHEN {has_row} THEN {cost} END')} AS shipping_cost, 'GBP' AS currency, CASE WHEN {has_row} THEN 'in_stock' ELSE 'unknown' END AS availability, {worst} AS match,
+  nullif(concat_ws('; ', CASE WHEN n > 1 THEN 'seen ' || n || ' times' END, CASE WHEN {has_row} AND s % 3 = 0 THEN 'other size' END), '') AS match_note,
+  CASE WHEN s % 5 <> 4 AND s % 8 = 0 THEN 'error' WHEN {asked} IS NULL THEN 'no_price' ELSE 'ok' END AS status,
+  nullif(concat_ws('; ', CASE WHEN s % 5 <> 4 AND s % 8 = 0 THEN 'HTTP 500' END, CASE WHEN {has_row} THEN 'read by reader-1, certainty 0.50' END, CASE WHEN {has_row} AND s % 7 <> 0 THEN 'price from tag' END), '') AS note, {_at('last_at')} AS captured_at
+FROM pairs WHERE s % 9 > 1""",
+    )
+    out["extract_run_matches"] = ask(["pairs"], f"SELECT product_id, {url} AS url, CASE WHEN s % 9 > 1 THEN {worst} ELSE {mapped} END AS match, CASE WHEN n > 1 THEN 'seen ' || n || ' times' END AS match_note FROM pairs")
+    sound = "s % 11 > 5 AND s % 4 <> 0 AND s % 13 <> 5 AND s % 17 <> 6 AND s % 19 <> 1 AND s % 6 <> 1"
+    out["accepted_parses"] = ask(["pairs"], f"SELECT 'hand' AS parser, CAST(s AS INT) AS i, {url} AS url, CAST({price} AS DOUBLE) AS price, 0.75::DOUBLE AS confidence, CASE s % 6 WHEN 0 THEN 'a;b' ELSE '' END AS ignored FROM pairs WHERE {sound}")
+    terms = [
+        ("confidence", "s % 11 = 4 OR s % 19 = 1"), ("delivery_cost", "s % 11 = 5"), ("ignored", "s % 11 = 3 OR s % 6 = 1"), ("match", "s % 17 = 6"), ("price", "s % 11 = 1"),
+        ("product_title", "s % 4 = 0"), ("stock", "s % 13 = 5"),
+    ]
+    out["rejected_parses"] = ask(
+        ["pairs"],
+        "SELECT product_id, s, CASE WHEN s % 11 IN (0, 2) THEN -1 ELSE 0 END AS row_number, CASE WHEN s % 11 IN (0, 2) THEN 'document' ELSE concat_ws(',', "
+        + ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in terms) + f") END AS violations FROM pairs WHERE NOT ({sound})",
     )
     out["landed_prices"] = ask(["pairs"], f"SELECT {url} AS url, {d(f'({price}) + coalesce({delivery}, 0)')} AS landed, CASE WHEN s % 5 = 0 THEN 'no_price' ELSE 'ok' END AS status FROM pairs")
     order = lambda c: f"CASE {c} WHEN 'exact' THEN 0 WHEN 'uncertain' THEN 1 WHEN 'near' THEN 2 END"
@@ -524,7 +574,7 @@ FROM pairs WHERE s % 7 <> 3 AND s % 9 > 1 AND s % 9 <> 8""",
     out["unresolved_keys"] = ask(["pairs"], f"SELECT key, url FROM ({good}) WHERE NOT {named}")
     out["check_targets"] = ask(["products", "pairs"], "SELECT id, sku FROM products WHERE id IN (SELECT product_id FROM pairs)")
     out["check_targets_with_gtin"] = ask(["products", "pairs"], "SELECT id, sku FROM products WHERE id IN (SELECT product_id FROM pairs) OR gtin IS NOT NULL ORDER BY id LIMIT 50")
-    out["targets_by_sku"] = ask(["products", "sku_list"], "SELECT pos, sku_list.sku AS sku, id FROM sku_list JOIN products ON products.sku = sku_list.sku")
+    out["targets_by_sku"] = ask(["products_again", "sku_list"], "SELECT pos, sku_list.sku AS sku, (SELECT min(id) FROM products_again p WHERE p.sku = sku_list.sku) AS id FROM sku_list WHERE sku IN (SELECT sku FROM products_again)")
     out["missing_skus"] = ask(["products", "sku_list"], "SELECT pos, sku FROM sku_list WHERE sku NOT IN (SELECT sku FROM products)")
     out["urls_to_capture"] = ask(["pairs"], f"SELECT {url} AS url FROM pairs WHERE s % 9 <= 1")
     out["parse_keys"] = ask(["fetched"], "SELECT url, substr(sha256('v1' || chr(10) || 'reader' || chr(10) || url || chr(10) || 'own' || chr(10) || html), 1, 24) AS parse_key FROM fetched WHERE html IS NOT NULL")
@@ -548,23 +598,29 @@ def crawl_queries() -> dict[str, str]:
     out["child_sitemaps"] = "SELECT p_partkey AS pos, 'https://shop.example/s' || p_partkey || '.xml' AS url FROM part WHERE p_partkey % 50 = 0"
     kept = f"SELECT url, pos, entry FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos, entry) AS n FROM ({entries}) WHERE url LIKE '%/product/%') WHERE n = 1"
     out["sitemap_products"] = kept
+    child = (
+        "SELECT 0 AS level, * FROM (" + entries + ") UNION ALL SELECT 1, p_partkey, 0, 'https://shop.example/product/p' || (p_partkey + 2), '2001-01-01 00:00:00' FROM part WHERE p_partkey % 50 = 0"
+        " UNION ALL SELECT 1, p_partkey, 1, 'https://shop.example/product/child' || p_partkey, NULL FROM part WHERE p_partkey % 50 = 0"
+        " UNION ALL SELECT 1, p_partkey, 2, 'https://shop.example/product/child0', NULL FROM part WHERE p_partkey % 50 = 0"
+    )
+    out["sitemap_products_with_children"] = f"SELECT url, pos, entry, lastmod FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY level, pos, entry) AS n FROM ({child}) WHERE url LIKE '%/product/%') WHERE n = 1"
     fetched = "(SELECT url, max(fetched_at) AS last_fetched FROM fetch_log GROUP BY url)"
     out["crawl_order"] = ask(["fetch_log"], f"SELECT url, pos FROM ({kept}) LEFT JOIN {fetched} USING (url) ORDER BY last_fetched ASC NULLS FIRST, pos, entry LIMIT 400")
     out["crawl_order_known"] = ask(["fetch_log"], f"SELECT url, {_at('last_fetched')} AS last_fetched FROM ({kept}) JOIN {fetched} USING (url)")
     kind = "length(host) % 4"
     out["robots_rules"] = ask(
-        ["robots"],
+        ["robots_now"],
         f"""SELECT host, 1 AS grp, CASE {kind} WHEN 1 THEN 'otherbot,shelf' WHEN 3 THEN 'strangebot' ELSE '*' END AS agents,
   CASE {kind} WHEN 0 THEN '+/ -/en/6 -/*?utm_' WHEN 1 THEN '-/fr +/fr' WHEN 2 THEN '-/*.html$' ELSE '-/' END AS rules,
-  CAST(CASE {kind} WHEN 0 THEN 3 WHEN 2 THEN 0.5 END AS DOUBLE) AS delay FROM robots
-UNION ALL SELECT host, 2, '*', '-/', NULL FROM robots WHERE {kind} = 1""",
+  CAST(CASE {kind} WHEN 0 THEN 3 WHEN 2 THEN 0.5 END AS DOUBLE) AS delay FROM robots_now
+UNION ALL SELECT host, 2, '*', '-/', NULL FROM robots_now WHERE {kind} = 1""",
     )
     out["robots_admission"] = ask(
-        ["robots"],
+        ["robots_now"],
         f"""SELECT page_id, CASE WHEN http_status = 404 THEN TRUE WHEN http_status = 503 THEN FALSE
   WHEN {kind} = 0 THEN NOT (path LIKE '%?utm\\_%' ESCAPE '\\' OR path LIKE '/en/6%') WHEN {kind} = 2 THEN path NOT LIKE '%.html' ELSE TRUE END AS allowed,
   CAST(CASE WHEN http_status <> 200 THEN NULL WHEN {kind} = 0 THEN 3 WHEN {kind} = 2 THEN 0.5 END AS DOUBLE) AS delay
-FROM (SELECT page_id, lower(regexp_extract(url, '://([^/]+)', 1)) AS host, regexp_replace(regexp_replace(url, '#.*', ''), '^[a-z]+://[^/]*', '') AS path FROM pages) JOIN robots USING (host)""",
+FROM (SELECT page_id, lower(regexp_extract(url, '://([^/]+)', 1)) AS host, regexp_replace(regexp_replace(url, '#.*', ''), '^[a-z]+://[^/]*', '') AS path FROM pages) JOIN robots_now USING (host)""",
     )
     status = "CASE WHEN http_status BETWEEN 200 AND 299 THEN 'ok' WHEN http_status IN (404, 410) THEN 'not_found' WHEN http_status IN (401, 403, 429) THEN 'blocked' ELSE 'error' END"
     log = {"log": f"SELECT *, {status} AS status, CASE WHEN http_status = 200 AND challenge AND NOT has_product THEN 'challenge' ELSE {status} END AS outcome FROM fetch_log"}
@@ -592,16 +648,23 @@ FROM (SELECT page_id, lower(regexp_extract(url, '://([^/]+)', 1)) AS host, regex
 def table_queries() -> dict[str, str]:
     out = {}
     out["product_scan"] = "SELECT p_partkey, p_name, p_brand FROM part"
+    newer = "c.url IS NULL OR s.last_crawled_at > c.last_crawled_at"
     out["upsert_products"] = ask(
         ["stored_products", "crawled"],
-        f"""SELECT coalesce(s.id, c.id) AS id, coalesce(s.url, c.url) AS url, CAST(CASE WHEN c.url IS NULL OR s.last_crawled_at > c.last_crawled_at THEN s.price ELSE c.price END AS DOUBLE) AS price,
-  CASE WHEN c.url IS NULL OR s.last_crawled_at > c.last_crawled_at THEN s.name ELSE c.name END AS name, {_at('least(s.first_seen_at, c.first_seen_at)')} AS first_seen_at,
-  {_at('greatest(s.last_crawled_at, c.last_crawled_at)')} AS last_crawled_at FROM stored_products s FULL JOIN crawled c ON c.url = s.url""",
-    )
-    out["replace_findings"] = ask(
+        f"""SELECT coalesce(id, (SELECT greatest((SELECT max(id) FROM stored_products), coalesce((SELECT max(id) FROM crawled), 0))) + row_number() OVER (PARTITION BY id IS NULL ORDER BY md5(url), url)) AS id, url, price, name, first_seen_at, last_crawled_at
+FROM (SELECT coalesce(s.id, c.id) AS id, coalesce(s.url, c.url) AS url, CAST(CASE WHEN {newer} THEN s.price ELSE c.price END AS DOUBLE) AS price,
+  CASE WHEN {newer} THEN s.name ELSE c.name END AS name, {_at('least(s.first_seen_at, c.first_seen_at)')} AS first_seen_at,
+  {_at('greatest(s.last_crawled_at, c.last_crawled_at)')} AS last_crawled_at FROM stored_products s FULL JOIN crawled c ON c.url = s.url)""",
+    )
+    promo = "(category_path = 'PROMO' OR category_path LIKE 'PROMO > %')"
+    # Long ago no offer had expired yet; nothing else depends on the time.
+    late = "rule_id = 'price-valid-until-expired' AND product_id NOT IN (SELECT k FROM facts WHERE " + promo + ")"
+    out["replace_findings"] = ask(["facts"], f"SELECT product_id, rule_id, severity FROM findings WHERE NOT ({late})", FINDINGS)
+    out["apply_audit"] = ask(
         ["facts"],
-        "SELECT product_id, rule_id, severity FROM findings WHERE product_id NOT IN (SELECT k FROM facts WHERE category_path LIKE 'PROMO%') UNION ALL SELECT k, 'checked-again', 'low' FROM facts WHERE category_path LIKE 'PROMO%'",
-        FINDINGS,
+        f"SELECT id, CAST(greatest(0, 100 - coalesce(lost, 0)) AS INT) AS score, segment, CASE WHEN {promo} THEN '{NOW}' ELSE '2019-06-01 00:00:00' END AS audited_at FROM audited"
+        f" LEFT JOIN (SELECT product_id, sum(CASE severity WHEN 'high' THEN 15 WHEN 'medium' THEN 7 ELSE 3 END) AS lost FROM findings WHERE NOT ({late}) GROUP BY 1) ON product_id = id",
+        AUDITED,
     )
     out["upsert_mappings"] = ask(
         ["mappings", "pairs"],
@@ -691,6 +754,7 @@ def extract_queries() -> dict[str, str]:
     out["clean_text"] = "SELECT doc_id, nullif(trim(regexp_replace(text, '[\\s\\x0B\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+', ' ', 'g')), '') AS text FROM documents"
     out["price_texts"] = a("SELECT k AS id, CAST(k || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') || CASE k % 3 WHEN 0 THEN '.5' WHEN 1 THEN '.25' ELSE '' END AS DOUBLE) AS price FROM facts")
     out["slugs"] = a("SELECT k AS id, slug FROM facts")
+    out["url_paths"] = ask(["odd_urls"], "SELECT id, path, substr(path, 10) AS slug, TRUE AS same FROM odd_urls")
     out["vocabularies"] = a(f"SELECT k AS id, {cond} AS from_label, offer_condition AS condition, offer_availability AS availability FROM facts")
     return out
 

@@ -48,10 +48,15 @@ def totals(products: DataFrame, segment: str | None = None) -> DataFrame:
     return rows.agg(F.count("*").alias("listings"), mean_score().alias("mean_score"))
 
 
+def _findings_of(findings: DataFrame, products: DataFrame | None, segment: str | None) -> DataFrame:
+    if not segment:
+        return findings
+    ids = products.where(F.col("segment") == segment).select(F.col("id").alias("product_id"))
+    return findings.join(ids, "product_id", "left_semi")
+
+
 def finding_totals(findings: DataFrame, products: DataFrame | None = None, segment: str | None = None) -> DataFrame:
-    if segment:
-        ids = products.where(F.col("segment") == segment).select(F.col("id").alias("product_id"))
-        findings = findings.join(ids, "product_id", "left_semi")
+    findings = _findings_of(findings, products, segment)
     high = F.col("severity") == "high"
     # One row per product first: distinct products then need no wide distinct.
     per_product = findings.groupBy("product_id").agg(F.count("*").alias("n"), F.count_if(high).alias("high"))
@@ -62,8 +67,9 @@ def finding_totals(findings: DataFrame, products: DataFrame | None = None, segme
     )
 
 
-def affected_per_rule(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("rule_id").agg(F.countDistinct("product_id").alias("affected"))
+def affected_per_rule(findings: DataFrame, products: DataFrame | None = None, segment: str | None = None) -> DataFrame:
+    """Listings per rule; a listing fails a rule once."""
+    return _findings_of(findings, products, segment).groupBy("rule_id").agg(F.count("*").alias("affected"))
 
 
 def score_histogram(products: DataFrame) -> DataFrame:
@@ -110,15 +116,18 @@ def segment_rollup(products: DataFrame) -> DataFrame:
     )
 
 
-def rule_shares(findings: DataFrame, products: DataFrame) -> DataFrame:
-    """Affected listings per known rule with its share of all audited, gravest and most frequent first."""
-    listings = audited(products).agg(F.count("*")).scalar()
+def rule_shares(findings: DataFrame, products: DataFrame, segment: str | None = None) -> DataFrame:
+    """Affected listings per known rule with its share of all audited (of the segment, if given) and its `place`:
+    gravest and most frequent first."""
+    listings = totals(products, segment).select("listings").scalar()
     rules = rule_dimension(findings.sparkSession).select("rule_id", "title", "severity", "category")
+    order = Window.orderBy(_severity_rank(), F.desc("affected"), "rule_id")  # one row per rule
     return (
-        affected_per_rule(findings)
+        affected_per_rule(findings, products, segment)
         .join(F.broadcast(rules), "rule_id")
         .withColumn("share", _share(F.col("affected"), listings))
-        .orderBy(_severity_rank(), F.desc("affected"), "rule_id")
+        .withColumn("place", F.row_number().over(order))
+        .orderBy("place")
     )
 
 
@@ -195,23 +204,24 @@ def category_names(products: DataFrame) -> DataFrame:
 
 
 def listing_detail(products: DataFrame, findings: DataFrame, history: DataFrame, observations: DataFrame, id: int) -> dict[str, DataFrame]:
-    """Product row, findings, last 20 price changes and last 30 observations of one product."""
+    """Product row, findings with fix, last 20 price changes and last 30 observations of one product. `history` holds kept changes."""
     own = F.col("product_id") == id
     return {
         "product": products.where(F.col("id") == id).limit(1),
-        "findings": findings_with_fix(findings.where(own)),
+        "findings": findings_with_fix(findings.where(own)).orderBy("place"),
         "history": history.where(own).orderBy(F.desc("captured_at"), F.desc("id")).limit(20),
         "observations": observations.where(own).orderBy(F.desc("captured_at"), F.desc("id")).limit(30),
     }
 
 
 def findings_with_fix(findings: DataFrame) -> DataFrame:
-    """Findings with the rule's title and fix, gravest first within a product."""
+    """Findings with the rule's title and fix and their `place` in the product, gravest first."""
     rules = rule_dimension(findings.sparkSession).select("rule_id", "title", "fix", F.col("position").alias("rule_position"))
+    order = Window.partitionBy("product_id").orderBy(_severity_rank(), F.asc_nulls_last("rule_position"), "rule_id")
     return (
         findings.join(F.broadcast(rules), "rule_id", "left")
         .withColumn("title", F.coalesce("title", "rule_id"))
-        .orderBy("product_id", _severity_rank(), "rule_position")
+        .withColumn("place", F.row_number().over(order))
         .drop("rule_position")
     )
 
@@ -251,16 +261,19 @@ def category_scorecard(products: DataFrame, findings: DataFrame, parent: str | N
 def rules_by_category(products: DataFrame, findings: DataFrame, parent: str | None = None) -> DataFrame:
     """Distinct products affected per (category, rule); findings of products not yet audited count too."""
     names = _scoped(products, parent).select(F.col("id").alias("product_id"), level_name(2 if parent else 1).alias("name"))
-    # A product has one name, so one row per (product, rule) makes a plain count distinct.
-    pairs = findings.select("product_id", "rule_id").distinct()
-    return pairs.join(names, "product_id").groupBy("name", "rule_id").agg(F.count("*").alias("affected"))
+    # A product has one name and fails a rule once, so a plain count is distinct.
+    return findings.select("product_id", "rule_id").join(names, "product_id").groupBy("name", "rule_id").agg(F.count("*").alias("affected"))
 
 
 def template_wide_rules(products: DataFrame, findings: DataFrame, share: float = P.TEMPLATE_WIDE_SHARE) -> DataFrame:
     """Rules that hit nearly the whole catalogue."""
+    return _wide(affected_per_rule(findings), products, share)
+
+
+def _wide(affected: DataFrame, products: DataFrame, share: float) -> DataFrame:
     catalogue = audited(products).agg(F.count("*")).scalar()
     return (
-        affected_per_rule(findings)
+        affected
         .withColumn("share", F.try_divide(F.col("affected").cast("double"), catalogue.cast("double")))
         .where(F.col("share") >= share)
     )
@@ -271,10 +284,12 @@ def top_issues(products: DataFrame, findings: DataFrame, parent: str | None = No
     sizes = audited(_scoped(products, parent)).groupBy(level_name(2 if parent else 1).alias("name")).agg(F.count("*").alias("n"))
     known = rule_dimension(findings.sparkSession).select("rule_id", "title")
     order = Window.partitionBy("name").orderBy(F.desc("affected"), "rule_id")
+    per = rules_by_category(products, findings, parent)
+    # Over all categories, the sums per rule are the catalogue's counts.
+    per_rule = affected_per_rule(findings) if parent else per.groupBy("rule_id").agg(F.sum("affected").alias("affected"))
     return (
-        rules_by_category(products, findings, parent)
-        .join(F.broadcast(known), "rule_id")
-        .join(template_wide_rules(products, findings).select("rule_id"), "rule_id", "left_anti")
+        per.join(F.broadcast(known), "rule_id")
+        .join(_wide(per_rule, products, P.TEMPLATE_WIDE_SHARE).select("rule_id"), "rule_id", "left_anti")
         .join(sizes, "name")
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= k)

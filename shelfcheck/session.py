@@ -27,17 +27,17 @@ def local_session(cores: int | str = 8, app: str = "shelfcheck") -> SparkSession
     return spark
 
 
-_local_folders: dict[str, str] = {}
+CHECKPOINT = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir`, or a local one only where that is unset and Spark is local."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="shelfcheck-")
-    return _local_folders[context.applicationId]
+    """The folder that driver and executors share: `spark.checkpoint.dir` of the session. Only where that is unset and
+    Spark runs in this process alone, as in tests, one is made and set."""
+    folder = spark.conf.get(CHECKPOINT, None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT} to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="shelfcheck-")
+        spark.conf.set(CHECKPOINT, folder)
+    return folder.rstrip("/")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..schemas import PARSED_PRICES
+from ..schemas import PARSED_PRICES, PARSED_ROW
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -55,6 +55,39 @@ def explode_parses(documents: DataFrame) -> DataFrame:
     return documents.select("parser", F.explode("rows").alias("row"))
 
 
+# The type contract of a parsed row: field, kinds of JSON value it may have.
+_NUMBER, _TEXT = ("BIGINT", "DECIMAL", "DOUBLE"), ("STRING",)
+CONTRACT = {
+    "product_title": _TEXT, "price": (*_NUMBER, "VOID"), "price_evidence": (*_TEXT, "VOID"), "was_price": (*_NUMBER, "VOID"),
+    "delivery_cost": (*_NUMBER, "VOID"), "delivery_note": (*_TEXT, "VOID"), "stock": _TEXT, "match": _TEXT,
+    "match_note": (*_TEXT, "VOID"), "confidence": _NUMBER, "ignored": ("ARRAY<STRING>", "ARRAY<VOID>"),
+}
+ALLOWED = {"stock": P.AVAILABILITIES, "match": P.MATCHES}
+
+
+def checked_parses(bodies: DataFrame, column: str = "value") -> DataFrame:
+    """Every row of every parsed-price document with `violations`: the fields that are missing, of another type or out of
+    range. A body that is no JSON object, or has no list of rows, is one row with the violation `document`."""
+    document = F.try_parse_json(column)
+    listed = F.try_variant_get(document, "$.rows", "array<variant>")
+    read = bodies.select("*", F.try_variant_get(document, "$.parser", "string").alias("parser"), F.posexplode_outer(listed).alias("row_number", "raw"), listed.isNull().alias("unread"))
+    kind = lambda f: F.regexp_replace(F.schema_of_variant(F.try_variant_get("raw", f"$.{f}", "variant")), r"\([0-9,]*\)", "")
+    broken = [F.when(~F.coalesce(kind(f).isin(list(kinds)), F.lit(False)), F.lit(f)) for f, kinds in CONTRACT.items()]
+    value = lambda f, t: F.try_variant_get("raw", f"$.{f}", t)
+    broken += [F.when((kind(f) == "STRING") & ~value(f, "string").isin(allowed), F.lit(f)) for f, allowed in ALLOWED.items()]
+    broken += [F.when(kind("confidence").isin(list(_NUMBER)) & ~value("confidence", "double").between(0, 1), F.lit("confidence"))]
+    found = F.array_sort(F.array_distinct(F.array_compact(F.array(*broken))))
+    return read.where(F.col("unread") | F.col("raw").isNotNull()).select(*bodies.columns, "parser", "row_number", "raw", F.when(F.col("unread"), F.array(F.lit("document"))).otherwise(found).alias("violations"))
+
+
+def accepted_and_rejected(bodies: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(parser, row) of the rows that keep the contract, and what breaks it: the body, the row's number and its violations."""
+    every = checked_parses(bodies, column)
+    sound = F.size("violations") == 0
+    row = F.from_json(F.to_json("raw"), PARSED_ROW)
+    return every.where(sound).select("parser", row.alias("row")), every.where(~sound).select(*bodies.columns, "row_number", "violations")
+
+
 def capture_key(url: Column) -> Column:
     """Content address of a capture: first 24 hex digits of the URL's SHA-256."""
     return F.substring(F.sha2(url, 256), 1, 24)

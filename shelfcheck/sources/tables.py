@@ -5,10 +5,11 @@ An update reads one version of a table and writes the next; it never overwrites
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..operators.ranking import number_rows
 
 
 def scan(spark: SparkSession, path: str, *columns: str) -> DataFrame:
@@ -16,22 +17,6 @@ def scan(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-_MB = 1 << 20
-_bytes_of: dict[tuple[str, str], int] = {}
-
-
-def scan_spread(spark: SparkSession, path: str, least: int = 1 * _MB, most: int = 512 * _MB) -> DataFrame:
-    """Read a table whose rows are costly to work on. Parquet is split by row group, so a file of a few MB is
-    read by one task however many cores wait: between `least` and `most` bytes its rows are spread over them.
-    A larger table has row groups enough and is left where it is read."""
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _bytes_of:
-        sizes = spark.read.format("binaryFile").load(path).agg(F.sum("length")).collect()  # one number
-        _bytes_of[key] = sizes[0][0] or 0
-    df = spark.read.parquet(path)
-    return df.repartition(spark.sparkContext.defaultParallelism) if least <= _bytes_of[key] <= most else df
-
-
 def write_version(df: DataFrame, folder: str, version: int) -> str:
     """Write the next version of a table; fails if that version exists."""
     path = f"{folder.rstrip('/')}/version={version}"
@@ -50,19 +35,24 @@ def append(df: DataFrame, path: str) -> None:
 def upsert_products(stored: DataFrame, crawled: DataFrame) -> DataFrame:
     """Stored and newly crawled products, one row per url: the newest capture, keeping id and first-seen time.
 
-    Both need url, first_seen_at, last_crawled_at; a new product's id may be NULL until `upsert` derives it.
+    Both need url, first_seen_at, last_crawled_at. At equal times the crawled capture wins, and among equals the one
+    with the greatest values. A new product without an id gets the next free number, in the order of its URL's MD5.
     """
-    both = stored.unionByName(crawled, allowMissingColumns=True)
-    captured = [c for c in both.columns if c not in ("id", "url", "first_seen_at")]
-    return (
+    both = stored.withColumn("incoming", F.lit(0)).unionByName(crawled.withColumn("incoming", F.lit(1)), allowMissingColumns=True)
+    captured = [c for c in both.columns if c not in ("id", "url", "first_seen_at", "incoming")]
+    merged = (
         both.groupBy("url")
         .agg(
-            F.min_by("id", F.when(F.col("id").isNotNull(), F.col("first_seen_at"))).alias("id"),
+            F.min_by("id", F.when(F.col("id").isNotNull(), F.struct("first_seen_at", "id"))).alias("id"),
             F.min("first_seen_at").alias("first_seen_at"),
-            F.max_by(F.struct(*captured), "last_crawled_at").alias("_newest"),
+            F.max_by(F.struct(*captured), F.struct("last_crawled_at", "incoming", *captured)).alias("_newest"),
         )
-        .select(F.coalesce("id", F.xxhash64("url")).alias("id"), "url", "first_seen_at", "_newest.*")
+        .select("id", "url", "first_seen_at", "_newest.*")
     )
+    known = F.coalesce(both.agg(F.max("id")).scalar(), F.lit(0))
+    fresh = number_rows(merged.where(F.col("id").isNull()), [], [F.substring(F.md5("url"), 1, 3)], [F.md5("url"), F.col("url")], "n")
+    numbered = fresh.withColumn("id", known + F.col("n")).select(*merged.columns)
+    return merged.where(F.col("id").isNotNull()).unionByName(numbered)
 
 
 def replace_findings(stored: DataFrame, fresh: DataFrame, audited_ids: DataFrame) -> DataFrame:
@@ -70,15 +60,12 @@ def replace_findings(stored: DataFrame, fresh: DataFrame, audited_ids: DataFrame
     return stored.join(audited_ids.select("product_id"), "product_id", "left_anti").unionByName(fresh)
 
 
-def apply_audit(products: DataFrame, checked: DataFrame) -> DataFrame:
-    """Products with the score and segment of their latest audit."""
-    marks = checked.select("id", F.col("score").alias("new_score"), F.col("segment").alias("new_segment"))
-    return (
-        products.join(marks, "id", "left")
-        .withColumn("score", F.coalesce("new_score", "score"))
-        .withColumn("segment", F.coalesce("new_segment", "segment"))
-        .drop("new_score", "new_segment")
-    )
+def apply_audit(products: DataFrame, checked: DataFrame, audited_at: Column) -> DataFrame:
+    """Products with score, segment and time of their latest audit: `audited_at` for those in `checked`."""
+    marks = checked.select("id", F.struct("score", "segment", audited_at.alias("audited_at")).alias("_mark"))
+    own = lambda c: F.when(F.col("_mark").isNotNull(), F.col("_mark")[c]).otherwise(F.col(c)).alias(c)
+    joined = products.join(marks, "id", "left")
+    return joined.select(*[own(c) if c in ("score", "segment", "audited_at") else F.col(c) for c in products.columns])
 
 
 def upsert_mappings(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -1,59 +1,60 @@
 """Price history over an unbounded feed.
 
-Every micro-batch goes through the batch operator, so a busy product spreads over tasks here too; what is
-carried from batch to batch is one row per product, kept as a versioned table in the shared folder.
+The state holds the last (price, availability) of each product and nothing else; a micro-batch reads and writes the
+state of the products in it, so its cost follows the batch. The state store is RocksDB, which keeps what doesn't change on
+disk. Rows of a batch are taken in event order; a row older than an earlier batch's counts as newly arrived.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.history import price_changes
+from ..schemas import PRICE_FEED
 
-STATE = "product_id bigint, price decimal(10,2), availability string, captured_at timestamp, id bigint"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _changes_after(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of the batch that start a change, given the last kept row of each product."""
-    within = price_changes(batch)
-    first = within.groupBy("product_id").agg(F.min(F.struct("captured_at", "id")).alias("first"))
-    known = state.select("product_id", F.struct("price", "availability").alias("known"))
-    # Only the batch's first change of a product can repeat what an earlier batch ended on.
-    repeated = (F.struct("captured_at", "id") == F.col("first")) & (F.col("known.price") == F.col("price")) & F.col("known.availability").eqNullSafe(F.col("availability"))
-    return (
-        within.join(first, "product_id")
-        .join(known, "product_id", "left")
-        .where(~F.coalesce(repeated, F.lit(False)))
-        .select(*batch.columns)
-    )
+def _changed(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The rows of one product that differ from the one before them. One product's rows of one batch are held at once;
+    the source's rate limit (`maxFilesPerTrigger` and the like) bounds them."""
+    rows = pd.concat(list(chunks)).sort_values(["captured_at", "id"], kind="stable")
+    last = tuple(state.get) if state.exists else None
+    keep = []
+    for price, availability in zip(rows["price"], rows["availability"]):
+        now = (None if pd.isna(price) else price, None if pd.isna(availability) else availability)
+        keep.append(now[0] is not None and now != last)
+        if now[0] is not None:
+            last = now
+    if last is not None:
+        state.update(last)
+    yield rows[keep]
 
 
-def _state_after(state: DataFrame, batch: DataFrame) -> DataFrame:
-    columns = ["price", "availability", "captured_at", "id"]
-    last = batch.where(F.col("price").isNotNull()).groupBy("product_id").agg(F.max_by(F.struct(*columns), F.struct("captured_at", "id")).alias("n"))
-    old = state.select("product_id", F.struct(*columns).alias("o"))
-    return old.join(last, "product_id", "full").select("product_id", F.coalesce("n", "o").alias("_newest")).select("product_id", "_newest.*")
+def price_change_stream(feed: DataFrame) -> DataFrame:
+    """The changes of a streaming feed (product_id, price, availability, captured_at, id)."""
+    columns = [c.split()[0] for c in PRICE_FEED.split(", ")]
+    return feed.select(*columns).groupBy("product_id").applyInPandasWithState(_changed, PRICE_FEED, "price decimal(10,2), availability string", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_price_changes(feed: DataFrame, folder: str, **trigger) -> StreamingQuery:
-    """Start keeping the changes of a streaming feed (product_id, price, availability, captured_at, id).
-
-    Changes of batch n go to `folder`/changes/batch=n and the state it leaves to `folder`/state/batch=n.
-    Both are overwritten when a batch is repeated after a failure, so every change is kept once. Rows of a
-    batch are taken in event order; a row older than an earlier batch's counts as newly arrived.
-    """
-
-    def keep(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state = spark.read.schema(STATE).parquet(f"{folder}/state/batch={number - 1}") if number else spark.createDataFrame([], STATE)
-        _changes_after(state, batch).write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
-        _state_after(state, batch).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
-
-    return feed.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+    """Start keeping the changes of a streaming feed in `folder`/changes, once each whatever fails; `folder`/checkpoint
+    holds the state."""
+    spark = feed.sparkSession
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)  # a query takes its settings when it starts
+    try:
+        writer = price_change_stream(feed).writeStream.format("parquet").outputMode("append")
+        return writer.option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/changes").trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
 
 def kept_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """The changes kept so far; `batch` is the micro-batch that kept them."""
-    return spark.read.parquet(f"{folder}/changes")
+    """The changes kept so far."""
+    return spark.read.schema(PRICE_FEED).parquet(f"{folder}/changes")

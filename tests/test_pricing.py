@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,19 +8,23 @@ from shelfcheck.operators import pricing
 from shelfcheck.operators.match import assess_match, worst_match
 from shelfcheck.sources import files
 
+# Each rule of the verdict on both sides of its edge, in the order in which the rules are tried.
 PAIRS = [
-    ("Sonora Clip 5 Speaker White", "Sonora Clip 5 Portable Speaker - White", "exact", None),
-    ("Sonora Clip 5 Speaker White", "Sonora Clip 5 Portable Speaker - Black", "near", "colour: listing says black, own name says white"),
-    ("Nova X20 256GB Titanium Black", "Nova X20 512GB Titanium Black", "near", "capacity: listing says 512gb, own name says 256gb"),
-    ("Arcade Pro 2TB Console", "Arcade Pro 2TB Console + Racing bundle", "near", "listing is a bundle"),
-    ("Buds Pro 3 White", "Buds Pro 3 with Charging Dock", "uncertain", "listing names no colour"),
-    ("Strider 12 46mm Black", "Strider 12 46mm Black/Powder Grey", "exact", None),
-    ("Watch Space Grey", "Watch SPACE GREY", "exact", None),
-    ("Watch Grey", "Watch Space Grey", "near", "colour: listing says space grey, own name says grey"),
-    ("Phone 128 GB", "Phone 128GB", "near", "capacity: listing says 128gb, own name says 128 gb"),
-    (None, None, "exact", None),
-    ("Console", "Console 2 pack", "near", "listing is a bundle"),
-    ("Console", "Console with charger", "near", "listing is a bundle"),
+    ("Kite kettle teal", "Teal kettle by Kite", "exact", None),
+    ("Kite kettle teal", "Kite kettle, olive", "near", "other colour, olive instead of teal"),
+    ("Kite kettle teal/cream", "Kite kettle cream", "exact", None),
+    ("Kite kettle teal", "Kite kettle", "uncertain", "offer leaves the colour open"),
+    ("Kite kettle", "Kite kettle teal", "exact", None),
+    ("Rook drive 4TB", "Rook drive 4 tb", "near", "other capacity, 4 tb instead of 4tb"),
+    ("Rook drive 4TB", "Rook drive", "exact", None),
+    ("Rook drive 4TB 8GB", "Rook drive 8GB", "exact", None),
+    ("Rook drive 500GB navy", "Rook drive 250GB coral", "near", "other colour, coral instead of navy"),
+    ("Mop", "Mop twin pack", "near", "sold as a set"),
+    ("Mop twin pack", "Mop bundle", "exact", None),
+    ("Mop", "Mop 6-pack", "near", "sold as a set"),
+    ("Mop indigo", "Mop bundled", "near", "sold as a set"),
+    (None, "Mop", "exact", None),
+    ("Mop", None, "exact", None),
 ]
 
 
@@ -38,20 +43,19 @@ ITEM = "gtin string, item_id string, title string, condition_id string, price_va
 PRODUCT = "id bigint, gtin string, name string, price decimal(10,2), condition string"
 
 
-def item(gtin, price, title="Sonora Clip 5 Speaker - White", postage=None, kind="BUSINESS", condition="NEW", country="GB", key=None):
-    options = [] if postage is None else [("FIXED", p) for p in postage]
-    return (gtin, key or f"v{price}", title, condition, price, options, f"seller{price}", kind, country, "99.5", 1200)
+def item(gtin, key, price, title="Heron blender", postage=(), kind="BUSINESS", condition="NEW", country="GB", rated=("88.1", 12)):
+    return (str(gtin), key, title, condition, price, [("FIXED", p) for p in postage], "shop-" + key, kind, country, *rated)
 
 
-SCENES = {
-    1: [item("1", "65", postage=["0"], kind="INDIVIDUAL"), item("1", "70", postage=["4.99", "6"])],
-    2: [item("2", "60", "Sonora Clip 5 Speaker - Black"), item("2", "72")],
-    3: [item("3", "60", "Sonora Clip 5 Speaker - Black")],
-    4: [item("4", "65", kind="INDIVIDUAL")],
-    5: [item("5", "5", "Carry Case for Sonora Clip 5"), item("5", "30", "Sonora Clip 5 FAULTY spares"), item("5", "12"), item("5", "72", postage=["3"]), item("5", "80", "Case Sonora", key="w")],
-    6: [],
-    7: [item("7", "5", "Silicone cover for Sonora Clip 5"), item("7", "abc", key="q"), item("7", "90", country="DE")],
-    8: [item("8", "50", condition="USED"), item("8", "55", condition="SELLER_REFURBISHED", postage=["free", "2"], kind=None)],
+# Product 10 + n has GTIN n; own price 200, so offers below 60 landed are implausible.
+OFFERS = {
+    1: [item(1, "a", "150", postage=["9", "8.5"]), item(1, "b", "158", kind="INDIVIDUAL"), item(1, "c", "158.6")],
+    2: [item(2, "a", "120", "Heron blender pack of 2"), item(2, "b", "59.99"), item(2, "c", "60", kind=None, rated=(None, None))],
+    3: [item(3, "a", "140", "Heron blender cover"), item(3, "b", "141", "Heron blender untested"), item(3, "c", "142", country="FR"), item(3, "d", "1"), item(3, "e", "143", "Heron blender mount")],
+    4: [item(4, "a", "70", "Heron blender bundle", kind="INDIVIDUAL"), item(4, "b", "75", "Heron blender bundle")],
+    5: [item(5, "a", "80", condition="USED"), item(5, "b", "90"), item(5, "c", "free")],
+    6: [item(6, "a", "100", country=None, postage=["by weight"]), item(6, "b", "100", country="")],
+    7: [],
 }
 
 
@@ -59,32 +63,62 @@ SCENES = {
 def checked(spark):
     from decimal import Decimal
 
-    products = [(i, str(i), "Sonora Clip 5 Speaker White", Decimal("81.99"), "refurbished" if i == 8 else "new") for i in SCENES]
-    products.append((9, None, "No code", Decimal("1.00"), "new"))
-    items = [x for s in SCENES.values() for x in s]
-    out = pricing.check_marketplace(spark.createDataFrame(products, PRODUCT), spark.createDataFrame(items, ITEM).repartition(4))
+    products = [(10 + n, str(n), "Heron blender", Decimal("200.00"), {5: "used", 6: "unknown"}.get(n, "new")) for n in OFFERS]
+    products.append((99, None, "Without a code", Decimal("5.00"), "new"))
+    items = [x for offers in OFFERS.values() for x in offers]
+    out = pricing.check_marketplace(spark.createDataFrame(products, PRODUCT), spark.createDataFrame(items, ITEM).repartition(5))
     return {r["product_id"]: r for r in out.collect()}
 
 
-def test_best_offer(checked):
-    r = checked[1]
-    assert (r["status"], float(r["price"]), float(r["item_price"]), float(r["shipping_cost"]), r["seller_type"]) == ("ok", 74.99, 70, 4.99, "business")
-    assert "individual seller cheaper at £65.00" in r["note"] and "2 comparable of 2" in r["note"] and "feedback 99.5% (1200)" in r["note"]
-    assert float(checked[2]["price"]) == 72 and "cheaper near match at £60.00 (colour: listing says black, own name says white)" in checked[2]["note"]
-    assert checked[3]["match"] == "near" and checked[4]["seller_type"] == "individual"
-    assert float(checked[8]["price"]) == 55 and checked[8]["seller_type"] == "unknown"
+def test_best_offer_of_a_match_is_a_shop(checked):
+    """Shops come before private sellers, postage counts, and a cheaper private offer is told."""
+    r = checked[11]
+    assert (r["item_id"], float(r["price"]), float(r["item_price"]), float(r["shipping_cost"]), r["seller_type"], r["match"]) == ("a", 158.5, 150, 8.5, "business", "exact")
+    assert r["note"] == "chosen from 3/3 | rated 88.1% by 12 | private offer for £158.00"
 
 
-def test_left_out_listings(checked):
-    assert float(checked[5]["price"]) == 75 and "skipped accessory (case) ×2, too cheap to be the product, faulty/parts" in checked[5]["note"]
-    assert checked[6]["status"] == "not_found" and checked[6]["note"] == "no listing for this GTIN"
-    assert checked[7]["note"] == "3 listings, none comparable: accessory (cover), not domestic"
-    assert 9 not in checked
+def test_exact_match_beats_a_cheaper_variant(checked):
+    r = checked[12]
+    # 60 is 0.3 of the own price and still plausible; an offer without an account type is no shop.
+    assert (r["item_id"], r["seller_type"], r["status"]) == ("c", "unknown", "ok")
+    assert r["note"] == "chosen from 2/3 | left out: implausible price"
+    only = checked[14]
+    assert (only["item_id"], only["match"], only["note"]) == ("b", "near", "chosen from 2/2 | rated 88.1% by 12 | private offer for £70.00")
 
 
-def test_title_exclusion_and_postage(spark):
-    df = spark.createDataFrame([("Weave Ethernet Cable", "Weave Ethernet Cable"), ("Cable for Clip", "Clip Speaker"), ("Clip - broken", "Clip"), (None, "Clip")], "t string, o string")
-    assert [r[0] for r in df.select(pricing.title_exclusion(F.col("t"), F.col("o"))).collect()] == [None, "accessory (cable)", "faulty/parts", None]
+def test_cheaper_variant_is_told(spark):
+    from decimal import Decimal
+
+    own = spark.createDataFrame([(1, "1", "Heron blender", Decimal("200.00"), "new")], PRODUCT)
+    offers = [item(1, "a", "180"), item(1, "b", "170", "Heron blender 3 pack"), item(1, "c", "190", "Heron blender 3 pack")]
+    note = pricing.check_marketplace(own, spark.createDataFrame(offers, ITEM)).collect()[0]["note"]
+    assert note == "chosen from 3/3 | rated 88.1% by 12 | near variant for £170.00: sold as a set"
+
+
+def test_what_is_left_out(checked):
+    assert (checked[13]["status"], checked[13]["note"]) == ("not_found", "0 of 5 offers fit; implausible price, add-on: cover, defect in the title, sent from abroad, add-on: mount")
+    assert (checked[15]["item_id"], checked[15]["note"].split(" | ")[0]) == ("a", "chosen from 1/1")
+    assert (checked[16]["item_id"], float(checked[16]["price"])) == ("a", 100)
+    assert (checked[17]["status"], checked[17]["note"]) == ("not_found", "nothing offered under this GTIN")
+    assert 99 not in checked
+
+
+def test_title_words_of_the_own_name_are_no_add_on(spark):
+    df = spark.createDataFrame([("Rail mount stand", "Wall mount"), ("Rail mount", "Wall MOUNT"), ("Lamp", "Lamp"), ("Lamp, no power", "Lamp"), (None, "Lamp")], "t string, o string")
+    assert [r[0] for r in df.select(pricing.title_exclusion(F.col("t"), F.col("o"))).collect()] == ["add-on: stand", None, None, "defect in the title", None]
+
+
+def test_postage(spark):
+    kind = "o array<struct<type:string,cost:string>>"
+    df = spark.createDataFrame([([("X", "7"), ("X", "6.2")],), ([("X", "7"), ("X", None)],), ([],), (None,)], kind)
+    assert [r[0] for r in df.select(pricing.cheapest_postage(F.col("o"))).collect()] == [6.2, 0.0, 0.0, 0.0]
+
+
+def test_targets_are_one_per_sku(spark):
+    products = spark.createDataFrame([(5, "k"), (3, "k"), (4, "m"), (9, None)], "id bigint, sku string")
+    found, missing = pricing.targets_by_sku(products, spark.createDataFrame([(2, "k"), (1, "m"), (3, "z"), (4, "k")], "pos int, sku string"))
+    assert [(r["pos"], r["id"]) for r in found.collect()] == [(1, 4), (2, 3), (4, 3)]
+    assert [r["sku"] for r in missing.collect()] == ["z"]
 
 
 def test_keys(spark):
@@ -111,19 +145,59 @@ def test_files(spark, tmp_path):
     assert [(r["parser"], r["row"]["i"], r["row"]["price"]) for r in rows] == [("hand", 1, 2.5), ("hand", 2, None)]
 
 
-def test_import_is_idempotent(spark):
-    body = '{"parser":"hand","rows":[{"sku":"S1","retailer":"R","url":"u1","price":10,"delivery_cost":null,"confidence":0.5,"match":"near","stock":"in_stock","price_evidence":"e","ignored":["x","y"]},{"sku":"S9","url":"u1"},{"sku":"S1","url":"u9"},{"sku":"S1","retailer":"R","url":"u2","price":null,"confidence":1,"ignored":[]}]}'
-    parsed = files.parse_price_documents(spark.createDataFrame([(body,)], "value string"))
-    products = spark.createDataFrame([(1, "S1")], "id bigint, sku string")
-    captures = spark.sql("SELECT * FROM VALUES ('u1', TIMESTAMP '2026-09-23 10:00:00', 'T'), ('u2', TIMESTAMP '2026-09-23 11:00:00', 'T') AS c(url, fetched_at, title)")
+def test_import_stores_a_fetch_once(spark):
+    """Rows repeated in a file, several fetches of a page, unknown products and pages; then the same file again."""
+    rows = [
+        {"i": 2, "sku": "T", "retailer": "Q", "url": "p1", "price": 31.5, "delivery_cost": 4, "confidence": 0.25, "match": "near", "stock": "preorder", "delivery_note": "by van", "ignored": ["deposit"]},
+        {"i": 1, "sku": "T", "retailer": "Q", "url": "p1", "price": 30, "confidence": 1, "match": "exact", "stock": "in_stock", "page_title": "From the file", "ignored": []},
+        {"i": 3, "sku": "?", "url": "p1"},
+        {"i": 4, "sku": "T", "url": "unseen"},
+        {"i": 5, "sku": "T", "retailer": "Q", "url": "p2", "price": None, "confidence": 0.125, "stock_note": "ask us", "ignored": []},
+        {"i": 6, "sku": "T", "retailer": "Q", "url": "p2", "price": 8, "confidence": 0.125, "ignored": []},
+    ]
+    parsed = files.parse_price_documents(spark.createDataFrame([(json.dumps({"parser": "eye", "rows": rows}),)], "value string"))
+    products = spark.createDataFrame([(8, "T"), (6, "T"), (1, None)], "id bigint, sku string")
+    captures = spark.sql("""SELECT * FROM VALUES ('p1', TIMESTAMP '2025-05-01 08:00:00', 'earlier'), ('p1', TIMESTAMP '2025-05-02 08:00:00', '  later  page '),
+      ('p2', TIMESTAMP '2025-05-03 08:00:00', NULL) AS c(url, fetched_at, title)""")
     none = spark.createDataFrame([], "source string, url string, captured_at timestamp")
-    first = pricing.import_parses(parsed, products, captures, none, "parsed")
-    assert sorted(r["outcome"] for r in first.collect()) == ["no capture", "no product", "stored", "stored"]
+    first = pricing.import_parses(parsed, products, captures, none, "s").cache()
+    assert sorted((r["url"], r["outcome"]) for r in first.collect()) == [("p1", "already stored"), ("p1", "no product"), ("p1", "stored"), ("p2", "already stored"), ("p2", "stored"), ("unseen", "no capture")]
     stored = {r["url"]: r for r in first.where("outcome = 'stored'").collect()}
-    assert float(stored["u1"]["price"]) == 10 and stored["u1"]["status"] == "ok" and stored["u2"]["status"] == "no_price"
-    assert stored["u1"]["note"] == "parsed by hand (confidence 0.50) · evidence: e · ignored: x; y"
-    again = pricing.import_parses(parsed, products, captures, first.where("outcome = 'stored'"), "parsed")
-    assert sorted(r["outcome"] for r in again.collect()) == ["already stored", "already stored", "no capture", "no product"]
+    assert (stored["p1"]["product_id"], float(stored["p1"]["price"]), stored["p1"]["status"], stored["p1"]["captured_at"].day, stored["p1"]["currency"]) == (6, 30, "ok", 2, "GBP")
+    assert (stored["p2"]["price"], stored["p2"]["status"], stored["p2"]["note"]) == (None, "no_price", "read by eye, certainty 0.13; availability: ask us")
+    pages = {r["url"]: r for r in pricing.import_captures(first).withColumn("parser", F.variant_get("meta", "$.parser", "string")).collect()}
+    assert (pages["p1"]["title"], pages["p1"]["capture_id"], pages["p1"]["parser"]) == ("later page", stored["p1"]["capture_id"], "eye") and len(pages) == 2
+    again = pricing.import_parses(parsed, products, captures, first.where("outcome = 'stored'"), "s")
+    assert sorted(r["outcome"] for r in again.collect()) == ["already stored"] * 4 + ["no capture", "no product"]
+
+
+def test_contract_of_parsed_rows(spark):
+    sound = {"product_title": "t", "price": 1, "price_evidence": None, "was_price": 2.5, "delivery_cost": None, "delivery_note": "n", "stock": "unknown", "match": "near", "match_note": None, "confidence": 0, "ignored": ["a"]}
+    changes = [{}, {"price": "1"}, {"price": ...}, {"confidence": 1.01}, {"confidence": -1, "stock": "few"}, {"ignored": None}, {"ignored": [1]}, {"ignored": []}, {"match": None}, {"product_title": 5}, {"was_price": [1]}]
+    rows = [{k: v for k, v in {**sound, **c}.items() if v is not ...} for c in changes]
+    bodies = [json.dumps({"parser": "p", "rows": rows}), "not json", '{"parser": "p"}', '{"rows": {}}', '{"rows": []}', "[1]", None]
+    good, bad = files.accepted_and_rejected(spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, value string"))
+    assert sorted((r["row"]["product_title"], r["row"]["price"], r["row"]["ignored"]) for r in good.collect()) == [("t", 1.0, []), ("t", 1.0, ["a"])]
+    told = {(r["id"], r["row_number"]): r["violations"] for r in bad.collect()}
+    assert {k[1]: v for k, v in told.items() if k[0] == 0} == {
+        1: ["price"], 2: ["price"], 3: ["confidence"], 4: ["confidence", "stock"], 5: ["ignored"], 6: ["ignored"], 8: ["match"], 9: ["product_title"], 10: ["was_price"],
+    }
+    assert sorted(k for k in told if k[0]) == [(1, None), (2, None), (3, None), (5, None), (6, None)] and all(v == ["document"] for k, v in told.items() if k[0])
+
+
+def test_extract_run(spark):
+    row = "struct<product_title:string,price:double,delivery_cost:double,stock:string,match:string,match_note:string,confidence:double,price_evidence:string>"
+    mappings = spark.createDataFrame([(1, "R", "u1", "exact", "mine"), (2, "R", "u1", "near", None), (3, "R", "u2", "exact", None), (4, "R", "u3", "uncertain", ""), (5, "R", "u4", "exact", None)], "product_id bigint, retailer string, url string, match string, match_note string")
+    captures = spark.sql("SELECT * FROM VALUES ('u1', TIMESTAMP '2025-01-02 00:00:00', 'T1'), ('u1', TIMESTAMP '2025-01-01 00:00:00', 'T0'), ('u2', TIMESTAMP '2025-01-02 00:00:00', 'T2'), ('u3', TIMESTAMP '2025-01-02 00:00:00', 'T3') AS c(url, fetched_at, title)")
+    parses = spark.createDataFrame([("u1", "m", None, ("P", 9.0, 1.5, "in_stock", "uncertain", "theirs", 0.5, "e")), ("u2", "m", "timed out", None), ("u3", "m", None, (None, None, None, "unknown", "exact", None, 0.0, None))], f"url string, model string, error string, row {row}")
+    out = {r["product_id"]: r for r in pricing.extract_run(mappings, captures, parses, "s").collect()}
+    assert sorted(out) == [1, 2, 3, 4]
+    assert (float(out[1]["price"]), out[1]["match"], out[1]["match_note"], out[1]["status"], out[1]["note"]) == (10.5, "uncertain", "mine; theirs", "ok", "read by m, certainty 0.50; price from e")
+    assert (out[2]["match"], out[2]["match_note"]) == ("near", "theirs")
+    assert (out[3]["status"], out[3]["note"], out[3]["title"], out[3]["price"], out[3]["match"]) == ("error", "timed out", "T2", None, "exact")
+    assert (out[4]["status"], out[4]["match"], out[4]["match_note"], out[4]["title"]) == ("no_price", "uncertain", None, "T3")
+    kept = {r["product_id"]: (r["match"], r["match_note"]) for r in pricing.extract_run_matches(mappings, spark.createDataFrame([("u1", "uncertain"), ("u1", "near"), ("u2", "exact")], "url string, match string")).collect()}
+    assert kept == {1: ("near", "mine"), 2: ("near", None), 3: ("exact", None), 4: ("uncertain", ""), 5: ("exact", None)}
 
 
 def test_keys_of_captures_and_parses(spark):

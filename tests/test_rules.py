@@ -7,12 +7,12 @@ from shelfcheck.operators import audit, extract
 from shelfcheck.operators.rules import RULES, Rule
 
 NOW = "2026-09-21 00:00:00"
-REFURB = dict(ld=with_offer(price="284.99", itemCondition="https://schema.org/RefurbishedCondition"), price="£295.99", chip="Refurbished – Excellent", notes="Faint marks.")
-FIVE = [("Brand", "B"), ("Height", "1"), ("Light", "2"), ("Weight", "3"), ("Plug Type", "UK 3-pin plug")]
+RESTORED = dict(ld=with_offer(price="41.20", itemCondition="https://schema.org/RefurbishedCondition"), price="£44.00", chip="Refurbished, grade B", notes="Scratch on the foot.")
+ROWS = [("Brand", "Borealis"), ("Arm", "two joints"), ("Base", "clamp"), ("Bulb", "E14"), ("Flex", "1.8 m")]
 
 
-def tabs(good):
-    return [("new", "Brand NewOut of stock", False), ("grade-a", "Refurbished – Excellent£295.99", True), ("grade-b", f"Refurbished – Good{good}", False), ("grade-c", "Refurbished – Fair£284.99", False)]
+def graded(a="£52.75", b="£44.00", c="£41.20", best="£60.00"):
+    return [("grade-c", f"Grade C {c}", False), ("open-box", f"Box opened {best}", False), ("grade-b", f"Grade B {b}", True), ("grade-a", f"Grade A {a}", False), ("spare", "With spare bulb £1.00", False)]
 
 
 def named(name, **more):
@@ -23,69 +23,97 @@ def at(slug):
     return f"https://shop.example/product/{slug}"
 
 
-WATCH = [("Brand", "S"), ("Connectivity", "Bluetooth 5.3, Wi-Fi, NFC"), ("Case", "40mm"), ("Plug Type", "UK"), ("In the box", "Watch")]
+def words(n):
+    """A text of n characters."""
+    return ("lamp oil " * n)[: n - 1] + "x"
+
+
+WEARABLE = ROWS + [("Links", "NFC, Bluetooth")]
 # name -> (page options, url, rules that must fire, rules that must not)
 CASES = {
     "sound": ({}, URL, None, None),
-    "price": (dict(price="£61.00"), URL, ["price-mismatch"], ["jsonld-price-is-other-variant"]),
-    "other tab": ({**REFURB, "tabs": tabs("£289.00")}, URL, ["jsonld-price-is-other-variant"], ["price-mismatch", "grade-price-inversion"]),
-    "inversion": ({**REFURB, "tabs": tabs("£315.49")}, URL, ["grade-price-inversion"], []),
-    "inverted but sold out": ({**REFURB, "tabs": tabs("£315.49Out of stock")}, URL, [], ["grade-price-inversion"]),
-    "new page, refurbished markup": (
-        {**REFURB, "price": "£567.44", "chip": "Brand New", "notes": None, "tabs": [("new", "Brand New£567.44", True), ("grade-c", "Refurbished – Fair£284.99", False)]},
-        URL, ["jsonld-price-is-other-variant"], ["condition-mismatch", "refurb-condition-unexplained", "refurb-accessories-unstated"]),
-    "open box": (dict(chip="Open Box", notes="Opened.", specs=FIVE), URL, ["refurb-accessories-unstated"], ["condition-mismatch"]),
-    "mislabelled": (dict(chip="Refurbished – Excellent", notes="Faint."), URL, ["condition-mismatch"], ["refurb-condition-unexplained"]),
-    "unexplained": (dict(ld=with_offer(itemCondition="RefurbishedCondition"), chip="Refurbished – Good", specs=FIVE), URL, ["refurb-condition-unexplained", "refurb-accessories-unstated"], ["box-contents-unstated"]),
-    "slug grade": ({**REFURB}, at("x-refurbished-phone-very-good-condition"), ["slug-condition-mismatch"], []),
-    "slug grade met": ({**REFURB, "chip": "Refurbished – Very Good"}, at("x-refurbished-phone-very-good-condition"), [], ["slug-condition-mismatch"]),
-    "slug good, label very good": ({**REFURB, "chip": "Refurbished – Very Good"}, at("x-good-condition"), ["slug-condition-mismatch"], []),
-    "slug not about condition": ({**REFURB}, at("feel-good-speaker"), [], ["slug-condition-mismatch"]),
-    "expired": (dict(ld=with_offer(priceValidUntil="2026-01-01")), URL, ["price-valid-until-expired"], []),
-    "odd validity": (dict(ld=with_offer(priceValidUntil="soon")), URL, [], ["price-valid-until-expired"]),
-    "no description": (dict(description="", ld=node(description=...)), URL, ["description-missing"], ["description-short"]),
-    "short description": (dict(description="Short."), URL, ["description-short"], ["description-missing"]),
-    "no specs": (dict(specs=[]), URL, ["specs-missing"], ["specs-thin"]),
-    "thin specs": (dict(specs=FIVE[:4]), URL, ["specs-thin"], ["specs-missing"]),
-    "few images": (dict(thumbs=2, ld=node(image="a")), URL, ["images-few"], []),
-    "plug": (named("Acme Soundbar", specs=[("In the box", "Soundbar")] + FIVE[:4]), URL, ["plug-type-unstated"], []),
-    "memory": (named("Nimbus Laptop Memory 8 GB", specs=FIVE[:2]), URL, [], ["plug-type-unstated"]),
-    "keyboard": (named("Nimbus Desktop keyboard", specs=FIVE[:2]), URL, [], ["plug-type-unstated"]),
-    "accented edge": (named("Écran é-monitor ultra", specs=FIVE[:2]), URL, ["plug-type-unstated"], []),
-    "contents": (dict(specs=FIVE), URL, ["box-contents-unstated"], ["refurb-accessories-unstated"]),
-    "code": (named("77KLM1200-Z Cord"), URL, ["name-leads-with-code"], []),
-    "no code": (named("AIRPODS Pro"), URL, [], ["name-leads-with-code"]),
-    "watch": (named("Galaxy Watch8 40mm Silver", specs=WATCH), URL, ["watch-connectivity-unstated"], []),
-    "watch lte": (named("Galaxy Watch8 LTE 40mm", specs=WATCH), URL, [], ["watch-connectivity-unstated"]),
-    "watch spec": (named("Galaxy Watch8 40mm", specs=WATCH + [("Cellular", "No")]), URL, [], ["watch-connectivity-unstated"]),
-    "watch model": (named("Galaxy Watch8 40mm", specs=WATCH + [("Model", "SM-L305 (LTE)")]), URL, [], ["watch-connectivity-unstated"]),
-    "watch band": (named("Galaxy Watch8 Sport Band", specs=WATCH), URL, [], ["watch-connectivity-unstated"]),
-    "watch hint": (named("Apple Watch SE 40mm", specs=WATCH + [("Extras", "LTE strap")]), URL, ["watch-connectivity-unstated"], []),
-    **{f"cut {n}": (named(n), URL, ["name-truncated"], []) for n in ["Lamp stand 40 -", "Shade, linen,", "Optic module that", "Bulb with", "Socket (K9-V", "Bracket ,Twin"]},
-    **{f"whole {n}": (named(n), URL, [], ["name-truncated"]) for n in ["Console Series X", "Lamp 300 (Black)", "Cord, 3 m, Grey"]},
-    "no markup": (dict(ld=None), URL, ["jsonld-missing"], ["jsonld-offer-missing", "brand-missing", "gtin-missing"]),
-    "no offer": (dict(ld=node(offers=...), sold_out=True), URL, ["jsonld-offer-missing"], ["jsonld-no-return-policy"]),
-    "no image": (dict(ld=node(image=[])), URL, ["jsonld-image-missing"], ["images-few"]),
-    "no brand": (dict(ld=node(brand=...)), URL, ["brand-missing"], []),
-    "no gtin": (dict(ld=node(gtin13=...)), URL, ["gtin-missing"], ["gtin-invalid"]),
-    "bad gtin": (dict(ld=node(gtin13="4006381333932")), URL, ["gtin-invalid"], ["gtin-missing"]),
-    "policies": (dict(ld=with_offer(hasMerchantReturnPolicy={"d": 1}, shippingDetails=[{}])), URL, [], ["jsonld-no-return-policy", "jsonld-no-shipping-details"]),
-    "noindex": (dict(robots="NOINDEX, follow"), URL, ["noindex-in-sitemap"], []),
-    "no canonical": (dict(canonical=None), URL, ["canonical-mismatch"], []),
-    "other canonical": (dict(canonical=at("other")), URL, ["canonical-mismatch"], []),
-    "bad canonical": (dict(canonical="http://[bad"), URL, ["canonical-mismatch"], []),
-    "dotted canonical": (dict(canonical="../product/./borealis-desk-lamp-40/?ref=1"), URL, [], ["canonical-mismatch"]),
-    "protocol-relative canonical": (dict(canonical="//other.example/product/borealis-desk-lamp-40#x"), URL, [], ["canonical-mismatch"]),
-    "headings": (dict(headings=2), URL, ["h1-count"], []),
-    "no meta": (dict(meta=None), URL, ["meta-description-missing"], ["meta-description-long"]),
-    "long meta": (dict(meta="z" * 161), URL, ["meta-description-long"], []),
-    "emoji meta": (dict(meta="😀" * 160), URL, [], ["meta-description-long"]),
-    "long title": (dict(title="t" * 71), URL, ["title-tag-long"], []),
-    "counter": ({}, at("desk-lamp-2"), ["slug-dedupe-suffix"], []),
-    "counter in name": (named("Buds Pro 2"), at("pods-pro-2"), [], ["slug-dedupe-suffix"]),
-    "decimal in name": (named('Nova A10 17 cm (6.7")'), at("galaxy-17-cm-67"), [], ["slug-dedupe-suffix"]),
-    "long number": ({}, at("lamp-2024"), [], ["slug-dedupe-suffix"]),
-    "alt": (dict(blank_alts=2), URL, ["image-alt-missing"], []),
+    "dearer on the page": (dict(price="£59.92"), URL, ["price-mismatch"], ["jsonld-price-is-other-variant"]),
+    "within a penny": (dict(price="£59.90"), URL, [], ["price-mismatch"]),
+    "no price on the page": (dict(price=""), URL, [], ["price-mismatch"]),
+    "price of another grade": ({**RESTORED, "tabs": graded()}, URL, ["jsonld-price-is-other-variant"], ["price-mismatch", "grade-price-inversion", "condition-mismatch"]),
+    "price of the chosen grade": ({**RESTORED, "price": "£47.00", "tabs": graded(b="£41.20", c="£39.00")}, URL, ["jsonld-price-is-other-variant"], ["price-mismatch"]),
+    "price of no grade": ({**RESTORED, "tabs": graded(c="£41.22")}, URL, ["price-mismatch"], ["jsonld-price-is-other-variant"]),
+    "worse grade dearer": ({**RESTORED, "tabs": graded(a="£43.99")}, URL, ["grade-price-inversion"], []),
+    "grades equally dear": ({**RESTORED, "tabs": graded(a="£44.00")}, URL, [], ["grade-price-inversion"]),
+    "worse grade dearer but gone": ({**RESTORED, "tabs": graded(b="£70.00 Out of stock")}, URL, [], ["grade-price-inversion"]),
+    "better grade without a price": ({**RESTORED, "tabs": graded(a="", best="")}, URL, [], ["grade-price-inversion"]),
+    "label new, markup restored": ({**RESTORED, "chip": "New", "notes": None}, URL, ["condition-mismatch"], ["refurb-condition-unexplained"]),
+    "label says nothing": ({**RESTORED, "chip": "Nice"}, URL, [], ["condition-mismatch"]),
+    "opened box counts as restored": (dict(chip="Open box item", notes="Seal broken.", specs=ROWS), URL, ["refurb-accessories-unstated"], ["condition-mismatch", "refurb-condition-unexplained"]),
+    "markup of another grade": ({**RESTORED, "chip": "New", "tabs": graded()}, URL, ["jsonld-price-is-other-variant"], ["condition-mismatch"]),
+    "restored, not explained": ({**RESTORED, "notes": None, "specs": ROWS}, URL, ["refurb-condition-unexplained", "refurb-accessories-unstated"], ["box-contents-unstated"]),
+    "slug of another grade": (RESTORED, at("lamp-refurbished-fair"), ["slug-condition-mismatch"], []),
+    "slug of this grade": (RESTORED, at("lamp-grade-b"), [], ["slug-condition-mismatch"]),
+    "slug good in very good": ({**RESTORED, "chip": "Refurbished, very good"}, at("lamp-condition-good"), ["slug-condition-mismatch"], []),
+    "slug very good": ({**RESTORED, "chip": "Refurbished, very good"}, at("lamp-condition-very-good"), [], ["slug-condition-mismatch"]),
+    "grade word in a name": (RESTORED, at("good-night-lamp"), [], ["slug-condition-mismatch"]),
+    "expired yesterday": (dict(ld=with_offer(priceValidUntil="2026-09-20")), URL, ["price-valid-until-expired"], []),
+    "expires tonight": (dict(ld=with_offer(priceValidUntil="2026-09-21T00:00:01")), URL, [], ["price-valid-until-expired"]),
+    "expired in its own zone": (dict(ld=with_offer(priceValidUntil="2026-09-21T01:59:00+02:00")), URL, ["price-valid-until-expired"], []),
+    "unreadable date": (dict(ld=with_offer(priceValidUntil="next week")), URL, [], ["price-valid-until-expired"]),
+    "no description": (dict(description=" ", ld=node(description="")), URL, ["description-missing"], ["description-short"]),
+    "description in the markup": (dict(description="", ld=node(description=words(300))), URL, [], ["description-missing", "description-short"]),
+    "299 characters": (dict(description=words(299)), URL, ["description-short"], ["description-missing"]),
+    "300 characters": (dict(description=words(300)), URL, [], ["description-short"]),
+    "no rows": (dict(specs=[]), URL, ["specs-missing"], ["specs-thin"]),
+    "four rows": (dict(specs=ROWS[:4]), URL, ["specs-thin"], ["specs-missing"]),
+    "five rows": (dict(specs=ROWS), URL, [], ["specs-thin"]),
+    "two pictures": (dict(thumbs=2, ld=node(image=["only.jpg"])), URL, ["images-few"], []),
+    "more in the markup": (dict(thumbs=1), URL, [], ["images-few"]),
+    "plug": (named("Borealis desk heater", specs=ROWS), URL, ["plug-type-unstated"], []),
+    "plug stated": (named("Borealis desk heater", specs=ROWS + [("Lead", "EU plug")]), URL, [], ["plug-type-unstated"]),
+    "goes with a powered thing": (named("Filter for Borealis heater", specs=ROWS), URL, [], ["plug-type-unstated"]),
+    "word inside a word": (named("Borealis preheaters", specs=ROWS), URL, [], ["plug-type-unstated"]),
+    "word after a letter beyond ASCII": (named("Hochhausé heater", specs=ROWS), URL, ["plug-type-unstated"], []),
+    "contents": (dict(specs=ROWS), URL, ["box-contents-unstated"], ["refurb-accessories-unstated"]),
+    "contents in the text": (dict(specs=ROWS, description=words(300) + " Supplied with a bulb."), URL, [], ["box-contents-unstated"]),
+    "code": (named("BL40-X Lamp"), URL, ["name-leads-with-code"], []),
+    "five signs are no code": (named("BL40X Lamp"), URL, [], ["name-leads-with-code"]),
+    "letters are no code": (named("BOREALIS Lamp 40"), URL, [], ["name-leads-with-code"]),
+    "digits are no code": (named("123456 Lamp"), URL, [], ["name-leads-with-code"]),
+    "wearable": (named("Pixel Watch, 41 mm, jade", specs=WEARABLE), URL, ["watch-connectivity-unstated"], []),
+    "wearable stated in the name": (named("Pixel Watch, 41 mm, GPS", specs=WEARABLE), URL, [], ["watch-connectivity-unstated"]),
+    "wearable stated in a row": (named("Pixel Watch, 41 mm", specs=WEARABLE + [("Network", "4G")]), URL, [], ["watch-connectivity-unstated"]),
+    "wearable hinted at": (named("Pixel Watch, 41 mm", specs=WEARABLE + [("Note", "for LTE plans")]), URL, ["watch-connectivity-unstated"], []),
+    "band": (named("Strap for Pixel Watch", specs=WEARABLE), URL, [], ["watch-connectivity-unstated"]),
+    **{f"cut off: {n}": (named(n), URL, ["name-truncated"], []) for n in ["Lamp for", "Lamp &", "Lamp, brass –", "Lamp or", "Lamp (brass", "Lamp , brass"]},
+    **{f"complete: {n}": (named(n), URL, [], ["name-truncated"]) for n in ["Lamp (brass)", "Lamp fore", "Lamp, brass", "Lamp 4-by-4"]},
+    "no markup": (dict(ld=None), URL, ["jsonld-missing"], ["jsonld-offer-missing", "brand-missing", "gtin-missing", "jsonld-image-missing"]),
+    "no offer": (dict(ld=node(offers=...)), URL, ["jsonld-offer-missing"], ["jsonld-no-return-policy", "jsonld-no-shipping-details"]),
+    "no picture in the markup": (dict(ld=node(image="")), URL, ["jsonld-image-missing"], ["images-few"]),
+    "no brand": (dict(ld=node(brand={"name": " "})), URL, ["brand-missing"], []),
+    "no gtin": (dict(ld=node(gtin13="")), URL, ["gtin-missing"], ["gtin-invalid"]),
+    "gtin of eight": (dict(ld=node(gtin13=..., gtin8="73513537")), URL, [], ["gtin-missing", "gtin-invalid"]),
+    "gtin with a wrong digit": (dict(ld=node(gtin13="5901234123458")), URL, ["gtin-invalid"], ["gtin-missing"]),
+    "policies": (dict(ld=with_offer(hasMerchantReturnPolicy="https://shop.example/returns", shippingDetails={"cost": 0})), URL, [], ["jsonld-no-return-policy", "jsonld-no-shipping-details"]),
+    "empty policies": (dict(ld=with_offer(hasMerchantReturnPolicy="", shippingDetails=False)), URL, ["jsonld-no-return-policy", "jsonld-no-shipping-details"], []),
+    "hidden": (dict(robots="max-snippet:5, NoIndex"), URL, ["noindex-in-sitemap"], []),
+    "shown": (dict(robots="follow"), URL, [], ["noindex-in-sitemap"]),
+    "no canonical": (dict(canonical=""), URL, ["canonical-mismatch"], []),
+    "canonical elsewhere": (dict(canonical="/product/borealis-desk-lamp-41"), URL, ["canonical-mismatch"], []),
+    "canonical broken": (dict(canonical="https://shop.example:x/product"), URL, ["canonical-mismatch"], []),
+    "canonical relative": (dict(canonical="./a/../borealis-desk-lamp-40?from=menu"), URL, [], ["canonical-mismatch"]),
+    "canonical of another host": (dict(canonical="//mirror.example/product/borealis-desk-lamp-40/"), URL, [], ["canonical-mismatch"]),
+    "canonical encoded": (dict(canonical=at("l%C3%A4mp%20one")), at("lämp one"), [], ["canonical-mismatch"]),
+    "canonical not encoded": (dict(canonical=at("lämp one")), at("l%C3%A4mp%20one"), [], ["canonical-mismatch"]),
+    "canonical with back-slashes": (dict(canonical="https:\\\\shop.example\\product\\borealis-desk-lamp-40".replace("https:\\\\", "https://")), URL, [], ["canonical-mismatch"]),
+    "two headings": (dict(headings=2), URL, ["h1-count"], []),
+    "no heading": (dict(headings=0), URL, ["h1-count"], []),
+    "no summary": (dict(meta=None), URL, ["meta-description-missing"], ["meta-description-long"]),
+    "161 characters of summary": (dict(meta=words(161)), URL, ["meta-description-long"], ["meta-description-missing"]),
+    "160 signs of summary": (dict(meta="🪔" * 160), URL, [], ["meta-description-long"]),
+    "71 characters of title": (dict(title=words(71)), URL, ["title-tag-long"], []),
+    "70 characters of title": (dict(title=words(70)), URL, [], ["title-tag-long"]),
+    "slug counter": ({}, at("borealis-lamp-7"), ["slug-dedupe-suffix"], []),
+    "number of the name": (named("Borealis Lamp 7"), at("borealis-lamp-7"), [], ["slug-dedupe-suffix"]),
+    "decimal of the name": (named("Borealis Lamp 3.5"), at("borealis-lamp-35"), [], ["slug-dedupe-suffix"]),
+    "four digits are no counter": ({}, at("borealis-lamp-1975"), [], ["slug-dedupe-suffix"]),
+    "pictures without text": (dict(blank_alts=1), URL, ["image-alt-missing"], []),
 }
 
 
@@ -117,9 +145,30 @@ def test_every_rule_is_covered():
 
 
 def test_messages(audited):
-    text = {f["rule_id"]: f for f in audited["inversion"]["findings"]}
-    assert text["grade-price-inversion"]["message"] == "Refurbished – Good costs £315.49, above Refurbished – Excellent at £295.99"
-    assert {f["rule_id"]: f["evidence"] for f in audited["watch hint"]["findings"]}["watch-connectivity-unstated"] == "Extras: LTE strap"
+    text = {f["rule_id"]: f for f in audited["worse grade dearer"]["findings"]}
+    assert text["grade-price-inversion"]["message"] == "Grade B costs £44.00, above Grade A at £43.99"
+    assert {f["rule_id"]: f["evidence"] for f in audited["wearable hinted at"]["findings"]}["watch-connectivity-unstated"] == "Note: for LTE plans"
+
+
+def test_selected_may_be_unknown(spark):
+    """A variant that doesn't say whether it is chosen counts as another one."""
+    listing = extract.extract_listings(spark.createDataFrame([(1, URL, page(**{**RESTORED, "tabs": graded()}))], "id int, url string, html string"))
+    unknown = listing.withColumn("condition_variants", F.transform("condition_variants", lambda v: v.withField("selected", F.lit(None).cast("boolean"))))
+    assert "jsonld-price-is-other-variant" in [f["rule_id"] for f in audit.audit(unknown, NOW).collect()[0]["findings"]]
+
+
+def test_dates_do_not_follow_the_session(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    rows = [(i, URL, page(ld=with_offer(priceValidUntil=d))) for i, d in enumerate(["2026-09-20T23:30:00", "2026-09-21T00:30:00", "2026-09", "2026"])]
+    listings = extract.extract_listings(spark.createDataFrame(rows, "id int, url string, html string"))
+    try:
+        found = []
+        for zone in ("Asia/Tokyo", "America/Lima"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            found.append({r["id"]: "price-valid-until-expired" in [f["rule_id"] for f in r["findings"]] for r in audit.audit(listings, NOW).collect()})
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert found[0] == found[1] == {0: True, 1: False, 2: True, 3: True}
 
 
 def test_score_has_a_floor_and_rules_can_be_added(spark):
@@ -151,16 +200,21 @@ def test_segments(spark):
 
 def test_column_helpers(spark):
     df = spark.createDataFrame(
-        [("£1,299.00", "4006381333931", "Refurbished", "https://schema.org/UsedCondition", "PreOrder"), ("From £89", "0840440406815", "pre-owned", "x", "LimitedAvailability"), ("", "4006381333932", "Open Box", None, "Discontinued"), (None, "12345", None, "NewCondition", None), ("a 1.239", "9638-5074", "Brand New", "DamagedCondition", "x")],
+        [
+            ("approx. 2,345.678 each", "5901234123457", "like NEW", "schema:NewCondition", "BackOrder"), ("0", "73513537", "Preowned, used", "UsedCondition", "OnlineOnly"),
+            ("free", "614141000036", "Pre-Owned", "DamagedCondition", "SoldOut"), (None, "00614141000036", None, None, None), ("£ 9.9", "5901234-123 457", "refurb new", "Refurbished", "InStoreOnly"),
+            ("12 of 13", "590123412345", "Boxed", "fine", "PreSale"),
+        ],
         "price string, gtin string, label string, condition string, availability string",
     )
     rows = df.select(T.price_from_text(F.col("price")), T.valid_gtin(F.col("gtin")), T.condition_from_label(F.col("label")), T.condition_of(F.col("condition")), T.availability_of(F.col("availability"))).collect()
     assert [tuple(r) for r in rows] == [
-        (1299.0, True, "refurbished", "used", "preorder"),
-        (89.0, True, "used", "unknown", "in_stock"),
-        (None, False, "refurbished", "unknown", "out_of_stock"),
-        (None, False, "unknown", "new", "unknown"),
-        (1.23, True, "new", "used", "unknown"),
+        (2345.67, True, "new", "new", "preorder"),
+        (0.0, True, "used", "used", "in_stock"),
+        (None, True, "used", "used", "out_of_stock"),
+        (None, True, "unknown", "unknown", "unknown"),
+        (9.9, True, "refurbished", "refurbished", "unknown"),
+        (12.0, False, "unknown", "unknown", "preorder"),
     ]
 
 

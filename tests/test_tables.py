@@ -19,14 +19,28 @@ def test_upsert_keeps_id_and_first_seen(spark):
     assert rows["b"]["price"] == 6 and rows["c"]["id"] is not None and len(rows) == 3
 
 
+@pytest.mark.parametrize("swapped", [False, True])
+def test_upsert_settles_ties_and_numbers_new_products(spark, swapped):
+    kind = "id bigint, url string, price int, first_seen_at timestamp, last_crawled_at timestamp"
+    import datetime
+
+    at = datetime.datetime(2025, 1, 1)
+    stored = spark.createDataFrame([(7, "a", 5, at, at)], kind)
+    rows = [(None, "a", 3, at, at), (None, "a", 7, at, at), (None, "n1", 1, at, at), (None, "n2", 1, at, at), (40, "n3", 1, at, at)]
+    crawled = spark.createDataFrame(rows[::-1] if swapped else rows, kind).repartition(3)
+    got = {r["url"]: (r["id"], r["price"]) for r in tables.upsert_products(stored, crawled).collect()}
+    # At equal times the crawled capture wins; new ids follow the greatest one known.
+    assert got["a"] == (7, 7) and got["n3"] == (40, 1) and sorted([got["n1"][0], got["n2"][0]]) == [41, 42] and len(got) == 4
+
+
 def test_findings_and_scores(spark):
     stored = spark.createDataFrame([(1, "x"), (2, "y")], "product_id bigint, rule_id string")
     fresh = spark.createDataFrame([(1, "z")], "product_id bigint, rule_id string")
     again = spark.createDataFrame([(1,), (3,)], "product_id bigint")
     assert sorted(map(tuple, tables.replace_findings(stored, fresh, again).collect())) == [(1, "z"), (2, "y")]
-    products = spark.createDataFrame([(1, 50, "standard"), (2, 60, None)], "id bigint, score int, segment string")
+    products = spark.createDataFrame([(1, 50, "standard", "then"), (2, 60, None, None)], "id bigint, score int, segment string, audited_at string")
     checked = spark.createDataFrame([(1, 70, "no-copy")], "id bigint, score int, segment string")
-    assert sorted(map(tuple, tables.apply_audit(products, checked).collect())) == [(1, 70, "no-copy"), (2, 60, None)]
+    assert sorted(map(tuple, tables.apply_audit(products, checked, F.lit("now")).collect())) == [(1, 70, "no-copy", "now"), (2, 60, None, None)]
 
 
 def test_mappings(spark):
@@ -48,7 +62,7 @@ def test_versions_and_checks(spark, tmp_path):
     assert [tuple(r) for r in tables.invalid_values(df, ["match"]).collect()] == [("match", "same", 1)]
     assert [tuple(r) for r in tables.duplicate_keys(df, "id").collect()] == [(1, 2)]
     assert tables.orphans(df, "id", spark.createDataFrame([(1,)], "id int")).count() == 1
-    assert shared_folder(spark) == shared_folder(spark)
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
 PRODUCTS = "id bigint, name string, slug string, brand string, sku string, gtin string, category_path string, score int, segment string"
@@ -84,6 +98,10 @@ def test_overview(catalogue):
     assert [r["id"] for r in reports.worst_listings(products, 2).collect()] == [1, 4]
     assert [(r["segment"], r["n"], r["share"]) for r in reports.segment_rollup(products).collect()] == [("thin-feed", 2, 0.5), ("no-copy", 1, 0.25), ("standard", 1, 0.25)]
     shares = reports.rule_shares(findings, products).collect()
+    assert [r["place"] for r in shares] == [1, 2, 3]
+    thin = reports.rule_shares(findings, products, "thin-feed").collect()
+    assert [(r["rule_id"], r["affected"], r["share"]) for r in thin] == [("gtin-missing", 2, 1.0)]
+    assert [(r["rule_id"], r["affected"]) for r in reports.affected_per_rule(findings, products, "no-copy").collect()] == [("gtin-missing", 1)]
     assert [(r["rule_id"], r["affected"]) for r in shares] == [("price-mismatch", 1), ("gtin-missing", 4), ("h1-count", 1)]
 
 
@@ -120,6 +138,15 @@ def test_categories(catalogue):
     assert [r["name"] for r in reports.category_names(products).collect()] == ["Light", "Lighting"]
 
 
+def test_listing_detail(catalogue, spark):
+    products, findings = catalogue
+    history = spark.sql("SELECT 1L AS product_id, id, TIMESTAMP '2025-01-01 00:00:00' + id * INTERVAL '1' DAY AS captured_at FROM range(40)")
+    parts = reports.listing_detail(products, findings, history, history, 1)
+    assert [r["id"] for r in parts["product"].collect()] == [1]
+    assert [(r["rule_id"], r["place"]) for r in parts["findings"].collect()] == [("price-mismatch", 1), ("gtin-missing", 2), ("unknown-rule", 3)]
+    assert [r["id"] for r in parts["history"].collect()] == list(range(39, 19, -1)) and parts["observations"].count() == 30
+
+
 def test_feed_quality(catalogue, spark):
     products, _ = catalogue
     snapshot = products.select(
