@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from . import simple8b
 from .arena import Pieces, kept_by_worker
 from .bpe import byte_letters
+from .tables import small_batches, written
 from .textbytes import slices
 
 BLOCK_IDS = 1 << 16
@@ -68,7 +69,7 @@ class _Encoder:
         known = self.known
         for piece in [text] if text.isascii() and text[text[0] == " " :].isalpha() else self.split(text):
             if (ids := known.get(piece)) is None:
-                if len(known) >= 200_000:
+                if len(known) >= 150_000:
                     known.clear()
                 ids = known[piece] = self.piece(piece)
             out += ids
@@ -134,6 +135,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_column:
     with open(tokenizer, encoding="utf-8") as f:
         source = f.read()
     _check(source)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).alias("text"))
     order = [F.col("id"), F.xxhash64("text")]
     rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks(source, end_id), BLOCKS).write.parquet(folder)
@@ -164,7 +166,8 @@ def read(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     # One row per written part.
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = blocks.join(totals.select("part", before.alias("before")), "part")
+    # Written, its size is known: Spark then joins it without moving the blocks.
+    placed = blocks.join(written(totals.select("part", before.alias("before")), "token-parts"), "part")
     rows = placed.select((F.col("before") + F.col("ids_before")).alias("start"), "doc_ids", "sizes", "words", "escaped")
     kind = "crc32 bigint" if digest else "ids array<int>"
     return rows.mapInArrow(_documents(digest), f"doc_id bigint, start bigint, n_tokens bigint, {kind}")
