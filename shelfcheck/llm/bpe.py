@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arena import Pieces, kept_by_worker
+from .tables import small_batches
 from .textbytes import slices
 
 
@@ -138,7 +139,7 @@ class Bpe:
             if (ids := known.get(word)) is None:
                 ids = self.word(word)
                 if len(word) <= 32:
-                    if len(known) >= 200_000:
+                    if len(known) >= 150_000:
                         known.clear()
                     known[word] = ids
             out += ids
@@ -228,5 +229,6 @@ def read_source(path: str) -> str:
 def tokenized(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ids, decoded) of each row; `path` names the tokenizer file on the driver. Other columns are not read."""
     source = read_source(path)
+    small_batches(docs.sparkSession)
     ids = docs.select(F.col(id_column).alias("id"), encoded(F.col(text), source).alias("ids"))
     return ids.select("id", "ids", decoded(F.col("ids"), source).alias("decoded"))

@@ -34,6 +34,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers be given at most `rows` rows at a time: for operators whose results are larger than their texts.
+    The setting is the session's; a lower one stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it until no column of `df` has it (whatever the case)."""
     taken = {c.lower() for c in df.columns}
