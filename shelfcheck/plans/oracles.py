@@ -728,6 +728,14 @@ def extract_queries() -> dict[str, str]:
     out["page_node_offers"] = a(
         "SELECT k AS id, ld_cents / 100.0::DOUBLE AS price, 'GBP' AS currency, offer_availability AS availability, offer_condition AS condition, valid_until AS price_valid_until, has_return_policy, has_shipping_details FROM facts WHERE has_offer"
     )
+    # What a page shows of its facts: the audit of the page is the audit of these.
+    page_facts = f"""SELECT * REPLACE (CASE WHEN k % 4 > 0 THEN k % 4 ELSE {shown} END AS gallery_image_count, least(images_missing_alt, {shown}) AS images_missing_alt,
+  {_tidy(_plain('description'))} AS description, nullif(trim({_plain('ld_description')}), '') AS ld_description, {_tidy('title_tag')} AS title_tag, {_tidy('meta_description')} AS meta_description,
+  CASE WHEN h1_count > 0 THEN {_tidy('full_name')} END AS h1, {_tidy('ld_name')} AS ld_name) FROM facts"""
+    of_pages = {"page_facts": page_facts, **AUDITED, "labelled": FACTS.replace("FROM facts f", "FROM page_facts f")}
+    out["page_audit"] = a(
+        "SELECT id, segment, score, coalesce((SELECT string_agg(rule_id, ',' ORDER BY position) FROM findings WHERE product_id = id), '') AS rules FROM audited", of_pages
+    )
     cond = label_condition("condition_label")
     out["page_product_columns"] = a(
         f"""SELECT slug, CASE WHEN has_ld THEN {sku} END AS sku, CASE WHEN has_ld THEN gtin END AS gtin,
