@@ -1,8 +1,9 @@
 """Token ids of text pieces, looked up by whole arrays.
 
 A text is the concatenation of pieces whose ids don't depend on their neighbours, and most pieces occur again and
-again, so each piece is encoded once and then copied. The table is kept for the life of a Python worker and begun
-anew when it holds `most` pieces or ids, so its memory is bounded; what it returns doesn't depend on it.
+again, so each piece is encoded once and then copied. The tables are kept for the life of a Python worker and bounded:
+when the younger one is full it becomes the older one, whose pieces move back as they are met and are else forgotten.
+What comes out doesn't depend on what is remembered.
 """
 
 from __future__ import annotations
@@ -23,50 +24,85 @@ def kept_by_worker(key: Hashable, make: Callable):
     return home.held[key]
 
 
+class Recent:
+    """A mapping of bounded size that keeps what is asked for."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if 2 * len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class _Slots(dict):
     def __missing__(self, key) -> int:
         return -1
 
 
-class Pieces:
-    def __init__(self, encode: Callable[[list], Sequence[Sequence[int]]], most: int = 300_000):
-        self.encode, self.most = encode, most
-        self._clear()
+class _Table:
+    """Pieces and their ids, one piece after the other in growing arrays."""
 
-    def _clear(self) -> None:
+    def __init__(self):
         self.slot = _Slots()
-        self.start = np.zeros(1024, np.int64)
-        self.size = np.zeros(1024, np.int64)
-        self.ids = np.zeros(4096, np.int32)
+        self.start, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
         self.used = 0
 
-    def _add(self, pieces: list) -> None:
-        found = self.encode(pieces)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
+    def find(self, pieces: list) -> np.ndarray:
+        """Slot of each piece, -1 if it isn't here."""
+        return np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+
+    def add(self, pieces: list, size: np.ndarray, ids: np.ndarray) -> None:
         at = len(self.slot)
-        for name, need in (("start", at + len(found)), ("size", at + len(found)), ("ids", self.used + len(flat))):
+        for name, need in (("start", at + len(pieces)), ("size", at + len(pieces)), ("ids", self.used + len(ids))):
             if need > len(old := getattr(self, name)):
                 grown = np.zeros(max(need, 2 * len(old)), old.dtype)
                 grown[: len(old)] = old
                 setattr(self, name, grown)
-        self.start[at : at + len(found)] = self.used + np.cumsum(size) - size
-        self.size[at : at + len(found)] = size
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.slot.update(zip(pieces, range(at, at + len(found))))
+        self.start[at : at + len(pieces)] = self.used + np.cumsum(size) - size
+        self.size[at : at + len(pieces)] = size
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.slot.update(zip(pieces, range(at, at + len(pieces))))
 
-    def lookup(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces one after the other, number of ids of each piece)."""
-        if len(self.slot) >= self.most or self.used > 8 * self.most:
-            self._clear()
-        slot = self.slot.__getitem__
-        at = np.fromiter(map(slot, pieces), np.int64, len(pieces))
-        if len(missing := np.flatnonzero(at < 0)):
-            absent = [pieces[i] for i in missing.tolist()]
-            self._add(list(dict.fromkeys(absent)))
-            at[missing] = list(map(slot, absent))
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.size[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         return self.ids[np.repeat(self.start[at] - ends + size, size) + np.arange(total)], size
+
+
+class Pieces:
+    def __init__(self, encode: Callable[[list], Sequence[Sequence[int]]], most: int = 1_000_000):
+        self.encode, self.most = encode, most
+        self.young, self.old = _Table(), _Table()
+
+    def _learn(self, pieces: list) -> None:
+        at = self.old.find(pieces)
+        here = at >= 0
+        if here.any():
+            ids, size = self.old.gather(at[here])
+            self.young.add([p for p, h in zip(pieces, here.tolist()) if h], size, ids)
+            pieces = [p for p, h in zip(pieces, here.tolist()) if not h]
+        if pieces:
+            found = self.encode(pieces)
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            self.young.add(pieces, size, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())))
+
+    def lookup(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after the other, number of ids of each piece)."""
+        if 2 * len(self.young.slot) >= self.most or self.young.used > 8 * self.most:
+            self.old, self.young = self.young, _Table()
+        at = self.young.find(pieces)
+        if len(missing := np.flatnonzero(at < 0)):
+            absent = [pieces[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(absent)))
+            at[missing] = self.young.find(absent)
+        return self.young.gather(at)

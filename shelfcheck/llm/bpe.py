@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arena import Pieces, kept_by_worker
+from .arena import Pieces, Recent, kept_by_worker
 from .tables import small_batches
 from .textbytes import slices
 
@@ -107,7 +107,7 @@ class Bpe:
         names = {i: x for x, i in [*self.vocab.items(), *self.special.items()]}
         self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
         self.other_space = regex.compile(r"[^\S ]").search
-        self.known: dict[str, list[int]] = {}
+        self.known = Recent(200_000)
 
     @staticmethod
     def _nfc():
@@ -134,14 +134,11 @@ class Bpe:
     def split(self, text: str) -> list[int]:
         """Ids of a normalized text."""
         out: list[int] = []
-        known = self.known
         for word in [text] if text.isascii() and text.isalpha() else self.words(text):
-            if (ids := known.get(word)) is None:
+            if (ids := self.known.get(word)) is None:
                 ids = self.word(word)
                 if len(word) <= 32:
-                    if len(known) >= 150_000:
-                        known.clear()
-                    known[word] = ids
+                    self.known.put(word, ids)
             out += ids
         return out
 

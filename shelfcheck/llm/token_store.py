@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .arena import Pieces, kept_by_worker
+from .arena import Pieces, Recent, kept_by_worker
 from .bpe import byte_letters
 from .tables import small_batches, written
 from .textbytes import slices
@@ -57,7 +57,7 @@ class _Encoder:
         self.special = [x["content"] for x in json.loads(source)["added_tokens"]]
         self.split = regex.compile(SPLIT).findall
         self.letters = dict(enumerate(byte_letters()))
-        self.known: dict[str, list[int]] = {}
+        self.known = Recent(200_000)
 
     def piece(self, piece: str) -> list[int]:
         if piece.isascii() and piece.isprintable():
@@ -66,12 +66,10 @@ class _Encoder:
 
     def plain(self, text: str) -> list[int]:
         out: list[int] = []
-        known = self.known
         for piece in [text] if text.isascii() and text[text[0] == " " :].isalpha() else self.split(text):
-            if (ids := known.get(piece)) is None:
-                if len(known) >= 150_000:
-                    known.clear()
-                ids = known[piece] = self.piece(piece)
+            if (ids := self.known.get(piece)) is None:
+                ids = self.piece(piece)
+                self.known.put(piece, ids)
             out += ids
         return out
 
