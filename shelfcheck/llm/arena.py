@@ -79,8 +79,16 @@ class _Table:
         return self.ids[np.repeat(self.start[at] - ends + size, size) + np.arange(total)], size
 
 
+def flat(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(length of each list, all their values)."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return size, np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
+
+
 class Pieces:
-    def __init__(self, encode: Callable[[list], Sequence[Sequence[int]]], most: int = 1_000_000):
+    """`encode`: from distinct pieces to (number of ids of each, all ids)."""
+
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
         self.encode, self.most = encode, most
         self.young, self.old = _Table(), _Table()
 
@@ -92,9 +100,7 @@ class Pieces:
             self.young.add([p for p, h in zip(pieces, here.tolist()) if h], size, ids)
             pieces = [p for p, h in zip(pieces, here.tolist()) if not h]
         if pieces:
-            found = self.encode(pieces)
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            self.young.add(pieces, size, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())))
+            self.young.add(pieces, *self.encode(pieces))
 
     def lookup(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces one after the other, number of ids of each piece)."""

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arena import Pieces, Recent, kept_by_worker
+from .arena import Pieces, Recent, flat, kept_by_worker
 from .tables import small_batches
 from .textbytes import slices
 
@@ -180,7 +180,7 @@ class Bpe:
 def _worker(source: str) -> tuple[Bpe, Pieces]:
     def make():
         bpe = Bpe(source)
-        return bpe, Pieces(bpe.stretches)
+        return bpe, Pieces(lambda pieces: flat(bpe.stretches(pieces)))
 
     return kept_by_worker(("bpe", hash(source)), make)
 

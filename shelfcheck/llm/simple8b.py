@@ -40,7 +40,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             widest = np.maximum(widest[: len(widest) - span], widest[span:])
             span *= 2
         largest = np.maximum(widest[: n - count + 1], widest[count - span : n - span + 1])
-        choice[: n - count + 1][largest <= width] = selector
+        np.copyto(choice[: n - count + 1], np.uint8(selector), where=largest <= width)
     after = (np.arange(n) + _COUNT[choice]).tolist()
     taken, i = [], 0
     while i < n:

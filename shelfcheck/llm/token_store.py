@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .arena import Pieces, Recent, kept_by_worker
-from .bpe import byte_letters
+from .arena import Pieces, kept_by_worker
 from .tables import small_batches, written
 from .textbytes import slices
 
@@ -33,54 +32,46 @@ BLOCKS = "part int, block int, ids_before bigint, words_before bigint, n_ids big
 
 # First and last code points of the runs with Unicode's White_Space property.
 WHITE_SPACE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
-# Fixed value: the pattern by which byte-level tokenizers of this kind split text.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _BLANK = "".join(f"{chr(a)}-{chr(b)}" for a, b in WHITE_SPACE)
 _PIECES = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+").findall
 
 
 class _Encoder:
-    """The library's ids of stretches of text. Each is split by the library's published pattern and its byte-level pieces
-    go through the library's model, known ones from a table; the tokenizer itself takes whole those that hold a special
-    token or a character above `PLAIN`, where its Unicode tables may differ from this pattern's."""
+    """The library's ids of stretches of text, many in one call: a special token, which is encoded apart from what stands
+    around it, separates them. Stretches that hold a special token themselves go one by one."""
 
-    PLAIN = "\u024f"
+    TOGETHER = 50
 
     def __init__(self, source: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        self.special = [x["content"] for x in json.loads(source)["added_tokens"]]
-        self.split = regex.compile(SPLIT).findall
-        self.letters = dict(enumerate(byte_letters()))
-        self.known = Recent(200_000)
-
-    def piece(self, piece: str) -> list[int]:
-        if piece.isascii() and piece.isprintable():
-            return [t.id for t in self.model.tokenize(piece.replace(" ", self.letters[0x20]))]
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-
-    def plain(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in [text] if text.isascii() and text[text[0] == " " :].isalpha() else self.split(text):
-            if (ids := self.known.get(piece)) is None:
-                ids = self.piece(piece)
-                self.known.put(piece, ids)
-            out += ids
-        return out
-
-    def __call__(self, stretches: list[str]) -> list[list[int]]:
-        joined = "".join(stretches)
-        odd = any(s in joined for s in self.special)
-        whole = [i for i, x in enumerate(stretches) if not x.isascii() and max(x) > self.PLAIN or odd and any(s in x for s in self.special)]
-        out: list = [None] * len(stretches)
-        for i, x in zip(whole, self.tokenizer.encode_batch_fast([stretches[i] for i in whole], add_special_tokens=False)):
-            out[i] = x.ids
-        return [self.plain(x) if ids is None else ids for x, ids in zip(stretches, out)]
+        tokens = json.loads(source)["added_tokens"]
+        self.special = [x["content"] for x in tokens]
+        plain = [x for x in tokens if not (x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"])]
+        self.between, self.between_id = (plain[0]["content"], plain[0]["id"]) if plain else ("", -1)
+
+    def _special_in(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _alone(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = self._encode(stretches)
+        return np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each)
+
+    def __call__(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.between or self._special_in("\0".join(stretches)):
+            return self._alone(stretches)
+        groups = [stretches[i : i + self.TOGETHER] for i in range(0, len(stretches), self.TOGETHER)]
+        ids = np.concatenate(self._encode([self.between.join(g) + self.between for g in groups]))
+        ends = np.flatnonzero(ids == self.between_id)
+        if len(ends) != len(stretches):  # a stretch and the token after it were read as something else
+            return self._alone(stretches)
+        return np.diff(ends, prepend=-1) - 1, np.delete(ids, ends)
 
 
 def _encoder(source: str) -> Pieces:

@@ -60,10 +60,10 @@ def test_table_of_any_shape(docs_of, library):
 
 
 def test_small_tables_change_nothing():
-    from shelfcheck.llm.arena import Pieces
+    from shelfcheck.llm.arena import Pieces, flat
 
     def spell(pieces):
-        return [list(p) for p in pieces]
+        return flat([list(p) for p in pieces])
 
     words = [bytes([65 + i % 26]) * (i % 7) for i in range(500)]
     one, small = Pieces(spell), Pieces(spell, most=5)
