@@ -57,6 +57,16 @@ def test_held_out_accuracy(spark):
     assert np.mean([a < b for a in low for b in high]) > 0.95
 
 
+def test_short_clean_texts_are_kept(spark):
+    """Beginnings of good texts of the held-out fold, however short, are scored as good."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    good = docs.join(labels.filter("quality = 1"), "doc_id").filter(bytecnn.held_out(F.col("doc_id"))).select("text").toPandas().text
+    network = bytecnn.learned(docs, labels)
+    for size in (20, 60, 150):
+        scores = bytecnn.score_batch(network, pa.array([t[:size] for t in good]))
+        assert (scores >= 0.5).mean() > 0.9, size
+
+
 def test_fit_is_bounded_and_reruns_agree(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     assert bytecnn.sample(docs, labels, rows=20).count() <= 20
