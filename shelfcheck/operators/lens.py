@@ -89,12 +89,12 @@ def summary(lens_rows: DataFrame) -> DataFrame:
 CELLS = 65_536
 
 
-def upper_median(rows: DataFrame, column: str, levels: int = 3) -> DataFrame:
+def upper_median(rows: DataFrame, column: str, levels: int = 2) -> DataFrame:
     """One row: the value at place n/2, rounded down, of the n values in ascending order, counted from 0.
 
     Exact without gathering the values. Counts per distinct value are summed into `CELLS` cells between the smallest and
     the largest, and the cell that holds the place is cut again, `levels` times; the windows hold one row per cell. What
-    is put in order at last are the distinct values within a range of 2**-48 of the whole.
+    is put in order at last are the distinct values within a range of 2**-32 of the whole.
     """
     values = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
     whole = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.floor(F.sum("n") / 2).alias("place")).alias("t"))
