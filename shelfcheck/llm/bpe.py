@@ -107,7 +107,7 @@ class Bpe:
         names = {i: x for x, i in [*self.vocab.items(), *self.special.items()]}
         self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
         self.other_space = regex.compile(r"[^\S ]").search
-        self.known = Recent(200_000)
+        self.known = Recent(150_000)
 
     @staticmethod
     def _nfc():
@@ -180,7 +180,7 @@ class Bpe:
 def _worker(source: str) -> tuple[Bpe, Pieces]:
     def make():
         bpe = Bpe(source)
-        return bpe, Pieces(lambda pieces: flat(bpe.stretches(pieces)))
+        return bpe, Pieces(lambda pieces: flat(bpe.stretches(pieces)), most=400_000)
 
     return kept_by_worker(("bpe", hash(source)), make)
 
