@@ -250,6 +250,20 @@ def _id(id_column: str, text: str) -> Column:
     return F.coalesce(F.col(id_column), stand_in).cast("bigint")
 
 
+def row_keys(id_column: str, text: str) -> list[Column]:
+    """(id, mark): the row's id or its stand-in, and a hash of its text. Rows of one id and different texts differ in mark."""
+    return [_id(id_column, text).alias("id"), F.xxhash64(F.col(text)).alias("mark")]
+
+
+def kept_rows(docs: DataFrame, keys: DataFrame, id_column: str, text: str) -> DataFrame:
+    """The rows of `docs` that have one of the (id, mark) in `keys`, one row for each."""
+    own, mark = unused(docs, "_kept"), unused(docs, "_mark")
+    keys = keys.select(F.col("id").alias(own), F.col("mark").alias(mark)).distinct()
+    found = row_keys(id_column, text)
+    tagged = docs.withColumns({own: found[0], mark: found[1]})
+    return tagged.join(keys, [own, mark], "left_semi").dropDuplicates([own, mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def grouped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(id, fp, component) for each row of `docs`: component is the smallest id reachable over links, its own included.
     Other columns are not read, so their names don't matter."""
