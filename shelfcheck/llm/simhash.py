@@ -265,24 +265,24 @@ def kept_rows(docs: DataFrame, keys: DataFrame, id_column: str, text: str) -> Da
 
 
 def grouped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """(id, fp, component) for each row of `docs`: component is the smallest id reachable over links, its own included.
+    """(id, own, fp, component, mark, root) for each row of `docs`: component is the smallest id reachable over links, its
+    own included; mark is the text's hash; root is a fingerprint that names the component, also where two share an id.
     Other columns are not read, so their names don't matter."""
-    marked = docs.select(_id(id_column, text).alias("id"), F.col(id_column).alias("own"), fingerprints(F.col(text)).alias("fp"))
+    id_, mark = row_keys(id_column, text)
+    marked = docs.select(id_, F.col(id_column).alias("own"), fingerprints(F.col(text)).alias("fp"), mark)
     marked = written(marked, "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("id").alias("first"))
     roots = connected(links(marked, "fp", distance), "a", "b")
     linked = written(nodes.join(roots, nodes.fp == roots.node).select("fp", "first", "root"), "simhash-classes")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    classes = linked.join(least, "root").select("fp", "least")
-    classes = nodes.join(classes, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"))
+    classes = linked.join(least, "root").select("fp", "least", "root")
+    classes = nodes.join(classes, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"), F.coalesce("root", "fp").alias("root"))
     # A table of its own: the join back then shuffles for itself alone, and Spark can split the copies of one text.
     classes = written(classes, "simhash-components")
-    return marked.join(classes, "fp").select("id", "own", "fp", "component")
+    return marked.join(classes, "fp").select("id", "own", "fp", "component", "mark", "root")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id; rows that repeat its id are dropped as well."""
-    own = unused(docs, "_kept")
-    first = grouped(docs, id_column, text).filter("id = component").select(F.col("id").alias(own)).distinct()
-    tagged = docs.withColumn(own, _id(id_column, text))
-    return tagged.join(first, own, "left_semi").dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group, the one with the smallest id (of equal ids, the one with the smallest text hash)."""
+    first = grouped(docs, id_column, text).groupBy("root").agg(F.min(F.struct("id", "mark")).alias("first"))
+    return kept_rows(docs, first.select("first.id", "first.mark"), id_column, text)

@@ -117,6 +117,13 @@ def test_keep_one_of_each_group(docs_of):
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 2, 5, 6]
 
 
+def test_rows_of_one_id_and_different_texts_stay(docs_of):
+    """Two groups meet in id 2 and a third one has a lower id for one of its texts; each keeps its document."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(300)) for c in "abc")
+    rows = [(2, one), (2, two), (3, two), (1, three), (2, three), (5, one), (2, one)]
+    assert sorted((r.doc_id, r.text[0]) for r in simhash.keep_one(docs_of(rows)).collect()) == [(1, "c"), (2, "a"), (2, "b")]
+
+
 def test_empty_table(docs_of):
     assert simhash.grouped(docs_of([]).limit(0)).count() == 0
     assert simhash.keep_one(docs_of([]).limit(0)).count() == 0
