@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, bytecnn, licenses, mixing, quality, simhash, sql, token_store, url_rules, warc
+from . import ann, bpe, bytecnn, hyperlang, licenses, merkle, mixing, quality, simhash, spelling, sql, token_store, url_rules, warc
 from .tables import new_path, written
 
 
@@ -77,6 +77,28 @@ def op10_nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d, "lang").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    found = hyperlang.identified(docs.drop("lang"), docs.filter(~F.col("held_out")))
+    return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+def op12_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d, "source", "lang", "n_chars")
+    of = lambda text: merkle.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, of(F.translate("text", upper, upper.lower())))
+    leaves = docs.select("doc_id", "lang", of(F.col("text")).alias("leaf"), tampered.alias("tampered"))
+    rows = merkle.manifest(leaves, "lang", "doc_id", "leaf", ["tampered"])
+    rows = rows.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("witness")))
+    proof = F.sha2(merkle.siblings(F.col("witness")), 256).alias("proof_sha256")
+    return rows.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.grouped(_documents(spark, d))
+
+
 _ALL = (
     op1_quality_rules,
     op2_warc,
@@ -88,6 +110,9 @@ _ALL = (
     op8_mixing,
     op9_token_store,
     op10_nearest_neighbours,
+    op11_language_id,
+    op12_merkle_manifest,
+    op13_spelling_variants,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -95,4 +120,6 @@ ORACLES = {
     "op1_quality_rules": sql.quality(quality.MOST_COVERED, quality.MOST_IN_LINES, quality.LEAST_WORDS, quality.REPEAT_WINDOW, quality.MOST_REPEAT_PERCENT),
     "op2_warc": sql.WARC,
     "op4_url_filters": sql.url_rules(url_rules.LIST, url_rules.PATTERNS),
+    "op12_merkle_manifest": sql.MERKLE,
+    "op13_spelling_variants": sql.SPELLING,
 }
