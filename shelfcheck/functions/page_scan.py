@@ -9,6 +9,7 @@ import json
 import re
 import sys
 from bisect import bisect_right
+from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
 
@@ -204,17 +205,46 @@ def _scan_pages(html: pa.Array) -> pa.Array:
 scan_pages = _scan_pages.asNondeterministic()
 
 
-# A block of structured data ends at the first end tag of a script, whatever stands in it; one that never ends isn't read.
-_BLOCKS = re.compile(r"""<!--.*?(?:-->|\Z)|<script\b(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*)>(?P<body>.*?)</script\b""", re.S | re.I)
+_OPENING = re.compile(r"<!--|<script(?![\w-])", re.I)
+_STOP = re.compile(r"""[>"']""")
+_END = re.compile(r"</script(?![\w-])", re.I)
 _STRUCTURED = re.compile(r"""(?:^|\s)type\s*=\s*(?:"application/ld\+json"|'application/ld\+json'|application/ld\+json(?=\s|$))""", re.I)
 
 
+def blocks(html: str) -> Iterator[str]:
+    """The bodies of a page's structured-data scripts, in one pass that never goes back.
+
+    A comment ends at its `-->`, a start tag at the first `>` outside of quotes, a script at the first end tag of a
+    script, whatever stands in it. What isn't ended takes the rest of the page with it, as in a browser.
+    """
+    at = 0
+    while opening := _OPENING.search(html, at):
+        at = opening.end()
+        if opening[0] == "<!--":
+            at = html.find("-->", at)
+            if at < 0:
+                return
+            continue
+        begin = at
+        while (stop := _STOP.search(html, at)) and stop[0] != ">":
+            at = html.find(stop[0], stop.end()) + 1
+            if not at:
+                return
+        if not stop:
+            return
+        end = _END.search(html, stop.end())
+        if not end:
+            return
+        if _STRUCTURED.search(html[begin : stop.start()]):
+            yield html[stop.end() : end.start()]
+        at = end.end()
+
+
 def nodes(html: str | None) -> list[str]:
     """The objects of a page's structured data, without reading the rest of its markup."""
     if not html or "ld+json" not in html:
         return []
-    found = [m["body"] for m in _BLOCKS.finditer(html) if m["body"] is not None and _STRUCTURED.search(m["attributes"])]
-    return [n for body in found for n in object_nodes(body)]
+    return [n for body in blocks(html) for n in object_nodes(body)]
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))

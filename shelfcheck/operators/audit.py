@@ -43,6 +43,15 @@ def hits(
     return checked.withColumn("score", F.greatest(F.lit(0), F.lit(100) - penalty))
 
 
+def scores(listings: DataFrame, now: datetime | str | None = None, rules: list[Rule] = RULES, keep: list[str] | None = None) -> DataFrame:
+    """`keep` columns plus `score` and `segment`, as `hits` gives them, for those who don't ask which rules failed: one sum of
+    weights, and no entry made for a finding."""
+    keep = listings.columns if keep is None else keep
+    ready = prepare(listings.withColumn("r_now", _as_of(now)))
+    penalty = sum((F.when(r.when(), P.SEVERITY_WEIGHT[r.severity]).otherwise(0) for r in rules), F.lit(0))
+    return ready.select(*keep, F.greatest(F.lit(0), F.lit(100) - penalty).alias("score"), segment().alias("segment"))
+
+
 def audit(listings: DataFrame, now: datetime | str | None = None, rules: list[Rule] = RULES, keep: list[str] | None = None) -> DataFrame:
     """Listings with `findings` (only the failed rules), `score` and `segment`."""
     checked = hits(listings, now, rules, keep=keep)

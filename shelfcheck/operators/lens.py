@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from .ranking import number_rows
 
 VALUES = [
@@ -86,29 +89,45 @@ def summary(lens_rows: DataFrame) -> DataFrame:
     return counted.withColumn("median_gap_pct", upper_median(lens_rows, "gap_pct").scalar()).withColumn("own_cheapest_share", share)
 
 
-CELLS = 65_536
+#: Cells of a round of the median, the sample that their edges are taken from, and the distinct values that are put in order at last.
+CELLS, SAMPLE, FEW = 256, 16_384, 65_536
 
 
-def upper_median(rows: DataFrame, column: str, levels: int = 2) -> DataFrame:
-    """One row: the value at place n/2, rounded down, of the n values in ascending order, counted from 0.
+def upper_median(rows: DataFrame, column: str, few: int = FEW, cells: int = CELLS) -> DataFrame:
+    """One row: the value at place n/2, rounded down, of the n values in ascending order, counted from 0; NULL without values.
 
-    Exact without gathering the values. Counts per distinct value are summed into `CELLS` cells between the smallest and
-    the largest, and the cell that holds the place is cut again, `levels` times; the windows hold one row per cell. What
-    is put in order at last are the distinct values within a range of 2**-32 of the whole.
+    Exact without gathering the values. They become one written table of counts per distinct value. While more than `few`
+    distinct values may hold the place, their range is cut at quantiles of a bounded random sample of them, so that cells hold
+    about equally many whatever the values are; the counts of the cells, which are as many as edges, say which one goes on.
+    Only the edges and counts of cells and the last `few` values come to one place.
     """
-    values = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    whole = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.floor(F.sum("n") / 2).alias("place")).alias("t"))
-    ahead = F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    target = whole
-    for level in range(levels + 1):
-        t = target.scalar()
-        inside = values.select("v", "n", t.alias("t")).where(F.col("v").between(F.col("t.lo"), F.col("t.hi")))
-        width = F.col("t.hi") - F.col("t.lo")
-        cell = F.col("v") if level == levels else F.coalesce(F.least(F.floor((F.col("v") - F.col("t.lo")) / F.nullif(width, F.lit(0.0)) * CELLS), F.lit(CELLS - 1)), F.lit(0))
-        cells = inside.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("t.place").alias("place"))
-        placed = cells.withColumn("ahead", ahead).where((F.col("ahead") <= F.col("place")) & (F.col("place") < F.col("ahead") + F.col("n")))
-        target = placed.select(F.struct("lo", "hi", (F.col("place") - F.col("ahead")).alias("place")).alias("t"))
-    return target.select(F.col("t.lo").alias(column))
+    spark = rows.sparkSession
+    counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    path = f"{shared_folder(spark)}/median-{uuid.uuid4().hex}"
+    counted.write.parquet(path)
+    values = spark.read.schema(counted.schema).parquet(path)
+    distinct, total = values.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    place, inside = total // 2, values
+    while distinct > few:
+        sample = inside.select("v").sample(min(1.0, SAMPLE / distinct), seed=7).limit(4 * SAMPLE)
+        edges = sorted(r["v"] for r in sample.collect())
+        edges = sorted({edges[k * len(edges) // cells] for k in range(1, cells)}) if edges else []
+        if not edges:
+            break  # a sample of nothing, from more than `few` values, comes up about never; what is left is put in order
+        number = F.size(F.filter(F.lit(edges), lambda e: e <= F.col("v")))
+        found = inside.groupBy(number.alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()
+        ahead = 0
+        for cell in sorted(found, key=lambda r: r["cell"]):
+            if place < ahead + cell["n"]:
+                break
+            ahead += cell["n"]
+        place, k = place - ahead, cell["cell"]
+        if cell["distinct"] == distinct:
+            break
+        distinct = cell["distinct"]
+        inside = inside.where((F.col("v") >= edges[k - 1]) if k else F.lit(True)).where((F.col("v") < edges[k]) if k < len(edges) else F.lit(True))
+    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("upto", upto).where(F.col("upto") > place).agg(F.min("v").alias(column))
 
 
 def refusing_retailers(latest: DataFrame) -> DataFrame:

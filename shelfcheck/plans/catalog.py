@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, crawl, extract, history, lens, match, pricing
+from ..operators import audit, crawl, extract, history, lens, match, pricing, search
 from ..operators.rules import RULES
 from ..schemas import PRICE_FEED
 from ..session import shared_folder
 from ..sources import files, tables
 from ..sources.tables import write_version
-from ..streaming.history import kept_changes, stream_price_changes
+from ..streaming.history import keep_price_changes, kept_changes
 from . import bridge, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,11 @@ def checked(spark: SparkSession, d: str, keep: list[str] = PRODUCT, now: str = b
     return audit.hits(bridge.listings(spark, d), now, texts=False, keep=keep)
 
 
+def scored(spark: SparkSession, d: str, keep: list[str] = PRODUCT) -> DataFrame:
+    """Listings with score and segment alone."""
+    return audit.scores(bridge.listings(spark, d), bridge.NOW, keep=keep)
+
+
 def audit_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The audited products and their findings as an audit job leaves them: one table in the shared folder, written anew
     for each report that reads both. Joined within one plan, the rules would run once for either side."""
@@ -58,13 +64,13 @@ def audit_queries() -> dict[str, Query]:
     out: dict[str, Query] = {"rule_" + r.id.replace("-", "_"): _rule(r.id) for r in RULES}
     full = lambda s, d: audit.hits(bridge.listings(s, d), bridge.NOW, keep=["id"])
     out["audit_findings"] = lambda s, d: audit.findings_of(full(s, d))
-    out["audit_scores"] = lambda s, d: checked(s, d).select("id", "score")
+    out["audit_scores"] = lambda s, d: scored(s, d).select("id", "score")
     out["segment_signals"] = lambda s, d: bridge.listings(s, d).select("id", *[c.alias(n) for n, c in audit.segment_signals().items()])
-    out["segments"] = lambda s, d: checked(s, d).select("id", "segment")
+    out["segments"] = lambda s, d: scored(s, d).select("id", "segment")
     out["audit_tallies"] = lambda s, d: audit.tallies(checked(s, d))
     out["gtin_check"] = lambda s, d: bridge.table(s, d, "facts").where("gtin IS NOT NULL").select(F.col("k").alias("id"), "gtin", T.valid_gtin(F.col("gtin")).alias("valid"))
     # Reports on one of the two tables compute it in their own plan.
-    products = lambda s, d: checked(s, d).drop("hits")
+    products = scored
     findings = lambda s, d: audit.findings_of(checked(s, d))
     out["overview_totals"] = lambda s, d: reports.totals(products(s, d))
     out["overview_totals_of_segment"] = lambda s, d: reports.totals(products(s, d), "thin-feed")
@@ -80,6 +86,16 @@ def audit_queries() -> dict[str, Query]:
     out["rule_shares"] = lambda s, d: (lambda p, f: reports.rule_shares(f, p))(*audit_tables(s, d))
     shown = ["id", "name", "brand", "score", "segment"]
     out["listing_search_text"] = lambda s, d: reports.search_listings(products(s, d), text="WATCH").select(*shown)
+
+    def indexed(s: SparkSession, d: str) -> DataFrame:
+        """Three needles against one index: a word, a piece of SKUs, and one that is too short for the index."""
+        folder = f"{shared_folder(s)}/search-{uuid.uuid4().hex}"
+        table = s.read.parquet(write_version(scored(s, d), folder, 1))
+        search.write_index(table, folder)
+        found = [search.search(reports.audited(table), folder, needle).select(F.lit(needle).alias("needle"), *shown) for needle in ("WATCH", "ku12", "5%", " x")]
+        return reduce(DataFrame.unionByName, found)
+
+    out["listing_search_indexed"] = indexed
     out["listing_search_category"] = lambda s, d: reports.search_listings(products(s, d), category="PROMO", segment="standard").select(*shown)
     out["listing_search_finding"] = lambda s, d: (lambda p, f: reports.search_listings(p, f, rule="name-truncated", severity="medium").select(*shown))(*audit_tables(s, d))
     out["listing_severity_counts"] = lambda s, d: (lambda p, f: reports.severity_counts(p.select("id", "score"), f))(*audit_tables(s, d))
@@ -98,7 +114,7 @@ def audit_queries() -> dict[str, Query]:
     out["template_wide_rules"] = lambda s, d: reports.template_wide_rules(*audit_tables(s, d), share=0.6)
     out["top_issues"] = lambda s, d: reports.top_issues(*audit_tables(s, d))
     out["segment_quality"] = lambda s, d: reports.segment_quality(products(s, d))
-    out["thin_signals"] = lambda s, d: reports.thin_signals(checked(s, d, SNAPSHOT))
+    out["thin_signals"] = lambda s, d: reports.thin_signals(scored(s, d, SNAPSHOT))
     out["thin_by_category"] = lambda s, d: reports.thin_by_category(products(s, d))
     out["thin_by_brand"] = lambda s, d: reports.thin_by_brand(products(s, d))
     out["thin_samples"] = lambda s, d: reports.thin_samples(products(s, d))
@@ -140,13 +156,12 @@ def lens_queries() -> dict[str, Query]:
 
 
 def _streamed_changes(spark: SparkSession, d: str) -> DataFrame:
-    """The price feed arriving as four files, one a micro-batch, run to its end."""
+    """The price feed arriving in four deliveries of several files, each taken in before the next one comes."""
     feed = bridge.table(spark, d, "price_feed").select("product_id", "price", "availability", "captured_at", "id")
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     for part in (F.year("captured_at") < 1994, F.year("captured_at").between(1994, 1995), F.year("captured_at").between(1996, 1997), F.year("captured_at") > 1997):
-        feed.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/feed")
-    source = spark.readStream.schema(PRICE_FEED).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
-    stream_price_changes(source, folder).awaitTermination()
+        feed.where(part).write.mode("append").parquet(f"{folder}/feed")
+        keep_price_changes(spark.readStream.schema(PRICE_FEED).parquet(f"{folder}/feed"), folder)
     return kept_changes(spark, folder).select("product_id", "id", *_money("price"), "availability", _time("captured_at"))
 
 
@@ -168,13 +183,17 @@ def pricing_queries() -> dict[str, Query]:
     out["marketplace_check"] = lambda s, d: pricing.check_marketplace(t(s, d, "products"), bridge.items(s, d)).select(
         "product_id", "status", "item_id", *_money("price", "item_price", "shipping_cost"), "availability", "seller", "seller_type", "match", "note"
     )
-    parses = lambda s, d: files.parse_price_documents(t(s, d, "parse_docs"))
-    out["parsed_prices"] = lambda s, d: parses(s, d).select("parser", "row.i", "row.sku", "row.url", "row.price", "row.delivery_cost", "row.stock", "row.match", F.coalesce(F.array_join("row.ignored", ";"), F.lit("-")).alias("ignored"))
-    odd = lambda s, d: files.accepted_and_rejected(t(s, d, "parse_docs_odd").select("value", "product_id", "s"))
-    out["accepted_parses"] = lambda s, d: odd(s, d)[0].select("parser", "row.i", "row.url", "row.price", "row.confidence", F.array_join("row.ignored", ";").alias("ignored"))
-    out["rejected_parses"] = lambda s, d: odd(s, d)[1].select("product_id", "s", F.coalesce("row_number", F.lit(-1)).alias("row_number"), F.array_join("violations", ",").alias("violations"))
-    again = lambda s, d: files.parse_price_documents(t(s, d, "parse_docs_again"))
-    imported = lambda s, d: pricing.import_parses(again(s, d), t(s, d, "products"), t(s, d, "captures_again"), t(s, d, "parsed_before"), "parsed")
+    parses = lambda s, d: files.parsed_rows(t(s, d, "parse_docs").select("value"))
+    odd = lambda s, d: files.parsed_rows(t(s, d, "parse_docs_odd").select("value", "product_id", "s"))
+    out["parsed_prices"] = lambda s, d: odd(s, d).select(
+        "product_id", "s", "parser", F.coalesce("row_number", F.lit(-1)).alias("row_number"), "row.i", "row.sku", "row.url", "row.price", "row.delivery_cost", "row.stock", "row.match",
+        F.coalesce(F.array_join("row.ignored", ";"), F.lit("-")).alias("ignored"), F.array_join("violations", ",").alias("violations"),
+    )
+    out["accepted_parses"] = lambda s, d: files.accepted(odd(s, d)).select("parser", "row.i", "row.url", "row.price", "row.confidence", F.array_join("row.ignored", ";").alias("ignored"))
+    out["rejected_parses"] = lambda s, d: files.rejected(odd(s, d)).select("product_id", "s", F.coalesce("row_number", F.lit(-1)).alias("row_number"), F.array_join("violations", ",").alias("violations"))
+    both = lambda s, d: pricing.import_documents(t(s, d, "parse_docs_again"), t(s, d, "products"), t(s, d, "captures_again"), t(s, d, "parsed_before"), "parsed", f"{shared_folder(s)}/parses-{uuid.uuid4().hex}")
+    imported = lambda s, d: both(s, d)[0]
+    out["import_rejects"] = lambda s, d: both(s, d)[1].select("product_id", "s", F.coalesce("row_number", F.lit(-1)).alias("row_number"), F.array_join("violations", ",").alias("violations"))
     out["import_parses"] = lambda s, d: imported(s, d).where("outcome = 'stored'").select(
         "product_id", "url", "title", *_money("price", "item_price", "shipping_cost", "was_price"), "currency", "availability", "match", "match_note", "status", "note", _time("captured_at")
     )
@@ -190,10 +209,11 @@ def pricing_queries() -> dict[str, Query]:
     run = lambda s, d: pricing.extract_run(t(s, d, "mappings"), t(s, d, "captures_again"), reading(s, d), "reader")
     out["extract_run"] = lambda s, d: run(s, d).select("product_id", "url", "title", *_money("price", "item_price", "shipping_cost"), "currency", "availability", "match", "match_note", "status", "note", _time("captured_at"))
     out["extract_run_matches"] = lambda s, d: pricing.extract_run_matches(t(s, d, "mappings"), run(s, d)).select("product_id", "url", "match", "match_note")
-    out["import_outcomes"] = lambda s, d: imported(s, d).groupBy("outcome").agg(F.count("*").alias("n"))
+    out["import_outcomes"] = lambda s, d: pricing.outcomes(*both(s, d))
     out["landed_prices"] = lambda s, d: parses(s, d).select("row.url", pricing.landed_price(F.col("row.price"), F.col("row.delivery_cost")).alias("landed"), pricing.parse_status(F.col("row.price"), F.lit(None).cast("string")).alias("status"))
     out["worst_match"] = lambda s, d: parses(s, d).select(F.col("row.url").alias("url"), F.col("row.match").alias("seen")).join(t(s, d, "mappings"), "url").select("url", match.worst_match(F.col("match"), F.col("seen")).alias("match"))
-    out["parse_violations"] = lambda s, d: parses(s, d).select("row.url", F.array_join(pricing.parse_violations(F.col("row")), ",").alias("violations")).where("violations <> ''")
+    asked = F.array(*map(F.lit, ("product_title", "stock", "match", "confidence", "ignored")))
+    out["parse_violations"] = lambda s, d: parses(s, d).select("row.url", F.array_join(F.array_intersect(asked, "violations"), ",").alias("violations")).where("violations <> ''")
     lines = lambda s, d: files.parse_mappings(t(s, d, "mapping_lines"))
     out["mapping_lines"] = lambda s, d: lines(s, d)[0]
     out["mapping_rejects"] = lambda s, d: lines(s, d)[1]
@@ -245,25 +265,23 @@ def table_queries() -> dict[str, Query]:
     out["product_scan"] = lambda s, d: tables.scan(s, f"{d}/part.parquet", "p_partkey", "p_name", "p_brand")
     out["upsert_products"] = lambda s, d: tables.upsert_products(t(s, d, "stored_products"), t(s, d, "crawled")).select("id", "url", *_money("price"), "name", _time("first_seen_at"), _time("last_crawled_at"))
 
-    def audited_twice(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-        """Everything audited long ago, and one category audited again now."""
+    def audited_twice(s: SparkSession, d: str) -> DataFrame:
+        """Everything audited long ago, and one category audited again now: the committed version of the products."""
+        folder = f"{shared_folder(s)}/audits-{uuid.uuid4().hex}"
         before = checked(s, d, PRODUCT, "2019-06-01 00:00:00")
-        return before, checked(s, d, PRODUCT).where(reports.in_category("PROMO"))
-
-    def replaced(s: SparkSession, d: str) -> DataFrame:
-        before, now = audited_twice(s, d)
-        shown = lambda c: audit.findings_of(c).select("product_id", "rule_id", "severity")
-        again = bridge.table(s, d, "facts").where(reports.in_category("PROMO")).select(F.col("k").alias("product_id"))
-        return tables.replace_findings(shown(before), shown(now), again)
+        marks = F.lit("2019-06-01 00:00:00").cast("timestamp").alias("audited_at"), F.filter("hits", lambda h: h.isNotNull()).alias("findings")
+        write_version(before.select("id", "score", "segment", *marks), folder, 1)
+        tables.reaudit(s, folder, checked(s, d, PRODUCT).where(reports.in_category("PROMO")), F.lit(bridge.NOW).cast("timestamp"))
+        return tables.read_version(s, folder, tables.latest_version(s, folder))
 
-    out["replace_findings"] = replaced
+    out["replace_findings"] = lambda s, d: tables.findings_in(audited_twice(s, d)).select("product_id", "rule_id", "severity")
+    out["apply_audit"] = lambda s, d: audited_twice(s, d).select("id", "score", "segment", _time("audited_at"))
 
-    def applied(s: SparkSession, d: str) -> DataFrame:
-        before, now = audited_twice(s, d)
-        products = before.select("id", "score", "segment", F.lit("2019-06-01 00:00:00").cast("timestamp").alias("audited_at"))
-        return tables.apply_audit(products, now, F.lit(bridge.NOW).cast("timestamp")).select("id", "score", "segment", _time("audited_at"))
+    def merged(s: SparkSession, d: str) -> DataFrame:
+        stored = tables.save_bucketed(t(s, d, "stored_products"), f"stored_products_{uuid.uuid4().hex}", ["url"], 16)
+        return tables.merge_products(stored, t(s, d, "crawled"))
 
-    out["apply_audit"] = applied
+    out["merge_products"] = lambda s, d: merged(s, d).select("id", "url", *_money("price"), "name", _time("first_seen_at"), _time("last_crawled_at"))
     incoming = lambda s, d: t(s, d, "pairs").selectExpr(
         "product_id", "'https://r' || CAST(s AS STRING) || '.example/i/' || CAST(product_id AS STRING) || CASE WHEN s % 10 = 1 THEN '?new' ELSE '' END AS url",
         "'Renamed ' || CAST(s AS STRING) AS retailer", "'near' AS match", "CAST(NULL AS STRING) AS match_note", "s AS line",
@@ -280,7 +298,7 @@ def table_queries() -> dict[str, Query]:
     out["propagate_match"] = lambda s, d: tables.propagate_match(
         t(s, d, "mappings"), t(s, d, "observations").withColumn("match_note", F.lit("page")).where("url IS NOT NULL"), ["product_id", "url"]
     ).select("product_id", "url", "match", "match_note")
-    values = lambda s, d: files.parse_price_documents(t(s, d, "parse_docs")).select(F.col("row.stock").alias("availability"), F.col("row.match").alias("match"))
+    values = lambda s, d: files.parsed_rows(t(s, d, "parse_docs").select("value")).select(F.col("row.stock").alias("availability"), F.col("row.match").alias("match"))
     out["invalid_values"] = lambda s, d: tables.invalid_values(values(s, d), ["availability", "match"])
     out["duplicate_keys"] = lambda s, d: tables.duplicate_keys(t(s, d, "observations"), "product_id", "url")
     out["orphans"] = lambda s, d: tables.orphans(t(s, d, "fetch_log"), "url", t(s, d, "products"), "url").select("seq", "url")

@@ -281,6 +281,10 @@ def audit_queries() -> dict[str, str]:
     out["rule_shares_of_segment"] = a(shares.format(order=_sev, listings="segment = 'thin-feed'", dim=_dim, findings=thin_ids))
     found = "SELECT id, name, brand, score, segment FROM audited WHERE "
     out["listing_search_text"] = a(found + "name ILIKE '%WATCH%' OR brand ILIKE '%WATCH%' OR sku ILIKE '%WATCH%'")
+    sought = " UNION ALL ".join(
+        f"SELECT '{text}' AS needle, f.* FROM ({found} (contains(lower(name), '{text.lower()}') OR contains(lower(brand), '{text.lower()}') OR contains(lower(sku), '{text.lower()}'))) f" for text in ("WATCH", "ku12", "5%", " x")
+    )
+    out["listing_search_indexed"] = a(sought)
     out["listing_search_category"] = a(found + "(category_path = 'PROMO' OR category_path LIKE 'PROMO > %') AND segment = 'standard'")
     out["listing_search_finding"] = a(found + "id IN (SELECT product_id FROM findings WHERE rule_id = 'name-truncated' AND severity = 'medium')")
     counts = ", ".join(f"(SELECT count(*) FROM findings f WHERE f.product_id = a.id AND f.severity = '{s}') AS {s}" for s in P.SEVERITIES)
@@ -488,13 +492,14 @@ LEFT JOIN individuals i ON i.product_id = p.id LEFT JOIN lessers l ON l.product_
     stock = "CASE WHEN s % 13 = 5 THEN 'few' WHEN s % 2 = 0 THEN 'in_stock' ELSE 'unknown' END"
     seen = "CASE WHEN s % 17 = 6 THEN 'same' WHEN flag = 'A' THEN 'uncertain' WHEN flag = 'N' THEN 'near' ELSE 'exact' END"
     confidence = "CASE WHEN s % 19 = 1 THEN '1.50' ELSE '0.75' END"
-    out["parsed_prices"] = ask(
-        ["pairs"],
-        f"SELECT 'hand' AS parser, CAST(s AS INT) AS i, (CASE WHEN s % 7 = 3 THEN 'NONE' ELSE 'SKU' END) || product_id AS sku, {url} AS url, CAST({price} AS DOUBLE) AS price,"
-        f" CAST({delivery} AS DOUBLE) AS delivery_cost, {stock} AS stock, {seen} AS match, CASE s % 6 WHEN 0 THEN 'a;b' WHEN 1 THEN '-' ELSE '' END AS ignored FROM pairs",
-    )
     d = lambda c: f"CAST({c} AS DOUBLE)"
-    stored = "s % 7 <> 3 AND s % 9 > 1 AND s % 9 <> 8"
+    # Rows that keep an import's contract, and first entries of which the body is sound; after an unsound one the second is stored.
+    kept = "s % 13 <> 5 AND s % 17 <> 6 AND s % 19 <> 1 AND s % 6 <> 1"
+    whole = "s % 23 NOT IN (0, 5, 7, 11, 13)"
+    able = "s % 7 <> 3 AND s % 9 > 1 AND s % 9 <> 8"
+    stored = f"{able} AND {kept} AND ({whole} OR s % 3 = 1)"
+    first_price = price
+    price = f"CASE WHEN {whole} THEN ({first_price}) ELSE 7 END"
     title = "CASE WHEN s % 4 = 0 THEN 'Page ' ELSE 'Item ' END || product_id"
     told = (
         f"'read by hand, certainty ' || {confidence} || (CASE WHEN n = 1 THEN '' ELSE '; price from seen ' || n END) || (CASE WHEN s % 3 = 1 THEN '; postage: free' ELSE '' END)"
@@ -505,7 +510,7 @@ LEFT JOIN individuals i ON i.product_id = p.id LEFT JOIN lessers l ON l.product_
         ["pairs"],
         f"""SELECT product_id, {url} AS url, {title} AS title, {d(f'({price}) + coalesce({delivery}, 0)')} AS price,
   {d(price)} AS item_price, {d(delivery)} AS shipping_cost, {d("CASE WHEN s % 3 = 0 THEN 199.99 END")} AS was_price, 'GBP' AS currency, {stock} AS availability, {seen} AS match,
-  CASE WHEN flag = 'N' THEN 'other colour' END AS match_note, CASE WHEN s % 5 = 0 THEN 'no_price' ELSE 'ok' END AS status, {told} AS note, {_at('last_at')} AS captured_at
+  CASE WHEN flag = 'N' THEN 'other colour' END AS match_note, CASE WHEN s % 5 = 0 AND {whole} THEN 'no_price' ELSE 'ok' END AS status, {told} AS note, {_at('last_at')} AS captured_at
 FROM pairs WHERE {stored}""",
     )
     micros = "CAST(epoch_us(CAST(last_at AS TIMESTAMP)) AS VARCHAR)"
@@ -518,9 +523,21 @@ FROM pairs WHERE {stored}""",
     )
     out["import_outcomes"] = ask(
         ["pairs"],
-        "SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN s % 7 = 3 THEN 'no product' WHEN s % 9 <= 1 THEN 'no capture' WHEN s % 9 = 8 OR again THEN 'already stored' ELSE 'stored' END AS outcome"
-        " FROM (SELECT s, FALSE AS again FROM pairs UNION ALL SELECT s, TRUE FROM pairs WHERE s % 3 = 1)) GROUP BY 1",
+        f"SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN NOT ({kept}) OR NOT (again OR {whole}) THEN 'rejected' WHEN s % 7 = 3 THEN 'no product' WHEN s % 9 <= 1 THEN 'no capture'"
+        f" WHEN s % 9 = 8 OR (again AND {whole}) THEN 'already stored' ELSE 'stored' END AS outcome FROM (SELECT s, FALSE AS again FROM pairs UNION ALL SELECT s, TRUE FROM pairs WHERE s % 3 = 1)) GROUP BY 1",
+    )
+    wrong = [
+        ("confidence", "s % 19 = 1"), ("delivery_cost", "s % 23 = 11 AND NOT again"), ("ignored", "s % 6 = 1"), ("match", "s % 17 = 6"), ("price", "s % 23 = 5 AND NOT again"),
+        ("sku", "s % 23 = 13 AND NOT again"), ("stock", "s % 13 = 5"),
+    ]
+    unread = "(s % 23 IN (0, 7) AND NOT again)"
+    out["import_rejects"] = ask(
+        ["pairs"],
+        f"SELECT product_id, s, CASE WHEN {unread} THEN -1 ELSE 0 END AS row_number, CASE WHEN {unread} THEN 'document' ELSE concat_ws(',', "
+        + ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in wrong)
+        + f") END AS violations FROM (SELECT product_id, s, FALSE AS again FROM pairs UNION ALL SELECT product_id, s, TRUE FROM pairs WHERE s % 3 = 1) WHERE NOT ({kept}) OR NOT (again OR {whole})",
     )
+    price = first_price
     mapped = "CASE flag WHEN 'A' THEN 'exact' WHEN 'N' THEN 'near' ELSE 'uncertain' END"
     page = "CASE WHEN s % 3 = 0 THEN 'near' ELSE 'exact' END"
     has_row = "(s % 5 <> 4 AND s % 8 <> 0)"
@@ -548,6 +565,16 @@ FROM pairs WHERE s % 9 > 1""",
         "SELECT product_id, s, CASE WHEN s % 11 IN (0, 2) THEN -1 ELSE 0 END AS row_number, CASE WHEN s % 11 IN (0, 2) THEN 'document' ELSE concat_ws(',', "
         + ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in terms) + f") END AS violations FROM pairs WHERE NOT ({sound})",
     )
+    said = lambda test, c: f"CASE WHEN s % 11 NOT IN ({test}) THEN {c} END"
+    out["parsed_prices"] = ask(
+        ["pairs"],
+        f"SELECT product_id, s, {said('0', "'hand'")} AS parser, CASE WHEN s % 11 IN (0, 2) THEN -1 ELSE 0 END AS row_number, CAST({said('0, 2', 's')} AS INT) AS i,"
+        f" {said('0, 2', "(CASE WHEN s % 7 = 3 THEN 'NONE' ELSE 'SKU' END) || product_id")} AS sku, {said('0, 2', url)} AS url, CAST({said('0, 1, 2', price)} AS DOUBLE) AS price,"
+        f" CAST({said('0, 2, 5', delivery)} AS DOUBLE) AS delivery_cost, {said('0, 2', stock)} AS stock, {said('0, 2', seen)} AS match,"
+        " CASE WHEN s % 11 IN (0, 2) THEN '-' WHEN s % 11 = 3 THEN 'a;1' WHEN s % 6 = 0 THEN 'a;b' WHEN s % 6 = 1 THEN '-' ELSE '' END AS ignored, CASE WHEN s % 11 IN (0, 2) THEN 'document' ELSE concat_ws(',', "
+        + ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in terms)
+        + ") END AS violations FROM pairs",
+    )
     out["landed_prices"] = ask(["pairs"], f"SELECT {url} AS url, {d(f'({price}) + coalesce({delivery}, 0)')} AS landed, CASE WHEN s % 5 = 0 THEN 'no_price' ELSE 'ok' END AS status FROM pairs")
     order = lambda c: f"CASE {c} WHEN 'exact' THEN 0 WHEN 'uncertain' THEN 1 WHEN 'near' THEN 2 END"
     out["worst_match"] = ask(
@@ -656,6 +683,7 @@ FROM (SELECT coalesce(s.id, c.id) AS id, coalesce(s.url, c.url) AS url, CAST(CAS
   CASE WHEN {newer} THEN s.name ELSE c.name END AS name, {_at('least(s.first_seen_at, c.first_seen_at)')} AS first_seen_at,
   {_at('greatest(s.last_crawled_at, c.last_crawled_at)')} AS last_crawled_at FROM stored_products s FULL JOIN crawled c ON c.url = s.url)""",
     )
+    out["merge_products"] = out["upsert_products"]
     promo = "(category_path = 'PROMO' OR category_path LIKE 'PROMO > %')"
     # Long ago no offer had expired yet; nothing else depends on the time.
     late = "rule_id = 'price-valid-until-expired' AND product_id NOT IN (SELECT k FROM facts WHERE " + promo + ")"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..operators.audit import segment_dimension
 from ..operators.rules import rule_dimension
+from ..operators.search import holds
 
 SEPARATOR = " > "
 
@@ -146,11 +147,7 @@ def search_listings(
     """Audited listings that meet every given condition. `text` is looked for literally, whatever its case."""
     rows = audited(products)
     if text:
-        needle = text.lower()
-        any_field = F.lit(False)
-        for field in ("name", "brand", "sku"):
-            any_field = any_field | F.coalesce(F.lower(field).contains(needle), F.lit(False))
-        rows = rows.where(any_field)
+        rows = rows.where(holds(text))
     if segment in P.SEGMENT_IDS:
         rows = rows.where(F.col("segment") == segment)
     if category:

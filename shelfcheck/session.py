@@ -15,6 +15,8 @@ def local_session(cores: int | str = 8, app: str = "shelfcheck") -> SparkSession
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # Pages and listings cost much work per byte, so a few hundred kilobytes are worth a task of their own.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SHELFCHECK_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
@@ -31,13 +33,16 @@ CHECKPOINT = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir` of the session. Only where that is unset and
-    Spark runs in this process alone, as in tests, one is made and set."""
+    """The folder that driver and executors share: `spark.checkpoint.dir` of the session, else the checkpoint folder of its
+    context. Only where neither is set and Spark runs in this process alone, as in tests, one is made and set."""
     folder = spark.conf.get(CHECKPOINT, None)
     if not folder:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError(f"set {CHECKPOINT} to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="shelfcheck-")
-        spark.conf.set(CHECKPOINT, folder)
+        context = spark.sparkContext
+        known = context._jsc.sc().getCheckpointDir()
+        if known.isEmpty():
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError(f"set {CHECKPOINT} to a folder that driver and executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="shelfcheck-"))
+            known = context._jsc.sc().getCheckpointDir()
+        folder = known.get()
     return folder.rstrip("/")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..schemas import PARSED_PRICES, PARSED_ROW
+from ..schemas import PARSED_ROW
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -42,17 +42,14 @@ def parse_url_list(lines: DataFrame) -> DataFrame:
     return _content(lines).select(F.col("value").alias("url"))
 
 
-def read_parsed_prices(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed-price files: one JSON object each, one output row per entry of `rows`."""
-    return explode_parses(spark.read.schema(PARSED_PRICES).json(path, multiLine=True))
-
-
-def parse_price_documents(bodies: DataFrame, column: str = "value") -> DataFrame:
-    return explode_parses(bodies.select(F.from_json(column, PARSED_PRICES).alias("d")).select("d.*"))
+def read_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """Whole files as `value`, with their `path`; nothing in them has to be readable."""
+    return spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
 
 
-def explode_parses(documents: DataFrame) -> DataFrame:
-    return documents.select("parser", F.explode("rows").alias("row"))
+def read_parsed_prices(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed-price files, one JSON object each: `parsed_rows` of them."""
+    return parsed_rows(read_bodies(spark, path))
 
 
 # The type contract of a parsed row: field, kinds of JSON value it may have.
@@ -65,27 +62,41 @@ CONTRACT = {
 ALLOWED = {"stock": P.AVAILABILITIES, "match": P.MATCHES}
 
 
-def checked_parses(bodies: DataFrame, column: str = "value") -> DataFrame:
-    """Every row of every parsed-price document with `violations`: the fields that are missing, of another type or out of
-    range. A body that is no JSON object, or has no list of rows, is one row with the violation `document`."""
+#: What an import asks of a row beside that: a page may have no product title, but a row must say what it is about.
+IMPORT_CONTRACT = CONTRACT | {"product_title": (*_TEXT, "VOID"), "page_title": (*_TEXT, "VOID"), "stock_note": (*_TEXT, "VOID"), "sku": _TEXT, "retailer": _TEXT, "url": _TEXT}
+OPTIONAL = {"page_title", "stock_note"}  # may be left out as well
+
+
+def parsed_rows(bodies: DataFrame, column: str = "value", contract: dict[str, tuple[str, ...]] = CONTRACT) -> DataFrame:
+    """Every row of every parsed-price document, none left out: the columns of `bodies`, `parser`, `row_number`, `row` (typed;
+    a value of another type is NULL there) and `violations`, the fields that are missing, of another type or out of range.
+
+    A body that is no JSON object, or has no list of rows, is one row without `row_number` and with the violation
+    `document`. Values are read as VARIANT, so that a wrong type shows instead of becoming NULL unseen.
+    """
     document = F.try_parse_json(column)
     listed = F.try_variant_get(document, "$.rows", "array<variant>")
     read = bodies.select("*", F.try_variant_get(document, "$.parser", "string").alias("parser"), F.posexplode_outer(listed).alias("row_number", "raw"), listed.isNull().alias("unread"))
     kind = lambda f: F.regexp_replace(F.schema_of_variant(F.try_variant_get("raw", f"$.{f}", "variant")), r"\([0-9,]*\)", "")
-    broken = [F.when(~F.coalesce(kind(f).isin(list(kinds)), F.lit(False)), F.lit(f)) for f, kinds in CONTRACT.items()]
+    broken = [F.when(~F.coalesce(kind(f).isin(list(kinds)), F.lit(f in OPTIONAL)), F.lit(f)) for f, kinds in contract.items()]
     value = lambda f, t: F.try_variant_get("raw", f"$.{f}", t)
     broken += [F.when((kind(f) == "STRING") & ~value(f, "string").isin(allowed), F.lit(f)) for f, allowed in ALLOWED.items()]
     broken += [F.when(kind("confidence").isin(list(_NUMBER)) & ~value("confidence", "double").between(0, 1), F.lit("confidence"))]
     found = F.array_sort(F.array_distinct(F.array_compact(F.array(*broken))))
-    return read.where(F.col("unread") | F.col("raw").isNotNull()).select(*bodies.columns, "parser", "row_number", "raw", F.when(F.col("unread"), F.array(F.lit("document"))).otherwise(found).alias("violations"))
+    row = F.when(F.col("raw").isNotNull(), F.from_json(F.to_json("raw"), PARSED_ROW))
+    return read.where(F.col("unread") | F.col("raw").isNotNull()).select(
+        *bodies.columns, "parser", "row_number", row.alias("row"), F.when(F.col("unread"), F.array(F.lit("document"))).otherwise(found).alias("violations")
+    )
+
+
+def accepted(rows: DataFrame) -> DataFrame:
+    """(parser, row) of the rows of `parsed_rows` that keep the contract."""
+    return rows.where(F.size("violations") == 0).select("parser", "row")
 
 
-def accepted_and_rejected(bodies: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(parser, row) of the rows that keep the contract, and what breaks it: the body, the row's number and its violations."""
-    every = checked_parses(bodies, column)
-    sound = F.size("violations") == 0
-    row = F.from_json(F.to_json("raw"), PARSED_ROW)
-    return every.where(sound).select("parser", row.alias("row")), every.where(~sound).select(*bodies.columns, "row_number", "violations")
+def rejected(rows: DataFrame) -> DataFrame:
+    """What breaks it: the body's columns, the row's number and its violations."""
+    return rows.where(F.size("violations") > 0).drop("parser", "row")
 
 
 def capture_key(url: Column) -> Column:

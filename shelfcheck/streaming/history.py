@@ -1,8 +1,14 @@
-"""Price history over an unbounded feed.
+"""Price history over an unbounded feed, as two queries.
 
-The state holds the last (price, availability) of each product and nothing else; a micro-batch reads and writes the
-state of the products in it, so its cost follows the batch. The state store is RocksDB, which keeps what doesn't change on
-disk. Rows of a batch are taken in event order; a row older than an earlier batch's counts as newly arrived.
+The first cuts each micro-batch into what it can tell alone and what needs the past. A product's rows are compared with
+their predecessors in the batch by the piece-wise `lag` of the batch form, so a product with any share of the rows is
+never gathered. What is left is one row per product: its first row, and its last price and availability.
+
+The second keeps the last (price, availability) of each product as state, compares it with the first row and takes over
+the last. Its state store is RocksDB, which keeps what doesn't change on disk; it costs one row per product of a batch.
+
+Rows of a batch are taken in event order; a row older than an earlier batch's counts as newly arrived. A batch that is run
+again after a failure finds what it has written, and writes the rest, so every change is kept once.
 """
 
 from __future__ import annotations
@@ -11,50 +17,78 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.history import price_changes
 from ..schemas import PRICE_FEED
+from ..sources.tables import is_complete
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_COLUMNS = [c.split()[0] for c in PRICE_FEED.split(", ")]
+_EDGES = PRICE_FEED + ", last_price decimal(10,2), last_availability string, batch bigint"
+
+
+def inner_changes(batch: DataFrame) -> DataFrame:
+    """The changes of a batch but for each product's first priced row, of which the past decides."""
+    return price_changes(batch, first=False).select(*_COLUMNS)
+
+
+def edges(batch: DataFrame) -> DataFrame:
+    """Each product's first priced row of a batch, and its last price and availability. Reduced before the shuffle."""
+    when = F.struct("captured_at", "id")
+    rest = [c for c in _COLUMNS if c != "product_id"]
+    found = batch.where(F.col("price").isNotNull()).groupBy("product_id").agg(F.min_by(F.struct(*rest), when).alias("first"), F.max_by(F.struct("price", "availability"), when).alias("last"))
+    return found.select("product_id", *[F.col("first")[c].alias(c) for c in rest], F.col("last.price").alias("last_price"), F.col("last.availability").alias("last_availability")).select(*_COLUMNS, "last_price", "last_availability")
+
 
+def _kept(batch: DataFrame, number: int, folder: str) -> None:
+    spark = batch.sparkSession
+    for part, rows in (("inner", inner_changes(batch)), ("edges", edges(batch).withColumn("batch", F.lit(number).cast("bigint")))):
+        path = f"{folder}/{part}/number={number}"
+        if not is_complete(spark, path):
+            rows.write.mode("overwrite").parquet(path)
 
-def _changed(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The rows of one product that differ from the one before them. One product's rows of one batch are held at once;
-    the source's rate limit (`maxFilesPerTrigger` and the like) bounds them."""
-    rows = pd.concat(list(chunks)).sort_values(["captured_at", "id"], kind="stable")
-    last = tuple(state.get) if state.exists else None
-    keep = []
-    for price, availability in zip(rows["price"], rows["availability"]):
-        now = (None if pd.isna(price) else price, None if pd.isna(availability) else availability)
-        keep.append(now[0] is not None and now != last)
-        if now[0] is not None:
-            last = now
-    if last is not None:
-        state.update(last)
-    yield rows[keep]
-
-
-def price_change_stream(feed: DataFrame) -> DataFrame:
-    """The changes of a streaming feed (product_id, price, availability, captured_at, id)."""
-    columns = [c.split()[0] for c in PRICE_FEED.split(", ")]
-    return feed.select(*columns).groupBy("product_id").applyInPandasWithState(_changed, PRICE_FEED, "price decimal(10,2), availability string", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_price_changes(feed: DataFrame, folder: str, **trigger) -> StreamingQuery:
-    """Start keeping the changes of a streaming feed in `folder`/changes, once each whatever fails; `folder`/checkpoint
-    holds the state."""
-    spark = feed.sparkSession
+
+def reduce_feed(feed: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Start the first query: micro-batches of a feed (product_id, price, availability, captured_at, id) to `folder`/inner and /edges."""
+    writer = feed.select(*_COLUMNS).writeStream.foreachBatch(lambda batch, number: _kept(batch, number, folder))
+    return writer.option("checkpointLocation", f"{folder}/checkpoint-feed").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _first_changes(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first rows of one product that differ from what was last known of it. There is one row per batch of the feed."""
+    rows = pd.concat(list(chunks)).sort_values("batch", kind="stable")
+    text = lambda v: None if pd.isna(v) else v
+    last, keep = tuple(state.get) if state.exists else None, []
+    for price, availability, last_price, last_availability in zip(rows["price"], rows["availability"], rows["last_price"], rows["last_availability"]):
+        keep.append((price, text(availability)) != last)
+        last = (last_price, text(last_availability))
+    state.update(last)
+    yield rows.loc[keep, _COLUMNS]
+
+
+def merge_edges(spark: SparkSession, folder: str, **trigger) -> StreamingQuery:
+    """Start the second query: `folder`/edges against the state, to `folder`/first."""
     before = spark.conf.get(_PROVIDER)
     spark.conf.set(_PROVIDER, _ROCKSDB)  # a query takes its settings when it starts
     try:
-        writer = price_change_stream(feed).writeStream.format("parquet").outputMode("append")
-        return writer.option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/changes").trigger(**(trigger or {"availableNow": True})).start()
+        found = spark.readStream.schema(_EDGES).parquet(f"{folder}/edges/number=*").groupBy("product_id")
+        changes = found.applyInPandasWithState(_first_changes, PRICE_FEED, "price decimal(10,2), availability string", "append", GroupStateTimeout.NoTimeout)
+        writer = changes.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint-edges")
+        return writer.option("path", f"{folder}/first").trigger(**(trigger or {"availableNow": True})).start()
     finally:
         spark.conf.set(_PROVIDER, before)
 
 
+def keep_price_changes(feed: DataFrame, folder: str) -> None:
+    """Take in all that the feed holds now. Called again, it goes on where it ended."""
+    reduce_feed(feed, folder).awaitTermination()
+    merge_edges(feed.sparkSession, folder).awaitTermination()
+
+
 def kept_changes(spark: SparkSession, folder: str) -> DataFrame:
     """The changes kept so far."""
-    return spark.read.schema(PRICE_FEED).parquet(f"{folder}/changes")
+    return spark.read.schema(PRICE_FEED).parquet(f"{folder}/first").unionByName(spark.read.schema(PRICE_FEED).parquet(f"{folder}/inner/number=*"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from shelfcheck.operators import lens
 from shelfcheck.operators.history import price_changes
 from shelfcheck.operators.ranking import number_rows, with_previous
-from shelfcheck.streaming.history import kept_changes, stream_price_changes
+from shelfcheck.streaming import history as stream
+from shelfcheck.streaming.history import keep_price_changes, kept_changes
 
 FEED = "product_id bigint, id bigint, price decimal(10,2), availability string, captured_at timestamp"
 
@@ -64,15 +65,38 @@ def test_stream_equals_batch(spark, tmp_path):
         part = rows[n * 100 : (n + 1) * 100]
         spark.createDataFrame(part, FEED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stream_price_changes(source, str(tmp_path / "out")).awaitTermination()
+    keep_price_changes(source, str(tmp_path / "out"))
     kept = kept_changes(spark, str(tmp_path / "out"))
-    assert len(list((tmp_path / "out" / "checkpoint" / "commits").glob("[0-9]*"))) == 4
+    assert len(list((tmp_path / "out" / "checkpoint-feed" / "commits").glob("[0-9]*"))) == 4
     assert sorted((r["product_id"], r["id"]) for r in kept.collect()) == model(rows)
     # Started again with nothing new, it keeps nothing more.
-    stream_price_changes(source, str(tmp_path / "out")).awaitTermination()
+    keep_price_changes(source, str(tmp_path / "out"))
     assert kept_changes(spark, str(tmp_path / "out")).count() == len(model(rows))
 
 
+def test_batch_run_again_writes_once(spark, tmp_path):
+    """A batch that failed between its two parts, or after them, is run again with the same number."""
+    rows, folder = feed_rows(8, 60), str(tmp_path)
+    batch = spark.createDataFrame(rows, FEED)
+    stream.inner_changes(batch).write.parquet(f"{folder}/inner/number=0")
+    stream._kept(batch, 0, folder)
+    first = {part: sorted(map(tuple, spark.read.parquet(f"{folder}/{part}/number=0").collect()), key=str) for part in ("inner", "edges")}
+    files = sorted(p.name for p in tmp_path.glob("*/number=0/*.parquet"))
+    stream._kept(batch, 0, folder)
+    assert sorted(p.name for p in tmp_path.glob("*/number=0/*.parquet")) == files
+    assert {part: sorted(map(tuple, spark.read.parquet(f"{folder}/{part}/number=0").collect()), key=str) for part in first} == first
+    stream.merge_edges(spark, folder).awaitTermination()
+    stream.merge_edges(spark, folder).awaitTermination()
+    assert sorted((r["product_id"], r["id"]) for r in kept_changes(spark, folder).collect()) == model(rows)
+
+
+def test_product_of_all_rows_reaches_the_state_as_one_row(spark):
+    """A million rows of one product in one batch: cut into pieces, and one row of it needs the state."""
+    batch = spark.range(1_000_000).selectExpr("7L AS product_id", "CAST(id DIV 10 % 3 AS DECIMAL(10,2)) AS price", "'in_stock' AS availability", "TIMESTAMP '2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) AS captured_at", "id")
+    assert stream.edges(batch).collect() == [(7, Decimal("0.00"), "in_stock", batch.first()["captured_at"], 0, Decimal("0.00"), "in_stock")]
+    assert stream.inner_changes(batch).count() == 99_999
+
+
 def test_number_rows(spark):
     r = random.Random(5)
     rows = [(r.choice("aab"), r.randrange(4), r.randrange(3), i) for i in range(300)]
@@ -148,3 +172,18 @@ def test_unpriced_rows_are_cut_by_retailer(spark):
 def test_upper_median(spark):
     df = spark.createDataFrame([(float(x), 0) for x in (1, 2, 3, 4)], "gap_pct double, failed int").withColumn("last_fetched", F.current_timestamp())
     assert lens.summary(df).collect()[0]["median_gap_pct"] == 3.0
+
+
+@pytest.mark.parametrize("values", [[], [None, None], [5.0], [1.0] * 900 + [2.0] * 100, [i * i % 977 for i in range(1000)], [0.01] + [5000 + i / 1000 for i in range(2000)] + [1e12]])
+def test_upper_median_in_rounds(spark, values):
+    """Cells hold about equally many distinct values, whatever lies far out."""
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    known = sorted(v for v in values if v is not None)
+    assert lens.upper_median(df, "v", few=20, cells=4).collect()[0][0] == (known[len(known) // 2] if known else None)
+
+
+def test_upper_median_of_many_values_in_one_old_cell(spark):
+    df = spark.range(100_001).selectExpr("CASE WHEN id = 0 THEN 0.01 WHEN id = 1 THEN 1e15 ELSE 5000 + id * 1e-6 END AS v")
+    assert lens.upper_median(df, "v", few=2000).collect()[0][0] == 5000 + 50_001 * 1e-6
+    plan = lens.upper_median(df, "v", few=2000)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") <= 2 and "Range" not in plan  # the values are a written table

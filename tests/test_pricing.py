@@ -141,8 +141,11 @@ def test_files(spark, tmp_path):
     (tmp_path / "urls.txt").write_text("# c\nhttps://a\n\n  https://b  \n")
     assert [r["url"] for r in files.parse_url_list(files.read_lines(spark, str(tmp_path / "urls.txt"))).collect()] == ["https://a", "https://b"]
     (tmp_path / "p.json").write_text('{"parser": "hand",\n "rows": [{"i": 1, "sku": "S", "price": 2.5, "ignored": ["x"]},\n {"i": 2, "price": null}]}')
-    rows = files.read_parsed_prices(spark, str(tmp_path / "p.json")).collect()
-    assert [(r["parser"], r["row"]["i"], r["row"]["price"]) for r in rows] == [("hand", 1, 2.5), ("hand", 2, None)]
+    (tmp_path / "q.json").write_text('{"parser": "hand", "rows": [')
+    rows = files.read_parsed_prices(spark, str(tmp_path / "[pq].json")).collect()
+    told = sorted((r["path"][-6:], r["row_number"], r["parser"], r["row"] and r["row"]["price"], "document" in r["violations"]) for r in rows if r["row"])
+    assert told == [("p.json", 0, "hand", 2.5, False), ("p.json", 1, "hand", None, False)]
+    assert [(r["path"][-6:], r["violations"]) for r in rows if not r["row"]] == [("q.json", ["document"])]
 
 
 def test_import_stores_a_fetch_once(spark):
@@ -155,7 +158,7 @@ def test_import_stores_a_fetch_once(spark):
         {"i": 5, "sku": "T", "retailer": "Q", "url": "p2", "price": None, "confidence": 0.125, "stock_note": "ask us", "ignored": []},
         {"i": 6, "sku": "T", "retailer": "Q", "url": "p2", "price": 8, "confidence": 0.125, "ignored": []},
     ]
-    parsed = files.parse_price_documents(spark.createDataFrame([(json.dumps({"parser": "eye", "rows": rows}),)], "value string"))
+    parsed = files.parsed_rows(spark.createDataFrame([(json.dumps({"parser": "eye", "rows": rows}),)], "value string"))
     products = spark.createDataFrame([(8, "T"), (6, "T"), (1, None)], "id bigint, sku string")
     captures = spark.sql("""SELECT * FROM VALUES ('p1', TIMESTAMP '2025-05-01 08:00:00', 'earlier'), ('p1', TIMESTAMP '2025-05-02 08:00:00', '  later  page '),
       ('p2', TIMESTAMP '2025-05-03 08:00:00', NULL) AS c(url, fetched_at, title)""")
@@ -176,7 +179,8 @@ def test_contract_of_parsed_rows(spark):
     changes = [{}, {"price": "1"}, {"price": ...}, {"confidence": 1.01}, {"confidence": -1, "stock": "few"}, {"ignored": None}, {"ignored": [1]}, {"ignored": []}, {"match": None}, {"product_title": 5}, {"was_price": [1]}]
     rows = [{k: v for k, v in {**sound, **c}.items() if v is not ...} for c in changes]
     bodies = [json.dumps({"parser": "p", "rows": rows}), "not json", '{"parser": "p"}', '{"rows": {}}', '{"rows": []}', "[1]", None]
-    good, bad = files.accepted_and_rejected(spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, value string"))
+    rows = files.parsed_rows(spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, value string"))
+    good, bad = files.accepted(rows), files.rejected(rows)
     assert sorted((r["row"]["product_title"], r["row"]["price"], r["row"]["ignored"]) for r in good.collect()) == [("t", 1.0, []), ("t", 1.0, ["a"])]
     told = {(r["id"], r["row_number"]): r["violations"] for r in bad.collect()}
     assert {k[1]: v for k, v in told.items() if k[0] == 0} == {
@@ -185,6 +189,21 @@ def test_contract_of_parsed_rows(spark):
     assert sorted(k for k in told if k[0]) == [(1, None), (2, None), (3, None), (5, None), (6, None)] and all(v == ["document"] for k, v in told.items() if k[0])
 
 
+def test_import_loses_nothing(spark, tmp_path):
+    """Bodies that can't be read and rows of wrong types come out as rejects, the others are stored; the rejects are no rows of the import."""
+    sound = {"sku": "T", "retailer": "Q", "url": "p1", "product_title": None, "price": 3, "price_evidence": None, "was_price": None, "delivery_cost": None, "delivery_note": None, "stock": "in_stock", "match": "exact", "match_note": None, "confidence": 0.5, "ignored": []}
+    changes = [{"price": "x"}, {"delivery_cost": True}, {"sku": 5}, {"stock": "few"}, {"match": "same"}, {"confidence": 1.5}, {"ignored": None}, {"page_title": 7}, {"url": None}, {}]
+    bodies = [json.dumps({"parser": "p", "rows": [{"i": i, **sound, **c} for i, c in enumerate(changes)]}), '{"parser": "p", "rows": [{"i"', '{"rows": 5}', "", None]
+    captures = spark.sql("SELECT 'p1' AS url, TIMESTAMP '2025-05-01 08:00:00' AS fetched_at, 't' AS title")
+    none = spark.createDataFrame([], "source string, url string, captured_at timestamp")
+    docs = spark.createDataFrame(list(enumerate(bodies)), "id int, value string")
+    imported, broken = pricing.import_documents(docs, spark.createDataFrame([(6, "T")], "id bigint, sku string"), captures, none, "s", str(tmp_path / "parses"))
+    assert [(r["outcome"], float(r["price"])) for r in imported.collect()] == [("stored", 3.0)]
+    told = {(r["id"], r["row_number"]): r["violations"] for r in broken.collect()}
+    assert told == {(0, i): [next(iter(c))] for i, c in enumerate(changes[:-1])} | {(k, None): ["document"] for k in (1, 2, 3, 4)}
+    assert {r["outcome"]: r["n"] for r in pricing.outcomes(imported, broken).collect()} == {"stored": 1, "rejected": 13}
+
+
 def test_extract_run(spark):
     row = "struct<product_title:string,price:double,delivery_cost:double,stock:string,match:string,match_note:string,confidence:double,price_evidence:string>"
     mappings = spark.createDataFrame([(1, "R", "u1", "exact", "mine"), (2, "R", "u1", "near", None), (3, "R", "u2", "exact", None), (4, "R", "u3", "uncertain", ""), (5, "R", "u4", "exact", None)], "product_id bigint, retailer string, url string, match string, match_note string")

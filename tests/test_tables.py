@@ -1,6 +1,9 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from shelfcheck.operators import search
 from shelfcheck.plans import reports
 from shelfcheck.session import shared_folder
 from shelfcheck.sources import tables
@@ -29,10 +32,93 @@ def test_upsert_settles_ties_and_numbers_new_products(spark, swapped):
     rows = [(None, "a", 3, at, at), (None, "a", 7, at, at), (None, "n1", 1, at, at), (None, "n2", 1, at, at), (40, "n3", 1, at, at)]
     crawled = spark.createDataFrame(rows[::-1] if swapped else rows, kind).repartition(3)
     got = {r["url"]: (r["id"], r["price"]) for r in tables.upsert_products(stored, crawled).collect()}
+    assert {r["url"]: (r["id"], r["price"]) for r in tables.merge_products(stored, crawled).collect()} == got
     # At equal times the crawled capture wins; new ids follow the greatest one known.
     assert got["a"] == (7, 7) and got["n3"] == (40, 1) and sorted([got["n1"][0], got["n2"][0]]) == [41, 42] and len(got) == 4
 
 
+def test_merge_shuffles_the_crawl_alone(spark):
+    import datetime
+    import random
+    import uuid
+
+    rng, day = random.Random(3), datetime.timedelta(days=1)
+    at = lambda: rng.choice([datetime.datetime(2025, 1, 1) + day * rng.randrange(6), None])
+    kind = "id bigint, url string, price int, first_seen_at timestamp, last_crawled_at timestamp"
+    stored = spark.createDataFrame([(i + 1, f"u{i}", i, datetime.datetime(2025, 1, 1) + day * rng.randrange(6), at()) for i in range(60)], kind)
+    crawled = spark.createDataFrame([(rng.choice([None, None, 200 + i]), f"u{rng.randrange(90)}", i, datetime.datetime(2025, 1, 1) + day * rng.randrange(6), at()) for i in range(80)], kind)
+    table = tables.save_bucketed(stored, f"stored_{uuid.uuid4().hex}", ["url"], 4)
+    key = lambda r: r["url"]
+    want = sorted(tables.upsert_products(stored, crawled).collect(), key=key)
+    joined = tables.merge_products(table, crawled)
+    assert [(r["url"], r["price"], r["first_seen_at"], r["last_crawled_at"], r["id"]) for r in sorted(joined.collect(), key=key)] == [(r["url"], r["price"], r["first_seen_at"], r["last_crawled_at"], r["id"]) for r in want]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        plan = tables.merge_products(table, crawled)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+    join = plan[plan.index("SortMergeJoin") :].split("SortMergeJoin")[1].splitlines()
+    depth = next(len(x) - len(x.lstrip(" :+-")) for x in join[1:])
+    sides = [k for k, x in enumerate(join) if k and len(x) - len(x.lstrip(" :+-")) == depth][:2]
+    left, right = join[sides[0] : sides[1]], join[sides[1] :]
+    assert not any("Exchange" in x for x in left) and any("Bucketed: true" in x for x in left) and any("Exchange" in x for x in right)
+
+
+def test_reaudit_is_seen_whole_or_not_at_all(spark, tmp_path):
+    hit = "array<struct<rule_id:string,severity:string>>"
+    folder = str(tmp_path / "audits")
+    assert tables.latest_version(spark, folder) is None
+    at = F.lit("2026-01-02 00:00:00").cast("timestamp")
+    rows = [(1, 90, "a", [("x", "low")]), (2, 80, "b", [("y", "high")]), (3, None, None, None)]
+    before = spark.createDataFrame(rows, f"id bigint, score int, segment string, findings {hit}").withColumn("audited_at", F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    tables.write_version(before, folder, 1)
+    checked = spark.createDataFrame([(1, 70, "c", [None, ("z", "high"), ("w", "low")]), (3, 100, "d", [None])], f"id bigint, score int, segment string, hits {hit}")
+
+    def now():
+        df = tables.read_version(spark, folder, tables.latest_version(spark, folder))
+        return sorted((r["id"], r["score"], r["audited_at"] and r["audited_at"].day) for r in df.collect()), sorted(map(tuple, tables.findings_in(df).collect()))
+
+    old = ([(1, 90, 1), (2, 80, 1), (3, None, 1)], [(1, "x", "low"), (2, "y", "high")])
+    assert now() == old
+    # An attempt that dies while it writes leaves readers with what was there.
+    broken = checked.withColumn("score", F.when(F.col("id") == 3, F.raise_error(F.lit("stop")).cast("int")).otherwise(F.col("score")))
+    with pytest.raises(Exception, match="stop"):
+        tables.reaudit(spark, folder, broken, at)
+    (tmp_path / "audits" / "version=2").mkdir(exist_ok=True)
+    assert now() == old
+    assert tables.reaudit(spark, folder, checked, at) == 2
+    assert now() == ([(1, 70, 2), (2, 80, 1), (3, 100, 2)], [(1, "w", "low"), (1, "z", "high"), (2, "y", "high")])
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.text("abAB%é ", min_size=0, max_size=6))
+def test_indexed_search_equals_the_scan(indexed, needle):
+    products, folder = indexed
+    want = sorted(r["id"] for r in products.where(search.holds(needle)).collect())
+    assert sorted(r["id"] for r in search.search(products, folder, needle).collect()) == want
+
+
+def test_search_reads_few_postings(spark, indexed, monkeypatch):
+    products, folder = indexed
+    plan = search.candidates(spark, folder, "abA")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(gram,aba)" in plan or "In(gram" in plan
+    monkeypatch.setattr(search, "BY_ID", 2)
+    assert search.search(products, folder, "ab ").count() == products.where(search.holds("ab ")).count() > 2
+
+
+@pytest.fixture(scope="module")
+def indexed(spark, tmp_path_factory):
+    import random
+
+    rng, folder = random.Random(2), str(tmp_path_factory.mktemp("index"))
+    text = lambda: rng.choice([None, "", "".join(rng.choices("abAB%éÉ ", k=rng.randrange(12)))])
+    products = spark.createDataFrame([(i, text(), text(), text()) for i in range(400)], "id bigint, name string, brand string, sku string")
+    search.write_index(products, folder)
+    return products, folder
+
+
 def test_findings_and_scores(spark):
     stored = spark.createDataFrame([(1, "x"), (2, "y")], "product_id bigint, rule_id string")
     fresh = spark.createDataFrame([(1, "z")], "product_id bigint, rule_id string")
