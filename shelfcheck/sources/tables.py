@@ -80,7 +80,7 @@ def merge_products(stored: DataFrame, crawled: DataFrame) -> DataFrame:
     stored rows by a join on url, which needs no exchange of a stored table bucketed by it."""
     captured = [c for c in stored.columns if c not in ("id", "url", "first_seen_at")]
     newest = (
-        crawled.select(*[F.col(c) if c in crawled.columns else F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in stored.columns])
+        crawled.select(*[(F.col(c) if c in crawled.columns else F.lit(None)).cast(stored.schema[c].dataType).alias(c) for c in stored.columns])
         .groupBy("url")
         .agg(
             F.min_by("id", F.when(F.col("id").isNotNull(), F.struct("first_seen_at", "id"))).alias("id"),
