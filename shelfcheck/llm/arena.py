@@ -11,7 +11,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable, Hashable, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -42,22 +42,17 @@ class Recent:
         self.young[key] = value
 
 
-class _Slots(dict):
-    def __missing__(self, key) -> int:
-        return -1
-
-
 class _Table:
     """Pieces and their ids, one piece after the other in growing arrays."""
 
     def __init__(self):
-        self.slot = _Slots()
+        self.slot = {}
         self.start, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
         self.used = 0
 
     def find(self, pieces: list) -> np.ndarray:
         """Slot of each piece, -1 if it isn't here."""
-        return np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+        return np.fromiter(map(self.slot.get, pieces, repeat(-1)), np.int64, len(pieces))
 
     def add(self, pieces: list, size: np.ndarray, ids: np.ndarray) -> None:
         at = len(self.slot)
@@ -102,8 +97,8 @@ class Pieces:
         if pieces:
             self.young.add(pieces, *self.encode(pieces))
 
-    def lookup(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces one after the other, number of ids of each piece)."""
+    def lookup(self, pieces: list, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after the other, number of ids of each piece). With `of`, those of the pieces that it numbers."""
         if 2 * len(self.young.slot) >= self.most or self.young.used > 8 * self.most:
             self.old, self.young = self.young, _Table()
         at = self.young.find(pieces)
@@ -111,4 +106,4 @@ class Pieces:
             absent = [pieces[i] for i in missing.tolist()]
             self._learn(list(dict.fromkeys(absent)))
             at[missing] = self.young.find(absent)
-        return self.young.gather(at)
+        return self.young.gather(at if of is None else at[of])

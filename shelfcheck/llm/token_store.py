@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +36,56 @@ BLOCKS = "part int, block int, ids_before bigint, words_before bigint, n_ids big
 WHITE_SPACE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
 _BLANK = "".join(f"{chr(a)}-{chr(b)}" for a, b in WHITE_SPACE)
 _PIECES = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+").findall
+_FAR_BLANK = re.compile("|".join(re.escape(chr(c)) for a, b in WHITE_SPACE for c in range(a, b + 1) if c > 0x7F).encode()).search
+_BLANKS = frozenset(chr(c) for a, b in WHITE_SPACE for c in range(a, b + 1))
+
+
+_IS_BLANK, _IS_LETTER, _IS_MARK = (np.array([chr(c) in kind for c in range(256)]) for kind in ("\t\n\v\f\r ", string.ascii_letters, string.digits + string.punctuation))
+#: Bytes of a piece that are packed into two words.
+_PACKED = 16
+
+
+def split(raw: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct pieces, number of each piece in order, pieces of each text) of texts without white space beyond ASCII.
+
+    A piece begins with a text, where white space follows anything else, and where a mark or a digit follows an ASCII
+    letter: no word of the tokenizer goes over such a place, and none looks back over it. Short pieces are told apart
+    as pairs of integers; equal ones may come twice among the distinct.
+    """
+    begins = np.zeros(len(raw) + 1, bool)
+    blank = _IS_BLANK[raw]
+    begins[1:-1] = (blank[1:] & ~blank[:-1]) | (_IS_MARK[raw[1:]] & _IS_LETTER[raw[:-1]])
+    begins[at] = True
+    starts = np.flatnonzero(begins)
+    starts, ends = starts[:-1], starts[1:]
+    counts = np.diff(np.searchsorted(starts, at))
+    size = ends - starts
+    short = np.flatnonzero(size <= _PACKED)
+    window = np.concatenate([raw, np.zeros(_PACKED, np.uint8)])[starts[short, None] + np.arange(_PACKED)]
+    window[np.arange(_PACKED) >= size[short, None]] = 0
+    a, b = window.view(np.uint64).T
+    key = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) ^ (b ^ (b >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) ^ size[short].astype(np.uint64)
+    order = np.argsort(key)
+    a, b, n = a[order], b[order], size[short][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (n[1:] != n[:-1])
+    number = np.empty(len(starts), np.int64)
+    number[short[order]] = np.cumsum(new) - 1
+    long = np.flatnonzero(size > _PACKED)
+    number[long] = np.arange(len(long)) + int(new.sum())
+    data, shown = raw.tobytes(), np.concatenate([short[order[new]], long])
+    return [data[i:j].decode() for i, j in zip(starts[shown].tolist(), ends[shown].tolist())], number, counts
 
 
 class _Encoder:
-    """The library's ids of stretches of text, many in one call: a special token, which is encoded apart from what stands
-    around it, separates them. Stretches that hold a special token themselves go one by one."""
+    """The library's ids of stretches of text, many in one call.
 
-    TOGETHER = 50
+    Stretches that begin with white space are parted from what stands before them by that alone, so they are encoded as one
+    text, which is cut again by the numbers of bytes that the ids stand for. Others are separated by a special token, which
+    is encoded apart from what stands around it. Stretches that hold a special token themselves go one by one.
+    """
+
+    TOGETHER, CHARACTERS = 50, 4096
 
     def __init__(self, source: str):
         from tokenizers import Tokenizer
@@ -48,7 +93,11 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        tokens = json.loads(source)["added_tokens"]
+        spec = json.loads(source)
+        tokens, vocab = spec["added_tokens"], spec["model"]["vocab"]
+        # A symbol of the vocabulary stands for one byte.
+        self.bytes = np.zeros(max([*vocab.values(), *(x["id"] for x in tokens)]) + 1, np.int64)
+        self.bytes[list(vocab.values())] = [len(x) for x in vocab]
         self.special = [x["content"] for x in tokens]
         plain = [x for x in tokens if not (x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"])]
         self.between, self.between_id = (plain[0]["content"], plain[0]["id"]) if plain else ("", -1)
@@ -64,7 +113,35 @@ class _Encoder:
         return np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each)
 
     def __call__(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if not self.between or self._special_in("\0".join(stretches)):
+        if self._special_in("\0".join(stretches)):
+            return self._alone(stretches)
+        led = np.fromiter((x[0] in _BLANKS and x[-1] not in _BLANKS for x in stretches), bool, len(stretches))
+        parts = []
+        for those, encode in ((np.flatnonzero(led), self._joined), (np.flatnonzero(~led), self._separated)):
+            if len(those):
+                parts.append((those, *encode([stretches[i] for i in those.tolist()])))
+        if len(parts) == 1:
+            return parts[0][1:]
+        size = np.empty(len(stretches), np.int64)
+        for those, own, _ in parts:
+            size[those] = own
+        ids, start = np.empty(int(size.sum()), np.int32), np.cumsum(size) - size
+        for those, own, values in parts:
+            ids[np.repeat(start[those] - (np.cumsum(own) - own), own) + np.arange(len(values))] = values
+        return size, ids
+
+    def _joined(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum(list(map(len, stretches)))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // self.CHARACTERS)) + 1).tolist(), len(stretches)]
+        ids = np.concatenate(self._encode(["".join(stretches[a:b]) for a, b in zip(cuts, cuts[1:])]))
+        wanted, reached = np.cumsum(list(map(len, map(str.encode, stretches)))), np.cumsum(self.bytes[ids])
+        last = np.searchsorted(reached, wanted) + 1
+        if last[-1] != len(ids) or not np.array_equal(reached[last - 1], wanted):
+            return self._separated(stretches)  # an id reaches beyond its stretch
+        return np.diff(last, prepend=0), ids
+
+    def _separated(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.between:
             return self._alone(stretches)
         groups = [stretches[i : i + self.TOGETHER] for i in range(0, len(stretches), self.TOGETHER)]
         ids = np.concatenate(self._encode([self.between.join(g) + self.between for g in groups]))
@@ -90,9 +167,14 @@ def encode(source: str, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarr
     """(ids of the next texts with the end id after each, their sizes)."""
     table = _encoder(source)
     for raw, at in slices(texts):
-        split = [_PIECES(raw[a:b].tobytes().decode()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        ids, each = table.lookup([x for s in split for x in s])
-        ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum(list(map(len, split)))]
+        # A special token may stand across such places.
+        if _FAR_BLANK(data := raw.tobytes()) or any(x.encode() in data for x in table.encode.special):
+            found = [_PIECES(raw[a:b].tobytes().decode()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            (ids, each), counts = table.lookup([*chain.from_iterable(found)]), list(map(len, found))
+        else:
+            pieces, number, counts = split(raw, at)
+            ids, each = table.lookup(pieces, number)
+        ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum(counts)]
         yield np.insert(ids, ends, end_id), np.diff(ends, prepend=0) + 1
 
 

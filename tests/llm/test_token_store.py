@@ -3,6 +3,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,6 +57,41 @@ def test_files_give_back_the_librarys_ids(spark, docs_of, tmp_path, parts):
     assert crc == [(i, s, n, zlib.crc32(np.array(ids, "<u4").tobytes())) for i, s, n, ids in want]
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
+def library_ids(texts):
+    return [[*LIBRARY.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
+def ours(texts):
+    with open(PATH, encoding="utf-8") as f:
+        source = f.read()
+    out = []
+    for ids, sizes in token_store.encode(source, pa.array(texts, pa.string()), 2):
+        out += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    return out
+
+
+@given(st.lists(st.lists(st.sampled_from([*"abZst'’01.,!-_|\n\t\r ", "\x0b", "\x1c", "\x1f", "é", "e\u0301", "ß", "漢", "🙂", "²", "'s", "'ll", "  ", " word", "ness"]), max_size=40).map("".join), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_pieces_cut_on_bytes_give_the_librarys_ids(texts):
+    assert ours(texts) == library_ids(texts)
+
+
+@pytest.mark.parametrize("odd", ["\u3000", "\x85", "<|endoftext|>"])
+def test_other_white_space_and_special_tokens(odd):
+    texts = [f"one{odd}two's three{odd}", f"{odd}", "plain text, 12 words", None, f"x{odd[:5]} y"]
+    assert ours(texts) == library_ids(texts)
+
+
+def test_a_very_long_text():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 24))) for _ in range(3000)]
+    text = "".join(rng.choice(words) + rng.choice([" ", " ", ", ", "\n\n", "-", "'t "]) for _ in range(300_000))
+    assert ours([text, "short", text[:7]]) == library_ids([text, "short", text[:7]])
+
+
 def test_repeats_nulls_and_nothing(spark, docs_of, tmp_path):
     token_store.write(docs_of([(5, "b"), (None, "a"), (5, "b"), (2, None)]), str(tmp_path / "a"), PATH, end_id=2)
     got = sorted((r.start, r.doc_id, r.ids) for r in token_store.read(spark, str(tmp_path / "a")).collect())
