@@ -137,21 +137,37 @@ def admit(urls: DataFrame, robots: DataFrame, user_agent: str) -> DataFrame:
     """Urls with `allowed` and `delay`, each row once. The longest matching pattern decides, allow wins ties.
 
     `robots`: host, http_status, body, fetched_at; the newest fetch of a host counts. One answered 4xx allows
-    everything; 5xx, or no answer, allows nothing. One body's rules stay together in the host's row, so each url is
-    judged where the join puts it.
+    everything; 5xx, or no answer, allows nothing.
+
+    Patterns without wildcards are rows that a path meets by equality with its own beginnings, of which it has one for
+    each length that occurs among its host's patterns: what a path costs doesn't grow with the number of rules. The
+    others, few on any host, travel with the host and are tried one by one. Each (host, path) is judged once.
     """
     newest = newest_robots(robots)
-    policy = newest.select("host", "http_status").join(rules_for(newest.where("http_status between 200 and 299"), user_agent), "host", "left")
-    path = T.url_path_and_query(F.col("url"))
-    joined = urls.withColumn("host", T.url_host(F.col("url"))).join(policy, "host", "left").withColumn("path", path)
-    matching = F.filter("rules", lambda r: _fits(F.col("path"), r["pattern"]))
-    decisive = F.array_max(F.transform(matching, lambda r: F.struct(F.length(r["pattern"]).alias("length"), r["allow"].alias("allow"))))
+    chosen = rules_for(newest.where("http_status between 200 and 299"), user_agent)
+    is_plain = lambda r: ~F.contains(r["pattern"], F.lit("*")) & ~F.endswith(r["pattern"], F.lit("$"))
+    lengths = F.array_distinct(F.transform(F.filter("rules", is_plain), lambda r: F.length(r["pattern"])))
+    hosts = newest.select("host", "http_status").join(chosen.select("host", "delay", lengths.alias("lengths"), F.filter("rules", lambda r: ~is_plain(r)).alias("wild")), "host", "left")
+    plain = chosen.select("host", F.explode(F.filter("rules", is_plain)).alias("r")).groupBy("host", F.col("r.pattern").alias("prefix")).agg(F.max("r.allow").alias("allow"))
+
+    keyed = urls.withColumn("_host", F.coalesce(T.url_host(F.col("url")), F.lit(""))).withColumn("_path", F.coalesce(T.url_path_and_query(F.col("url")), F.lit("")))
+    paths = keyed.select(F.col("_host").alias("host"), F.col("_path").alias("path")).distinct().join(hosts, "host")
+    rank = lambda pattern, allow: F.struct(F.length(pattern).alias("length"), allow.alias("allow")).cast("struct<length:int,allow:boolean>")
+    tried = F.array_max(F.transform(F.filter("wild", lambda r: _fits(F.col("path"), r["pattern"])), lambda r: rank(r["pattern"], r["allow"])))
+    beginnings = F.explode_outer(F.filter("lengths", lambda n: n <= F.length("path")))
+    met = paths.select("host", "path", "http_status", "delay", tried.alias("tried"), beginnings.alias("n")).withColumn("prefix", F.substring("path", F.lit(1), F.col("n")))
+    met = met.join(plain, ["host", "prefix"], "left")
+    found = F.max(F.when(F.col("allow").isNotNull(), rank(F.col("prefix"), F.col("allow"))))
+    judged = met.groupBy("host", "path").agg(F.first("http_status").alias("http_status"), F.first("delay").alias("delay"), F.greatest(F.first("tried"), found).alias("decisive"))
     allowed = (
         F.when(F.col("http_status").between(400, 499), F.lit(True))
-        .when(F.col("http_status").between(200, 299), F.coalesce(decisive["allow"], F.lit(True)))
+        .when(F.col("http_status").between(200, 299), F.coalesce(F.col("decisive.allow"), F.lit(True)))
         .otherwise(F.lit(False))
     )
-    return joined.select(*urls.columns, *([] if "host" in urls.columns else ["host"]), allowed.alias("allowed"), "delay")
+    verdicts = judged.select(F.col("host").alias("_host"), F.col("path").alias("_path"), allowed.alias("_allowed"), F.col("delay").alias("_delay"))
+    joined = keyed.join(verdicts, ["_host", "_path"], "left")
+    host = [] if "host" in urls.columns else [F.nullif("_host", F.lit("")).alias("host")]
+    return joined.select(*urls.columns, *host, F.coalesce("_allowed", F.lit(False)).alias("allowed"), F.col("_delay").alias("delay"))
 
 
 # --- crawl log -------------------------------------------------------------------------

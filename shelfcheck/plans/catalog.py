@@ -16,6 +16,7 @@ from ..schemas import PRICE_FEED
 from ..session import shared_folder
 from ..sources import files, tables
 from ..sources.tables import write_version
+from ..streaming import imports
 from ..streaming.history import keep_price_changes, kept_changes
 from . import bridge, reports
 
@@ -191,6 +192,19 @@ def pricing_queries() -> dict[str, Query]:
     )
     out["accepted_parses"] = lambda s, d: files.accepted(odd(s, d)).select("parser", "row.i", "row.url", "row.price", "row.confidence", F.array_join("row.ignored", ";").alias("ignored"))
     out["rejected_parses"] = lambda s, d: files.rejected(odd(s, d)).select("product_id", "s", F.coalesce("row_number", F.lit(-1)).alias("row_number"), F.array_join("violations", ",").alias("violations"))
+
+    def streamed(s: SparkSession, d: str) -> DataFrame:
+        """The import's bodies arriving as files in two deliveries, first entries and then second ones."""
+        folder = f"{shared_folder(s)}/imports-{uuid.uuid4().hex}"
+        docs = t(s, d, "parse_docs_again").withColumn("second", F.contains("value", F.lit('"i":9')) & F.contains("value", F.lit('"price":7,"old"')))
+        for second in (False, True):
+            docs.where(F.col("second") == second).select("value").repartition(4).write.mode("append").option("lineSep", "\n").text(f"{folder}/in")
+            # A line is a body here; whole files are read by `files.stream_bodies`.
+            bodies = s.readStream.text(f"{folder}/in")
+            imports.import_stream(bodies, t(s, d, "products"), t(s, d, "captures_again"), t(s, d, "parsed_before"), "parsed", folder).awaitTermination()
+        return imports.stored(s, folder).select("product_id", "url", *_money("price"), "match", "status", _time("captured_at"))
+
+    out["import_streamed"] = streamed
     both = lambda s, d: pricing.import_documents(t(s, d, "parse_docs_again"), t(s, d, "products"), t(s, d, "captures_again"), t(s, d, "parsed_before"), "parsed", f"{shared_folder(s)}/parses-{uuid.uuid4().hex}")
     imported = lambda s, d: both(s, d)[0]
     out["import_rejects"] = lambda s, d: both(s, d)[1].select("product_id", "s", F.coalesce("row_number", F.lit(-1)).alias("row_number"), F.array_join("violations", ",").alias("violations"))

@@ -513,6 +513,10 @@ LEFT JOIN individuals i ON i.product_id = p.id LEFT JOIN lessers l ON l.product_
   CASE WHEN flag = 'N' THEN 'other colour' END AS match_note, CASE WHEN s % 5 = 0 AND {whole} THEN 'no_price' ELSE 'ok' END AS status, {told} AS note, {_at('last_at')} AS captured_at
 FROM pairs WHERE {stored}""",
     )
+    out["import_streamed"] = ask(
+        ["pairs"],
+        f"SELECT product_id, {url} AS url, {d(f'({price}) + coalesce({delivery}, 0)')} AS price, {seen} AS match, CASE WHEN s % 5 = 0 AND {whole} THEN 'no_price' ELSE 'ok' END AS status, {_at('last_at')} AS captured_at FROM pairs WHERE {stored}",
+    )
     micros = "CAST(epoch_us(CAST(last_at AS TIMESTAMP)) AS VARCHAR)"
     key_of = f"substr(sha256({url} || chr(10) || {micros}), 1, 24)"
     out["import_captures"] = ask(["pairs"], f"SELECT {key_of} AS capture_id, {url} AS url, {_at('last_at')} AS fetched_at, 'Page ' || product_id AS title, 'hand' AS parser, {seen} AS match FROM pairs WHERE {stored}")

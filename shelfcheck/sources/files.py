@@ -47,6 +47,12 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
 
 
+def stream_bodies(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
+    """The same of files as they arrive, up to `files` of them a micro-batch."""
+    read = spark.readStream.option("maxFilesPerTrigger", files)
+    return read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+
+
 def read_parsed_prices(spark: SparkSession, path: str) -> DataFrame:
     """Parsed-price files, one JSON object each: `parsed_rows` of them."""
     return parsed_rows(read_bodies(spark, path))

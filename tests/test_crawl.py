@@ -95,3 +95,38 @@ def test_log(spark):
     assert (hosts["h"]["attempted"], hosts["h"]["with_product"], hosts["h"]["product_percent"], hosts["h"]["stopped"]) == (3, 1, 33, True)
     assert (hosts["g"]["attempted"], hosts["g"]["n_error"], hosts["g"]["n_challenge"], hosts["g"]["stopped"]) == (3, 2, 1, False)
     assert crawl.product_token(AGENT) == "reederbot"
+
+
+def test_many_rules_and_plain_model(spark):
+    """Against a rule-by-rule model, on a host of 20,000 plain rules and one of mixed patterns."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    piece = lambda: rng.choice(["/a", "/b", "/ab", "/%", "/_", "?x", "/e"])
+    mixed = [(rng.random() < 0.5, "".join(piece() for _ in range(rng.randint(1, 3))) + rng.choice(["", "", "*", "$", "*b", "*a$"])) for _ in range(80)]
+    many = [(i % 3 == 0, f"/p{i}/") for i in range(20_000)]
+    body = lambda rules: "User-agent: *\n" + "\n".join(("Allow: " if allow else "Disallow: ") + p for allow, p in rules)
+    robots = spark.createDataFrame([("m.example", 200, body(mixed)), ("n.example", 200, body(many)), ("e.example", 200, ""), ("x.example", 404, None), ("y.example", 500, None)], "host string, http_status int, body string")
+    robots = robots.selectExpr("*", "TIMESTAMP '2026-01-01 00:00:00' AS fetched_at")
+    paths = ["".join(piece() for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    asked = [("m.example", p) for p in paths if p.startswith("/")] + [("n.example", f"/p{rng.randrange(21_000)}/{rng.choice('xy')}") for _ in range(300)]
+    asked += [("e.example", "/a"), ("x.example", "/a"), ("y.example", "/a"), ("none.example", "/a")]
+
+    def model(host, path):
+        if host in ("e.example", "x.example"):
+            return True
+        if host in ("y.example", "none.example"):
+            return False
+        if host == "n.example":
+            return next((allow for allow, p in many if path.startswith(p)), True)
+        best = (-1, True)
+        for allow, p in mixed:
+            end = p.endswith("$")
+            if re.match(".*".join(map(re.escape, (p[:-1] if end else p).split("*"))) + (r"\Z" if end else ""), path, re.S):
+                best = max(best, (len(p), allow))
+        return best[1]
+
+    urls = spark.createDataFrame([(i, f"https://{h}{p}", "kept") for i, (h, p) in enumerate(asked)] + [(9000, None, "kept"), (9001, None, "kept")], "id int, url string, _allowed2 string")
+    got = {r["id"]: r["allowed"] for r in crawl.admit(urls, robots, AGENT).collect()}
+    assert got == {i: model(h, p) for i, (h, p) in enumerate(asked)} | {9000: False, 9001: False}

@@ -224,3 +224,40 @@ def test_keys_of_captures_and_parses(spark):
     rows = df.select(files.capture_key(F.col("u")), pricing.parse_key("v", "m", F.col("u"), F.col("n"), F.col("t"))).collect()
     assert rows[0][0] == hashlib.sha256(b"https://x").hexdigest()[:24]
     assert rows[0][1] == hashlib.sha256(b"v\nm\nhttps://x\nname\ntext").hexdigest()[:24] != rows[1][1]
+
+
+def test_import_of_arriving_files(spark, tmp_path, monkeypatch):
+    """Files come in three deliveries, one of which fails between its two writes and is run again; nothing is stored twice."""
+    from shelfcheck.streaming import imports
+
+    row = {"sku": "T", "retailer": "Q", "product_title": None, "price": 3, "price_evidence": None, "was_price": None, "delivery_cost": None, "delivery_note": None, "stock": "in_stock", "match": "exact", "match_note": None, "confidence": 0.5, "ignored": []}
+    body = lambda *urls: json.dumps({"parser": "p", "rows": [{"i": i, "url": u, **row} for i, u in enumerate(urls)]}, indent=1)
+    captures = spark.sql("SELECT * FROM VALUES ('p1', TIMESTAMP '2025-05-01 08:00:00', 't'), ('p2', TIMESTAMP '2025-05-01 08:00:00', 't'), ('p3', TIMESTAMP '2025-05-01 08:00:00', 't'), ('old', TIMESTAMP '2025-05-01 08:00:00', 't') AS c(url, fetched_at, title)")
+    known = spark.sql("SELECT 's' AS source, 'old' AS url, TIMESTAMP '2025-05-01 08:00:00' AS captured_at")
+    products, (inbox, folder) = spark.createDataFrame([(6, "T")], "id bigint, sku string"), (tmp_path / "in", str(tmp_path / "out"))
+    inbox.mkdir()
+
+    def run():
+        query = imports.import_stream(files.stream_bodies(spark, str(inbox)), products, captures, known, "s", folder)
+        query.awaitTermination()
+
+    def kept():
+        return sorted((r["url"], r["number"]) for r in imports.stored(spark, folder).collect())
+
+    (inbox / "a.json").write_text(body("p1", "old", "p1"))
+    run()
+    assert kept() == [("p1", 0)]
+    (inbox / "b.json").write_text(body("p1", "p2"))
+    (inbox / "c.json").write_text('{"rows": [')
+    with monkeypatch.context() as m:  # the batch dies after its rejects
+        m.setattr(imports, "import_documents", lambda *a, **k: (pricing.import_documents(*a, **k)[0].withColumn("url", F.raise_error(F.lit("lost"))), pricing.import_documents(*a, **k)[1]))
+        with pytest.raises(Exception):
+            run()
+    run()
+    run()
+    assert kept() == [("p1", 0), ("p2", 1)]
+    assert [(r["number"], r["path"][-6:], r["violations"]) for r in imports.rejects(spark, folder).collect()] == [(1, "c.json", ["document"])]
+    # A batch that ended is run again with the same number: nothing changes.
+    again = spark.createDataFrame([(body("p2", "p3"), "x")], "value string, path string")
+    imports.import_batch(again, 1, products, captures, known, "s", folder)
+    assert kept() == [("p1", 0), ("p2", 1)]
