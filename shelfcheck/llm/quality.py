@@ -4,8 +4,9 @@ Words are `[^\\x20\\x09-\\x0D]+`. Per text, rolling hashes of several n-gram len
 the characters that lie inside n-grams found twice or more are counted; the same for lines. A text is rejected
 when it has too few words, repeats too many words in 5-word windows, or when any coverage passes its bound.
 
-Null and empty texts have no word and are rejected by the base rule. Hashes are 64 bits wide; n-grams and lines
-are compared by hash inside one text only. Work per text is linear in its length but for one sort per length.
+Null and empty texts have no word and are rejected by the base rule. Hashes are polynomials modulo the prime 2**61 - 1
+(modulo a power of two, periodic texts collide whatever the base); n-grams and lines are compared by hash inside one
+text only. Work per text is linear in its length but for one sort per length.
 """
 
 from __future__ import annotations
@@ -34,17 +35,42 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
-_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
+PRIME = (1 << 61) - 1
+_BYTE = np.random.default_rng(7).integers(1, PRIME, 256, np.uint64)
+_BASE = int(np.random.default_rng(8).integers(1 << 60, PRIME))
+_BLOCK = 1 << 16  # values multiplied at a time, so that the work arrays stay in the cache
+
+_P, _LOW31, _LOW30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime: 2**61 is 1."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product modulo the prime of values below it, from their halves: no term passes 64 bits."""
+    out = np.empty(len(a), np.uint64)
+    for i in range(0, len(a), _BLOCK):
+        x, y = a[i : i + _BLOCK], b[i : i + _BLOCK]
+        x1, x0, y1, y0 = x >> _31, x & _LOW31, y >> _31, y & _LOW31
+        middle = x1 * y0 + x0 * y1
+        out[i : i + _BLOCK] = _reduced(((x1 * y1) << np.uint64(1)) + (middle >> _30) + ((middle & _LOW30) << _31) + x0 * y0)
+    return out
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse, modulo 2**64."""
+    """Powers of the base and of its inverse, each known stretch multiplied to make the next."""
     out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(n, base, np.uint64)
-        p[:1] = 1
-        out.append(np.multiply.accumulate(p))
+    for base in (_BASE, pow(_BASE, -1, PRIME)):
+        p, known = np.ones(max(n, 1), np.uint64), 1
+        while known < n:
+            more = min(known, n - known)
+            p[known : known + more] = _times(p[:more], np.full(more, pow(base, known, PRIME), np.uint64))
+            known += more
+        out.append(p)
     return out[0], out[1]
 
 
@@ -54,14 +80,19 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hash of any stretch of a sequence, from one prefix sum of value * base**position."""
+    """Hash of any stretch of a sequence, from one prefix sum of value * base**position. Sums of the halves of fewer than
+    2**33 values fit 64 bits."""
 
     def __init__(self, values: np.ndarray, powers: tuple[np.ndarray, np.ndarray]):
-        self.sums = running(values * powers[0][: len(values)], np.uint64)
+        terms = _times(values, powers[0][: len(values)])
+        upper = _reduced(running(terms >> _31, np.uint64))
+        upper = _reduced((upper >> _30) + ((upper & _LOW30) << _31))  # times 2**31
+        self.sums = _reduced(upper + _reduced(running(terms & _LOW31, np.uint64)))
         self.back = powers[1]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+        stretch = _times(_reduced(self.sums[end] + (_P - self.sums[start])), self.back[start])
+        return _mix(stretch + ((end - start).astype(np.uint64) << _61))
 
 
 def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +118,7 @@ def measure_slice(raw: np.ndarray, at: np.ndarray, lengths: tuple[int, ...], pow
     salt = _mix(np.arange(1, texts + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
     bytes_hash = Rolling(_BYTE[raw], powers)
 
-    words = Rolling(bytes_hash.of(starts, ends), powers)
+    words = Rolling(_reduced(bytes_hash.of(starts, ends)), powers)
     for n in lengths:
         first = np.arange(max(0, len(starts) - n + 1))
         first = first[doc[first] == doc[first + n - 1]]

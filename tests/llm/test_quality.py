@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from shelfcheck.llm import quality, sql
@@ -77,3 +78,24 @@ def test_keeps_columns_and_clean_documents(docs_of):
     assert kept.columns == docs.columns
     assert [(r.doc_id, r._quality, r.quality) for r in kept.collect()] == [(1, "x", "y")] * 2
     assert quality.keep_good(docs.limit(0)).count() == 0
+
+
+def test_periodic_words_and_lines_are_told_apart(docs_of):
+    """A string of two letters and its complement, built by doubling, collide in polynomial hashes modulo a power of two."""
+    a, b = "a", "b"
+    while len(a) < 8192:
+        a, b = a + b, b + a
+    rows = [(1, f"{a}\n{b}"), (2, f"{a} w x y z {b} w x y z"), (3, f"{a}\n{a}")]
+    got = {r.doc_id: r.quality for r in quality.judge(docs_of(rows)).collect()}
+    assert [got[i].n_dup_lines for i in (1, 2, 3)] == [0, 0, 1]
+    assert [got[i].n_repeat_words for i in (1, 2, 3)] == [0, 0, 0]
+
+
+def test_products_modulo_the_prime():
+    rng = np.random.default_rng(1)
+    ends = np.array([0, 1, quality.PRIME - 1, quality.PRIME - 1], np.uint64)
+    a, b = (np.concatenate([ends[:: 1 - 2 * k], rng.integers(0, quality.PRIME, 100_000, np.uint64)]) for k in (0, 1))
+    assert quality._times(a, b).tolist() == [x * y % quality.PRIME for x, y in zip(a.tolist(), b.tolist())]
+    powers, back = quality._powers(1000)
+    assert powers.tolist() == [pow(quality._BASE, i, quality.PRIME) for i in range(1000)]
+    assert set(quality._times(powers, back).tolist()) == {1}
