@@ -12,6 +12,8 @@ labels always stay. Null texts count as empty. The score is the highest confiden
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -178,14 +180,40 @@ class Scanner:
         return [(m.start(), m.end(), r) for r, p in map(self.rules.__getitem__, self.candidates(text)) for m in p.finditer(text)]
 
 
+class _Reach:
+    """How far any taken interval that begins at one of the first n places reaches: a Fenwick tree of maxima."""
+
+    def __init__(self):
+        self.far: dict[int, int] = {}
+
+    def take(self, place: int, end: int, places: int) -> None:
+        place += 1
+        while place <= places:
+            self.far[place] = max(self.far.get(place, 0), end)
+            place += place & -place
+
+    def of(self, n: int) -> int:
+        far = 0
+        while n:
+            far = max(far, self.far.get(n, 0))
+            n &= n - 1
+        return far
+
+
 def resolved(found: list[tuple[int, int, Signature]]) -> list[tuple[int, int, Signature]]:
-    """What stays of the detections: no interval inside one taken before it, nor crossing one of its own label."""
+    """What stays of the detections: no interval inside one taken before it, nor crossing one of its own label. The work
+    grows with the detections and the logarithm of their number."""
+    begins = sorted({begin for begin, _, _ in found})
+    every, of_label = _Reach(), defaultdict(_Reach)
     kept: list[tuple[int, int, Signature]] = []
     for begin, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
-        inside = any(a <= begin and end <= b for a, b, _ in kept)
-        crossing = any(begin < b and a < end and r.label == rule.label for a, b, r in kept)
+        place, own = bisect_left(begins, begin), of_label[rule.label]
+        inside = every.of(place + 1) >= end
+        crossing = own.of(bisect_left(begins, end)) > begin
         if not inside and not crossing:
             kept.append((begin, end, rule))
+            every.take(place, end, len(begins))
+            own.take(place, end, len(begins))
     return sorted(kept, key=lambda d: d[:2])
 
 

@@ -87,3 +87,23 @@ def test_containment_and_priority():
 
 def test_there_are_hundreds_of_rules():
     assert len(RULES) > 300 and all(r.keyword for r in RULES)
+
+
+def test_resolving_equals_every_pair():
+    """Whatever the intervals, each detection compared with all kept ones says the same."""
+    rng = random.Random(5)
+    for _ in range(300):
+        rules = [licenses.Signature(rng.choice("abc"), rng.randint(1, 3), 0.5, "", "") for _ in range(5)]
+        found = [(a, a + rng.randint(1, 12), rng.choice(rules)) for a in (rng.randint(0, 40) for _ in range(rng.randint(0, 30)))]
+        kept = []
+        for d in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
+            if not any((a <= d[0] and d[1] <= b) or (d[0] < b and a < d[1] and r.label == d[2].label) for a, b, r in kept):
+                kept.append(d)
+        assert licenses.resolved(found) == sorted(kept, key=lambda d: d[:2])
+
+
+def test_a_very_long_text_of_license_lines():
+    """150,000 detections in one text: far beyond what comparing all pairs could do."""
+    lines = 30_000
+    got = licenses.scan(licenses.Scanner(RULES), pa.array(["licensed under the MIT License and the Apache License, version 2.0\n" * lines]))[0]
+    assert got["n_base"] == 2 * lines and got["labels"] == "apache,apache-2.0,mit" and len(got["spans"]) >= 2 * lines
