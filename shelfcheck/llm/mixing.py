@@ -10,7 +10,8 @@ Only counts per (source, length, bucket of the seeded order) are planned over. A
 of the rows, so its order is cut into `BUCKETS` pieces and only one piece is ever ordered in a task.
 
 Null sizes count as 0 and a null source is a source of its own, the last one. Equal rows can't be told apart: as many
-of them are taken as the plan says. Rows keep all their columns; names beginning with `_mix` are reserved.
+of them are taken as the plan says. Rows keep all their columns, whatever their names; a column `mix` is replaced by
+`mixed` and left as it is by `repeated`.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import unused, written
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -115,13 +116,15 @@ def _plan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def mixed(docs: DataFrame, size: Column, source: str = "source", order: tuple[str, ...] = ("doc_id",), seed: int = 8) -> DataFrame:
     """`docs` with a struct column `mix`: size, source_size, target (of the row's source) and copies, the number of times
     that the mix takes the row. `order` names columns that tell rows apart; the seeded order is a hash of them."""
-    mark = F.xxhash64(F.lit(seed), *order)
+    mark = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in order])
+    own = [F.col(f"`{c}`").alias(f"_row_{i}") for i, c in enumerate(docs.columns)]  # so that no name can clash with ours
     keyed = docs.select(
-        "*",
-        F.col(source).isNull().alias("_mix_none"),
-        F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_mix_source"),
+        *own,
+        F.col(f"`{source}`").isNull().alias("_mix_none"),
+        F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("_mix_source"),
         F.coalesce(size.cast("bigint"), F.lit(0)).alias("_mix_size"),
         mark.alias("_mix_mark"),
+        *[F.col(f"`{c}`").alias(f"_mix_order_{i}") for i, c in enumerate(order)],
         F.shiftrightunsigned(mark, 64 - BUCKETS.bit_length() + 1).cast("int").alias("_mix_bucket"),
     )
     counts = written(keyed.groupBy(*_CELL, "_mix_bucket").agg(F.count("*").alias("_mix_n")), "mix-counts")
@@ -132,15 +135,17 @@ def mixed(docs: DataFrame, size: Column, source: str = "source", order: tuple[st
     placed = counts.select(*_CELL, "_mix_bucket", F.coalesce(F.sum("_mix_n").over(ahead), F.lit(0)).alias("_mix_ahead"))
     steps = placed.join(plan, _CELL).join(aims, _SOURCE).withColumn("_mix_more", F.col("_mix_more") - F.col("_mix_ahead"))
     steps = written(steps.drop("_mix_ahead"), "mix-plan")
-    inside = Window.partitionBy(*_CELL, "_mix_bucket").orderBy("_mix_mark", *order)
+    inside = Window.partitionBy(*_CELL, "_mix_bucket").orderBy("_mix_mark", *[f"_mix_order_{i}" for i in range(len(order))])
     ranked = keyed.withColumn("_mix_rank", F.row_number().over(inside))
     copies = F.col("_mix_copies") + (F.col("_mix_rank") <= F.col("_mix_more")).cast("bigint")
     mix = F.struct(F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"), copies.alias("copies"))
     joined = ranked.join(steps, [*_CELL, "_mix_bucket"])
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"], mix.alias("mix"))
+    return joined.select(*[F.col(f"_row_{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() != "mix"], mix.alias("mix"))
 
 
 def repeated(docs: DataFrame, text: str = "text", source: str = "source", id_column: str = "doc_id", seed: int = 8) -> DataFrame:
     """The mix itself: each row as many times as it is taken, with the columns of `docs`."""
-    out = mixed(docs.withColumnRenamed("mix", "_mix_own"), words(F.col(text)), source, (id_column,), seed)
-    return out.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix.copies").cast("int")))).select(*[F.col("_mix_own").alias("mix") if c == "mix" else F.col(f"`{c}`") for c in docs.columns])
+    held = {c: unused(docs, "_mix_own") for c in docs.columns if c.lower() == "mix"}
+    out = mixed(docs.withColumnsRenamed(held), words(F.col(f"`{held.get(text, text)}`")), held.get(source, source), (held.get(id_column, id_column),), seed)
+    again = F.explode(F.array_repeat(F.lit(1), F.col("mix.copies").cast("int"))).alias(unused(out, "_mix_copy"))
+    return out.select("*", again).select(*[F.col(f"`{held.get(c, c)}`").alias(c) for c in docs.columns])

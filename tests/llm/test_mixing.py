@@ -97,3 +97,17 @@ def test_fit_comes_near_large_budgets(factor):
     total = int((sizes * counts).sum())
     copies, more = mixing.fit(sizes, counts, factor * total)
     assert 0 <= copies <= 3 and (more <= counts).all() and abs(copies * total + int((more * sizes).sum()) - factor * total) <= 1
+
+
+def test_clashing_names(docs_of):
+    """Columns called like those that the operator makes come back as they were."""
+    names = ["_mix_size", "_mix_own", "_mix_copy", "_mix_rank", "_mix_none", "_row_0", "MIX", "a.b"]
+    docs = docs_of([(i, "a b c", "s" if i % 3 else "t") for i in range(60)])
+    plain = sorted((r.doc_id, r.source) for r in mixing.repeated(docs).collect())
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert sorted((r.doc_id, r.source) for r in rows) == plain and all(r[n] == n for r in rows for n in names)
+    assert {"_mix_size", "_row_0", "a.b", "mix"} <= set(mixing.mixed(docs, mixing.words(F.col("text"))).columns)
