@@ -7,6 +7,7 @@ import pytest
 from test_bytecnn import plain as plain_score
 from test_mixing import shared
 from test_quality import plain as plain_quality
+from test_shingles import plain_groups
 from test_simhash import slow_components, slow_fingerprint
 from tokenizers import Tokenizer
 
@@ -49,9 +50,11 @@ def test_run_equals_plain_version(spark, corpus):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     network = bytecnn.learned(docs.where(docs.doc_id.isin(left)), spark.read.parquet(f"{folder}/labels.parquet"))
     left = [i for i in left if plain_score(network, texts[i]) >= 0.5]
-    groups = slow_components([(i, slow_fingerprint(texts[i])) for i in left], 4)
+    groups = plain_groups([(i, texts[i]) for i in left])
+    near = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs.where(docs.doc_id.isin(left)), folder)
     left = [i for i in left if groups[i] == i]
     assert 150 < len(left) < 260  # junk and copies are gone, clean texts are not
+    assert sorted(r.doc_id for r in near.collect()) == sorted(left)
 
     library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     sizes, taken, times = Counter(), Counter(), Counter(r.doc_id for r in out)
@@ -77,9 +80,9 @@ def test_stages_keep_the_columns_and_take_nothing(spark, corpus):
 
 
 def test_queries_are_registered():
-    assert sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0])) == [q for q in contract.queries() if q.startswith("op")] and len(QUERIES) == 10
+    assert sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0])) == [q for q in contract.queries() if q.startswith("op")] and len(QUERIES) == 13
     assert contract.queries()["pipeline"] is corpus_pipeline.run
-    assert {"op1_quality_rules", "op2_warc", "op4_url_filters"} <= set(contract.oracle_sql())
+    assert {"op1_quality_rules", "op2_warc", "op4_url_filters", "op12_merkle_manifest", "op13_spelling_variants"} <= set(contract.oracle_sql())
 
 
 def test_query_digests(spark, corpus):
