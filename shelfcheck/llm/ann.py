@@ -1,17 +1,21 @@
 """Nearest neighbours by largest inner product, over robust-pruned directed graphs.
 
-Distinct vectors are dealt to shards by hash. Each shard's graph is built by inserting its points in batches: a greedy
-beam search from the entry point proposes neighbours, and relaxed distance pruning keeps a candidate only if no kept
-neighbour is nearer to it by the factor `ALPHA`; reverse edges are pruned the same way when a node has too many. A query
-runs a beam search on every shard, and the shards' answers are merged. Inner products are turned into distances by one
-more coordinate that gives all of a shard's vectors the same length.
+Distinct vectors are dealt to shards by band of length, then by hash. Each shard's graph is built by inserting its points
+in batches: a greedy beam search from the entry point proposes neighbours, and relaxed distance pruning keeps a candidate
+only if no kept neighbour is nearer to it by the factor `ALPHA`; reverse edges are pruned the same way when a node has too
+many. A query runs a beam search on every shard, and the shards' answers are merged. Inner products are turned into
+distances by one more coordinate that gives all of a shard's vectors the same length. Lengths of a shard differ by less
+than `2**BAND` and are scaled to about 1, so neither one very long vector nor very short ones blur the others' distances.
 
-Work arrays hold one shard and one block of queries. Equal vectors are one point of the graph that carries the smallest
-`k + 1` of their ids, which is as many as any query's answer can need, so groups of copies of any size cost nothing.
+Queries travel to the graphs: a shard's graph is sent as often as it takes to keep every core busy, which is once where
+there are many shards, and the queries stream past it in Arrow batches. Work arrays hold one shard and one batch. Equal
+vectors are one point of the graph that carries the smallest `k + 1` of their ids, which is as many as any query's answer
+can need, so groups of copies of any size cost nothing.
 
 Vectors that are null, empty or all zero, hold null or non-finite components, or have another length than most of the
 table's take no part, nor do rows without an id. Rows equal in id and vector count once. A query never returns its own
-id. Scores are computed in double precision from the original vectors; ties go to the smaller id.
+id. Scores are computed in double precision from the original vectors; ties go to the smaller id. Vectors of doubles keep
+their precision, other numbers are read as floats.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ BUILD_BEAM = 64
 SEARCH_BEAM = 160
 ALPHA = 1.2
 SHARD_ROWS = 16_384
-QUERY_BLOCK = 1024
+BAND = 6  # binary digits by which the lengths of a shard's vectors may differ
 _LOCKSTEP = 256  # queries that walk together
 _EXPAND = 4  # nodes a query opens at a time
 
@@ -136,8 +140,10 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alph
 
 
 def lifted(vectors: np.ndarray) -> np.ndarray:
-    """The vectors with one more coordinate that makes them equally long: the largest inner product with a query that has
-    0 there is the smallest distance."""
+    """The vectors, scaled to components of at most 1, with one more coordinate that makes them equally long: the largest
+    inner product with a query that has 0 there is the smallest distance."""
+    vectors = vectors.astype(np.float64)
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(initial=0))[1])
     norms = np.einsum("nd,nd->n", vectors, vectors)
     rest = np.sqrt(np.maximum(0, norms.max(initial=0) - norms))
     return np.hstack([vectors, rest[:, None]]).astype(np.float32)
@@ -146,7 +152,8 @@ def lifted(vectors: np.ndarray) -> np.ndarray:
 def search(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int = SEARCH_BEAM) -> np.ndarray:
     """Up to `beam` point numbers for each query, -1 for none. Queries are scaled to length 1 first: that changes no order."""
     out = np.full((len(queries), beam), -1, np.int32)
-    scaled = queries / np.sqrt(np.einsum("nd,nd->n", queries, queries))[:, None]
+    scaled = queries / np.abs(queries).max(axis=1, keepdims=True)
+    scaled /= np.sqrt(np.einsum("nd,nd->n", scaled, scaled))[:, None]
     flat = np.hstack([scaled, np.zeros((len(queries), 1))]).astype(np.float32)
     for i in range(0, len(queries), _LOCKSTEP):
         ids, _ = _walk(points, graph, entry, flat[i : i + _LOCKSTEP], min(beam, len(points)))
@@ -160,44 +167,69 @@ def sound(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-_SHARD = "shard int, ids array<array<bigint>>, vectors binary, graph binary, entry int, width int"
+def band(vector: Column) -> Column:
+    """Number of a vector's band of length; the band of length 1 has it in the middle."""
+    largest = F.array_max(F.transform(vector, F.abs)).cast("double")
+    square = F.aggregate(vector, F.lit(0.0), lambda sum_, x: sum_ + (x / largest) * (x / largest))
+    return F.floor((F.log2(largest) + F.log2(square) / 2) / BAND + 0.5).cast("int")
 
 
-def _index(key: tuple, table: pa.Table) -> pa.Table:
-    vectors = np.array(table["vector"].to_pylist(), np.float32)
-    graph, entry = build(lifted(vectors))
-    row = [key[0].as_py(), table["ids"].to_pylist(), vectors.tobytes(), graph.tobytes(), entry, vectors.shape[1]]
-    kinds = [pa.int32(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
-    return pa.table([pa.array([x], k) for x, k in zip(row, kinds)], [x.split()[0] for x in _SHARD.split(", ")])
+_SHARD = "shard int, ids array<array<bigint>>, vectors binary, graph binary, entry int"
+
+
+def _index(kind: type):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        vectors = np.array(table["vector"].to_pylist(), kind)
+        graph, entry = build(lifted(vectors))
+        row = [key[0].as_py(), table["ids"].to_pylist(), vectors.tobytes(), graph.tobytes(), entry]
+        kinds = [pa.int32(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.binary(), pa.int32()]
+        return pa.table([pa.array([x], k) for x, k in zip(row, kinds)], [x.split()[0] for x in _SHARD.split(", ")])
+
+    return run
 
 
 _FOUND = "query_id bigint, vec_id bigint, score double"
 
 
-def _answers(k: int):
+class Shard:
+    """A graph with its vectors and their ids, ready to be asked."""
+
+    def __init__(self, row: dict, kind: type):
+        self.members = row["ids"].as_py()
+        self.vectors = np.frombuffer(row["vectors"].as_buffer(), kind).reshape(len(self.members), -1)
+        self.graph = np.frombuffer(row["graph"].as_buffer(), np.int32).reshape(len(self.members), -1)
+        self.entry, self.points = row["entry"].as_py(), lifted(self.vectors)
+
+    def answers(self, ids: list[int], queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        out: list[tuple[int, int, float]] = []
+        for own, vector, at in zip(ids, queries, search(self.points, self.graph, self.entry, queries)):
+            at = at[at >= 0]
+            scores = (self.vectors[at].astype(np.float64) * vector).sum(axis=1)
+            best = np.argsort(-scores, kind="stable")
+            # every point as good as the (k + 1)-th: one of them may be the query itself
+            edge = scores[best[min(k, len(best) - 1)]]
+            pairs = [(own, v, s) for p, s in zip(at[scores >= edge].tolist(), scores[scores >= edge].tolist()) for v in self.members[p] if v != own]
+            out += sorted(pairs, key=lambda r: (-r[2], r[1]))[:k]
+        return out
+
+
+def _answers(k: int, kind: type):
+    """Rows come in order: a graph, then the queries that it is asked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                x = {n: batch.column(n)[i] for n in batch.schema.names}
-                width = x["width"].as_py()
-                vectors = np.frombuffer(x["vectors"].as_buffer(), np.float32).reshape(-1, width)
-                graph = np.frombuffer(x["graph"].as_buffer(), np.int32).reshape(len(vectors), -1)
-                members = x["ids"].as_py()
-                asked = x["queries"].as_py()
-                queries = np.array([q["vector"] for q in asked], np.float64)
-                met = search(lifted(vectors), graph, x["entry"].as_py(), queries)
-                exact = vectors.astype(np.float64)
-                out: list[tuple[int, int, float]] = []
-                for q, vector, at in zip(asked, queries, met):
-                    at = at[at >= 0]
-                    scores = (exact[at] * vector).sum(axis=1)
-                    best = np.argsort(-scores, kind="stable")
-                    # every point as good as the (k + 1)-th: one of them may be the query itself
-                    edge = scores[best[min(k, len(best) - 1)]]
-                    pairs = [(q["id"], v, s) for p, s in zip(at[scores >= edge].tolist(), scores[scores >= edge].tolist()) for v in members[p] if v != q["id"]]
-                    out += sorted(pairs, key=lambda r: (-r[2], r[1]))[:k]
-                columns = list(zip(*out)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+            graphs = np.flatnonzero(batch.column("graph").is_valid()).tolist()
+            out: list[tuple[int, int, float]] = []
+            for begin, end in zip([-1, *graphs], [*graphs, batch.num_rows]):
+                if begin >= 0:
+                    shard = Shard({n: batch.column(n)[begin] for n in ("ids", "vectors", "graph", "entry")}, kind)
+                asked = batch.slice(begin + 1, end - begin - 1)
+                if asked.num_rows:
+                    queries = asked.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(asked.num_rows, -1)
+                    out += shard.answers(asked.column("id").to_pylist(), queries, k)
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -205,22 +237,36 @@ def _answers(k: int):
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that fits the condition `queries`, its `k` nearest among all other rows
     that the graphs lead to. Other columns are not read."""
-    rows = vectors.withColumn("_asks", queries).select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("vector"), F.coalesce("_asks", F.lit(False)).alias("asks"))
+    spark = vectors.sparkSession
+    double = vectors.select(F.col(f"`{vector}`").alias("v")).schema["v"].dataType.simpleString() == "array<double>"
+    kind, numbers = (np.float64, "array<double>") if double else (np.float32, "array<float>")
+    rows = vectors.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast(numbers).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.filter(F.col("id").isNotNull() & sound(F.col("vector")))
     rows = written(rows.groupBy("vector", "id").agg(F.max("asks").alias("asks")), "ann-rows")
     width = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.filter(F.size("vector") == (width["n"] if width else 0))
     first = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     points = rows.select("vector", "id").withColumn("place", first).filter(F.col("place") <= k + 1)
-    points = written(points.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")), "ann-points")
-    asked = rows.filter("asks").select("id", "vector")
-    shards = max(1, -(-points.count() // shard_rows))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    dealt = points.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
-    index = written(dealt.groupBy("shard").applyInArrow(_index, _SHARD), "ann-index")
-    blocked = asked.groupBy(F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
-    # A query block goes to every shard: the stated query set against all rows.
-    pairs = blocked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index.withColumnRenamed("shard", "of"), F.col("shard") == F.col("of"))
-    found = pairs.drop("of", "shard", "block").repartition(shards * blocks).mapInArrow(_answers(k), _FOUND)
+    points = points.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    points = written(points.withColumn("band", band(F.col("vector"))), "ann-points")
+
+    shards, dealt = 0, F.lit(0)
+    for b, n in points.groupBy("band").count().orderBy("band").collect():  # at most some 350 bands of doubles, 50 of floats
+        own = -(-n // shard_rows)
+        dealt = F.when(F.col("band") == b, shards + F.pmod(F.xxhash64("vector"), F.lit(own))).otherwise(dealt)
+        shards += own
+    index = points.select(dealt.cast("int").alias("shard"), "vector", "ids").groupBy("shard").applyInArrow(_index(kind), _SHARD)
+    index = written(index, "ann-index")
+    shards = max(1, shards)
+    copies = max(1, -(-2 * spark.sparkContext.defaultParallelism // shards))  # of a graph, so that few shards keep all cores busy
+
+    numbered = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    graphs = index.select("*", numbered(copies).alias("copy"))
+    # A query goes to every shard: the stated query set against all rows.
+    asked = rows.filter("asks").select("id", "vector", F.pmod(F.xxhash64("id", "vector"), F.lit(copies)).cast("int").alias("copy"), numbered(shards).alias("shard"))
+    asked = asked.join(index.select("shard").distinct(), "shard", "left_semi")
+    both = graphs.unionByName(asked, allowMissingColumns=True).withColumn("task", F.col("shard") * copies + F.col("copy"))
+    placed = both.repartitionById(shards * copies, "task").sortWithinPartitions("task", F.asc_nulls_first("id"))
+    found = placed.select("ids", "vectors", "graph", "entry", "id", "vector").mapInArrow(_answers(k, kind), _FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

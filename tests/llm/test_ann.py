@@ -70,3 +70,25 @@ def test_few_and_no_rows(spark):
     assert ann.nearest(spark.createDataFrame([(20, [1.0])], kind), F.col("vec_id") % 20 == 0).count() == 0
     two = ann.nearest(spark.createDataFrame([(20, [1.0]), (3, [-1.0])], kind), F.col("vec_id") % 20 == 0).collect()
     assert [tuple(r) for r in two] == [(20, 1, 3, -1.0)]
+
+
+@pytest.mark.parametrize("factor", [1e3, 1e4, 1e20, 1e-20])
+def test_vectors_of_very_different_lengths(spark, factor):
+    """A few vectors far longer or shorter than the rest don't blur the others' neighbours."""
+    rng = np.random.default_rng(4)
+    points = (rng.normal(size=(600, 12)) * np.where(np.arange(600) % 97 == 5, factor, 1)[:, None]).astype(np.float32)
+    rows = list(enumerate(points.tolist()))
+    got = answers(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, shard_rows=400))
+    want = brute(rows, lambda i: i % 20 == 0, 20)
+    hits = [len({i for _, i, _ in got[q]} & {i for _, i, _ in want[q]}) / 20 for q in want]
+    assert got.keys() == want.keys() and np.mean(hits) >= 0.95
+    scores = {(q, i): s for q in want for _, i, s in want[q]}
+    assert all(s == scores[q, i] for q in got for _, i, s in got[q] if (q, i) in scores)
+
+
+def test_doubles_keep_their_precision(spark):
+    """Lengths beyond a float's, and differences below its precision."""
+    rows = [(i, [1.0 + i * 1e-12, 1.0, 1e-300]) for i in range(30)] + [(100 + i, [(1 + i) * 1e120, 0.0, 0.0]) for i in range(30)]
+    got = answers(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=40))
+    best = sorted(((-sum(x * y for x, y in zip(rows[0][1], v)), i) for i, v in rows if i), key=lambda r: r)[:40]
+    assert [(r, i) for r, i, _ in got[0]] == [(n + 1, i) for n, (_, i) in enumerate(best)]
