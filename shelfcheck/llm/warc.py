@@ -6,10 +6,11 @@ record is a string, so archives go through Spark's text writer: any storage, and
 
 Reading by boundary chains: archives are split by Spark's text reader at the magic line, wherever it stands, and every
 piece is a candidate record with a successor: its own place plus the length that its header declares. Whether a piece
-is a record is only known from the file's start. Each split's chains are first followed inside the split; then pointer
-jumping over the splits' entry places, from each file's first byte, finds where the true chain enters every split, and
-what can't be reached from there is not a record but part of one: magic lines inside payloads are rejected, and the
-payload they cut is put together again. The number of rounds is the logarithm of the splits of a file.
+is a record is only known from the file's start. A file's places are cut into stretches of `STRETCH` bytes, however Spark
+splits the file (compressed ones aren't split), and chains are first followed inside a stretch; then pointer jumping over
+the stretches' entry places, from each file's first byte, finds where the true chain enters every stretch, and what can't
+be reached from there is not a record but part of one: magic lines inside payloads are rejected, and the payload they cut
+is put together again. The number of rounds is the logarithm of the stretches of a file.
 
 Null HTML is an empty payload. A null id writes an empty one and reads back as null; it may revisit others but is
 never referred to, so equal payloads that all lack an id are all responses. Rows repeating the response's id are
@@ -30,6 +31,7 @@ from .tables import written
 
 MAGIC = "WARC/1.1\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+STRETCH = 1 << 22
 _END = "\r\n\r\n"
 _HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -113,7 +115,7 @@ def pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _exits(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each candidate of a split, the first place outside the split's candidates that its chain leads to."""
+    """For each candidate of a stretch, the first place outside the stretch's candidates that its chain leads to."""
     rows = rows.sort_values("at", ascending=False, kind="stable")
     to: dict[int, int] = {}
     for at, end in zip(rows["at"].tolist(), rows["to"].tolist()):
@@ -122,7 +124,7 @@ def _exits(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _walked(rows: pd.DataFrame) -> pd.DataFrame:
-    """The candidates of a split that its entries lead to."""
+    """The candidates of a stretch that its entries lead to."""
     rows = rows.sort_values("at", kind="stable")
     reached: set[int] = set()
     keep = []
@@ -130,27 +132,27 @@ def _walked(rows: pd.DataFrame) -> pd.DataFrame:
         keep.append(entry or at in reached)
         if keep[-1]:
             reached.add(end)
-    return rows[keep][["file", "block", "at", "to"]]
+    return rows[keep][["file", "stretch", "at", "to"]]
 
 
 def _jumped(candidates: DataFrame) -> DataFrame:
-    """(file, at): the places at which the chain from each file's start enters a split, by pointer jumping.
+    """(file, at): the places at which the chain from each file's start enters a stretch, by pointer jumping.
 
-    `candidates`: file, block, at, to. Only candidates that another split's chain leads to can be entries."""
-    exits = written(candidates.groupBy("file", "block").applyInPandas(_exits, "file string, block bigint, at bigint, to bigint, leaves bigint"), "warc-exits")
+    `candidates`: file, stretch, at, to. Only candidates that another stretch's chain leads to can be entries."""
+    exits = written(candidates.groupBy("file", "stretch").applyInPandas(_exits, "file string, stretch bigint, at bigint, to bigint, leaves bigint"), "warc-exits")
     starts = exits.filter("at = 0").select("file", "at")
     targets = exits.select("file", F.col("leaves").alias("at")).unionByName(starts).distinct()
     jump = written(exits.join(targets, ["file", "at"], "left_semi").select("file", "at", F.col("leaves").alias("to")), "warc-jumps")
-    splits = exits.groupBy("file").agg(F.countDistinct("block").alias("n")).agg(F.max("n")).first()[0] or 1
+    stretches = exits.groupBy("file").agg(F.countDistinct("stretch").alias("n")).agg(F.max("n")).first()[0] or 1
     reached = starts
-    for _ in range((splits - 1).bit_length()):
+    for _ in range((stretches - 1).bit_length()):
         reached = written(reached.unionByName(reached.join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))).distinct(), "warc-reached")
         further = jump.select("file", F.col("at").alias("to"), F.col("to").alias("then"))
         jump = written(jump.join(further, ["file", "to"], "left").select("file", "at", F.coalesce("then", "to").alias("to")), "warc-jumps")
     return reached
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, stretch: int = STRETCH) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest) of every record of the archives.
     A revisit's payload is null; its size and digest are those of the payload it stands for, from its headers."""
     found = written(pieces(spark, folder), "warc-pieces")
@@ -161,10 +163,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     at = F.col("base") + F.col("inside") - len(MAGIC)
     light = found.select("file", "block", "inside", "size", "reach").join(base, ["file", "block"]).withColumn("at", at)
     light = written(light.select("file", "block", "inside", "size", "at", (F.col("at") + F.col("reach")).alias("to")), "warc-places")
-    candidates = light.filter("to is not null and at >= 0").select("file", "block", "at", "to")
+    candidates = light.filter("to is not null and at >= 0").select("file", F.floor(F.col("at") / stretch).alias("stretch"), "at", "to")
     entries = _jumped(candidates).withColumn("entry", F.lit(True))
-    flagged = candidates.join(entries, ["file", "at"], "left").select("file", "block", "at", "to", F.coalesce("entry", F.lit(False)).alias("entry"))
-    true = flagged.groupBy("file", "block").applyInPandas(_walked, "file string, block bigint, at bigint, to bigint").select("file", "at", F.lit(True).alias("true"))
+    flagged = candidates.join(entries, ["file", "at"], "left").select("file", "stretch", "at", "to", F.coalesce("entry", F.lit(False)).alias("entry"))
+    true = flagged.groupBy("file", "stretch").applyInPandas(_walked, "file string, stretch bigint, at bigint, to bigint").select("file", "at", F.lit(True).alias("true"))
     # Pieces that aren't one whole record: what precedes the first, records cut by a magic line in them, and their parts.
     whole = F.col("true").isNotNull() & (F.col("to") - F.col("at") == F.col("size") + len(MAGIC))
     owner = F.last(F.when(F.col("true"), F.struct("at", "to")), ignorenulls=True).over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))

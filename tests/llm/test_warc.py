@@ -39,9 +39,10 @@ def table(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' as payload", "0 as key")
 
 
-@pytest.mark.parametrize("compression, split", [("gzip", None), ("none", None), ("none", 4096), ("none", 700)])
-def test_round_trip_rejects_magic_in_payloads(spark, tmp_path, compression, split):
-    """Also where archives are read in many splits, with records and magic lines across their borders."""
+@pytest.mark.parametrize("compression, split, stretch", [("gzip", None, None), ("gzip", None, 5000), ("gzip", None, 90), ("none", None, 900), ("none", 4096, None), ("none", 700, 3000)])
+def test_round_trip_rejects_magic_in_payloads(spark, tmp_path, compression, split, stretch):
+    """Also where archives are read in many splits, with records and magic lines across their borders, and where chains are
+    jumped along over many stretches, some shorter than a record."""
     rows = [(i, f"http://h/{i}", p) for i, p in enumerate(payloads())]
     folder = str(tmp_path / uuid.uuid4().hex)
     warc.write(table(spark, rows).coalesce(2), folder, compression=compression)
@@ -50,7 +51,7 @@ def test_round_trip_rejects_magic_in_payloads(spark, tmp_path, compression, spli
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
         spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
-        got = warc.read(spark, folder).collect()
+        got = warc.read(spark, folder, stretch or warc.STRETCH).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
