@@ -114,3 +114,14 @@ def captures_for(urls: DataFrame, captures: DataFrame) -> DataFrame:
     """Captures of the given urls, found by their content address."""
     keyed = urls.select("url", capture_key(F.col("url")).alias("capture_key")).distinct()
     return keyed.join(captures.drop("url"), "capture_key")
+
+
+def read_sitemaps(spark: SparkSession, path: str, tag: str = "url") -> DataFrame:
+    """Blocks `url` (or `sitemap`) of sitemap files, read by Spark's XML source, which splits large files: file, entry (sorts
+    as the blocks stand in their file), url, lastmod (an unreadable one is NULL), unread. A block that is no sound XML is
+    kept whole in `unread`; one without a location has neither."""
+    rows = spark.read.format("xml").schema("loc string, lastmod string, unread string").option("rowTag", tag).option("columnNameOfCorruptRecord", "unread")
+    rows = rows.option("useLegacyXMLParser", True).load(path)  # block by block: the other one gives up a file at its first broken block
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    location = F.when(F.col("unread").isNull(), F.nullif(T.clean_edges(F.col("loc")), F.lit("")))
+    return rows.select(F.col("_metadata.file_path").alias("file"), place.alias("entry"), location.alias("url"), T.instant(T.clean_edges(F.col("lastmod"))).alias("lastmod"), "unread")

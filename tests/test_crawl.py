@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcheck.operators import crawl
+from shelfcheck.sources import files
 
 AGENT = "ReederBot/2.3 (+https://reeder.example)"
 # host: fetches as (day, status, body)
@@ -130,3 +131,20 @@ def test_many_rules_and_plain_model(spark):
     urls = spark.createDataFrame([(i, f"https://{h}{p}", "kept") for i, (h, p) in enumerate(asked)] + [(9000, None, "kept"), (9001, None, "kept")], "id int, url string, _allowed2 string")
     got = {r["id"]: r["allowed"] for r in crawl.admit(urls, robots, AGENT).collect()}
     assert got == {i: model(h, p) for i, (h, p) in enumerate(asked)} | {9000: False, 9001: False}
+
+
+def test_sitemap_files_give_the_rows_of_their_bodies(spark, tmp_path):
+    blocks = [f"<url><loc>https://s.example/product/{i}?a=1&amp;b=2</loc><lastmod>{'2026-01-02' if i % 3 else 'soon'}</lastmod></url>" for i in range(300)]
+    blocks += ["<url><lastmod>2026-01-02</lastmod></url>", "<url>\n <loc>\n https://s.example/last </loc></url>"]
+    body = '<?xml version="1.0"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' + "\n".join(blocks) + "</urlset>"
+    (tmp_path / "a.xml").write_text(body)
+    (tmp_path / "b.xml").write_text("<urlset><url><loc>https://s.example/x</lock></url><url><loc>https://s.example/y</loc></url></urlset>")
+    (tmp_path / "c.xml").write_text("<sitemapindex><sitemap><loc>https://s.example/b.xml</loc></sitemap></sitemapindex>")
+    read = files.read_sitemaps(spark, str(tmp_path))
+    table = spark.createDataFrame([("s.example", 0, body)], "host string, pos int, body string")
+    want = [(r.url.strip(), r.lastmod) for r in crawl.sitemap_entries(table).orderBy("entry").collect()]
+    rows = read.orderBy("file", "entry").collect()
+    assert [(r.url, r.lastmod) for r in rows if r.file.endswith("a.xml") and r.url] == want and len(want) == 301
+    other = [r for r in rows if r.file.endswith("b.xml")]
+    assert [r.url for r in other if r.url] == ["https://s.example/y"] and sum(r.unread is not None for r in other) == 1
+    assert [r.url for r in files.read_sitemaps(spark, str(tmp_path), "sitemap").where(F.col("url").isNotNull()).collect()] == ["https://s.example/b.xml"]
