@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import kept_table
 from .ranking import number_rows
 
 VALUES = [
@@ -101,11 +99,8 @@ def upper_median(rows: DataFrame, column: str, few: int = FEW, cells: int = CELL
     about equally many whatever the values are; the counts of the cells, which are as many as edges, say which one goes on.
     Only the edges and counts of cells and the last `few` values come to one place.
     """
-    spark = rows.sparkSession
     counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    path = f"{shared_folder(spark)}/median-{uuid.uuid4().hex}"
-    counted.write.parquet(path)
-    values = spark.read.schema(counted.schema).parquet(path)
+    values = kept_table(counted, "median")
     distinct, total = values.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     place, inside = total // 2, values
     while distinct > few:
@@ -139,13 +134,14 @@ def ranked_observations(latest: DataFrame, products: DataFrame) -> DataFrame:
     """Rank within the product: price ascending, missing prices last, then retailer by locale; with the price difference to ours.
 
     A product is cut at its distinct prices and, within a price, at its retailers; what remains together are one
-    retailer's pages of it with one price, or without any.
+    retailer's pages of it with one price, or without any. The latest observations are written once, in the shared folder,
+    and read for the counts and for the rows.
     """
     # In whole cents, with a value beyond any price for the missing ones.
     cents = F.coalesce((F.col("price") * 100).cast("bigint"), F.lit(1 << 62))
     by_locale = F.collate(F.coalesce("retailer", F.lit("")), "UNICODE")
     order = [F.col("retailer"), F.coalesce("url", F.lit("")), F.col("id")]
-    numbered = number_rows(latest, ["product_id"], [cents, by_locale], order, "rank")
+    numbered = number_rows(kept_table(latest, "ranked"), ["product_id"], [cents, by_locale], order, "rank")
     difference = F.when(is_priced(), F.col("own_price") - F.col("price"))
     return with_products(numbered, products).withColumn("difference", difference)
 

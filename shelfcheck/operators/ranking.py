@@ -19,13 +19,15 @@ def number_rows(df: DataFrame, keys: list[str], pieces: list[Column], order: lis
     """
     cols = [f"_piece{i}" for i in range(len(pieces))]
     cut = df.select("*", *[c.alias(n) for c, n in zip(pieces, cols)])
-    counts = cut.groupBy(*keys, *cols).agg(F.count("*").alias("_n"))
-    before = None
+    level, before = cut.groupBy(*keys, *cols).agg(F.count("*").alias("_n")), None
     for depth in range(len(cols), 0, -1):
-        level = counts if depth == len(cols) else counts.groupBy(*keys, *cols[:depth]).agg(F.sum("_n").alias("_n"))
-        w = Window.partitionBy(*keys, *cols[: depth - 1]).orderBy(cols[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
-        ahead = level.select(*keys, *cols[:depth], F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(f"_ahead{depth}"))
+        w = Window.partitionBy(*keys, *cols[: depth - 1]).orderBy(cols[depth - 1])
+        upto = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        level = level.select(*keys, *cols[:depth], "_n", upto.alias("_upto"), F.lead(F.lit(1)).over(w).alias("_next"))
+        ahead = level.select(*keys, *cols[:depth], (F.col("_upto") - F.col("_n")).alias(f"_ahead{depth}"))
         before = ahead if before is None else before.join(ahead, [*keys, *cols[:depth]])
+        # The last piece's running sum is the count of the piece around it, from the same shuffle.
+        level = level.where(F.col("_next").isNull()).select(*keys, *cols[: depth - 1], F.col("_upto").alias("_n"))
     offset = sum((F.col(f"_ahead{d}") for d in range(1, len(cols) + 1)), F.lit(0))
     before = before.select(*keys, *cols, offset.alias("_offset"))
     inside = F.row_number().over(Window.partitionBy(*keys, *cols).orderBy(*order))

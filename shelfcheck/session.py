@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "shelfcheck") -> SparkSession:
@@ -46,3 +47,11 @@ def shared_folder(spark: SparkSession) -> str:
             known = context._jsc.sc().getCheckpointDir()
         folder = known.get()
     return folder.rstrip("/")
+
+
+def kept_table(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` as a Parquet table of its own in the shared folder: what reads it several times doesn't compute it again, and a
+    lost executor costs its tasks only."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

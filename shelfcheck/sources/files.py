@@ -3,12 +3,15 @@ DataFrame, so the same code serves `spark.read.text` and any table that holds su
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
 from ..schemas import PARSED_ROW
+from ..session import kept_table, shared_folder
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -116,6 +119,69 @@ def captures_for(urls: DataFrame, captures: DataFrame) -> DataFrame:
     return keyed.join(captures.drop("url"), "capture_key")
 
 
+def capture_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The capture files `<content address>.json` of a folder. Their contents are read only where `content` is selected."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+
+
+def contents_of(files: DataFrame, names: list[str]) -> DataFrame:
+    """(file, content) of the files of these names; the others are left out of the scan and not opened."""
+    name = F.col("_metadata.file_name")
+    return files.where(name.isin(names)).select(name.alias("file"), "content")
+
+
+def parsed_captures(contents: DataFrame) -> DataFrame:
+    """(file, content) to (file, fetched_at, extract_id, title, published, excerpts, text, error_type, http_status, unread).
+
+    `unread` marks a file that holds no JSON object; all else is NULL there, as is a field that is missing or of another type.
+    """
+    raw = F.try_parse_json(F.make_valid_utf8(F.col("content").cast("string")))
+    read = contents.select("file", F.when(F.schema_of_variant(raw).startswith("OBJECT"), raw).alias("doc"))
+    # A number would become text unseen: only what is text in the file is taken as such.
+    kind = lambda p: F.schema_of_variant(F.try_variant_get("doc", p, "variant"))
+    string = lambda p: F.when(kind(p) == "STRING", F.try_variant_get("doc", p, "string"))
+    status = "$.error.http_status_code"
+    return read.select(
+        "file",
+        T.instant(string("$.fetchedAt")).alias("fetched_at"),
+        string("$.extractId").alias("extract_id"),
+        string("$.result.title").alias("title"),
+        string("$.result.publish_date").alias("published"),
+        F.when(kind("$.result.excerpts") == "ARRAY<STRING>", F.try_variant_get("doc", "$.result.excerpts", "array<string>")).alias("excerpts"),
+        string("$.result.full_content").alias("text"),
+        string("$.error.error_type").alias("error_type"),
+        F.when(kind(status) == "BIGINT", F.try_variant_get("doc", status, "int")).alias("http_status"),
+        F.col("doc").isNull().alias("unread"),
+    )
+
+
+#: Names that one read of capture files is given, on average at most half of it.
+CAPTURE_BLOCK = 10_000
+
+
+def read_captures(urls: DataFrame, folder: str, block: int = CAPTURE_BLOCK) -> DataFrame:
+    """The captures of the given urls from a folder of files: url and the columns of `parsed_captures`, one row per distinct url
+    that has a file. NULL urls have none, and an empty file counts as none: Spark's file sources pass over it.
+
+    The listing meets the urls' content addresses first; then only the files that were hit are opened, named to Spark's file
+    source in blocks, so that the driver holds the names of one block. Each block's rows are appended to a table in the
+    shared folder.
+    """
+    spark = urls.sparkSession
+    files = capture_files(spark, folder)
+    wanted = urls.select("url").where(F.col("url").isNotNull()).distinct().select("url", F.concat(capture_key(F.col("url")), F.lit(".json")).alias("file"))
+    hits = kept_table(wanted.join(files.select(F.col("_metadata.file_name").alias("file")), "file"), "capture-hits")
+    slots = -(-2 * hits.count() // block)
+    placed = kept_table(hits.select("file", F.pmod(F.xxhash64("file"), F.lit(max(slots, 1))).alias("slot")), "capture-slots")
+    path = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
+    parsed_captures(contents_of(files, [])).write.parquet(path)
+    for slot in range(slots):
+        names = [r["file"] for r in placed.where(F.col("slot") == slot).select("file").distinct().collect()]
+        if names:
+            parsed_captures(contents_of(files, names)).write.mode("append").parquet(path)
+    return hits.join(spark.read.parquet(path), "file").drop("file")
+
+
 def read_sitemaps(spark: SparkSession, path: str, tag: str = "url") -> DataFrame:
     """Blocks `url` (or `sitemap`) of sitemap files, read by Spark's XML source, which splits large files: file, entry (sorts
     as the blocks stand in their file), url, lastmod (an unreadable one is NULL), unread. A block that is no sound XML is

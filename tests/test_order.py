@@ -109,6 +109,14 @@ def test_number_rows(spark):
     assert {g["id"]: g["n"] for g in got} == want and len(got) == 300
 
 
+def test_ranking_reads_the_observations_once(spark):
+    seen = spark.createDataFrame([(i, i % 3, f"u{i % 7}", f"r{i % 2}", None, "exact", "ok", None) for i in range(40)], OBSERVATION)
+    products = spark.createDataFrame([(i, "n", "s", None, None, None) for i in range(3)], "id bigint, name string, slug string, price decimal(10,2), was_price decimal(10,2), condition_label string")
+    ranked = lens.ranked_observations(lens.latest_observations(seen), products)
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and ranked.count() == 21
+
+
 def test_with_previous_keeps_every_row(spark):
     df = spark.range(100).select(F.lit(1).alias("k"), F.col("id").alias("at"), "id")
     got = with_previous(df, "k", F.floor(F.col("at") / 7), ["at", "id"], ["id"], "p").collect()

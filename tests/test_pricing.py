@@ -226,6 +226,40 @@ def test_keys_of_captures_and_parses(spark):
     assert rows[0][1] == hashlib.sha256(b"v\nm\nhttps://x\nname\ntext").hexdigest()[:24] != rows[1][1]
 
 
+def test_capture_files(spark, tmp_path):
+    """Only wanted files are opened, in blocks of few names; files of any content but none come out."""
+    name = lambda u: hashlib.sha256(u.encode()).hexdigest()[:24] + ".json"
+    page = {"url": "u0", "source": "parallel", "fetchedAt": "2026-01-02T03:04:05.000Z", "extractId": "x1", "request": {"objective": "o", "maxAgeSeconds": 600}}
+    done = page | {"result": {"url": "u0", "title": "Caf\u00e9", "publish_date": None, "excerpts": ["a", "b"], "full_content": "long text"}}
+    failed = page | {"error": {"url": "u1", "error_type": "fetch_error", "http_status_code": 403, "content": None}}
+    odd = page | {"fetchedAt": 7, "extractId": None, "result": {"title": 5, "excerpts": [], "full_content": ["x"]}, "error": "none"}
+    bodies = {"u0": json.dumps(done, ensure_ascii=False).encode(), "u1": json.dumps(failed).encode(), "u2": json.dumps(odd).encode(), "u3": b'{"url":', "u4": b"", "u5": b"[1]", "u6": b'{"extractId": "\xff"}'}
+    for u, body in bodies.items():
+        (tmp_path / name(u)).write_bytes(body)
+    for i in range(30):
+        (tmp_path / name(f"other{i}")).write_bytes(b"{}" + b" " * 10_000)
+    (tmp_path / "notes.txt").write_text("no capture")
+    urls = spark.createDataFrame([(u, 1) for u in [*bodies, "u0", "never fetched", None]], "url string, content int")
+    for block in (3, 10_000):
+        rows = files.read_captures(urls, str(tmp_path), block).withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss")).collect()
+        got = {r["url"]: tuple(r)[1:] for r in rows}
+        assert len(rows) == 6 and got == {
+            "u0": ("2026-01-02 03:04:05", "x1", "Caf\u00e9", None, ["a", "b"], "long text", None, None, False),
+            "u1": ("2026-01-02 03:04:05", "x1", None, None, None, None, "fetch_error", 403, False),
+            "u2": (None, None, None, None, None, None, None, None, False),
+            **{u: (None,) * 8 + (True,) for u in ("u3", "u5")},
+            "u6": (None, "\ufffd", None, None, None, None, None, None, False),
+        }
+    assert files.read_captures(urls.where("url = 'never fetched'"), str(tmp_path)).count() == 0
+    read = files.contents_of(files.capture_files(spark, str(tmp_path)), [name("u0"), name("u3")])
+    assert len(read.collect()) == 2
+    plan = read._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    metrics = plan.metrics()
+    assert (metrics.apply("numFiles").value(), metrics.apply("filesSize").value()) == (2, len(bodies["u0"]) + len(bodies["u3"]))
+
+
 def test_import_of_arriving_files(spark, tmp_path, monkeypatch):
     """Files come in three deliveries, one of which fails between its two writes and is run again; nothing is stored twice."""
     from shelfcheck.streaming import imports
