@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -48,3 +48,8 @@ def match_rank(match: Column) -> Column:
 def worst_match(mapped: Column, seen: Column) -> Column:
     """The page may worsen the mapping's flag, never improve it."""
     return F.when(match_rank(seen) > match_rank(mapped), seen).otherwise(mapped)
+
+
+def worsened(mappings: DataFrame, seen: DataFrame) -> DataFrame:
+    """(url, match) of each mapping and each row of `seen` (url, seen) with its URL. Both sides grow, so neither is broadcast."""
+    return seen.join(mappings.hint("merge"), "url").select("url", worst_match(F.col("match"), F.col("seen")).alias("match"))

@@ -225,7 +225,7 @@ def pricing_queries() -> dict[str, Query]:
     out["extract_run_matches"] = lambda s, d: pricing.extract_run_matches(t(s, d, "mappings"), run(s, d)).select("product_id", "url", "match", "match_note")
     out["import_outcomes"] = lambda s, d: pricing.outcomes(*both(s, d))
     out["landed_prices"] = lambda s, d: parses(s, d).select("row.url", pricing.landed_price(F.col("row.price"), F.col("row.delivery_cost")).alias("landed"), pricing.parse_status(F.col("row.price"), F.lit(None).cast("string")).alias("status"))
-    out["worst_match"] = lambda s, d: parses(s, d).select(F.col("row.url").alias("url"), F.col("row.match").alias("seen")).join(t(s, d, "mappings"), "url").select("url", match.worst_match(F.col("match"), F.col("seen")).alias("match"))
+    out["worst_match"] = lambda s, d: match.worsened(t(s, d, "mappings"), parses(s, d).select(F.col("row.url").alias("url"), F.col("row.match").alias("seen")))
     asked = lambda: F.array(*map(F.lit, ("product_title", "stock", "match", "confidence", "ignored")))
     out["parse_violations"] = lambda s, d: parses(s, d).select("row.url", F.array_join(F.array_intersect(asked(), "violations"), ",").alias("violations")).where("violations <> ''")
     lines = lambda s, d: files.parse_mappings(t(s, d, "mapping_lines"))

@@ -295,3 +295,15 @@ def test_import_of_arriving_files(spark, tmp_path, monkeypatch):
     again = spark.createDataFrame([(body("p2", "p3"), "x")], "value string, path string")
     imports.import_batch(again, 1, products, captures, known, "s", folder)
     assert kept() == [("p1", 0), ("p2", 1)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+def test_worst_match_broadcasts_neither_side(spark):
+    mappings = spark.createDataFrame([("u1", "exact"), ("u1", "near"), ("u2", "uncertain"), (None, "exact")], "url string, match string")
+    seen = spark.createDataFrame([("u1", "uncertain"), ("u1", None), ("u2", "exact"), (None, "near")], "url string, seen string")
+    found = match.worsened(mappings, seen)
+    assert "Broadcast" not in _plan(found)
+    assert sorted((r["url"], r["match"]) for r in found.collect()) == [("u1", "exact"), ("u1", "near"), ("u1", "near"), ("u1", "uncertain"), ("u2", "uncertain")]
