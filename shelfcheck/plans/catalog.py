@@ -184,7 +184,7 @@ def pricing_queries() -> dict[str, Query]:
     out["marketplace_check"] = lambda s, d: pricing.check_marketplace(t(s, d, "products"), bridge.items(s, d)).select(
         "product_id", "status", "item_id", *_money("price", "item_price", "shipping_cost"), "availability", "seller", "seller_type", "match", "note"
     )
-    parses = lambda s, d: files.parsed_rows(t(s, d, "parse_docs").select("value"))
+    parses = lambda s, d, *fields: files.parsed_rows(t(s, d, "parse_docs").select("value"), fields=fields)
     odd = lambda s, d: files.parsed_rows(t(s, d, "parse_docs_odd").select("value", "product_id", "s"))
     out["parsed_prices"] = lambda s, d: odd(s, d).select(
         "product_id", "s", "parser", F.coalesce("row_number", F.lit(-1)).alias("row_number"), "row.i", "row.sku", "row.url", "row.price", "row.delivery_cost", "row.stock", "row.match",
@@ -224,10 +224,10 @@ def pricing_queries() -> dict[str, Query]:
     out["extract_run"] = lambda s, d: run(s, d).select("product_id", "url", "title", *_money("price", "item_price", "shipping_cost"), "currency", "availability", "match", "match_note", "status", "note", _time("captured_at"))
     out["extract_run_matches"] = lambda s, d: pricing.extract_run_matches(t(s, d, "mappings"), run(s, d)).select("product_id", "url", "match", "match_note")
     out["import_outcomes"] = lambda s, d: pricing.outcomes(*both(s, d))
-    out["landed_prices"] = lambda s, d: parses(s, d).select("row.url", pricing.landed_price(F.col("row.price"), F.col("row.delivery_cost")).alias("landed"), pricing.parse_status(F.col("row.price"), F.lit(None).cast("string")).alias("status"))
-    out["worst_match"] = lambda s, d: match.worsened(t(s, d, "mappings"), parses(s, d).select(F.col("row.url").alias("url"), F.col("row.match").alias("seen")))
+    out["landed_prices"] = lambda s, d: parses(s, d, "url", "price", "delivery_cost").select("row.url", pricing.landed_price(F.col("row.price"), F.col("row.delivery_cost")).alias("landed"), pricing.parse_status(F.col("row.price"), F.lit(None).cast("string")).alias("status"))
+    out["worst_match"] = lambda s, d: match.worsened(t(s, d, "mappings"), parses(s, d, "url", "match").select(F.col("row.url").alias("url"), F.col("row.match").alias("seen")))
     asked = lambda: F.array(*map(F.lit, ("product_title", "stock", "match", "confidence", "ignored")))
-    out["parse_violations"] = lambda s, d: parses(s, d).select("row.url", F.array_join(F.array_intersect(asked(), "violations"), ",").alias("violations")).where("violations <> ''")
+    out["parse_violations"] = lambda s, d: parses(s, d, "url").select("row.url", F.array_join(F.array_intersect(asked(), "violations"), ",").alias("violations")).where("violations <> ''")
     lines = lambda s, d: files.parse_mappings(t(s, d, "mapping_lines"))
     out["mapping_lines"] = lambda s, d: lines(s, d)[0]
     out["mapping_rejects"] = lambda s, d: lines(s, d)[1]
@@ -312,7 +312,7 @@ def table_queries() -> dict[str, Query]:
     out["propagate_match"] = lambda s, d: tables.propagate_match(
         t(s, d, "mappings"), t(s, d, "observations").withColumn("match_note", F.lit("page")).where("url IS NOT NULL"), ["product_id", "url"]
     ).select("product_id", "url", "match", "match_note")
-    values = lambda s, d: files.parsed_rows(t(s, d, "parse_docs").select("value")).select(F.col("row.stock").alias("availability"), F.col("row.match").alias("match"))
+    values = lambda s, d: files.parsed_rows(t(s, d, "parse_docs").select("value"), fields=("stock", "match")).select(F.col("row.stock").alias("availability"), F.col("row.match").alias("match"))
     out["invalid_values"] = lambda s, d: tables.invalid_values(values(s, d), ["availability", "match"])
     out["duplicate_keys"] = lambda s, d: tables.duplicate_keys(t(s, d, "observations"), "product_id", "url")
     out["orphans"] = lambda s, d: tables.orphans(t(s, d, "fetch_log"), "url", t(s, d, "products"), "url").select("seq", "url")

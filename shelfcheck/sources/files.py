@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, IntegerType, StructType
 
 from ..functions import patterns as P
 from ..functions import text as T
@@ -76,28 +77,64 @@ IMPORT_CONTRACT = CONTRACT | {"product_title": (*_TEXT, "VOID"), "page_title": (
 OPTIONAL = {"page_title", "stock_note"}  # may be left out as well
 
 
-def parsed_rows(bodies: DataFrame, column: str = "value", contract: dict[str, tuple[str, ...]] = CONTRACT) -> DataFrame:
+def parsed_rows(bodies: DataFrame, column: str = "value", contract: dict[str, tuple[str, ...]] = CONTRACT, fields: tuple[str, ...] | None = None) -> DataFrame:
     """Every row of every parsed-price document, none left out: the columns of `bodies`, `parser`, `row_number`, `row` (typed;
     a value of another type is NULL there) and `violations`, the fields that are missing, of another type or out of range.
 
     A body that is no JSON object, or has no list of rows, is one row without `row_number` and with the violation
-    `document`. Values are read as VARIANT, so that a wrong type shows instead of becoming NULL unseen.
+    `document`. Values are read as VARIANT, so that a wrong type shows instead of becoming NULL unseen. With `fields` given,
+    `row` holds these alone, and the others aren't read for it; violations are those of the whole row.
     """
-    document = F.try_parse_json(column)
-    listed = F.try_variant_get(document, "$.rows", "array<variant>")
-    read = bodies.select("*", F.try_variant_get(document, "$.parser", "string").alias("parser"), F.posexplode_outer(listed).alias("row_number", "raw"), listed.isNull().alias("unread"))
-    kind = lambda f: F.regexp_replace(F.schema_of_variant(F.try_variant_get("raw", f"$.{f}", "variant")), r"\([0-9,]*\)", "")
-    broken = [F.when(~F.coalesce(kind(f).isin(list(kinds)), F.lit(f in OPTIONAL)), F.lit(f)) for f, kinds in contract.items()]
+    # Step by step in columns of their own, so that a body is parsed once and each kind is worked out once.
+    own = bodies.columns
+    read = bodies.select(*own, F.try_parse_json(column).alias("document"))
+    read = read.select(*own, F.try_variant_get("document", "$.parser", "string").alias("parser"), F.try_variant_get("document", "$.rows", "array<variant>").alias("listed"))
+    read = read.select(*own, "parser", "listed", F.col("listed").isNull().alias("unread"))
+    read = read.select(*own, "parser", "unread", F.posexplode_outer("listed").alias("row_number", "raw")).where(F.col("unread") | F.col("raw").isNotNull())
+    kinds = [_kind_of(F.col("raw"), f).alias(f"kind_of_{f}") for f in contract]
+    read = read.select(*own, "parser", "row_number", "unread", "raw", *kinds)
+    kind = lambda f: F.col(f"kind_of_{f}")
+    broken = [F.when(~F.coalesce(kind(f).isin(list(allowed)), F.lit(f in OPTIONAL)), F.lit(f)) for f, allowed in contract.items()]
     value = lambda f, t: F.try_variant_get("raw", f"$.{f}", t)
     broken += [F.when((kind(f) == "STRING") & ~value(f, "string").isin(allowed), F.lit(f)) for f, allowed in ALLOWED.items()]
     broken += [F.when(kind("confidence").isin(list(_NUMBER)) & ~value("confidence", "double").between(0, 1), F.lit("confidence"))]
     found = F.array_sort(F.array_distinct(F.array_compact(F.array(*broken))))
-    row = F.when(F.col("raw").isNotNull(), F.from_json(F.to_json("raw"), PARSED_ROW))
-    return read.where(F.col("unread") | F.col("raw").isNotNull()).select(
-        *bodies.columns, "parser", "row_number", row.alias("row"), F.when(F.col("unread"), F.array(F.lit("document"))).otherwise(found).alias("violations")
+    return read.select(
+        *own, "parser", "row_number", F.when(F.col("raw").isNotNull(), _typed_row(F.col("raw"), fields)).alias("row"),
+        F.when(F.col("unread"), F.array(F.lit("document"))).otherwise(found).alias("violations"),
     )
 
 
+def _kind_of(raw: Column, field: str) -> Column:
+    """Kind of a field's value, decimals without their size; NULL when it is missing."""
+    return F.substring_index(F.schema_of_variant(F.try_variant_get(raw, f"$.{field}", "variant")), "(", 1)
+
+
+_UNCOMMON = {"NaN": "NaN", "+INF": "Infinity", "+Infinity": "Infinity", "Infinity": "Infinity", "-INF": "-Infinity", "-Infinity": "-Infinity"}
+
+
+def _typed_row(raw: Column, fields: tuple[str, ...] | None = None) -> Column:
+    """`from_json` of a row or of some of its fields, read field by field from the VARIANT. A row that is a list or null, which `from_json` has rules of
+    its own for, is left to it."""
+
+    def field(name: str, kind: DataType) -> Column:
+        path = f"$.{name}"
+        if isinstance(kind, DoubleType):
+            # `from_json` takes numbers and the names of those that JSON can't write.
+            text = F.try_variant_get(raw, path, "string")
+            named = F.coalesce(*[F.when(text == n, F.lit(float(v))) for n, v in _UNCOMMON.items()])
+            shape = _kind_of(raw, name)
+            return F.when(shape == "STRING", named).when(shape.isin(list(_NUMBER)), F.try_variant_get(raw, path, "double"))
+        if isinstance(kind, IntegerType):
+            whole = F.try_variant_get(raw, path, "int")
+            return F.when(_kind_of(raw, name).isin("BIGINT", "DECIMAL") & (F.try_variant_get(raw, path, "double") == whole), whole)
+        return F.try_variant_get(raw, path, kind.simpleString())
+
+    wanted = StructType([f for f in DataType.fromDDL(PARSED_ROW).fields if fields is None or f.name in fields])
+    own_rules = F.is_variant_null(raw) | F.try_variant_get(raw, "$", "array<variant>").isNotNull()
+    return F.when(own_rules, F.from_json(F.to_json(raw), wanted)).otherwise(F.struct(*[field(f.name, f.dataType).alias(f.name) for f in wanted.fields]))
+
+
 def accepted(rows: DataFrame) -> DataFrame:
     """(parser, row) of the rows of `parsed_rows` that keep the contract."""
     return rows.where(F.size("violations") == 0).select("parser", "row")

@@ -4,8 +4,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcheck.operators import pricing
+from shelfcheck.operators import match, pricing
 from shelfcheck.operators.match import assess_match, worst_match
+from shelfcheck.schemas import PARSED_ROW
 from shelfcheck.sources import files
 
 # Each rule of the verdict on both sides of its edge, in the order in which the rules are tried.
@@ -307,3 +308,21 @@ def test_worst_match_broadcasts_neither_side(spark):
     found = match.worsened(mappings, seen)
     assert "Broadcast" not in _plan(found)
     assert sorted((r["url"], r["match"]) for r in found.collect()) == [("u1", "exact"), ("u1", "near"), ("u1", "near"), ("u1", "uncertain"), ("u2", "uncertain")]
+
+
+def test_bodies_are_parsed_once_and_rows_read_as_json(spark):
+    """Typed rows equal what `from_json` makes of them, odd values and rows that are no objects included."""
+    values = [None, True, 0, -7, 1.5, 5.0, 1e300, 12345678901, 10**29, "x", "", "5", "NaN", "-INF", "INF", [], ["a", 1, None, {"b": [1.5]}], {"a": 1.0}]
+    rows = [{"i": 1, "url": "u", "price": 2, **{f: v}} for f in ("i", "sku", "price", "ignored", "match") for v in values]
+    rows += [5, "x", None, [], [{"i": 1, "sku": "a"}], {}, [None]]
+    bodies = spark.createDataFrame([(json.dumps({"parser": "p", "rows": rows}),), ("no json",), ('{"rows": 5}',)], "value string")
+    found = files.parsed_rows(bodies)
+    assert _plan(found).count("parseJson(") == 1
+    raw = bodies.select(F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$.rows", "array<variant>")).alias("n", "raw"))
+    plain = {r["n"]: repr(r["row"]) for r in raw.select("n", F.from_json(F.to_json("raw"), PARSED_ROW).alias("row")).collect()}
+    assert {r["row_number"]: repr(r["row"]) for r in found.where("row_number IS NOT NULL").collect()} == plain and len(plain) == len(rows)
+    some = files.parsed_rows(bodies, fields=("url", "price"))
+    assert some.schema["row"].dataType.names == ["url", "price"] and "page_title" not in _plan(some.select("row"))
+    of = lambda r: r["row"] and (r["row"]["url"], r["row"]["price"])
+    told = lambda df: sorted((repr(r["row_number"]), repr(of(r)), r["violations"]) for r in df.collect())
+    assert told(some) == told(found)
