@@ -326,3 +326,17 @@ def test_bodies_are_parsed_once_and_rows_read_as_json(spark):
     of = lambda r: r["row"] and (r["row"]["url"], r["row"]["price"])
     told = lambda df: sorted((repr(r["row_number"]), repr(of(r)), r["violations"]) for r in df.collect())
     assert told(some) == told(found)
+
+
+def test_import_broadcasts_nothing_and_shuffles_rows_twice(spark):
+    """Rows go by SKU and by url; the order within a url needs no further exchange."""
+    row = {"sku": "T", "retailer": "Q", "url": "p1", "price": 3, "ignored": []}
+    bodies = spark.createDataFrame([(json.dumps({"parser": "p", "rows": [{"i": i, **row, **c} for i, c in enumerate([{}, {}, {"url": "p2"}, {"url": None}, {"sku": None}, {"url": "p3"}])]}),)], "value string")
+    captures = spark.sql("SELECT * FROM VALUES ('p1', TIMESTAMP '2025-05-01 08:00:00', 't'), ('p2', TIMESTAMP '2025-05-01 08:00:00', 't'), ('p2', TIMESTAMP '2025-04-01 08:00:00', 'o'), (NULL, NULL, 'n') AS c(url, fetched_at, title)")
+    known = spark.sql("SELECT * FROM VALUES ('s', 'p2', TIMESTAMP '2025-05-01 08:00:00'), ('s', 'p1', TIMESTAMP '2024-05-01 08:00:00'), ('s', NULL, NULL) AS k(source, url, captured_at)")
+    parsed = files.parsed_rows(bodies).select("parser", "row")
+    found = pricing.import_parses(parsed, spark.createDataFrame([(6, "T")], "id bigint, sku string"), captures, known, "s")
+    plan = _plan(found)
+    assert "Broadcast" not in plan and "hashpartitioning(url" in plan
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(url" in x and "CASE" in x] and plan[plan.index("Window") : plan.index("SortMergeJoin")].count("Exchange") == 0
+    assert sorted(r["outcome"] for r in found.collect()) == ["already stored", "already stored", "no capture", "no capture", "no product", "stored"]
