@@ -20,6 +20,8 @@ def _decoded(c: Column) -> Column:
 
 
 def _blocks(sitemaps: DataFrame, tag: str) -> DataFrame:
+    # Bodies cost far more to search than to move, and the file they come from may be one task's: they are dealt to all.
+    sitemaps = sitemaps.repartition(int(sitemaps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = F.regexp_extract_all("body", F.lit(rf"<{tag}>([\s\S]*?)</{tag}>"), F.lit(1))
     rest = [c for c in sitemaps.columns if c != "body"]
     return sitemaps.select(*rest, F.posexplode(found).alias("entry", "block")).withColumn(

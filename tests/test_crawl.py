@@ -148,3 +148,13 @@ def test_sitemap_files_give_the_rows_of_their_bodies(spark, tmp_path):
     other = [r for r in rows if r.file.endswith("b.xml")]
     assert [r.url for r in other if r.url] == ["https://s.example/y"] and sum(r.unread is not None for r in other) == 1
     assert [r.url for r in files.read_sitemaps(spark, str(tmp_path), "sitemap").where(F.col("url").isNotNull()).collect()] == ["https://s.example/b.xml"]
+
+
+def test_sitemaps_of_one_task_are_dealt_out(spark):
+    """Bodies from one partition are searched by all tasks, and no entry is lost."""
+    body = lambda i: f"<urlset><url><loc>https://a.example/product/{i}</loc></url><sitemap><loc>https://a.example/s{i}.xml</loc></sitemap></urlset>"
+    maps = spark.createDataFrame([("a.example", i, body(i)) for i in range(64)], "host string, pos int, body string").coalesce(1)
+    for read, url in ((crawl.sitemap_entries, "https://a.example/product/{}"), (crawl.child_sitemaps, "https://a.example/s{}.xml")):
+        found = read(maps)
+        assert sorted(r.url for r in found.collect()) == sorted(url.format(i) for i in range(64))
+        assert found.select(F.spark_partition_id()).distinct().count() > 1
