@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import page_scan
 from ..functions import patterns as P
 from ..functions import text as T
-from ..functions.page_scan import page_nodes, scan_pages
 
 _TEXTUAL = "^(STRING|TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 
@@ -122,19 +122,12 @@ def product_node(node: Column) -> Column:
 
 def with_scan(pages: DataFrame) -> DataFrame:
     """Pages (url, html, …) without html, plus `elements` and `products`: the scanned markup and its Product nodes."""
-    scanned = pages.withColumn("scan", scan_pages("html"))
+    scanned = pages.withColumn("scan", page_scan.scan_pages("html"))
     nodes = F.transform("scan.nodes", lambda n: F.try_parse_json(n))
     rest = [c for c in pages.columns if c != "html"]
     return scanned.select(*rest, F.col("scan.elements").alias("elements"), F.filter(nodes, is_product).alias("products"))
 
 
-def with_products(pages: DataFrame) -> DataFrame:
-    """Pages without html, plus `products` alone: only the structured-data blocks of the markup are read."""
-    rest = [c for c in pages.columns if c != "html"]
-    read = pages.withColumn("nodes", page_nodes("html"))
-    return read.select(*rest, F.filter(F.transform("nodes", lambda n: F.try_parse_json(n)), is_product).alias("products"))
-
-
 # --- the listing record -----------------------------------------------------------------
 
 
@@ -242,19 +235,26 @@ def extract_listings(pages: DataFrame) -> DataFrame:
     )
 
 
+def _named(best: Column, field: str) -> Column:
+    """A text field of an offer, or the number that stands in its place."""
+    return F.coalesce(best[field], F.try_variant_get(F.try_parse_json(best[field + "_number"]), "$", "string"))
+
+
 def page_offers(pages: DataFrame) -> DataFrame:
     """Pages plus `offer`: the cheapest priced offer over all Product nodes, NULL when none has a price; and `has_body`."""
-    scanned = with_products(pages.withColumn("has_body", F.coalesce(F.col("html") != "", F.lit(False))))
-    offers = F.transform("products", lambda n, i: F.struct(cheapest_offer(n).alias("o"), i.alias("pos"), _text_of(_at(n, "$.name")).alias("title")))
-    priced = F.transform(
-        F.filter(offers, lambda x: x["o"]["price"].isNotNull()),
-        lambda x: F.struct(
-            x["o"]["price"].alias("price"), x["pos"].alias("pos"), x["title"].alias("title"),
-            x["o"]["currency"].alias("currency"), x["o"]["condition"].alias("condition"), x["o"]["availability"].alias("availability"),
-        ),
+    read = pages.withColumn("has_body", F.coalesce(F.col("html") != "", F.lit(False))).withColumn("found", page_scan.page_offers("html"))
+    numbered = F.transform("found.offers", lambda o, i: F.struct(T.number(o["price"]).alias("price"), i.alias("pos"), o.alias("fields")))
+    cheapest = F.array_min(F.filter(numbered, lambda o: o["price"] < float("inf")))
+    best, fields = F.col("best"), F.col("best.fields")
+    # Only the offer that is chosen has its words looked up.
+    offer = F.struct(
+        best["price"].alias("price"), best["pos"].alias("pos"), _named(fields, "title").alias("title"), _named(fields, "currency").alias("currency"),
+        T.condition_of(fields["condition"]).alias("condition"), T.availability_of(fields["availability"]).alias("availability"),
+    )
+    rest = [c for c in read.columns if c not in ("html", "found")]
+    return read.select(*rest, F.col("found.product_count").alias("product_count"), cheapest.alias("best")).select(
+        *rest, "product_count", F.when(best.isNotNull(), offer).alias("offer")
     )
-    rest = [c for c in scanned.columns if c != "products"]
-    return scanned.select(*rest, F.size("products").alias("product_count"), F.array_min(priced).alias("offer"))
 
 
 def is_challenge(html: Column, product_count: Column) -> Column:
