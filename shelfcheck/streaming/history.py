@@ -5,7 +5,8 @@ their predecessors in the batch by the piece-wise `lag` of the batch form, so a
 never gathered. What is left is one row per product: its first row, and its last price and availability.
 
 The second keeps the last (price, availability) of each product as state, compares it with the first row and takes over
-the last. Its state store is RocksDB, which keeps what doesn't change on disk; it costs one row per product of a batch.
+the last. Products are dealt by hash to a fixed number of groups that share a state entry, so that Python is entered once
+for each group of a batch, not once for each product. The state store is RocksDB, which keeps what doesn't change on disk.
 
 Rows of a batch are taken in event order; a row older than an earlier batch's counts as newly arrived. A batch that is run
 again after a failure finds what it has written, and writes the rest, so every change is kept once.
@@ -13,10 +14,11 @@ again after a failure finds what it has written, and writes the rest, so every c
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,6 +30,8 @@ from ..sources.tables import is_complete
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _COLUMNS = [c.split()[0] for c in PRICE_FEED.split(", ")]
+#: Groups of products that share an entry of the state. An entry holds a row for each product of its group.
+GROUPS = 4096
 _EDGES = PRICE_FEED + ", last_price decimal(10,2), last_availability string, batch bigint"
 
 
@@ -58,25 +62,38 @@ def reduce_feed(feed: DataFrame, folder: str, **trigger) -> StreamingQuery:
     return writer.option("checkpointLocation", f"{folder}/checkpoint-feed").trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _texts() -> dict[str, Column]:
+    """What goes through Python, all as text, which holds every value exactly and NULL as None."""
+    plain = {c: F.col(c).cast("string") for c in (*_COLUMNS, "last_price", "last_availability")}
+    return plain | {"captured_at": F.unix_micros("captured_at").cast("string")}
+
+
 def _first_changes(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The first rows of one product that differ from what was last known of it. There is one row per batch of the feed."""
-    rows = pd.concat(list(chunks)).sort_values("batch", kind="stable")
-    text = lambda v: None if pd.isna(v) else v
-    last, keep = tuple(state.get) if state.exists else None, []
-    for price, availability, last_price, last_availability in zip(rows["price"], rows["availability"], rows["last_price"], rows["last_availability"]):
-        keep.append((price, text(availability)) != last)
-        last = (last_price, text(last_availability))
-    state.update(last)
-    yield rows.loc[keep, _COLUMNS]
-
-
-def merge_edges(spark: SparkSession, folder: str, **trigger) -> StreamingQuery:
-    """Start the second query: `folder`/edges against the state, to `folder`/first."""
+    """Of one group of products, the first rows that differ from what was last known of their product. A product has one
+    row per batch of the feed."""
+    names = [*_COLUMNS, "last_price", "last_availability", "batch"]
+    rows = sorted((row for chunk in chunks for row in zip(*(chunk[c] for c in names))), key=lambda row: row[-1])
+    known, kept = {product: (price, availability) for product, price, availability in json.loads(state.get[0])} if state.exists else {}, []
+    for row in rows:
+        product, price, availability, *_, last_price, last_availability, _ = row
+        if known.get(product) != (price, availability):
+            kept.append(row[: len(_COLUMNS)])
+        known[product] = last_price, last_availability
+    state.update((json.dumps([(product, *last) for product, last in known.items()]),))
+    yield pd.DataFrame(kept, columns=_COLUMNS, dtype=object)
+
+
+def merge_edges(spark: SparkSession, folder: str, groups: int = GROUPS, **trigger) -> StreamingQuery:
+    """Start the second query: `folder`/edges against the state, to `folder`/first. `groups` must stay what it was at the first start."""
     before = spark.conf.get(_PROVIDER)
     spark.conf.set(_PROVIDER, _ROCKSDB)  # a query takes its settings when it starts
     try:
-        found = spark.readStream.schema(_EDGES).parquet(f"{folder}/edges/number=*").groupBy("product_id")
-        changes = found.applyInPandasWithState(_first_changes, PRICE_FEED, "price decimal(10,2), availability string", "append", GroupStateTimeout.NoTimeout)
+        found = spark.readStream.schema(_EDGES).parquet(f"{folder}/edges/number=*")
+        found = found.select(F.pmod(F.xxhash64("product_id"), F.lit(groups)).alias("products"), *[c.alias(n) for n, c in _texts().items()], "batch").groupBy("products")
+        changes = found.applyInPandasWithState(_first_changes, ", ".join(f"{c} string" for c in _COLUMNS), "known string", "append", GroupStateTimeout.NoTimeout)
+        typed = {"captured_at": F.timestamp_micros(F.col("captured_at").cast("bigint"))}
+        types = dict(c.split(" ") for c in PRICE_FEED.split(", "))
+        changes = changes.select(*[typed.get(c, F.col(c).cast(types[c])).alias(c) for c in _COLUMNS])
         writer = changes.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint-edges")
         return writer.option("path", f"{folder}/first").trigger(**(trigger or {"availableNow": True})).start()
     finally:

@@ -90,6 +90,25 @@ def test_batch_run_again_writes_once(spark, tmp_path):
     assert sorted((r["product_id"], r["id"]) for r in kept_changes(spark, folder).collect()) == model(rows)
 
 
+def test_state_holds_groups_of_products(spark, tmp_path):
+    """An entry of the state serves many products; numbers that a float can't hold and a missing product stay as they are."""
+    import datetime
+
+    start, big, folder = datetime.datetime(2026, 1, 1), 2**53, str(tmp_path)
+    rows = [
+        (None if p == 0 else big + p, big + 1 + n * 100 + p, Decimal(["5.00", "5.00", "6.10"][n] if p % 3 else "7.25"), [None, "in_stock"][p % 2], start + datetime.timedelta(days=n, microseconds=p))
+        for n in range(3) for p in range(60) if p % 7 != n
+    ]
+    for n in range(3):
+        stream._kept(spark.createDataFrame([r for r in rows if r[4].day == n + 1], FEED), n, folder)
+        query = stream.merge_edges(spark, folder, groups=4)
+        query.awaitTermination()
+        assert 1 <= query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    expected = {i for _, i in model([(big if p is None else p, *rest) for p, *rest in rows])}
+    got = kept_changes(spark, folder).collect()
+    assert {tuple(r) for r in got} == {(p, price, a, at, i) for p, i, price, a, at in rows if i in expected} and len(got) == len(expected)
+
+
 def test_product_of_all_rows_reaches_the_state_as_one_row(spark):
     """A million rows of one product in one batch: cut into pieces, and one row of it needs the state."""
     batch = spark.range(1_000_000).selectExpr("7L AS product_id", "CAST(id DIV 10 % 3 AS DECIMAL(10,2)) AS price", "'in_stock' AS availability", "TIMESTAMP '2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) AS captured_at", "id")
