@@ -318,6 +318,7 @@ def test_bodies_are_parsed_once_and_rows_read_as_json(spark):
     bodies = spark.createDataFrame([(json.dumps({"parser": "p", "rows": rows}),), ("no json",), ('{"rows": 5}',)], "value string")
     found = files.parsed_rows(bodies)
     assert _plan(found).count("parseJson(") == 1
+    assert "$.price" not in _plan(found)  # a row's fields are taken out of it together
     raw = bodies.select(F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$.rows", "array<variant>")).alias("n", "raw"))
     plain = {r["n"]: repr(r["row"]) for r in raw.select("n", F.from_json(F.to_json("raw"), PARSED_ROW).alias("row")).collect()}
     assert {r["row_number"]: repr(r["row"]) for r in found.where("row_number IS NOT NULL").collect()} == plain and len(plain) == len(rows)
