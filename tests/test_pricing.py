@@ -205,6 +205,14 @@ def test_import_loses_nothing(spark, tmp_path):
     assert {r["outcome"]: r["n"] for r in pricing.outcomes(imported, broken).collect()} == {"stored": 1, "rejected": 13}
 
 
+def test_import_keeps_bodies_of_rejects_alone(spark, tmp_path):
+    body = lambda price: json.dumps({"parser": "p", "rows": [{"sku": "T", "retailer": "Q", "url": "p1", "product_title": None, "price": price, "price_evidence": None, "was_price": None, "delivery_cost": None, "delivery_note": None, "stock": "in_stock", "match": "exact", "match_note": None, "confidence": 0.5, "ignored": []}]})
+    docs = spark.createDataFrame([(1, body(3)), (2, body("x")), (3, "{")], "id int, value string")
+    kept = pricing.kept_rows(docs, str(tmp_path / "rows"))
+    assert {(r["sound"], r["id"], r["value"]) for r in kept.collect()} == {(True, None, None), (False, 2, body("x")), (False, 3, "{")}
+    assert not list((tmp_path / "rows").glob("sound=*"))  # rows of either kind are not sorted apart
+
+
 def test_extract_run(spark):
     row = "struct<product_title:string,price:double,delivery_cost:double,stock:string,match:string,match_note:string,confidence:double,price_evidence:string>"
     mappings = spark.createDataFrame([(1, "R", "u1", "exact", "mine"), (2, "R", "u1", "near", None), (3, "R", "u2", "exact", None), (4, "R", "u3", "uncertain", ""), (5, "R", "u4", "exact", None)], "product_id bigint, retailer string, url string, match string, match_note string")
