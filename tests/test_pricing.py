@@ -205,6 +205,19 @@ def test_import_loses_nothing(spark, tmp_path):
     assert {r["outcome"]: r["n"] for r in pricing.outcomes(imported, broken).collect()} == {"stored": 1, "rejected": 13}
 
 
+def test_import_captures_every_named_page(spark, tmp_path):
+    """A page is captured whatever a row says of it; rows that name no product or page, and bodies that can't be read, capture none."""
+    sound = {"sku": "T", "retailer": "Q", "product_title": None, "price": 3, "price_evidence": None, "was_price": None, "delivery_cost": None, "delivery_note": None, "stock": "in_stock", "match": "exact", "match_note": None, "confidence": 0.5, "ignored": []}
+    changes = [{}, {"price": "x"}, {"stock": "few"}, {"match": "same"}, {"confidence": 1.5}, {"ignored": None}, {"delivery_cost": True, "retailer": 7}, {"sku": 5}, {"url": 7}, {"sku": "none"}]
+    rows = [{"i": i, **sound, "url": f"p{i}", **c} for i, c in enumerate(changes)] + [{"i": 20, **sound, "url": "p0", "match": "near"}, {"i": 21, **sound, "url": "old"}, 5, None, [{"sku": "T", "url": "p8"}]]
+    docs = spark.createDataFrame(list(enumerate([json.dumps({"parser": "p", "rows": rows}), '{"parser": "p", "rows": [{"i"', '{"rows": 5}', None])), "id int, value string")
+    captures = spark.createDataFrame([(f"p{i}",) for i in range(10)] + [("old",), ("7",)], "url string").selectExpr("url", "TIMESTAMP '2025-05-01 08:00:00' AS fetched_at", "'t' AS title")
+    known = spark.sql("SELECT 's' AS source, 'old' AS url, TIMESTAMP '2025-05-01 08:00:00' AS captured_at")
+    found = pricing.import_pages(docs, spark.createDataFrame([(6, "T"), (7, "5")], "id bigint, sku string"), captures, known, "s", str(tmp_path / "parses"))
+    got = found.select("url", "title", F.variant_get("meta", "$.parser", "string").alias("parser"), F.variant_get("meta", "$.match", "string").alias("match")).collect()
+    assert sorted(map(tuple, got)) == [(f"p{i}", "t", "p", "same" if i == 3 else "exact") for i in range(7)]
+
+
 def test_import_keeps_bodies_of_rejects_alone(spark, tmp_path):
     body = lambda price: json.dumps({"parser": "p", "rows": [{"sku": "T", "retailer": "Q", "url": "p1", "product_title": None, "price": price, "price_evidence": None, "was_price": None, "delivery_cost": None, "delivery_note": None, "stock": "in_stock", "match": "exact", "match_note": None, "confidence": 0.5, "ignored": []}]})
     docs = spark.createDataFrame([(1, body(3)), (2, body("x")), (3, "{")], "id int, value string")
